@@ -12,6 +12,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op5_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.warc import warc_round_trip
+
+    return warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "length")
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.media import read_media, store_media
+    from corpusmill.llm.shared import written
+
+    return read_media(written(store_media(_table(spark, sf_dir, "documents")), "media"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm.quality_rules import quality_rules
 
@@ -19,6 +44,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mix_sources": op4_mix_sources,
+    "op5_scan_licenses": op5_scan_licenses,
+    "op7_warc": op7_warc,
+    "op8_media": op8_media,
     "op9_quality_rules": op9_quality_rules,
 }
 

@@ -33,9 +33,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pieces(rows: int, each: int = 20_000) -> int:
-    """How many hash pieces keep about `each` rows in one: grows in proportion with the table."""
-    return max(1, math.ceil(rows / each))
+def pieces(rows: int) -> int:
+    """How many hash pieces to cut a table into: with the square root, neither a piece nor the table of totals grows fast."""
+    return max(1, math.ceil(math.sqrt(rows)))
 
 
 def running_start(df: DataFrame, size: str, out: str, order: list[str], by: list[str], piece: str) -> DataFrame:
