@@ -12,6 +12,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def tokenizer_path() -> str:
+    """Where the vocabulary file lies: TOKENIZER_FILE, else the installed public one."""
+    given = os.environ.get("TOKENIZER_FILE")
+    if given:
+        return given
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.token_output import token_round_trip
+
+    return token_round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm.mixing import mix_sources
 
@@ -44,11 +66,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pack": op3_pack,
     "op4_mix_sources": op4_mix_sources,
     "op5_scan_licenses": op5_scan_licenses,
     "op7_warc": op7_warc,
     "op8_media": op8_media,
     "op9_quality_rules": op9_quality_rules,
+    "op10_token_shards": op10_token_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {}
