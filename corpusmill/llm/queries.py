@@ -46,6 +46,12 @@ def op5_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm.warc import warc_round_trip
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pack": op3_pack,
     "op4_mix_sources": op4_mix_sources,
     "op5_scan_licenses": op5_scan_licenses,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_warc": op7_warc,
     "op8_media": op8_media,
     "op9_quality_rules": op9_quality_rules,
