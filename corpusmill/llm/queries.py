@@ -22,6 +22,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.pii import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm.packing import pack
 
@@ -72,6 +78,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_find_pii": op2_find_pii,
     "op3_pack": op3_pack,
     "op4_mix_sources": op4_mix_sources,
     "op5_scan_licenses": op5_scan_licenses,
