@@ -22,6 +22,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.quality_classifier import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm.pii import find_pii
 
@@ -78,6 +84,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_score_quality": op1_score_quality,
     "op2_find_pii": op2_find_pii,
     "op3_pack": op3_pack,
     "op4_mix_sources": op4_mix_sources,
