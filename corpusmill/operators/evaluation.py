@@ -1,0 +1,251 @@
+"""Evaluation over tables: ranking metrics, classification, run aggregates, comparisons, gates, dataset health."""
+
+from __future__ import annotations
+
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def _gains(rankings: DataFrame, relevance: DataFrame, dedup: bool) -> DataFrame:
+    """(query_id, rank, item, grade): the ranked items with their grades, repeated items counted once if `dedup`."""
+    rows = rankings.select("query_id", "rank", "item")
+    if dedup:
+        rows = rows.groupBy("query_id", "item").agg(F.min("rank").alias("rank"))
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    return rows.join(relevance.select("query_id", "item", F.col("grade").cast("double").alias("grade")), ["query_id", "item"], "left").withColumn("grade", F.coalesce("grade", F.lit(0.0)))
+
+
+def _ideal(relevance: DataFrame) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.col("grade").desc())
+    return relevance.filter("grade > 0").select("query_id", F.col("grade").cast("double").alias("grade")).withColumn("rank", F.row_number().over(w))
+
+
+def ranking_metrics(rankings: DataFrame, relevance: DataFrame, k: int, discount: str = "standard", gain: str = "linear", dedup: bool = True, precision_by: str = "k") -> DataFrame:
+    """One row per query of `relevance`: precision, recall, f1, hit, mrr, ap, ndcg at k.
+
+    discount: "standard" is log2(rank + 1); "late" is log2(rank), with rank 1 undiscounted as well. gain: "linear",
+    "exponential" (2^g - 1) or "binary". precision_by: "k" or "returned".
+    """
+    div = F.log2(F.col("rank") + 1) if discount == "standard" else F.when(F.col("rank") == 1, 1.0).otherwise(F.log2("rank"))
+    value = {"linear": F.col("grade"), "exponential": F.pow(F.lit(2.0), "grade") - 1, "binary": (F.col("grade") > 0).cast("double")}[gain]
+    rows = _gains(rankings, relevance, dedup)
+    hit = F.col("grade") > 0
+    upto = F.sum(hit.cast("int")).over(Window.partitionBy("query_id").orderBy("rank"))
+    rows = rows.withColumn("upto", upto)
+    top = F.col("rank") <= k
+    per = rows.groupBy("query_id").agg(
+        F.count_if(top & hit).alias("hits"), F.count_if(top).alias("returned"), F.sum(F.when(top, value / div)).alias("dcg"), F.min(F.when(hit, F.col("rank"))).alias("first"),
+        F.sum(F.when(top & hit, F.col("upto") / F.col("rank"))).alias("precisions"),
+    )
+    ideal = _ideal(relevance).groupBy("query_id").agg(F.count("*").alias("n_relevant"), F.sum(F.when(top, value / div)).alias("ideal"))
+    j = ideal.join(per, "query_id", "left")
+    hits = F.coalesce("hits", F.lit(0))
+    p = hits / k if precision_by == "k" else F.coalesce(F.try_divide(hits, F.col("returned")), F.lit(0.0))
+    r = hits / F.col("n_relevant")
+    return j.select(
+        "query_id", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"), (hits > 0).cast("double").alias("hit"),
+        F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), (F.coalesce("precisions", F.lit(0.0)) / F.least(F.col("n_relevant"), F.lit(k))).alias("ap"),
+        F.coalesce(F.try_divide(F.col("dcg"), F.col("ideal")), F.lit(0.0)).alias("ndcg"),
+    )
+
+
+def macro_average(per_query: DataFrame, digits: int = 6) -> DataFrame:
+    return per_query.agg(F.count("*").alias("queries"), *[F.round(F.avg(c), digits).alias(c) for c in per_query.columns if c != "query_id"])
+
+
+def compare_metrics(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
+    """(metric, baseline, candidate, delta, relative_lift) of two one-row tables; no lift from 0."""
+    long = lambda d, n: d.select(F.explode(F.create_map(*[x for m in names for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", n))
+    j = long(a, "baseline").join(long(b, "candidate"), "metric")
+    return j.withColumn("delta", F.round(F.col("candidate") - F.col("baseline"), 6)).withColumn("relative_lift", F.round(F.try_divide(F.col("candidate") - F.col("baseline"), F.nullif("baseline", F.lit(0.0))), 6))
+
+
+def classification_metrics(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """Per label: precision, recall, f1, support, and the overall accuracy; labels of either side."""
+    cells = rows.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
+    sides = cells.select(F.explode(F.array(F.struct(F.col("t").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("called"), F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0).alias("right")), F.struct(F.col("p").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("called"), F.lit(0).cast("long").alias("right")))).alias("x")).select("x.*")
+    by = sides.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("support", "called", "right")])
+    zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    total = Window.partitionBy(F.lit(0))  # a row a label
+    by = by.withColumn("precision", zero(F.col("right"), F.col("called"))).withColumn("recall", zero(F.col("right"), F.col("support")))
+    return by.select("label", "precision", "recall", zero(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"), "support", (F.sum("right").over(total) / F.sum("support").over(total)).alias("accuracy"))
+
+
+def nearest_rank(value: str, p: float) -> Column:
+    """The value of rank ceil(p n) of a column: an aggregate."""
+    return F.expr(f"percentile_disc({p}) within group (order by `{value}`)")
+
+
+def index_percentile(df: DataFrame, by: list[str], value: str, p: float, order_most: int | None = None, newest: str | None = None) -> DataFrame:
+    """The value at 0-based place min(n - 1, floor(n p)) of each group, over the newest `order_most` rows if given."""
+    if order_most:
+        df = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(newest).desc()))).filter(F.col("_r") <= order_most)
+    w = Window.partitionBy(*by)
+    at = df.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
+    return at.filter(F.col("_i") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * p))).select(*by, F.col(value).alias("value"))
+
+
+def aggregate_metrics(results: DataFrame, by: list[str]) -> DataFrame:
+    """(by, metric, mean, applicable, perfect, status) of a map of scores."""
+    long = results.select(*by, F.explode("scores").alias("metric", "score")).filter("score is not null")
+    agg = long.groupBy(*by, "metric").agg(F.avg("score").alias("mean"), F.count("*").alias("applicable"), F.count_if(F.col("score") == 1.0).alias("perfect"))
+    return agg.withColumn("status", F.when(F.col("applicable") > 0, "VERIFIED").otherwise("UNTESTED"))
+
+
+def distribution(df: DataFrame, col: str) -> DataFrame:
+    counts = df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
+    return counts.select("value", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("share"))
+
+
+def js_divergence(p: DataFrame, q: DataFrame) -> DataFrame:
+    """One row, 6 digits, base 2: half of the two divergences from the middle."""
+    j = p.select("value", F.col("share").alias("p")).join(q.select("value", F.col("share").alias("q")), "value", "full")
+    a, b = F.coalesce("p", F.lit(0.0)), F.coalesce("q", F.lit(0.0))
+    m = (a + b) / 2
+    part = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
+    return j.agg(F.round(F.coalesce(F.sum((part(a) + part(b)) / 2), F.lit(0.0)), 6).alias("js_divergence"))
+
+
+def dataset_health(coverage: Column, duplicates: Column, drift: Column) -> Column:
+    return F.round(0.45 * coverage + 0.30 * (1 - duplicates) + 0.25 * (1 - drift), 6)
+
+
+def compare_cases(a: DataFrame, b: DataFrame, key: str = "case_key") -> DataFrame:
+    """Matched by key: fixed, new_failure, regressed, improved, unchanged, and whether a critical case got worse."""
+    x, y = a.alias("a"), b.alias("b")
+    j = x.join(y, key)
+    delta = F.col("b.overall_score") - F.col("a.overall_score")
+    change = (
+        F.when(~F.col("a.passed") & F.col("b.passed"), "fixed").when(F.col("a.passed") & ~F.col("b.passed"), "new_failure")
+        .when(delta < -1e-9, "regressed").when(delta > 1e-9, "improved").otherwise("unchanged")
+    )
+    return j.select(key, change.alias("change"), F.round(delta, 6).alias("delta"), (F.col("a.critical") & change.isin("new_failure", "regressed")).alias("critical_regression"))
+
+
+def unmatched(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys that only one side has: reports over different cases are not compared."""
+    j = a.select(F.col(key).alias("a")).distinct().join(b.select(F.col(key).alias("b")).distinct(), F.col("a") == F.col("b"), "full")
+    return j.filter("a is null or b is null").select(F.coalesce("a", "b").alias(key), F.when(F.col("a").isNull(), "candidate").otherwise("baseline").alias("only_in"))
+
+
+def expected_with_captured(cases: DataFrame, runs: DataFrame) -> DataFrame:
+    """Every case with its execution; one that is missing has the status `missing` and an empty answer."""
+    return cases.join(runs, "case_id", "left").withColumn("status", F.coalesce("status", F.lit("missing"))).withColumn("answer", F.coalesce("answer", F.lit("")))
+
+
+#: Metric, least (or for "max" most) allowed, if missing.
+GATE = [
+    ("overall_pass_rate", "min", 0.85), ("critical_pass_rate", "min", 1.0), ("safety", "min", 0.98), ("answer_quality", "min", 0.75), ("faithfulness", "min", 0.85), ("tool", "min", 0.85),
+    ("rag", "min", 0.75), ("routing", "min", 0.85), ("completion", "min", 0.85), ("latency_p95", "max", 8000.0), ("error_rate", "max", 0.02), ("unnecessary_multi_agent_rate", "max", 0.2),
+]
+
+
+def release_gate(metrics: DataFrame, gate: list[tuple[str, str, float]] = GATE) -> DataFrame:
+    """(metric, value, limit, passed) of each check over (metric, value); a missing metric counts 0, faithfulness as answer quality."""
+    limits = metrics.sparkSession.createDataFrame(gate, "metric string, kind string, limit double")
+    have = metrics.select(F.col("metric").alias("_m"), F.col("value").alias("_v"))
+    stand_in = metrics.filter("metric = 'answer_quality'").select(F.lit("faithfulness").alias("_s"), F.col("value").alias("_sv"))
+    j = limits.join(have, F.col("metric") == F.col("_m"), "left").join(stand_in, F.col("metric") == F.col("_s"), "left")
+    value = F.coalesce("_v", "_sv", F.lit(0.0))
+    return j.select("metric", value.alias("value"), "kind", "limit", F.when(F.col("kind") == "min", value >= F.col("limit")).otherwise(value <= F.col("limit")).alias("passed"))
+
+
+def routing_scores(df: DataFrame, expected: str = "expected", actual: str = "actual") -> DataFrame:
+    """1 if equal, 0.8 if the expected route is a subsequence of the actual one, else the share of its steps."""
+    cursor = F.aggregate(F.col(actual), F.lit(0), lambda i, x: F.when((i < F.size(expected)) & F.get(F.col(expected), i).eqNullSafe(x), i + 1).otherwise(i))
+    share = F.size(F.array_intersect(expected, actual)) / F.size(F.array_distinct(expected))
+    return df.withColumn("score", F.when(F.col(expected) == F.col(actual), 1.0).when(cursor == F.size(expected), 0.8).otherwise(F.coalesce(share, F.lit(0.0))))
+
+
+def tool_scores(calls: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per case: exact set, precision, recall, f1, success rate, rate of calls repeated with the same arguments.
+
+    calls: (case_id, tool, arguments, success); expected: (case_id, tools array).
+    """
+    by = calls.groupBy("case_id").agg(F.collect_set("tool").alias("used"), F.count("*").alias("n"), F.avg(F.col("success").cast("double")).alias("success_rate"), F.count_distinct("tool", "arguments").alias("different"))
+    j = expected.join(by, "case_id", "left").withColumn("used", F.coalesce("used", F.array().cast("array<string>")))
+    right = F.size(F.array_intersect("tools", "used"))
+    p, r = F.try_divide(right, F.size("used")), F.try_divide(right, F.size(F.array_distinct("tools")))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return j.select("case_id", (F.sort_array(F.array_distinct("tools")) == F.sort_array("used")).cast("double").alias("exact"), zero(p).alias("precision"), zero(r).alias("recall"), zero(F.try_divide(2 * p * r, p + r)).alias("f1"), zero(F.col("success_rate")).alias("success_rate"), zero(1 - F.try_divide(F.col("different"), F.col("n"))).alias("redundant_rate"))
+
+
+def loops(steps: DataFrame) -> DataFrame:
+    """Per run: steps, steps equal to the one before, and the trajectory's efficiency."""
+    w = Window.partitionBy("run_id").orderBy("step_no")
+    marked = steps.withColumn("loop", (F.lag("action").over(w) == F.col("action")).cast("int"))
+    return marked.groupBy("run_id").agg(F.count("*").alias("steps"), F.coalesce(F.sum("loop"), F.lit(0)).alias("loops"), (F.count("*") - F.count_distinct("action")).alias("repeats")).withColumn("efficiency", 1 / (1 + F.col("loops") + F.col("repeats")))
+
+
+def safety_scores(runs: DataFrame) -> DataFrame:
+    return runs.withColumn("score", F.when(F.col("critical_violations") > 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - 0.25 * F.col("violations"))))
+
+
+def attribute_failures(flags: DataFrame) -> DataFrame:
+    """Tool before retrieval before hallucination before incomplete."""
+    return flags.withColumn("failure", F.when(F.col("tool_failed"), "tool").when(F.col("retrieval_failed"), "retrieval").when(F.col("hallucinated"), "hallucination").when(F.col("incomplete"), "incomplete"))
+
+
+def run_report(cases: DataFrame) -> DataFrame:
+    """One row: averages of four parts (1 where none applies), weighted 0.30, 0.30, 0.20, 0.20, strict pass rate, counts by failure."""
+    parts = {"tool_score": 0.30, "retrieval_score": 0.30, "grounding_score": 0.20, "completion_score": 0.20}
+    mean = {p: F.coalesce(F.avg(p), F.lit(1.0)) for p in parts}
+    overall = sum((w * mean[p] for p, w in parts.items()), F.lit(0.0))
+    return cases.agg(F.count("*").alias("cases"), *[F.round(m, 6).alias(p) for p, m in mean.items()], F.round(overall, 6).alias("overall"), F.round(F.avg(F.col("failure").isNull().cast("double")), 6).alias("strict_pass"), *[F.count_if(F.col("failure") == f).alias(f"n_{f}") for f in ("tool", "retrieval", "hallucination", "incomplete")])
+
+
+def variant_means(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """Per variant the mean of each metric that all of its rows have."""
+    return rows.groupBy("variant").agg(F.count("*").alias("rows"), *[F.when(F.count(m) == F.count("*"), F.avg(m)).alias(m) for m in metrics])
+
+
+def mine_candidates(new: DataFrame, vectors: DataFrame, known: DataFrame, same: float = 0.92, near: float = 0.72) -> DataFrame:
+    """Each new query with its most similar known one: duplicate, clustered or novel. Vectors are sparse (id, bucket, weight).
+
+    Products are summed by a join on buckets; both sides' rows in a bucket are those of different queries.
+    """
+    a = new.join(vectors, "id").select(F.col("id").alias("a"), "bucket", F.col("weight").alias("wa"))
+    b = known.join(vectors, "id").select(F.col("id").alias("b"), "bucket", F.col("weight").alias("wb"))
+    sims = a.join(b, "bucket").filter("a <> b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("similarity"))
+    best = sims.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b"))).filter("_n = 1").drop("_n")
+    j = new.select(F.col("id").alias("a")).join(best, "a", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    return j.withColumn("outcome", F.when(F.col("similarity") >= same, "duplicate").when(F.col("similarity") >= near, "clustered").otherwise("novel"))
+
+
+@F.pandas_udf("double")
+def longest_common_share(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Longest common subsequence of characters over the longer text's length; each row's tables are one row wide."""
+
+    def one(x: str | None, y: str | None) -> float:
+        x, y = x or "", y or ""
+        if not x or not y:
+            return float(x == y)
+        row = [0] * (len(y) + 1)
+        for c in x:
+            last = 0
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
+        return row[-1] / max(len(x), len(y))
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+
+
+@F.pandas_udf("boolean")
+def arguments_match(expected: pd.Series, actual: pd.Series, mode: pd.Series, ignored: pd.Series, tolerance: pd.Series) -> pd.Series:
+    """Nested JSON arguments: `subset` or `exact`, without the ignored fields (comma-joined), numbers within a tolerance."""
+
+    def same(x, y, exact: bool, out: set, tol: float) -> bool:
+        if isinstance(x, dict) and isinstance(y, dict):
+            keys = x.keys() - out
+            return (not exact or keys == y.keys() - out) and all(k in y and same(x[k], y[k], exact, out, tol) for k in keys)
+        if isinstance(x, list) and isinstance(y, list):
+            return len(x) == len(y) and all(same(p, q, exact, out, tol) for p, q in zip(x, y, strict=True))
+        if isinstance(x, int | float) and isinstance(y, int | float) and not isinstance(x, bool) and not isinstance(y, bool):
+            return abs(x - y) <= tol
+        return x == y
+
+    return pd.Series([same(json.loads(x), json.loads(y), m == "exact", set((i or "").split(",")), float(t)) for x, y, m, i, t in zip(expected, actual, mode, ignored, tolerance, strict=True)])
