@@ -41,15 +41,16 @@ def full_width_to_half(text: Column) -> Column:
     return F.translate(text, wide, "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " ")
 
 
-@F.pandas_udf("string")
-def nfc_unescaped(texts: pd.Series) -> pd.Series:
-    """NFC, zero-width characters out, HTML entities read."""
+def _nfc_unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(re.sub("[​-‏⁠﻿]", "", unicodedata.normalize("NFC", t))))
 
 
-@F.pandas_udf("string")
-def nfkc_symbol_safe(texts: pd.Series) -> pd.Series:
-    """NFKC, except for signs that carry meaning; zero-width characters and NULs out, hard spaces to spaces."""
+def nfc_unescaped(text: Column) -> Column:
+    """NFC, zero-width characters out, HTML entities read."""
+    return F.pandas_udf(_nfc_unescaped, "string")(text)
+
+
+def _nfkc_symbol_safe(texts: pd.Series) -> pd.Series:
     kept = "℃℉™®©²³½¼¾µ±"  # fixed values
 
     def one(t: str | None) -> str | None:
@@ -62,11 +63,19 @@ def nfkc_symbol_safe(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("string")
-def casefold_nfkc(texts: pd.Series) -> pd.Series:
+def nfkc_symbol_safe(text: Column) -> Column:
+    """NFKC, except for signs that carry meaning; zero-width characters and NULs out, hard spaces to spaces."""
+    return F.pandas_udf(_nfkc_symbol_safe, "string")(text)
+
+
+def _casefold_nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
+def casefold_nfkc(text: Column) -> Column:
+    return F.pandas_udf(_casefold_nfkc, "string")(text)
+
+
 def fold_blanks(text: Column) -> Column:
     """Line ends unified, blanks and blank lines folded, trimmed."""
     t = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[ \t]+", " ")
@@ -154,7 +163,7 @@ def normalize_query(text: Column) -> Column:
     t = F.trim(F.lower(redact(text)))
     for a, b in SYNONYMS:
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?U)[^\w\x{4e00}-\x{9fff}]+", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}_]+", " "), r"\s+", " "))
 
 
 def normalize_question(text: Column) -> Column:

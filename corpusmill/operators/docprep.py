@@ -54,7 +54,7 @@ def audit(blocks: DataFrame, action: str) -> DataFrame:
 
 def dedup_blocks(blocks: DataFrame) -> DataFrame:
     """The first block of each fingerprint (letters and digits, lower case) on a page."""
-    fp = F.lower(F.regexp_replace("text", r"(?U)\W+", ""))
+    fp = F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}_]+", ""))
     return keep_first(blocks.withColumn("fingerprint", fp), ["doc_id", "page", "fingerprint"], [F.col("block_order")]).drop("fingerprint")
 
 

@@ -216,9 +216,12 @@ def mine_candidates(new: DataFrame, vectors: DataFrame, known: DataFrame, same:
     return j.withColumn("outcome", F.when(F.col("similarity") >= same, "duplicate").when(F.col("similarity") >= near, "clustered").otherwise("novel"))
 
 
-@F.pandas_udf("double")
-def longest_common_share(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest common subsequence of characters over the longer text's length; each row's tables are one row wide."""
+def longest_common_share(a: Column, b: Column) -> Column:
+    """Longest common subsequence of characters over the longer text's length; each row's table is one row wide."""
+    return F.pandas_udf(_longest_common_share, "double")(a, b)
+
+
+def _longest_common_share(a: pd.Series, b: pd.Series) -> pd.Series:
 
     def one(x: str | None, y: str | None) -> float:
         x, y = x or "", y or ""
@@ -234,9 +237,12 @@ def longest_common_share(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("boolean")
-def arguments_match(expected: pd.Series, actual: pd.Series, mode: pd.Series, ignored: pd.Series, tolerance: pd.Series) -> pd.Series:
+def arguments_match(expected: Column, actual: Column, mode: Column, ignored: Column, tolerance: Column) -> Column:
     """Nested JSON arguments: `subset` or `exact`, without the ignored fields (comma-joined), numbers within a tolerance."""
+    return F.pandas_udf(_arguments_match, "boolean")(expected, actual, mode, ignored, tolerance)
+
+
+def _arguments_match(expected: pd.Series, actual: pd.Series, mode: pd.Series, ignored: pd.Series, tolerance: pd.Series) -> pd.Series:
 
     def same(x, y, exact: bool, out: set, tol: float) -> bool:
         if isinstance(x, dict) and isinstance(y, dict):

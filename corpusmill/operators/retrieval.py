@@ -68,7 +68,7 @@ def exact_topk(terms: DataFrame, chunks: DataFrame, k: int = 10, col: str = "con
 
 def postings(chunks: DataFrame, col: str = "content", key: str = "chunk_id") -> DataFrame:
     """(key, term, positions, length): the words' places in each text."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"(?U)[^\w]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     placed = chunks.select(key, F.posexplode(words).alias("pos", "term"))
     return placed.groupBy(key, "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
@@ -78,7 +78,7 @@ def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, col: str = "
 
     The cover of a text is from the first to the last of the words' first places; density is words / length of the cover.
     """
-    words = F.filter(F.array_distinct(F.split(F.lower("query"), r"(?U)[^\w]+")), lambda w: w != "")
+    words = F.filter(F.array_distinct(F.split(F.lower("query"), r"[^\p{L}\p{N}_]+")), lambda w: w != "")
     asked = queries.select("query_id", F.lower(F.trim("query")).alias("_q"), F.explode(words).alias("term"), F.size(words).alias("need"))
     held = postings(chunks, col).select("chunk_id", "term", F.element_at("positions", 1).alias("pos"))
     # Asked words are few: they prune the postings before the join by term.

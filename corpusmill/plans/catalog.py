@@ -1,4 +1,6 @@
 """Every registered query of the core library, with its oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from corpusmill.plans import document_queries, retrieval_queries  # noqa: F401
+from corpusmill.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
