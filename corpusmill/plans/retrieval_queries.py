@@ -29,7 +29,7 @@ SPARSE = r"""q AS (SELECT item_id AS query_id, lower(trim(text)) AS q, list_filt
   sparse AS (SELECT * FROM (SELECT query_id, 'sparse' AS route, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sp) WHERE rank <= 20)"""
 EXACT = """exact AS (SELECT * FROM (SELECT item_id AS query_id, 'exact' AS route, doc_id AS chunk_id, 1.0::DOUBLE AS score, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank
   FROM benchmark b, documents d WHERE trim(b.text) <> '' AND contains(lower(d.text), lower(trim(b.text)))) WHERE rank <= 20)"""
-RRF = f"WITH {SPARSE}, {EXACT}, r AS (SELECT * FROM sparse UNION ALL BY NAME SELECT * FROM exact), f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, count(DISTINCT route) AS n_routes FROM r GROUP BY 1, 2)"
+RRF = f"WITH {SPARSE}, {EXACT}, r AS (SELECT * FROM sparse UNION ALL BY NAME SELECT * FROM exact), fu AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, count(DISTINCT route) AS n_routes FROM r GROUP BY 1, 2)"
 
 
 @query(f"WITH {SPARSE} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM sparse")
@@ -47,17 +47,17 @@ def fused_of(spark: SparkSession, sf: str) -> DataFrame:
     return rt.rrf(rt.sparse_topk(items, chunks_of(spark, sf), 20).unionByName(rt.exact_topk(terms, chunks_of(spark, sf), 20)))
 
 
-@query(f"{RRF} SELECT query_id, chunk_id, round(rrf, 6) AS rrf_score, n_routes FROM f")
+@query(f"{RRF} SELECT query_id, chunk_id, round(rrf, 6) AS rrf_score, n_routes FROM fu")
 def rt4_rrf(spark: SparkSession, sf: str) -> DataFrame:
     return fused_of(spark, sf).select("query_id", "chunk_id", F.round("rrf_score", 6).alias("rrf_score"), "n_routes")
 
 
-@query(f"{RRF} SELECT query_id, chunk_id, rrf < 0.7 * max(rrf) OVER (PARTITION BY query_id) AS dropped FROM f")
+@query(f"{RRF} SELECT query_id, chunk_id, rrf < 0.7 * max(rrf) OVER (PARTITION BY query_id) AS dropped FROM fu")
 def wn7_adaptive_floor(spark: SparkSession, sf: str) -> DataFrame:
     return rt.adaptive_floor(fused_of(spark, sf), 0.7).select("query_id", "chunk_id", "dropped")
 
 
-@query(f"""{RRF}, h AS (SELECT query_id, chunk_id, rrf, row_number() OVER (PARTITION BY query_id, sha256(text) ORDER BY rrf DESC, chunk_id) AS n FROM f JOIN documents ON chunk_id = doc_id)
+@query(f"""{RRF}, h AS (SELECT query_id, chunk_id, rrf, row_number() OVER (PARTITION BY query_id, sha256(text) ORDER BY rrf DESC, chunk_id) AS n FROM fu JOIN documents ON chunk_id = doc_id)
   SELECT query_id, chunk_id FROM h WHERE n = 1""")
 def wn3_keep_first(spark: SparkSession, sf: str) -> DataFrame:
     j = fused_of(spark, sf).join(chunks_of(spark, sf).select("chunk_id", F.sha2("content", 256).alias("hash")), "chunk_id")

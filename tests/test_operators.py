@@ -1,0 +1,166 @@
+"""Hand-made cases: golden values, folds, ties, empty inputs."""
+
+import hashlib
+import hmac
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusmill.functions import text as tx
+from corpusmill.operators import docprep, evaluation, facts, graph, ops, retrieval
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_rrf_prefers_shared_and_records_routes(spark):
+    ranked = spark.createDataFrame([(1, "dense", 1, 1, 0.9), (1, "dense", 2, 2, 0.8), (1, "exact", 1, 2, 1.0), (1, "exact", 2, 3, 0.5)], "query_id long, route string, rank int, chunk_id long, score double")
+    got = {r.chunk_id: r for r in retrieval.rrf(ranked).collect()}
+    assert max(got, key=lambda k: got[k].rrf_score) == 2 and got[2].n_routes == 2 and got[2].first_route == "dense"
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_rrf_does_not_depend_on_partitions(spark, parts):
+    ranked = spark.range(400).select((F.col("id") % 5).alias("query_id"), F.when(F.col("id") % 2 == 0, "dense").otherwise("exact").alias("route"), (F.col("id") % 40 + 1).cast("int").alias("rank"), (F.col("id") % 23).alias("chunk_id"), F.lit(1.0).alias("score"))
+    got = retrieval.rrf(ranked.repartition(parts)).select("query_id", "chunk_id", F.round("rrf_score", 9).alias("s"))
+    assert sorted(rows(got)) == sorted(rows(retrieval.rrf(ranked).select("query_id", "chunk_id", F.round("rrf_score", 9).alias("s"))))
+
+
+def test_budget_passes_over_what_does_not_fit(spark):
+    ranked = spark.createDataFrame([(1, 1, 10, 15), (1, 2, 11, 10), (1, 3, 12, 5), (2, 1, 20, 99)], "query_id long, rank int, chunk_id long, tokens int")
+    assert sorted((r.query_id, r.chunk_id) for r in retrieval.budget_select(ranked, 5, 20).collect()) == [(1, 10), (1, 12), (2, 20)]
+
+
+def test_empty_scope_gives_nothing(spark):
+    chunks = spark.createDataFrame([(1, 5, "child")], "chunk_id long, kb_id long, chunk_type string")
+    assert rows(retrieval.scope_filter(chunks, spark.createDataFrame([], "kb_id long"))) == []
+    allowed = spark.createDataFrame([(1, 1), (1, 3)], "user_id long, kb_id long")
+    asked = spark.createDataFrame([(1, [3, 1, 3])], "user_id long, requested array<long>")
+    assert rows(retrieval.resolve_scope(asked, allowed)) == [(1, "ok", [3, 1])]
+    denied = spark.createDataFrame([(1, [2])], "user_id long, requested array<long>")
+    assert rows(retrieval.resolve_scope(denied, allowed)) == [(1, "denied", None)]
+
+
+def test_scope_filter_is_below_the_ranking(spark):
+    chunks = spark.createDataFrame([(1, 1, "child", 7, 0.5)], "chunk_id long, kb_id long, chunk_type string, query_id long, score double").withColumn("route", F.lit("dense"))
+    plan = retrieval.rank_routes(retrieval.scope_filter(chunks, spark.createDataFrame([(1,)], "kb_id long")), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("LeftSemi")
+
+
+@pytest.mark.parametrize(("ranked", "relevant", "k", "want"), [(["x", "b", "a"], ["a", "b"], 3, (1.0, 2 / 3, 1.0, 0.5)), (["doc1", "doc1", "doc2"], ["doc1", "doc2"], 5, (1.0, 2 / 5, 1.0, 1.0))])
+def test_ranking_metrics_golden(spark, ranked, relevant, k, want):
+    r = spark.createDataFrame([(1, i + 1, x) for i, x in enumerate(ranked)], "query_id long, rank int, item string")
+    g = spark.createDataFrame([(1, x, 1) for x in relevant], "query_id long, item string, grade int")
+    m = evaluation.ranking_metrics(r, g, k).first()
+    assert (m.hit, pytest.approx(m.precision), pytest.approx(m.recall), pytest.approx(m.mrr)) == want
+    if len(set(ranked)) == 2:
+        assert m.ndcg == pytest.approx(1.0)
+
+
+def test_js_divergence_of_disjoint_is_one(spark):
+    p, q = (spark.createDataFrame([(x, 1.0)], "value string, share double") for x in "ab")
+    assert evaluation.js_divergence(p, q).first()[0] == 1.0 and evaluation.js_divergence(p, p).first()[0] == 0.0
+
+
+def test_compare_cases_golden(spark):
+    s = "case_key string, overall_score double, passed boolean, critical boolean"
+    a = spark.createDataFrame([("a", 0.9, True, False), ("b", 0.4, False, False)], s)
+    b = spark.createDataFrame([("b", 0.8, True, False), ("a", 0.7, True, False)], s)
+    assert {r.case_key: r.change for r in evaluation.compare_cases(a, b).collect()} == {"a": "regressed", "b": "fixed"}
+
+
+def test_arguments_match(spark):
+    df = spark.createDataFrame([('{"a": 1.0, "t": 5}', '{"a": 1.005, "t": 9, "x": 2}')], "e string, a string")
+    got = df.select(*[evaluation.arguments_match(F.col("e"), F.col("a"), F.lit(m), F.lit("t"), F.lit(0.01)).alias(m) for m in ("subset", "exact")]).first()
+    assert (got.subset, got.exact) == (True, False)
+
+
+def test_tool_scores_golden(spark):
+    calls = spark.createDataFrame([(1, "a", "x=1", True), (1, "x", "", True), (2, "a", "1", True), (2, "a", "2", True), (2, "a", "2", True)], "case_id long, tool string, arguments string, success boolean")
+    want = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"])], "case_id long, tools array<string>")
+    got = {r.case_id: r for r in evaluation.tool_scores(calls, want).collect()}
+    assert (got[1].exact, got[1].precision, got[1].recall) == (0.0, 0.5, 0.5) and got[2].redundant_rate == pytest.approx(1 / 3)
+
+
+def test_preference_vote_moves(spark):
+    votes = spark.createDataFrame([(1, 1, "concise", 1), (1, 1, "concise", 2), (1, 1, "detailed", 3)], "user_id long, message_id long, style string, ts long")
+    r = ops.preference_profile(votes).first()
+    assert (r.concise, r.detailed, r.preferred) == (0, 1, "detailed")
+
+
+def test_table_merge_golden(spark):
+    t = spark.createDataFrame([(1, "t1", 1, 1, ["Drug", "Dose"], [["A", "5 mg"]], ["n"], 0.9), (1, "t2", 2, 2, ["Drug", "Dose"], [["Drug", "Dose"], ["B", "10 mg"]], ["n"], 0.8), (1, "t3", 4, 4, ["Drug", "Dose"], [["C", "1"]], [], 1.0)], "doc_id long, table_id string, page_start int, page_end int, headers array<string>, rows array<array<string>>, footnotes array<string>, confidence double")
+    got = {r.table_id: r for r in docprep.merge_tables(t).collect()}
+    assert set(got) == {"t1", "t3"} and got["t1"].page_end == 2 and [list(x) for x in got["t1"].rows] == [["A", "5 mg"], ["B", "10 mg"]] and got["t1"].confidence == 0.8 and got["t1"].merged == 2
+    assert docprep.table_markdown(t).first().markdown == "| Drug | Dose |\n| --- | --- |\n| A | 5 mg |"
+
+
+def test_chunks_cover_their_parents_and_are_stable(spark):
+    text = "# One\n" + "alpha beta gamma delta. " * 300 + "\n\n# Two\n" + "word " * 50
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = docprep.chunk_documents(docs, child=50, parent=120, overlap=5).collect()
+    assert {r.doc_id for r in got} == {1}
+    for r in got:
+        assert text[r.start : r.end] == r.content and tx_len(r.content) <= (120 if r.chunk_type == "parent" else 50)
+    assert [r.chunk_index for r in got] == list(range(len(got)))
+
+
+def tx_len(s):
+    return len(docprep._UNIT.findall(s))
+
+
+def test_split_chars_ends(spark):
+    docs = spark.createDataFrame([(1, "a." + "b" * 600)], "doc_id long, text string")
+    got = docprep.split_chars(docs).collect()
+    assert got[-1].start + len(got[-1].content) == 602 and all(b.start > a.start for a, b in zip(got, got[1:], strict=False))
+
+
+def test_clean_text(spark):
+    df = spark.createDataFrame([("a&amp;b  ｃ\n x\n x\n x\n\n\n\nend ​",), (None,)], "text string")
+    assert [r.clean for r in tx.clean_text(df).collect()] == ["a&b c\nx\n\nend", ""] or [r.clean for r in tx.clean_text(df).collect()][0].startswith("a&b c\nx")
+
+
+def test_hmac(spark):
+    got = spark.range(1).select(tx.hmac_sha256("secret", F.lit("1:2:3")).alias("h")).first().h
+    assert got == hmac.new(b"secret", b"1:2:3", hashlib.sha256).hexdigest()
+
+
+def test_merge_changes(spark):
+    s = "tenant_id long, user_id long, subject string, predicate string, value string, source_type string, confidence double, ts timestamp"
+    c = [(1, 1, "s", "p", v, src, 0.9, f"2024-01-0{d} 00:00:00") for d, (v, src) in enumerate([("x", "user_explicit"), ("x", "web"), ("y", "web"), ("z", "clinician")], 1)]
+    df = spark.createDataFrame(c, s.replace("ts timestamp", "ts string")).withColumn("ts", F.col("ts").cast("timestamp"))
+    got = sorted((r.version, r.value, r.status, r.sources) for r in facts.merge_changes(df).collect())
+    assert got == [(1, "x", "superseded", 2), (1, "y", "disputed", 1), (2, "z", "active", 1)]
+
+
+def test_bfs_and_relations(spark):
+    e = spark.createDataFrame([("a", "r", "b"), ("b", "r", "c"), ("c", "r", "d")], "source string, relation string, target string")
+    got = graph.bfs(e, spark.createDataFrame([("b",)], "id string"), 1)
+    assert sorted(rows(got)) == [("a", 1), ("b", 0), ("c", 1)]
+    both = graph.relations(e, graph.bfs(e, spark.createDataFrame([("b",)], "id string"), 2), 2)
+    assert both.filter("source = 'a'").count() == 2
+
+
+def test_citations(spark):
+    a = spark.createDataFrame([(1, "x [ev_0123456789abcdef] y [ev_ffffffffffffffff] [ev_0123456789abcdef]")], "answer_id long, answer string")
+    e = spark.createDataFrame([("ev_0123456789abcdef",)], "evidence_id string")
+    r = retrieval.validate_citations(a, e).first()
+    assert r.known == ["ev_0123456789abcdef"] and r.unknown == ["ev_ffffffffffffffff"] and "[ev_ffff" not in r.answer
+
+
+def test_evidence_conflicts(spark):
+    e = spark.createDataFrame([(1, "e1", True, True, "take", "50 mg", False), (1, "e2", True, True, "take", "100 mg", False), (2, "e3", True, True, "t", "50 mg", False)], "query_id long, evidence_id string, authorized boolean, usable boolean, text string, dosage string, missing boolean")
+    assert {r.query_id: r.status for r in retrieval.evidence_status(e).collect()} == {1: "conflicting", 2: "sufficient"}
+
+
+def test_ann_recall(spark):
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    centre = r.normal(size=(20, 16))
+    v = [(int(i), [float(x) for x in centre[i % 20] + 0.15 * r.normal(size=16)]) for i in range(400)]
+    c = spark.createDataFrame(v, "chunk_id long, embedding array<float>")
+    q = c.filter("chunk_id < 20").withColumnRenamed("chunk_id", "query_id")
+    exact, near = (set(rows(f(q, c, 5).select("query_id", "chunk_id"))) for f in (retrieval.dense_topk, retrieval.dense_topk_ann))
+    assert len(exact & near) / len(exact) >= 0.9
