@@ -9,7 +9,8 @@ least one expected common child a level, dissimilar ones part. A node with at mo
 recurse, down to `depth`. Runs are repeated until a pair at the threshold is missed with a probability below `miss`
 (computed from the branching process, see `runs_needed`). Leaves with the same members are searched once.
 
-Leaves are searched by brute force, pairs compared exactly on the 64-bit shingle hashes. A leaf that is still larger
+Leaves are searched by brute force, pairs compared on their whole sets of 32-bit shingle hashes (two sets of a thousand
+share a hash by chance once in some thousand pairs, a thousandth of what could move a pair over the threshold). A leaf that is still larger
 than `leaf` at the last level (thousands of near copies) is cut into blocks, and pairs of blocks are searched as tasks
 of their own. A pair that shares several leaves belongs to the least of them, so its link counts once. Tasks return
 links counted by document, and a spanning forest of what they find, never all pairs: results are linear in the input.
@@ -70,13 +71,14 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> tuple[np.
 
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """doc_id, a 128-bit signature of the set, its size, its sorted 64-bit hashes; a written table."""
+    """doc_id, a 128-bit signature of the set, its size, its sorted 32-bit hashes; a written table."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in row_slices(offsets):
                 h, row = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+                h >>= np.uint64(32)
                 order = np.lexsort((h, row))
                 h, row = h[order], row[order]
                 new = np.ones(len(h), bool)
@@ -86,7 +88,7 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", words
                 at = np.concatenate([[0], np.cumsum(n)])
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (mix(h ^ GOLD), mix(h + GOLD))]
                 s1, s2 = ((x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums)
-                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(h.astype("<u8"))]).cast(pa.binary())
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((at * 4).astype(np.int64)), pa.py_buffer(h.astype("<u4"))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(s1), pa.array(s2), pa.array(n, pa.int32()), raw], [x.split()[0] for x in SETS.split(", ")])
 
     return written(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(job, SETS), "shingle-sets")
@@ -106,19 +108,19 @@ def paths(tokens: np.ndarray, runs: int, depth: int, threshold: float) -> tuple[
     return np.concatenate(found), np.concatenate(parents)
 
 
-def choose_paths(reps: DataFrame, runs: int, depth: int, threshold: float) -> DataFrame:
+def choose_paths(sets: DataFrame, runs: int, depth: int, threshold: float) -> DataFrame:
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 ids, nodes, parents = [], [], []
                 for rep, raw in zip(batch.column(0)[a : a + 1000].to_pylist(), batch.column(1)[a : a + 1000], strict=True):
-                    n, p = paths(np.frombuffer(raw.as_buffer(), "<u8"), runs, depth, threshold)
+                    n, p = paths(np.frombuffer(raw.as_buffer(), "<u4").astype(np.uint64), runs, depth, threshold)
                     ids.append(np.full(len(n), rep, np.int64))
                     nodes.append(n)
                     parents.append(p)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(nodes).view(np.int64)), pa.array(np.concatenate(parents).view(np.int64))], ["rep", "node", "parent"])
 
-    return reps.select("rep", "tokens").mapInArrow(job, NODES)
+    return sets.filter("n > 0").select("sig1", "tokens").mapInArrow(job, NODES).distinct()
 
 
 def choose_leaves(nodes: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
@@ -272,9 +274,15 @@ def search(task: tuple, reps: np.ndarray, side: np.ndarray, own: list, sets: lis
     return {int(reps[k]): n for k, n in links.items()}, edges
 
 
-def search_leaves(plan: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, links): a forest edge (links null), or the links of document a (b null) found in one search."""
-    rows = plan.join(reps.select("rep", "tokens"), "rep").select("rep", "own", "task", "side", "tokens")
+def search_leaves(plan: DataFrame, sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, links): a forest edge (links null), or the links of class a (b null) found in one search.
+
+    The representatives' sets move twice: to their searches' list, and from there to the searches.
+    """
+    lists = plan.groupBy("rep").agg(F.first("own").alias("own"), F.collect_list(F.struct("task", "side")).alias("tasks"))
+    lists = written(lists.join(classes.select(F.col("sig1").alias("_sig"), "class_id"), F.col("rep") == F.col("_sig")).select("rep", "own", "tasks", "class_id"), "path-tasks")
+    rows = sets.select("doc_id", "sig1", "tokens").join(lists, (F.col("doc_id") == F.col("class_id")) & (F.col("sig1") == F.col("rep")))
+    rows = rows.select("rep", "own", F.explode("tasks").alias("t"), "tokens").select("rep", "own", "t.task", "t.side", "tokens")
     rows = rows.repartition("task").sortWithinPartitions("task", "rep", "side")
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +306,9 @@ def search_leaves(plan: DataFrame, reps: DataFrame, threshold: float) -> DataFra
                 if key != task:
                     out += done()
                     held, task = [], key
-                held.append((rep, side, own, np.frombuffer(raw.as_buffer().to_pybytes(), "<u8")))
+                if held and held[-1][:2] == (rep, side):
+                    continue  # a row repeated with its id
+                held.append((rep, side, own, np.frombuffer(raw.as_buffer().to_pybytes(), "<u4")))
             yield batch_of(out)
         yield batch_of(done())
 
@@ -333,18 +343,20 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     n_links: other classes, so other texts, with similarity of at least the threshold; equal texts are class_size - 1 more.
     """
     sets = shingle_sets(docs, key, text, words)
-    some = F.col("n") > 0
-    classes = written(sets.filter(some).groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")), "classes")
-    reps = sets.filter(some).select("doc_id", "tokens", "n", "sig1").join(classes.select("rep", F.col("n").alias("_n"), F.col("sig1").alias("_s")), (F.col("doc_id") == F.col("rep")) & (F.col("n") == F.col("_n")) & (F.col("sig1") == F.col("_s"))).select("rep", "tokens")
-    reps = written(reps.dropDuplicates(["rep"]), "representatives")
-    nodes = written(choose_paths(reps, runs_needed(threshold, depth, miss), depth, threshold), "paths")
+    classes = sets.filter("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    classes = written(classes, "classes")
+    nodes = written(choose_paths(sets, runs_needed(threshold, depth, miss), depth, threshold), "paths")
     leaves, members = choose_leaves(nodes, leaf)
     plan = plan_blocks(leaves, written(members, "path-members"), leaf)
-    found = written(search_leaves(plan, reps, threshold), "links")
-    groups = connected(found.filter("b is not null").select("a", "b"))
+    found = written(search_leaves(plan, sets, classes, threshold), "links")
+    # Searches name classes by the first half of their signatures; groups take the least id of their documents.
     degree = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
-    by_class = classes.join(degree.withColumnRenamed("a", "_a"), F.col("rep") == F.col("_a"), "left").join(groups, F.col("rep") == F.col("id"), "left")
-    by_class = written(by_class.select("sig1", "sig2", F.col("n").alias("n"), F.col("rep").alias("class_id"), "class_size", F.coalesce("group", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("class_links")), "class-results")
+    by_class = classes.join(degree, F.col("sig1") == F.col("a"), "left").select("sig1", "sig2", "n", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("class_links"))
+    named = by_class.select(F.col("sig1").alias("_sig"), "class_id")
+    edges = found.filter("b is not null").join(named.withColumnRenamed("class_id", "a_id"), F.col("a") == F.col("_sig")).drop("_sig")
+    edges = edges.join(named.withColumnRenamed("class_id", "b_id"), F.col("b") == F.col("_sig")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    groups = connected(edges)
+    by_class = written(by_class.join(groups, F.col("class_id") == F.col("id"), "left").withColumn("group_id", F.coalesce("group", "class_id")), "class-results")
     same = [F.col(c) == F.col(f"_{c}") for c in ("sig1", "sig2", "n")]
     named = by_class.select(*[F.col(c).alias(f"_{c}") for c in ("sig1", "sig2", "n")], "class_id", "class_size", "group_id", "class_links")
     rows = sets.select("doc_id", "sig1", "sig2", "n").join(named, (F.col("n") > 0) & same[0] & same[1] & same[2], "left")
