@@ -127,7 +127,7 @@ class WaveletMatrix:
         return at
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = 2, shard_bytes: int = 24 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = 2, shard_bytes: int = 12 << 20) -> DataFrame:
     """Writes the shards below `folder`, an address that all executors reach; returns their index as a written table.
 
     tokenizer: path of the vocabulary file, the same on every executor. shard_bytes: about so much text goes to a shard.
@@ -150,7 +150,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
         store.create_dir(top, recursive=True)
         name = f"{uuid.uuid4().hex}.wvlt"
         every = np.concatenate(ids)
-        del ids
+        ids.clear()
         with store.open_output_stream(f"{top}/{name}", compression=None) as out:
             out.write(build(every))
         counts = np.concatenate(counts)

@@ -49,9 +49,10 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        """Words are kept as sorted hashes beside the place and number of their ids: some 20 bytes a word."""
+        self.keys = np.zeros(0, np.uint64)
+        self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
-        self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def word(self, text: str) -> list[int]:
         if not PLAIN.fullmatch(text) or "<|" in text or not unicodedata.is_normalized("NFC", text):
@@ -64,31 +65,33 @@ class WordEncoder:
         return out
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        for h, w in zip(hashes.tolist(), words, strict=True):
-            k, ids = len(self.known), self.word(w)
-            if k == len(self.start):
-                self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.start[k], self.count[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[h] = k
+        """Adds words; their hashes are sorted and new."""
+        found = [self.word(w) for w in words]
+        count = np.array([len(f) for f in found], np.int32)
+        flat = np.fromiter((i for f in found for i in f), np.uint16, int(count.sum()))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        start = (self.used + np.cumsum(count) - count).astype(np.int32)
+        self.used += len(flat)
+        keys = np.concatenate([self.keys, hashes])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.start, self.count = keys[order], np.concatenate([self.start, start])[order], np.concatenate([self.count, count])[order]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after the other, each with `end` behind it, and how many ids each row has."""
         starts, ends = word_spans(data, offsets)
         hashes = span_hashes(data, starts, ends)
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > KEEP_WORDS:
+        if len(self.keys) + len(distinct) > KEEP_WORDS:
             self.forget()
-        get, listed = self.known.get, distinct.tolist()
-        new = np.array([i for i, h in enumerate(listed) if h not in self.known], np.int64)
+        at = np.searchsorted(self.keys, distinct)
+        new = np.flatnonzero((at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != distinct)) if len(self.keys) else np.arange(len(distinct))
         if len(new):
-            raw = data.tobytes()
-            self.learn(distinct[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-        slot = np.array([get(h) for h in listed], np.int64)[back] if len(listed) else np.zeros(0, np.int64)
-        counts, sources = self.count[slot], self.start[slot]
+            words = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            self.learn(distinct[new], words)
+        slot = np.searchsorted(self.keys, distinct)[back]
+        counts, sources = self.count[slot].astype(np.int64), self.start[slot].astype(np.int64)
         row_words = np.searchsorted(starts, offsets)  # words before each row
         before = np.concatenate([[0], np.cumsum(counts)])
         row_ids = before[row_words[1:]] - before[row_words[:-1]] + 1
@@ -110,5 +113,5 @@ def encoder(path: str) -> WordEncoder:
 def encoded(column: pa.Array, path: str, end: int):
     """(first row, last row, ids, ids of each row) for slices of a text column."""
     data, offsets = utf8(column)
-    for a, b in row_slices(offsets):
+    for a, b in row_slices(offsets, 1_000_000):
         yield a, b, *encoder(path).encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end)
