@@ -48,7 +48,7 @@ def one_period(weights: DataFrame, period: int) -> DataFrame:
                named_struct('due', ((st.done[s] + 1) * {period} + x.c - 1) div x.c, 's', s), null)), y -> y is not null)).s),
           pick -> named_struct('done', transform(st.done, (d, s) -> if(s = pick, d + 1, d)), 'out', array_append(st.out, pick)))[0],
         st -> st.out)"""
-    slots = names.select("all", F.posexplode(F.expr(fold)).alias("slot", "s")).select(F.col("slot").cast("long"), F.expr("all[s].source").alias("source"), F.expr("all[s].c").alias("c"))
+    slots = names.filter("size(all) > 0").select("all", F.posexplode(F.expr(fold)).alias("slot", "s")).select(F.col("slot").cast("long"), F.expr("all[s].source").alias("source"), F.expr("all[s].c").alias("c"))
     return slots.withColumn("j", F.row_number().over(Window.partitionBy("source").orderBy("slot")).cast("long") - 1)
 
 
