@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import written
+from corpusmill.llm.shared import bounded_sample, written
 
 #: Labelled rows that the rules are fitted on, at most: those with the least hashes of their keys.
 SAMPLE_ROWS = 20_000
@@ -157,7 +157,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     names = [c for c in stats.columns if c.startswith("s_")]
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
     train = stats.join(known.filter(F.crc32(F.col("_key").cast("string")) % 5 != 0), F.col(key) == F.col("_key"))
-    sample = train.select(F.xxhash64("_key").alias("_h"), "_label", *names).orderBy("_h", "_label").limit(rows).toPandas()
+    sample = bounded_sample(train.select("_key", "_label", *names), "_key", rows, "_label").toPandas()
     intercept, rules = fit_rules(sample[names].to_numpy(np.float64), sample["_label"].to_numpy(np.float64))
     scored = stats.select(key, F.coalesce(out_of, F.lit(False)).alias("held_out"), compiled(intercept, rules, names).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

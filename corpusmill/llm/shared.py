@@ -56,6 +56,17 @@ def running_start(df: DataFrame, size: str, out: str, order: list[str], by: list
     return joined.withColumn(out, F.col("_before") + F.coalesce(F.sum(size).over(within), F.lit(0))).drop("_before")
 
 
+def bounded_sample(df: DataFrame, key: str, rows: int, *ties: str) -> DataFrame:
+    """At most `rows` rows, those with the least hashes of `key`. Rows beyond a hash that half as many again pass are dropped
+    at the scan, so what reaches the driver does not grow with the number of partitions."""
+    n = df.count()
+    h = F.xxhash64(key, F.lit("sample"))
+    df = df.withColumn("_h", h)
+    if n > 2 * rows:
+        df = df.filter(F.col("_h") < int(-(2**63) + 2**64 * min(1.0, 1.5 * rows / n)))
+    return df.orderBy("_h", *ties).limit(rows)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and each row's offsets in them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
