@@ -139,7 +139,7 @@ def case_runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query(f"""WITH {CASES}, j AS (SELECT k AS case_key, a.critical, b.s - a.s AS d, CASE WHEN NOT a.passed AND b.passed THEN 'fixed' WHEN a.passed AND NOT b.passed THEN 'new_failure' WHEN b.s - a.s < -1e-9 THEN 'regressed' WHEN b.s - a.s > 1e-9 THEN 'improved' ELSE 'unchanged' END AS change FROM a JOIN b USING (k))
-  SELECT case_key, change, round(d, 3) + 0.0::DOUBLE AS delta, critical AND change IN ('new_failure', 'regressed') AS critical_regression FROM j""")
+  SELECT case_key, change, round(round(d, 6), 3) + 0.0::DOUBLE AS delta, critical AND change IN ('new_failure', 'regressed') AS critical_regression FROM j""")
 def ev28_compare_cases(spark: SparkSession, sf: str) -> DataFrame:
     return ev.compare_cases(*case_runs(spark, sf)).withColumn("delta", F.round("delta", 3) + 0.0)
 
