@@ -30,10 +30,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id."""
+    """One document of each group of near duplicates: the one with the least id. Rows without an id stay."""
     groups = jaccard_join(docs).filter("doc_id = group_id").select(F.col("doc_id").alias("_kept")).distinct()
     kept = docs.join(groups, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
