@@ -29,7 +29,7 @@ def whole_weights(sizes: DataFrame, period: int, temper: float, targets: dict[st
         given = spark.createDataFrame([(k, float(v)) for k, v in targets.items()], "g string, w double")
         weights = sizes.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("g")), "left").select("source", F.coalesce("w", F.lit(0.0)).alias("w"))
     everything = Window.partitionBy(F.lit(0))  # one row a source
-    share = F.col("w") / F.sum("w").over(everything)
+    share = F.try_divide(F.col("w"), F.sum("w").over(everything))
     free = F.lit(period) - F.count("*").over(everything)
     x = weights.withColumn("x", F.coalesce(share, F.lit(0.0)) * free).withColumn("k", F.floor("x"))
     left = F.lit(period) - F.count("*").over(everything) - F.sum("k").over(everything)

@@ -62,19 +62,19 @@ def host_verdicts(stats: DataFrame, host: str = "_host", failed: str = "failed",
     """(host, n, failures, shrunk_rate, bad): a beta prior from the hosts' moments, weighted by their documents.
 
     A host is bad if its shrunk rate is over `margin` times the mean rate. With no spread between hosts beyond chance the
-    prior has great weight and no host is bad. The prior is a one-row aggregate over hosts.
+    prior has great weight and no host is bad. The prior's two numbers come from one aggregate over hosts.
     """
-    by = stats.groupBy(host).agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("long")).alias("failures"))
+    by = written(stats.groupBy(host).agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("long")).alias("failures")), "hosts")
     rate = F.col("failures") / F.col("n")
     prior = by.agg(F.sum("n").alias("_n"), F.sum("failures").alias("_f"), F.sum(F.col("failures") * rate).alias("_fr"), F.count("*").alias("_hosts"))
     mean = F.col("_f") / F.col("_n")
     spread = F.greatest(F.col("_fr") / F.col("_n") - mean * mean, F.lit(0.0))  # between hosts, by documents
     chance = mean * (1 - mean) * F.col("_hosts") / F.col("_n")  # what binomial noise alone gives
     between = F.greatest(spread - chance, mean * (1 - mean) * 1e-4)
-    weight = F.coalesce(F.greatest(mean * (1 - mean) / between - 1, F.lit(1.0)), F.lit(1.0))
-    prior = prior.select(mean.alias("_mean"), weight.alias("_weight"))
-    shrunk = (F.col("failures") + F.col("_mean") * F.col("_weight")) / (F.col("n") + F.col("_weight"))
-    return by.crossJoin(F.broadcast(prior)).select(host, "n", "failures", shrunk.alias("shrunk_rate"), (shrunk > margin * F.col("_mean")).alias("bad"))
+    weight = F.coalesce(F.greatest(F.try_divide(mean * (1 - mean), between) - 1, F.lit(1.0)), F.lit(1.0))
+    mean, weight = prior.select(mean, weight).first()
+    shrunk = (F.col("failures") + F.lit(mean) * F.lit(weight)) / (F.col("n") + F.lit(weight))
+    return by.select(host, "n", "failures", shrunk.alias("shrunk_rate"), (shrunk > margin * F.lit(mean)).alias("bad"))
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", margin: float = 2.0) -> DataFrame:
@@ -84,7 +84,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host
     soft = base | (F.col("n_symbols") > 0.2 * F.col("n_words")) | (F.col("n_dup_lines") > 0.3 * F.col("n_lines")) | (F.col("word_chars") > 12 * F.col("n_words"))
     stats = written(stats.withColumn("base_failed", base).withColumn("soft_failed", soft), "quality-rules")
     verdicts = host_verdicts(stats.withColumn("failed", F.col("soft_failed")), margin=margin).withColumnRenamed("_host", "_verdict_host")
-    joined = stats.join(written(verdicts, "host-verdicts"), F.col("_host").eqNullSafe(F.col("_verdict_host")), "left")
+    joined = stats.join(verdicts, F.col("_host").eqNullSafe(F.col("_verdict_host")), "left")
     bad = F.coalesce("bad", F.lit(False))
     return joined.select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -110,6 +110,12 @@ def test_bad_host_is_stricter(spark):
     assert r.filter("host = 'h3' and not soft_failed and not kept").count() == 0 and r.filter("host = 'h3' and soft_failed and kept").count() == 0
 
 
+@pytest.mark.parametrize("text", ["one two", " ".join(f"word{k}" for k in range(40))])
+def test_quality_rules_all_fail_or_none(spark, text):
+    got = quality_rules.quality_rules(frame(spark, [text] * 20)).collect()
+    assert len(got) == 20 and {r.kept for r in got} == {text != "one two"} and not any(r.host_bad for r in got)
+
+
 def test_quality_rules_empty(spark, empty):
     assert quality_rules.quality_rules(empty).collect() == []
 
@@ -333,8 +339,19 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     r = random.Random(9)
     clean = [" ".join(r.sample(words, 60)) for _ in range(30)]
     docs = clean + [clean[0], clean[1].replace(clean[1].split()[30], "x", 1), "too short", "a b c d e f " * 50, "write me at a1@mail.example.com " + " ".join(r.sample(words, 40))]
-    spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, position long, kept_id string, place long, _place long, kept boolean"
+    rows = [(i, t, "en", [None, "s1", "s2"][i % 3], len(t), 7, "k", 1, 2, False) for i, t in enumerate(docs)]
+    spark.createDataFrame([*rows, (90, None, None, None, None, None, None, None, None, None)], schema).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
     kept = {x.doc_id for x in got.select("doc_id").distinct().collect()}
     assert kept == {*range(30), 34}
     assert got.count() >= 31 and got.agg(F.max("sequence_id")).first()[0] >= 0
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_near_duplicate_stage_keeps_rows_without_id(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(None, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (2, "a b c d e f g", None)], "doc_id long, text string, kept_id string")
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) in (["1", "None"], ["None"])
