@@ -23,16 +23,26 @@ from corpusmill.llm.shared import new_path
 ORACLE_SQL = None  # neither the tagger, nor the schedule, nor the tokenizer can be said in SQL
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs lacks, letter case aside."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, by id: rows repeated with one id share its verdict."""
-    verdicts = quality_rules(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(verdicts, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    name = fresh(docs, "kept_id")
+    verdicts = quality_rules(docs).filter("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(verdicts, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id. Rows without an id stay."""
-    groups = jaccard_join(docs).filter("doc_id = group_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(groups, F.col("doc_id") == F.col("_kept"), "left_semi")
+    name = fresh(docs, "kept_id")
+    groups = jaccard_join(docs).filter("doc_id = group_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(groups, F.col("doc_id") == F.col(name), "left_semi")
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
 
 
@@ -45,9 +55,10 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture, also across files."""
-    order = mix_sources(docs).select(F.col("doc_id").alias("_id"), "position")
-    return docs.join(order, F.col("doc_id").eqNullSafe(F.col("_id"))).orderBy("position").select(docs.columns)
+    """All documents, in the order of the mixture, also across files; rows that share an id stand together."""
+    name, place = fresh(docs, "mixed_id"), fresh(docs, "mixed_place")
+    order = mix_sources(docs).groupBy(F.col("doc_id").alias(name)).agg(F.min("position").alias(place))
+    return docs.join(order, F.col("doc_id").eqNullSafe(F.col(name))).orderBy(place).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
