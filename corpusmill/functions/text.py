@@ -242,3 +242,17 @@ def authority(source: Column) -> Column:
 
 def fact_tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9]+|[\x{4e00}-\x{9fff}]{1,8}"), F.lit(0)))
+
+
+def content_units(text: Column) -> Column:
+    """Distinct Latin words and pairs of CJK characters."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    runs = F.regexp_extract_all(t, F.lit(rf"[{CJK}]{{2,}}"), F.lit(0))
+    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))))
+    return F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit(r"[a-z0-9]+"), F.lit(0)), pairs))
+
+
+def cohesion(left: Column, right: Column) -> Column:
+    """Jaccard similarity of two texts' units, 0 where both have none."""
+    a, b = content_units(left), content_units(right)
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))

@@ -271,3 +271,68 @@ def apply_quality_review(reports: DataFrame, decisions: DataFrame) -> tuple[Data
     state = F.when(F.col("decision").isNull() | ~allowed, F.col("review_status")).when(F.col("decision") == "approve", "approved").otherwise("rejected")
     done = j.withColumn("vector_status", F.when(F.col("decision").isNotNull() & allowed, F.when(F.col("decision") == "approve", "pending").otherwise("blocked")).otherwise(F.col("vector_status"))).withColumn("review_status", state).drop("decision")
     return done, j.filter(F.col("decision").isNotNull() & ~allowed).select("doc_id", "decision", "review_status")
+
+
+def pack_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 320, header_lines: int = 0) -> DataFrame:
+    """(key, piece, content): lines packed into pieces of at most `limit` units; the header lines stand first in each piece.
+
+    A single line over the limit is a piece of its own.
+    """
+
+    def pieces(t: str):
+        lines = t.split("\n")
+        head, body = lines[:header_lines], lines[header_lines:]
+        used = start = sum(len(_UNIT.findall(x)) for x in head)
+        now: list[str] = []
+        for x in body:
+            n = len(_UNIT.findall(x))
+            if now and used + n > limit:
+                yield "\n".join(head + now)
+                now, used = [], start
+            now.append(x)
+            used += n
+        if now or head:
+            yield "\n".join(head + now)
+
+    def job(batches):
+        for b in batches:
+            rows = [(i, k, s) for i, t in zip(b[key], b[text], strict=True) if t for k, s in enumerate(pieces(t))]
+            yield pd.DataFrame(rows, columns=["key", "piece", "content"])
+
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInPandas(job, "key long, piece int, content string").withColumnRenamed("key", key)
+
+
+def split_semantic(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1000) -> DataFrame:
+    """(key, piece, content): Markdown sections, then paragraphs, then sentences, joined again up to `size` characters; nothing overlaps."""
+
+    def cut(t: str) -> list[str]:
+        out: list[str] = []
+        for section in re.split(r"(?m)^(?=#{1,6}\s)", t):
+            now = ""
+            for paragraph in re.split(r"(?<=\n)\n+", section):
+                parts = [paragraph] if len(paragraph) <= size else re.split(r"(?<=[.!?。！？])\s*", paragraph)
+                for p in parts:
+                    for q in [p[a : a + size] for a in range(0, len(p), size)]:
+                        if now and len(now) + len(q) + 1 > size:
+                            out.append(now)
+                            now = ""
+                        now = f"{now} {q}".strip() if now else q
+            if now.strip():
+                out.append(now)
+        return out
+
+    def job(batches):
+        for b in batches:
+            rows = [(i, k, s) for i, t in zip(b[key], b[text], strict=True) for k, s in enumerate(cut(t or ""))]
+            yield pd.DataFrame(rows, columns=["key", "piece", "content"])
+
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInPandas(job, "key long, piece int, content string").withColumnRenamed("key", key)
+
+
+def ingest(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = 64) -> DataFrame:
+    """Documents to chunks: blocks cleaned and joined again, chunked, with ids and keywords; doc_bucket is what to partition the table by."""
+    kept, _ = clean_documents(text_blocks(docs, key, text).withColumnRenamed(key, "doc_id"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("page", "block_order", F.when(F.col("kind") == "heading", F.concat(F.lit("# "), "text")).otherwise(F.col("text")).alias("t")))), lambda x: x["t"])
+    clean = kept.groupBy("doc_id").agg(F.array_join(lines, "\n").alias("text"))
+    chunks = chunk_ids(chunk_documents(clean))
+    return tx.extract_metadata(chunks.withColumn("doc_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))), "content")

@@ -311,3 +311,23 @@ def evidence_basis(evidence: DataFrame) -> DataFrame:
     first = F.slice(F.sort_array(F.collect_list(F.struct("rank", "evidence_id", F.sha2("content", 256).alias("hash")))), 1, 4)
     rows = evidence.groupBy("answer_id").agg(first.alias("rows"))
     return rows.select("answer_id", F.concat(F.lit("basis_"), F.substring(F.sha2(F.to_json(F.transform("rows", lambda x: F.struct(x["evidence_id"], x["hash"]))), 256), 1, 20)).alias("basis_id"))
+
+
+def verify_evidence(evidence: DataFrame, least_overlap: float = 0.08, least_score: float = 0.2) -> DataFrame:
+    """Evidence with injected lines neutralised and a reason to reject, or null. evidence: query, text, score."""
+    injected = F.lower(F.coalesce("text", F.lit(""))).rlike("(?i)" + tx.INJECTION)
+    share = F.coalesce(F.try_divide(F.size(F.array_intersect(tx.content_units(F.col("query")), tx.content_units(F.col("text")))), F.size(tx.content_units(F.col("query")))), F.lit(0.0))
+    e = evidence.withColumn("overlap", F.round(share, 6))
+    reason = F.when(injected, "injected").when((F.col("overlap") < least_overlap) & (F.col("score") < least_score), "irrelevant")
+    return e.withColumn("reason", reason).withColumn("text", tx.neutralise(F.col("text")))
+
+
+def output_status(claims: DataFrame, unsafe: list[str], high_risk: Column) -> DataFrame:
+    """(answer_id, status): blocked if a claim is uncited or cites unknown ids, else review or rewrite where a claim is unsafe, else pass.
+
+    claims: answer_id, claim, citations (array), known (array of the answer's evidence ids), and what high_risk reads.
+    """
+    bad = (F.size("citations") == 0) | (F.size(F.array_except("citations", "known")) > 0)
+    hit = F.coalesce("claim", F.lit("")).rlike("(?i)" + "|".join(unsafe))
+    agg = claims.groupBy("answer_id").agg(F.bool_or(bad).alias("bad"), F.bool_or(hit).alias("unsafe"), F.bool_or(high_risk).alias("high"))
+    return agg.select("answer_id", F.when(F.col("bad"), "blocked").when(F.col("unsafe") & F.col("high"), "review").when(F.col("unsafe"), "rewrite").otherwise("pass").alias("status"))

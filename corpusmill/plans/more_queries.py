@@ -355,3 +355,86 @@ def tx13_resolve_pronouns(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     s = facts.session_state(c).select(F.col("conv_id").alias("session_id"), F.array().cast("array<string>").alias("entities"), F.substring("topic", 1, 20).alias("topic"))
     return bm.resolve_pronouns(c.select(F.col("conv_id").alias("session_id"), "turn", F.col("text").alias("query")), s).select("session_id", "turn", F.sha2("resolved", 256).alias("sha256"))
+
+
+UNITS = r"list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
+
+
+@query(f"""SELECT a.conv_id, a.turn, round(coalesce(len(list_intersect({UNITS.format('a.text')}, {UNITS.format('b.text')}))::DOUBLE / nullif(len(list_distinct(list_concat({UNITS.format('a.text')}, {UNITS.format('b.text')}))), 0), 0), 6) AS cohesion
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+def dc23_cohesion(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbouring messages."""
+    c = table(spark, sf, "conversations")
+    n = c.select(F.col("conv_id").alias("_c"), (F.col("turn") - 1).alias("_t"), F.col("text").alias("_next"))
+    return c.join(n, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t"))).select("conv_id", "turn", F.round(tx.cohesion(F.col("text"), F.col("_next")), 6).alias("cohesion"))
+
+
+@query()
+def dc24_pack_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return docprep.pack_lines(table(spark, sf, "documents"), header_lines=1).select("doc_id", "piece", tx.count_tokens(F.col("content")).alias("tokens"))
+
+
+@query()
+def dc27_split_semantic(spark: SparkSession, sf: str) -> DataFrame:
+    return docprep.split_semantic(table(spark, sf, "documents")).select("doc_id", "piece", F.length("content").alias("n_chars"))
+
+
+@query()
+def dc32_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    return docprep.ingest(table(spark, sf, "documents")).select("doc_id", "chunk_index", "chunk_type", "chunk_id", "doc_bucket", F.size("keywords").alias("n_keywords"))
+
+
+@query("SELECT event_id AS doc_id, CASE WHEN event_type = 'view' THEN 'approved' WHEN event_type = 'click' THEN 'rejected' ELSE 'rejected' END AS review_status FROM events WHERE event_type IN ('view', 'click', 'error')")
+def dc33_apply_quality_review(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").filter("event_type in ('view', 'click', 'error')")
+    reports = e.select(F.col("event_id").alias("doc_id"), F.when(F.col("event_type") == "error", "rejected").otherwise("pending").alias("review_status"), F.lit("pending").alias("vector_status"))
+    decisions = e.select(F.col("event_id").alias("doc_id"), F.when(F.col("event_type") == "click", "reject").otherwise("approve").alias("decision"))
+    return docprep.apply_quality_review(reports, decisions)[0].select("doc_id", "review_status")
+
+
+@query("""WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber AS s, l_partkey AS id, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) SELECT doc_id, s AS source_no, id AS table_id FROM t WHERE n = 1""")
+def dc18_merge_table_variants(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("source_no"), F.col("l_partkey").alias("table_id"), F.array("l_returnflag").alias("headers"), F.array(F.array(F.lit("x"))).alias("rows"))
+    return bm.merge_table_variants(t).select("doc_id", "source_no", "table_id")
+
+
+@query()
+def dc17_merge_native_ocr(spark: SparkSession, sf: str) -> DataFrame:
+    """A conversation as a page: user messages as native blocks, the others as recognised ones; texts by their first line."""
+    c = table(spark, sf, "conversations")
+    b = c.select(F.col("conv_id").alias("doc_id"), F.lit(1).alias("page"), F.col("turn").alias("block_id"), F.substring_index("text", ".", 1).alias("text"), F.lit(0).alias("x0"), F.col("turn").alias("y0"), "role")
+    return bm.merge_native_ocr(b.filter("role = 'user'").drop("role"), b.filter("role <> 'user'").drop("role")).select("doc_id", "block_id", "method", "block_order")
+
+
+@query("""WITH u AS (SELECT conv_id AS answer_id, turn AS e, turn AS c, 0 AS p FROM conversations UNION ALL SELECT conv_id, turn - 1, turn, 1 FROM conversations WHERE turn > 0), f AS (SELECT answer_id, e, min(c * 10 + p) AS pos FROM u GROUP BY 1, 2)
+  SELECT answer_id, e AS evidence_id, row_number() OVER (PARTITION BY answer_id ORDER BY pos) AS number FROM f""")
+def rt17_bind_citations(spark: SparkSession, sf: str) -> DataFrame:
+    """A message as a claim that cites itself and the one before."""
+    c = table(spark, sf, "conversations")
+    claims = c.select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("claim_no"), F.when(F.col("turn") > 0, F.array("turn", F.col("turn") - 1)).otherwise(F.array("turn")).alias("evidence_ids"))
+    return rt.bind_citations(claims, c.select(F.col("turn").alias("evidence_id")).distinct())[0]
+
+
+@query(f"""WITH x AS (SELECT a.conv_id, a.turn, len(list_intersect({UNITS.format('b.text')}, {UNITS.format('a.text')}))::DOUBLE / nullif(len({UNITS.format('b.text')}), 0) AS o FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = 0)
+  SELECT conv_id, turn, round(coalesce(o, 0), 6) AS overlap, CASE WHEN round(coalesce(o, 0), 6) < 0.08 THEN 'irrelevant' END AS reason FROM x""")
+def rt19_verify_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages as evidence for their conversation's first one."""
+    c = table(spark, sf, "conversations")
+    q = c.filter("turn = 0").select("conv_id", F.col("text").alias("query"))
+    return rt.verify_evidence(c.join(q, "conv_id").withColumn("score", F.lit(0.1))).select("conv_id", "turn", "overlap", "reason")
+
+
+@query("""SELECT conv_id AS answer_id, CASE WHEN bool_or(turn % 7 = 6) THEN 'blocked' WHEN bool_or(regexp_matches(text, 'the|der', 'i')) AND bool_or(role = 'system') THEN 'review' WHEN bool_or(regexp_matches(text, 'the|der', 'i')) THEN 'rewrite' ELSE 'pass' END AS status FROM conversations GROUP BY 1""")
+def rt21_output_status(spark: SparkSession, sf: str) -> DataFrame:
+    cites = F.when(F.col("turn") % 7 == 6, F.array().cast("array<string>")).otherwise(F.array(F.lit("e")))
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("answer_id"), F.col("text").alias("claim"), cites.alias("citations"), F.array(F.lit("e")).alias("known"), "role")
+    return rt.output_status(c, ["the", "der"], F.col("role") == "system")
+
+
+@query("""WITH c AS (SELECT user_id, list(DISTINCT event_type) AS used FROM events GROUP BY 1) SELECT count(*) AS cases, round(avg((len(list_intersect(used, ['click', 'view'])) = 2 AND len(used) = 2)::INT), 6) AS exact, round(avg((len(list_intersect(used, ['click', 'view'])) < 2)::INT), 6) AS missing, round(avg((len(used) > len(list_intersect(used, ['click', 'view'])))::INT), 6) AS unnecessary FROM c""")
+def ev32_tool_benchmark(spark: SparkSession, sf: str) -> DataFrame:
+    want = F.array(F.lit("click"), F.lit("view"))
+    c = table(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("used"))
+    both = F.size(F.array_intersect("used", want))
+    share = lambda x: F.round(F.avg(x.cast("double")), 6)
+    return c.agg(F.count("*").alias("cases"), share((both == 2) & (F.size("used") == 2)).alias("exact"), share(both < 2).alias("missing"), share(F.size("used") > both).alias("unnecessary"))
