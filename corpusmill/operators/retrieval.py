@@ -80,8 +80,10 @@ def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, col: str = "
     """
     words = F.filter(F.array_distinct(F.split(F.lower("query"), r"[^\p{L}\p{N}_]+")), lambda w: w != "")
     asked = queries.select("query_id", F.lower(F.trim("query")).alias("_q"), F.explode(words).alias("term"), F.size(words).alias("need"))
-    held = postings(chunks, col).select("chunk_id", "term", F.element_at("positions", 1).alias("pos"))
-    # Asked words are few: they prune the postings before the join by term.
+    # Only asked words leave the texts: they are few, so their semi-join comes before any shuffle of words.
+    texts = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    placed = chunks.select("chunk_id", F.posexplode(texts).alias("pos", "term")).join(asked.select("term").distinct(), "term", "left_semi")
+    held = placed.groupBy("chunk_id", "term").agg(F.min("pos").alias("pos"))
     full = held.join(asked, "term").groupBy("query_id", "chunk_id", "need").agg(F.count("*").alias("got"), F.min("pos").alias("a"), F.max("pos").alias("b")).filter("got = need")
     dense = full.select("query_id", "chunk_id", (F.col("need") / (F.col("b") - F.col("a") + 1)).alias("density"))
     whole = chunks.select("chunk_id", F.lower(F.coalesce(F.col(col), F.lit(""))).alias("_text"))
