@@ -115,7 +115,7 @@ def rt22_evidence_basis(spark: SparkSession, sf: str) -> DataFrame:
     return rt.evidence_basis(table(spark, sf, "conversations").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("rank"), F.col("turn").alias("evidence_id"), F.col("text").alias("content")))
 
 
-@query("""WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber AS p, l_returnflag AS h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS id FROM lineitem),
+@query("""WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber AS p, l_returnflag AS h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS id FROM lineitem),
   j AS (SELECT *, CASE WHEN lag(h) OVER w = h AND lag(p) OVER w + 1 = p THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY p, id)),
   i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p, id) AS island FROM j) SELECT doc_id, min(p) AS page_start, max(p) AS page_end, count(*) AS merged FROM i GROUP BY doc_id, island""")
 def dc7_merge_tables(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,7 +123,7 @@ def dc7_merge_tables(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     from pyspark.sql.window import Window
 
-    t = li.select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")).alias("table_id"), F.col("l_linenumber").alias("page_start"), F.col("l_linenumber").alias("page_end"), F.array("l_returnflag").alias("headers"), F.array(F.array(F.col("l_quantity").cast("string"))).alias("rows"), F.array().cast("array<string>").alias("footnotes"), F.lit(1.0).alias("confidence"))
+    t = li.select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag")).alias("table_id"), F.col("l_linenumber").alias("page_start"), F.col("l_linenumber").alias("page_end"), F.array("l_returnflag").alias("headers"), F.array(F.array(F.col("l_quantity").cast("string"))).alias("rows"), F.array().cast("array<string>").alias("footnotes"), F.lit(1.0).alias("confidence"))
     return docprep.merge_tables(t).select("doc_id", "page_start", "page_end", "merged")
 
 

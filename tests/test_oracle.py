@@ -24,7 +24,7 @@ def normal(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
 
     def cell(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return ""
         return f"{float(x):.4f}" if isinstance(x, int | float) or hasattr(x, "dtype") and x.dtype.kind in "iufb" else str(x)
 
