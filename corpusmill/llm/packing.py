@@ -8,7 +8,7 @@ queue) is cut every 2,048 ids: only the last sequence has padding. By default a
 ids, so all queues end together; in each window of one round a source then has its share but for less than one piece.
 
 Defined cases: a null text is empty and gives the end id alone; a null source is a queue of its own; rows repeated with
-one key are packed one by one, in an order fixed by their ids; an empty table gives an empty result.
+one key are packed one by one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,21 +24,28 @@ from pyspark.sql import functions as F
 from corpusmill.llm.shared import pieces, running_start, written
 from corpusmill.llm.tokens import encoded
 
-ENCODED = "doc_id long, source string, place long, n long, ids binary"
+ENCODED = "uid long, doc_id long, source string, place long, n long, ids binary"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, round long"
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, key: str, source: str, text: str, end: int, place: str | None) -> DataFrame:
-    """doc_id, source, place, n, ids (little-endian 16-bit) of each whole document with its end id, as a written table."""
+    """uid, doc_id, source, place, n, ids (little-endian 16-bit) of each whole document with its end id, as a written table.
+
+    uid tells rows apart, also those repeated with one key: the task's number and the row's in it.
+    """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), (F.col(place) if place else F.col(key)).cast("long").alias("place"), F.col(text).cast("string").alias("text"))
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             for a, b, ids, n in encoded(batch.column(3), tokenizer, end):
                 part = batch.slice(a, b - a)
                 at = np.concatenate([[0], np.cumsum(n)]) * 2
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids.astype("<u2"))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), raw], [x.split()[0] for x in ENCODED.split(", ")])
+                uid, first = uid + b - a, uid
+                yield pa.RecordBatch.from_arrays([pa.array(range(first, uid), pa.int64()), *part.columns[:3], pa.array(n, pa.int64()), raw], [x.split()[0] for x in ENCODED.split(", ")])
 
     return written(rows.mapInArrow(job, ENCODED), "packing-ids")
 
@@ -47,15 +54,16 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", source: str = "so
     """One row per piece: its document, its place in a sequence, and the checksum of its ids.
 
     window: sequences that a round fills. targets: share by source, else each source's share of all ids.
-    place: a column with the documents' order in their queues, else the key.
+    place: a column with the documents' order in their queues as row numbers, else a hash of the key.
     """
     ids = encode_documents(docs, tokenizer, key, source, text, end, place)
-    sizes = ids.select("doc_id", "source", "place", "n", F.crc32("ids").alias("_tie"))
+    sizes = ids.select("uid", "doc_id", "source", "place", "n")
     rows, low, high = sizes.agg(F.count("*"), F.min("place"), F.max("place")).first()
     n, low = pieces(rows), low or 0
     width = max(1, -(-((high or 0) - low + 1) // n))
-    sizes = sizes.withColumn("_piece", F.floor((F.coalesce("place", F.lit(low)) - low) / width))
-    queued = running_start(sizes, "n", "before", ["place", "doc_id", "_tie"], ["source"], "_piece")
+    # Keys may lie anywhere, so without a given place queues follow a hash of the key; given places are row numbers.
+    sizes = sizes.withColumn("_piece", F.floor((F.coalesce("place", F.lit(low)) - low) / width) if place else F.pmod(F.xxhash64("doc_id"), F.lit(n)))
+    queued = running_start(sizes, "n", "before", ["place", "doc_id", "uid"], ["source"], "_piece")
     shares = sizes.groupBy("source").agg(F.sum("n").cast("double").alias("_share"))
     if targets is not None:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "_given string, _target double")
@@ -65,25 +73,19 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", source: str = "so
     shares = shares.select(F.col("source").alias("_source"), F.greatest(F.lit(1.0), F.col("_share") / total * (length * window)).alias("_quantum"))
     queued = queued.join(shares, F.col("source").eqNullSafe(F.col("_source")))
     # Pieces of at most `length` ids, each with the round in which the queue's deficit covers it.
-    cut = queued.select("doc_id", "source", "place", "before", "n", "_tie", "_quantum", F.explode(F.expr(f"sequence(0L, (n - 1) div {length})")).alias("_k"))
+    cut = queued.select("uid", "source", "before", "n", "_quantum", F.explode(F.expr(f"sequence(0L, (n - 1) div {length})")).alias("_k"))
     cut = cut.withColumn("p_start", F.col("_k") * length).withColumn("p_n", F.least(F.lit(length), F.col("n") - F.col("p_start")))
     cut = cut.withColumn("round", F.ceil((F.col("before") + F.col("p_start") + F.col("p_n")) / F.col("_quantum")).cast("long"))
     # Neighbours of one document in one round stay one piece.
-    cut = cut.groupBy("doc_id", "source", "place", "before", "n", "_tie", "round").agg(F.min("p_start").alias("p_start"), F.sum("p_n").alias("p_n"))
+    cut = cut.groupBy("uid", "source", "before", "round").agg(F.min("p_start").alias("p_start"), F.sum("p_n").alias("p_n"))
     cut = written(cut, "packing-pieces")
     last = cut.agg(F.max("round")).first()[0] or 0
     per = max(1, -(-last // n))
-    order = ["round", "source", "before", "place", "doc_id", "_tie", "p_start"]
+    order = ["round", "source", "before", "p_start"]
     placed = running_start(cut.withColumn("_piece", F.floor(F.col("round") / per)), "p_n", "at", order, [], "_piece")
-    wanted = placed.groupBy("doc_id", "before", F.col("source").alias("_s"), "_tie", "n").agg(F.sort_array(F.collect_list(F.struct("p_start", "p_n", "at", "round"))).alias("cuts"))
-    wanted = written(wanted.select(F.col("doc_id").alias("_id"), F.col("_s"), "_tie", F.col("n").alias("_n"), "before", "cuts"), "packing-places")
-    # A document's cuts go back to its ids; repeated rows are told apart by their number among equals.
-    from pyspark.sql.window import Window
-
-    left = ids.withColumn("_crc", F.crc32("ids")).withColumn("_no", F.row_number().over(Window.partitionBy("doc_id", "source", "_crc", "n").orderBy("place")))
-    right = wanted.withColumn("_no2", F.row_number().over(Window.partitionBy("_id", "_s", "_tie", "_n").orderBy("before")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_crc") == F.col("_tie")) & (F.col("n") == F.col("_n")) & (F.col("_no") == F.col("_no2"))
-    both = left.join(right, same).select("doc_id", "source", "n", "ids", "cuts")
+    wanted = placed.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("p_start", "p_n", "at", "round"))).alias("cuts"))
+    wanted = written(wanted.withColumnRenamed("uid", "_uid"), "packing-places")
+    both = ids.join(wanted, F.col("uid") == F.col("_uid")).select("doc_id", "source", "n", "ids", "cuts")  # the ids move once
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PACKED.split(", ")]

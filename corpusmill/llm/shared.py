@@ -81,7 +81,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def row_slices(offsets: np.ndarray, most: int = 4_000_000):
+def row_slices(offsets: np.ndarray, most: int = 1_000_000):
     """Ranges of rows with about `most` bytes each; a longer row is a range of its own."""
     a, n = 0, len(offsets) - 1
     while a < n:
