@@ -97,47 +97,126 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, most_queries: int = 4096) -> DataFrame:
-    """Cosine top k by a matrix product in each Arrow batch; only a batch's best k a query leave its task.
+def unit_rows(vectors: list) -> np.ndarray:
+    m = np.array(vectors, np.float64).reshape(len(vectors), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
-    The queries go to every task, so their number is checked; more are taken in several calls.
+
+def best_columns(s: np.ndarray, k: int) -> np.ndarray:
+    """The k best columns of each row, ties by the column's place."""
+    if s.shape[1] <= 4 * k:
+        return np.argsort(-s, axis=1, kind="stable")[:, :k]
+    part = np.sort(np.argpartition(-s, k - 1, axis=1)[:, :k], axis=1)
+    mine = np.take_along_axis(s, part, 1)
+    part = np.take_along_axis(part, np.argsort(-mine, axis=1, kind="stable"), 1)
+    tied = np.flatnonzero((s >= mine.min(1, keepdims=True)).sum(1) > k)
+    if len(tied):
+        part[tied] = np.argsort(-s[tied], axis=1, kind="stable")[:, :k]
+    return part
+
+
+def block_scores(ids: np.ndarray, unit: np.ndarray, chunks: DataFrame, k: int, centres: np.ndarray | None = None, near: np.ndarray | None = None) -> DataFrame:
+    """(query_id, chunk_id, score): each Arrow batch's best k of one block of queries, by matrix products over 256 queries at a time.
+
+    centres, near: chunks fall into the cell of the closest centre, and a query is only compared with the cells that its row of `near` marks.
     """
-    q = queries.select("query_id", "embedding").limit(most_queries + 1).toPandas()
-    if len(q) > most_queries:
-        raise ValueError(f"over {most_queries} queries: call in parts")
-    ids = q["query_id"].to_numpy()
-    unit = np.array(q["embedding"].tolist(), np.float64).reshape(len(q), -1)
-    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
 
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b[b["embedding"].map(lambda v: v is not None and len(v) == unit.shape[1])]
             if not len(b) or not len(ids):
                 continue
-            m = np.array(b["embedding"].tolist(), np.float64)
-            s = unit @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)).T
-            key = b["chunk_id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(key, s.shape), -s), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), order.shape[1])
-            yield pd.DataFrame({"query_id": ids[rows], "chunk_id": key[order.ravel()], "score": s[rows, order.ravel()]})
-
-    scored = chunks.select("chunk_id", "embedding").mapInPandas(job, "query_id long, chunk_id long, score double")
+            key, m = b["chunk_id"].to_numpy(), unit_rows(b["embedding"].tolist())
+            order = np.argsort(key, kind="stable")
+            key, m = key[order], m[order]
+            cells = [(None, np.arange(len(key)))]
+            if centres is not None:
+                cell = (m @ centres.T).argmax(1)
+                by = np.argsort(cell, kind="stable")
+                cells = [(cell[x[0]], x) for x in np.split(by, np.flatnonzero(np.diff(cell[by])) + 1)]
+            for a in range(0, len(ids), 256):
+                found = []
+                for c, members in cells:
+                    rows = np.arange(a, min(a + 256, len(ids)))
+                    if c is not None:
+                        rows = rows[near[rows, c]]
+                    s = unit[rows] @ m[members].T
+                    best = best_columns(s, k)
+                    found.append((np.repeat(rows, best.shape[1]), members[best.ravel()], np.take_along_axis(s, best, 1).ravel()))
+                row, column, score = (np.concatenate(x) for x in zip(*found, strict=True))
+                if len(cells) > 1:
+                    order = np.lexsort((column, -score, row))
+                    row, column, score = row[order], column[order], score[order]
+                    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, column, score = row[kept], column[kept], score[kept]
+                yield pd.DataFrame({"query_id": ids[row], "chunk_id": key[column], "score": score})
+
+    return chunks.select("chunk_id", "embedding").mapInPandas(job, "query_id long, chunk_id long, score double")
+
+
+def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, most_queries: int = 4096) -> DataFrame:
+    """Cosine top k by a matrix product in each Arrow batch; only a batch's best k a query leave its task.
+
+    The queries go to every task, so their number is checked; more are taken in several calls.
+    """
+    q = queries.select("query_id", "embedding").limit(most_queries + 1).toPandas()
+    if len(q) > most_queries:
+        raise ValueError(f"over {most_queries} queries: call in parts")
+    scored = block_scores(q["query_id"].to_numpy(), unit_rows(q["embedding"].tolist()), chunks, k)
     return rank_routes(scored.select("query_id", F.lit("dense").alias("route"), "chunk_id", "score"), k)
 
 
-def dense_topk_ann(queries: DataFrame, chunks: DataFrame, k: int = 10, bits: int = 6, tables: int = 10, seed: int = 5) -> DataFrame:
-    """Approximate top k: random hyperplane signatures as join keys, candidates scored exactly. Hot buckets are AQE's."""
-    size = queries.select(F.max(F.size("embedding"))).first()[0] or 0
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, size))
+def cell_centres(unit: np.ndarray, cells: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """Spherical k-means; a centre that loses its vectors stays where it is."""
+    centres = unit[np.random.default_rng(seed).permutation(len(unit))[:cells]]
+    for _ in range(rounds):
+        total = np.zeros_like(centres)
+        np.add.at(total, (unit @ centres.T).argmax(1), unit)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(size > 1e-12, total / np.maximum(size, 1e-12), centres)
+    return centres
+
+
+def hashed_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """About `rows` of the `total` rows, by a hash of the key."""
+    return df if total <= rows else df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * rows / total))
+
 
-    def keys(v: Column) -> Column:
-        one = lambda p: (F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in p]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) > 0).cast("int")
-        return F.array(*[F.concat(F.lit(f"{t}:"), *[one(planes[t, j]).cast("string") for j in range(bits)]) for t in range(tables)])
+def closest_cells(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The place of each cell in each row's order of cells."""
+    return np.argsort(np.argsort(-(unit @ centres.T), axis=1, kind="stable"), axis=1)
 
-    q = queries.select("query_id", F.col("embedding").alias("qv"), F.explode(keys(F.col("embedding"))).alias("bucket"))
-    c = chunks.select("chunk_id", "embedding", F.explode(keys(F.col("embedding"))).alias("bucket"))
-    pairs = q.join(c, "bucket").select("query_id", "chunk_id", cosine(F.col("qv"), F.col("embedding")).alias("score")).distinct()
-    return rank_routes(pairs.withColumn("route", F.lit("dense")), k)
+
+def probes_needed(queries: DataFrame, chunks: DataFrame, centres: np.ndarray, k: int, recall: float) -> int:
+    """How many of its closest cells a query needs, so that these queries' exact top k is found at the given recall."""
+    found = dense_topk(queries, chunks, k).select("query_id", "chunk_id")
+    found = found.join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").join(chunks.select("chunk_id", F.col("embedding").alias("c")), "chunk_id").toPandas()
+    if not len(found):
+        return len(centres)
+    cell = (unit_rows(found["c"].tolist()) @ centres.T).argmax(1)
+    place = np.sort(closest_cells(unit_rows(found["q"].tolist()), centres)[np.arange(len(cell)), cell])
+    return int(place[int(np.ceil(recall * len(place))) - 1]) + 1
+
+
+def dense_topk_ann(queries: DataFrame, chunks: DataFrame, k: int = 10, recall: float = 0.95, most_cells: int = 1024, seed: int = 5) -> DataFrame:
+    """Approximate top k: chunks lie in about sqrt(chunks) cells, and each query is compared with the chunks of its closest cells.
+
+    How many cells that takes depends on the vectors, so it is measured: the exact top k of about 256 queries must be
+    found at `recall`. Vectors without clusters need many cells, clustered ones few. Cells are no join keys, so a hot one
+    is spread as the rows are.
+    """
+    n, asked = chunks.count(), queries.count()
+    sample = hashed_sample(chunks.select("chunk_id", "embedding").filter("embedding is not null"), "chunk_id", 20_000, n).toPandas()
+    size = queries.select(F.max(F.size("embedding"))).first()[0] or 0
+    vectors = [v for v in sample["embedding"] if len(v) == size]
+    if not vectors or not asked:
+        return dense_topk(queries, chunks, k)
+    centres = cell_centres(unit_rows(vectors), max(1, min(most_cells, int(n**0.5))), seed=seed)
+    probes = probes_needed(hashed_sample(queries, "query_id", 256, asked), chunks, centres, k, recall)
+    q = queries.select("query_id", "embedding").toPandas()
+    unit = unit_rows(q["embedding"].tolist())
+    scored = block_scores(q["query_id"].to_numpy(), unit, chunks, k, centres, closest_cells(unit, centres) < probes)
+    return rank_routes(scored.select("query_id", F.lit("dense").alias("route"), "chunk_id", "score"), k)
 
 
 def rrf(ranked: DataFrame, k: int = 60) -> DataFrame:

@@ -164,3 +164,14 @@ def test_ann_recall(spark):
     q = c.filter("chunk_id < 20").withColumnRenamed("chunk_id", "query_id")
     exact, near = (set(rows(f(q, c, 5).select("query_id", "chunk_id"))) for f in (retrieval.dense_topk, retrieval.dense_topk_ann))
     assert len(exact & near) / len(exact) >= 0.9
+
+
+def test_ann_recall_without_clusters(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    c = spark.createDataFrame([(i, [float(x) for x in r.normal(size=64)]) for i in range(2000)], "chunk_id long, embedding array<float>")
+    q = c.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    exact, near = (set(rows(f(q, c, 10).select("query_id", "chunk_id"))) for f in (retrieval.dense_topk, retrieval.dense_topk_ann))
+    others = {x for x in exact if x[0] != x[1]}
+    assert len(near) == 1000 and len(exact & near) / len(exact) >= 0.9 and len(others & near) / len(others) >= 0.9
