@@ -1,11 +1,12 @@
-"""Mixing sources to target weights by Pfair scheduling, in built-in column functions and joins only.
+"""Mixing sources to target weights by Pfair scheduling: the data by built-in column functions and joins only.
 
-Each source's documents, in a hashed order, are cut into blocks of about `block_chars` characters. With the weight
-c / period (c whole), block i (from 0) of a source is released at floor(i * period / c) and due at
-ceil((i + 1) * period / c). Earliest-deadline-first over the released blocks keeps every source within one block of its
-share at each slot, and all lags are 0 after each period, so one period's schedule serves for all: it is a fold over
-`period` slots, whose size depends on the number of sources alone. A source that has run out leaves its slots empty.
-Nothing is dropped or repeated: the mixture is an order.
+Each source's documents, in a hashed order, are cut into blocks of about `block_chars` characters. With the exact target
+weight w (a fraction), block i (from 0) of a source is released at floor(i / w) and due at ceil((i + 1) / w). As the
+weights sum to 1, earliest-deadline-first over the released blocks meets all deadlines, so while every source has blocks
+each is within less than one block of its share at each slot, however long the input. The schedule is made once over all
+blocks on the driver, with a heap of a row a source, and written in parts: its size is the number of blocks, one for
+`block_chars` characters. A source that has run out leaves slots empty. Sources with the weight 0 come after all others,
+in proportion to their characters. Nothing is dropped or repeated: the mixture is an order.
 
 Defined cases: a null source is a source of its own; null and empty texts weigh one character; an empty table gives an
 empty result; only the key, source and text are read, so other columns can't clash.
@@ -13,68 +14,102 @@ empty result; only the key, source and text are read, so other columns can't cla
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from corpusmill.llm.shared import pieces, running_start, written
-
-
-def whole_weights(sizes: DataFrame, period: int, temper: float, targets: dict[str | None, float] | None) -> DataFrame:
-    """(source, c): whole slots in a period, at least 1, in sum the period: largest remainders, ties by source."""
-    spark = sizes.sparkSession
-    if targets is None:
-        weights = sizes.select("source", F.pow(F.col("chars").cast("double"), temper).alias("w"))
-    else:
-        given = spark.createDataFrame([(k, float(v)) for k, v in targets.items()], "g string, w double")
-        weights = sizes.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("g")), "left").select("source", F.coalesce("w", F.lit(0.0)).alias("w"))
-    everything = Window.partitionBy(F.lit(0))  # one row a source
-    share = F.try_divide(F.col("w"), F.sum("w").over(everything))
-    free = F.lit(period) - F.count("*").over(everything)
-    x = weights.withColumn("x", F.coalesce(share, F.lit(0.0)) * free).withColumn("k", F.floor("x"))
-    left = F.lit(period) - F.count("*").over(everything) - F.sum("k").over(everything)
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy((F.col("x") - F.col("k")).desc(), F.col("source")))
-    return x.withColumn("left", left).withColumn("rank", rank).select("source", (1 + F.col("k") + F.when(F.col("rank") <= F.col("left"), 1).otherwise(0)).cast("long").alias("c"))
-
-
-def one_period(weights: DataFrame, period: int) -> DataFrame:
-    """(source, c, j, slot): where earliest-deadline-first puts the j-th block (from 0) of each source in a period."""
-    names = weights.agg(F.sort_array(F.collect_list(F.struct("source", "c"))).alias("all"))
-    fold = f"""
-      aggregate(sequence(0, {period} - 1),
-        named_struct('done', transform(all, x -> 0L), 'out', cast(array() as array<int>)),
-        (st, t) -> transform(array(array_min(filter(transform(all, (x, s) ->
-            if(st.done[s] < x.c and (st.done[s] * {period}) div x.c <= t,
-               named_struct('due', ((st.done[s] + 1) * {period} + x.c - 1) div x.c, 's', s), null)), y -> y is not null)).s),
-          pick -> named_struct('done', transform(st.done, (d, s) -> if(s = pick, d + 1, d)), 'out', array_append(st.out, pick)))[0],
-        st -> st.out)"""
-    slots = names.filter("size(all) > 0").select("all", F.posexplode(F.expr(fold)).alias("slot", "s")).select(F.col("slot").cast("long"), F.expr("all[s].source").alias("source"), F.expr("all[s].c").alias("c"))
-    return slots.withColumn("j", F.row_number().over(Window.partitionBy("source").orderBy("slot")).cast("long") - 1)
+
+from corpusmill.llm.shared import new_path, pieces, running_start, written
+
+
+SCHEDULE = "_s string, _b long, release_slot long, deadline_slot long, slot long, _at long"
+#: Blocks that are scheduled and written at once.
+PART = 100_000
+
+
+def characters(text: str) -> Column:
+    return F.greatest(F.length(F.coalesce(F.col(text), F.lit(""))), F.lit(1)).cast("long")
+
+
+def source_sizes(docs: DataFrame, source: str = "source", text: str = "text") -> dict[str | None, int]:
+    """Characters by source, a row a source."""
+    return dict(docs.groupBy(F.col(source).cast("string").alias("s")).agg(F.sum(characters(text)).alias("n")).collect())
+
+
+def target_weights(sizes: dict[str | None, int], temper: float = 0.7, targets: dict[str | None, float] | None = None) -> dict[str | None, Fraction]:
+    """Weights in sum 1, as the exact fractions of the decimals given; all 0 where no source has a target."""
+    given = {s: Fraction(repr(float(targets.get(s, 0)))) if targets is not None else Fraction(repr(float(n) ** temper)) for s, n in sizes.items()}
+    total = sum(given.values())
+    return {s: w / total if total else w for s, w in given.items()}
+
+
+def windows(weights: dict[str | None, Fraction], blocks: dict[str | None, int], start: int = 0) -> Iterator[tuple]:
+    """(source, block, release, deadline, slot) in the order of slots, earliest deadline first, ties by source. Weights are over 0."""
+    names = sorted(weights, key=lambda s: (s is not None, s or ""))
+    whole = lcm(*[w.denominator for w in weights.values()])
+    share = [weights[s].numerator * (whole // weights[s].denominator) for s in names]
+    last = [blocks[s] for s in names]
+    done = [0] * len(names)
+    coming, ready, t = [(0, k) for k in range(len(names)) if last[k]], [], 0
+    while coming or ready:
+        if not ready and coming[0][0] > t:
+            t = coming[0][0]  # nothing is released: the slots of sources that ran out stay empty
+        while coming and coming[0][0] <= t:
+            release, k = heapq.heappop(coming)
+            heapq.heappush(ready, (-(-(done[k] + 1) * whole // share[k]), k, release))
+        due, k, release = heapq.heappop(ready)
+        yield names[k], done[k], start + release, start + due, start + t
+        done[k] += 1
+        t += 1
+        if done[k] < last[k]:
+            heapq.heappush(coming, (done[k] * whole // share[k], k))
+
+
+def schedule_of(spark: SparkSession, sizes: dict[str | None, int], weights: dict[str | None, Fraction], block_chars: int) -> tuple[DataFrame, int]:
+    """The written schedule of all blocks, `_at` counting them, and their number."""
+    blocks = {s: -(-n // block_chars) for s, n in sizes.items()}
+    some = {s: w for s, w in weights.items() if w}
+    none = {s: Fraction(blocks[s]) for s, w in weights.items() if not w}
+    none = {s: w / sum(none.values()) for s, w in none.items()}
+    path, part, at, end = new_path(spark, "mix-schedule"), [], 0, 0
+
+    def write() -> None:
+        spark.createDataFrame(part, SCHEDULE).coalesce(1).write.mode("append").option("compression", "zstd").parquet(path)
+        part.clear()
+
+    for group in (some, none):
+        if not group:
+            continue
+        for row in windows(group, blocks, end):
+            part.append((*row, at))
+            at += 1
+            if len(part) == PART:
+                write()
+            slot = row[-1]
+        end = slot + 1
+    if part or not at:
+        write()
+    return spark.read.schema(SCHEDULE).parquet(path), at
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", targets: dict | None = None, temper: float = 0.7, block_chars: int = 20_000, period: int = 1_000) -> DataFrame:
     """One row per document row: key, source, n_chars, block, release_slot, deadline_slot, slot, position (0-based in the mixture).
 
-    targets: weight by source (0 where missing: one slot in a period); else the sources' characters to the power `temper`.
+    targets: weight by source (0 where missing: after all others); else the sources' characters to the power `temper`.
+    period: without effect, as the schedule is not periodic; kept for callers.
     """
-    base = docs.select(F.col(key), F.col(source).cast("string").alias("source"), F.greatest(F.length(F.coalesce(F.col(text), F.lit(""))), F.lit(1)).cast("long").alias("n_chars"))
+    base = docs.select(F.col(key), F.col(source).cast("string").alias("source"), characters(text).alias("n_chars"))
     base = written(base, "mix-sizes")
-    sizes = written(base.groupBy("source").agg(F.sum("n_chars").alias("chars")), "mix-sources")
-    rows, sources = base.count(), sizes.count()
-    period = max(period, 4 * sources)
-    n = pieces(rows)
+    sizes = dict(base.groupBy("source").agg(F.sum("n_chars")).collect())  # a row a source
+    n = pieces(base.count())
     placed = running_start(base.withColumn("_piece", F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(n))), "n_chars", "start", [key], ["source"], "_piece")
     placed = placed.withColumn("block", F.floor(F.col("start") / block_chars))
-    schedule = written(one_period(whole_weights(sizes, period, temper, targets), period), "mix-schedule")
-    schedule = schedule.select(F.col("source").alias("_s"), "c", "j", F.col("slot").alias("_slot"))
-    counts = F.broadcast(schedule.groupBy("_s").agg(F.first("c").alias("_c")).withColumnRenamed("_s", "_s2"))  # a row a source, at most period / 4
-    placed = placed.join(counts, F.col("source").eqNullSafe(F.col("_s2"))).withColumn("_j", F.col("block") % F.col("_c"))
-    placed = placed.join(F.broadcast(schedule), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_j") == F.col("j")))  # `period` rows
-    placed = placed.select(
-        key, "source", "n_chars", "block", F.expr(f"(block * {period}) div _c").alias("release_slot"), F.expr(f"((block + 1) * {period} + _c - 1) div _c").alias("deadline_slot"),
-        (F.expr("block div _c") * period + F.col("_slot")).alias("slot"), "start", F.lit(1).cast("long").alias("_one"),
-    )
+    schedule, blocks = schedule_of(docs.sparkSession, sizes, target_weights(sizes, temper, targets), block_chars)
+    placed = placed.join(schedule, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+    placed = placed.select(key, "source", "n_chars", "block", "release_slot", "deadline_slot", "slot", "_at", "start", F.lit(1).cast("long").alias("_one"))
     placed = written(placed, "mix-slots")
-    last = placed.agg(F.max("slot")).first()[0] or 0
-    by_slots = placed.withColumn("_piece", F.floor(F.col("slot") / max(1, (last + 1) // n + 1)))
-    return running_start(by_slots, "_one", "position", ["slot", "start", key], [], "_piece").select(key, "source", "n_chars", "block", "release_slot", "deadline_slot", "slot", "position")
+    by_slots = placed.withColumn("_piece", F.floor(F.col("_at") / max(1, -(-blocks // n))))
+    return running_start(by_slots, "_one", "position", ["_at", "start", key], [], "_piece").select(key, "source", "n_chars", "block", "release_slot", "deadline_slot", "slot", "position")

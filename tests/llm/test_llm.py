@@ -137,6 +137,26 @@ def test_mixing_stays_within_a_block(spark):
             assert abs(done[s] - w * (t + 1)) < 1 + 0.01 * (t + 1)
 
 
+@pytest.mark.parametrize("targets", [{"a": 9, "b": 1}, {"a": 39} | {f"s{k}": 1 for k in range(39)}])
+def test_mixing_follows_the_exact_weights(spark, targets):
+    """Less than a block off at every slot, without slack: the share does not drift, also with many sources."""
+    total = sum(targets.values())
+    sources = [s for s, w in targets.items() for _ in range(2340 * w // total)]
+    got = mixing.mix_sources(frame(spark, ["x" * 100] * len(sources), sources), targets=targets, block_chars=100).collect()
+    assert sorted(x.doc_id for x in got) == list(range(len(sources))) and sorted(x.position for x in got) == list(range(len(sources)))
+    assert len({x.slot for x in got}) == len(got) and all(x.release_slot <= x.slot < x.deadline_slot for x in got)
+    by_slot, done = {x.slot: x.source for x in got}, Counter()
+    for t in range(min(max(x.slot for x in got if x.source == s) for s in targets)):
+        done[by_slot[t]] += 1
+        assert all(abs(done[s] * total - w * (t + 1)) < total for s, w in targets.items())
+
+
+def test_mixing_puts_sources_without_weight_last(spark):
+    got = mixing.mix_sources(frame(spark, ["x" * 100] * 90, ["a", "b", "c", None]), targets={"a": 1.0, "b": 1.0}, block_chars=100).orderBy("position").collect()
+    assert {x.source for x in got[:46]} == {"a", "b"} and {x.source for x in got[46:]} == {"c", None} and len(got) == 90
+    assert all(x.release_slot <= x.slot < x.deadline_slot for x in got)
+
+
 def test_mixing_nulls_and_empty(spark, texts, empty):
     got = mixing.mix_sources(frame(spark, texts)).collect()
     assert sorted(r.doc_id for r in got) == list(range(len(texts))) and sorted(r.position for r in got) == list(range(len(texts)))
