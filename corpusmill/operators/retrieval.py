@@ -154,16 +154,34 @@ def block_scores(ids: np.ndarray, unit: np.ndarray, chunks: DataFrame, k: int, c
     return chunks.select("chunk_id", "embedding").mapInPandas(job, "query_id long, chunk_id long, score double")
 
 
+def query_blocks(queries: DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of all queries, at most `most` at a time; the driver holds one block. More queries than one block are told apart by a hash."""
+    q = queries.select("query_id", "embedding")
+    first = q.limit(most + 1).toPandas()
+    parts = -(-4 * q.count() // (3 * most)) if len(first) > most else 1  # three quarters full, so hashed blocks hardly go over
+    for part in range(parts):
+        block = first if parts == 1 else q.filter(F.pmod(F.xxhash64("query_id", "embedding"), F.lit(parts)) == part).toPandas()
+        for a in range(0, len(block), most):
+            yield block["query_id"].to_numpy()[a : a + most], unit_rows(block["embedding"].tolist()[a : a + most])
+
+
+def best_of_blocks(blocks: Iterator[DataFrame], k: int) -> DataFrame | None:
+    """The blocks' scores together, ranked once."""
+    scored = None
+    for block in blocks:
+        scored = block if scored is None else scored.unionAll(block)
+    return scored if scored is None else rank_routes(scored.select("query_id", F.lit("dense").alias("route"), "chunk_id", "score"), k)
+
+
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, most_queries: int = 4096) -> DataFrame:
     """Cosine top k by a matrix product in each Arrow batch; only a batch's best k a query leave its task.
 
-    The queries go to every task, so their number is checked; more are taken in several calls.
+    Queries go to the tasks in blocks of at most `most_queries`; each block reads the chunks once.
     """
-    q = queries.select("query_id", "embedding").limit(most_queries + 1).toPandas()
-    if len(q) > most_queries:
-        raise ValueError(f"over {most_queries} queries: call in parts")
-    scored = block_scores(q["query_id"].to_numpy(), unit_rows(q["embedding"].tolist()), chunks, k)
-    return rank_routes(scored.select("query_id", F.lit("dense").alias("route"), "chunk_id", "score"), k)
+    ranked = best_of_blocks((block_scores(ids, unit, chunks, k) for ids, unit in query_blocks(queries, most_queries)), k)
+    if ranked is None:  # no queries
+        ranked = best_of_blocks(iter([block_scores(np.zeros(0, np.int64), np.zeros((0, 0)), chunks, k)]), k)
+    return ranked
 
 
 def cell_centres(unit: np.ndarray, cells: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -198,7 +216,7 @@ def probes_needed(queries: DataFrame, chunks: DataFrame, centres: np.ndarray, k:
     return int(place[int(np.ceil(recall * len(place))) - 1]) + 1
 
 
-def dense_topk_ann(queries: DataFrame, chunks: DataFrame, k: int = 10, recall: float = 0.95, most_cells: int = 1024, seed: int = 5) -> DataFrame:
+def dense_topk_ann(queries: DataFrame, chunks: DataFrame, k: int = 10, recall: float = 0.95, most_cells: int = 1024, seed: int = 5, most_queries: int = 4096) -> DataFrame:
     """Approximate top k: chunks lie in about sqrt(chunks) cells, and each query is compared with the chunks of its closest cells.
 
     How many cells that takes depends on the vectors, so it is measured: the exact top k of about 256 queries must be
@@ -213,10 +231,7 @@ def dense_topk_ann(queries: DataFrame, chunks: DataFrame, k: int = 10, recall: f
         return dense_topk(queries, chunks, k)
     centres = cell_centres(unit_rows(vectors), max(1, min(most_cells, int(n**0.5))), seed=seed)
     probes = probes_needed(hashed_sample(queries, "query_id", 256, asked), chunks, centres, k, recall)
-    q = queries.select("query_id", "embedding").toPandas()
-    unit = unit_rows(q["embedding"].tolist())
-    scored = block_scores(q["query_id"].to_numpy(), unit, chunks, k, centres, closest_cells(unit, centres) < probes)
-    return rank_routes(scored.select("query_id", F.lit("dense").alias("route"), "chunk_id", "score"), k)
+    return best_of_blocks((block_scores(ids, unit, chunks, k, centres, closest_cells(unit, centres) < probes) for ids, unit in query_blocks(queries, most_queries)), k)
 
 
 def rrf(ranked: DataFrame, k: int = 60) -> DataFrame:

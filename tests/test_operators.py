@@ -175,3 +175,20 @@ def test_ann_recall_without_clusters(spark):
     exact, near = (set(rows(f(q, c, 10).select("query_id", "chunk_id"))) for f in (retrieval.dense_topk, retrieval.dense_topk_ann))
     others = {x for x in exact if x[0] != x[1]}
     assert len(near) == 1000 and len(exact & near) / len(exact) >= 0.9 and len(others & near) / len(others) >= 0.9
+
+
+@pytest.mark.parametrize("f", [retrieval.dense_topk, retrieval.dense_topk_ann])
+def test_dense_takes_any_number_of_queries(spark, f):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    v = np.round(r.normal(size=(300, 8)), 2)
+    c = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "chunk_id long, embedding array<double>")
+    q = c.withColumnRenamed("chunk_id", "query_id")
+    got = rows(f(q, c, 5, most_queries=64).select("query_id", "rank", "chunk_id"))
+    assert len(got) == 1500 and len({x[:2] for x in got}) == 1500
+    if f is retrieval.dense_topk:
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        best = np.argsort(-(unit @ unit.T), axis=1, kind="stable")[:, :5]
+        assert set(got) == {(i, k + 1, int(best[i, k])) for i in range(300) for k in range(5)}
+    assert f(q.limit(0), c, 5).collect() == []
