@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents. The mixing stage's decision is the order of the rows:
-its files hold them in the mixture's order, and packing takes each source's queue in the order of the files.
+its files hold them in the mixture's order. Packing takes each source's queue in the order of the files, and its
+rounds share the ids among the sources by the weights of the mixture.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.jaccard_join import jaccard_join
-from corpusmill.llm.mixing import mix_sources
+from corpusmill.llm.mixing import mix_sources, source_sizes, target_weights
 from corpusmill.llm.packing import pack
 from corpusmill.llm.pii import mask_pii
 from corpusmill.llm.quality_rules import quality_rules
@@ -62,7 +63,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2,048 ids; documents stand in their queues as in the files."""
+    """Sequences of at most 2,048 ids; documents stand in their queues as in the files, sources share rounds by the mixture's weights."""
     placed = docs.select("doc_id", "source", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     files = placed.groupBy("_file").agg(F.count("*").alias("_n"))  # a row a file
     from pyspark.sql.window import Window
@@ -70,7 +71,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = files.select(F.col("_file").alias("_name"), before.alias("_before"))
     placed = placed.join(F.broadcast(files), F.col("_file") == F.col("_name")).withColumn("_place", F.col("_before") + F.col("_row"))
-    return pack(placed, tokenizer_path(), place="_place")
+    weights = {s: float(w) for s, w in target_weights(source_sizes(docs)).items()}  # the texts are stage 4's, so these are its weights
+    return pack(placed, tokenizer_path(), place="_place", targets=weights)
 
 
 STAGES = [

@@ -375,3 +375,22 @@ def test_near_duplicate_stage_keeps_rows_without_id(spark):
 
     docs = spark.createDataFrame([(None, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (2, "a b c d e f g", None)], "doc_id long, text string, kept_id string")
     assert sorted(str(r.doc_id) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) in (["1", "None"], ["None"])
+
+
+def test_pipeline_packs_by_the_mixture(spark, tmp_path):
+    """A hot source holds 0.8 of all characters; while all sources last, sequences hold it at its tempered weight, 0.68."""
+    import corpus_pipeline
+
+    r = random.Random(4)
+    names = ["hot"] * 8 + ["b", "c"]
+    docs = frame(spark, [" ".join(r.choice(["paper", "river", "under", "seven", "light"]) for _ in range(400)) for _ in range(1600)], names)
+    corpus_pipeline.mix_to_weights(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    got = corpus_pipeline.pack_sequences(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
+    ids = Counter()
+    for x in got:
+        if x.sequence_id < 96:  # three rounds
+            ids[x.source] += x.length
+    total = 8**0.7 + 2
+    assert sum(ids.values()) == 96 * 2048 and len({x.doc_id for x in got}) == 1600
+    for s, w in {"hot": 8**0.7 / total, "b": 1 / total, "c": 1 / total}.items():
+        assert abs(ids[s] / sum(ids.values()) - w) < 0.02
