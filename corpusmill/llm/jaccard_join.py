@@ -15,8 +15,13 @@ than `leaf` at the last level (thousands of near copies) is cut into blocks, and
 of their own. A pair that shares several leaves belongs to the least of them, so its link counts once. Tasks return
 links counted by document, and a spanning forest of what they find, never all pairs: results are linear in the input.
 
+Classes are named by the row number of one of their rows, so any ids do: null, repeated with other texts, or near the
+ends of 64 bits.
+
 Defined cases: null and empty texts, and texts of white space, have no shingles: each is a class and group of its own
-without links; repeated rows of one text are a class; only the key and the text are read.
+without links; repeated rows of one text are a class; a class of rows without ids has a null class_id, and a group of
+such classes a null group_id; an id that several texts share does not join their classes or groups; only the key and the
+text are read.
 """
 
 from __future__ import annotations
@@ -29,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import mix, row_slices, span_hashes, utf8, word_spans, written
+from corpusmill.llm.shared import broadcast_small, mix, row_slices, span_hashes, utf8, word_spans, written
 
-SETS = "doc_id long, sig1 long, sig2 long, n int, tokens binary"
+SETS = "uid long, doc_id long, text_hash long, sig1 long, sig2 long, n int, tokens binary"
+#: Shingles that weigh as much as one set in a leaf's size, and bytes of sets that a searching task reads, about.
+SHINGLES_A_SET, TASK_BYTES = 4_096, 64 << 20
 NODES = "rep long, node long, parent long"
 FOUND = "a long, b long, links long"
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -42,10 +49,11 @@ GOLD = np.uint64(0x9E3779B97F4A7C15)
 def runs_needed(threshold: float, depth: int, miss: float) -> int:
     """Runs until a pair at the threshold is missed with a probability below `miss`.
 
-    A pair with Jaccard similarity J and sets of one size shares 2J / (1 + J) of a set's tokens, so a node has
-    2 / (1 + J) common children in the mean, about Poisson; a run misses the pair if that process dies within `depth`.
+    A pair with Jaccard similarity J shares at least J of the larger set's tokens (as much where one set holds the other),
+    and both sets take a token where the larger one does. So a node has at least J / threshold = 1 common child in the
+    mean, about Poisson; a run misses the pair if that process dies within `depth`.
     """
-    mean, dies = 2 / (1 + threshold), 0.0
+    mean, dies = 1.0, 0.0
     for _ in range(depth):
         dies = math.exp(-mean * (1 - dies))
     return math.ceil(math.log(miss) / math.log(dies))
@@ -71,11 +79,14 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> tuple[np.
 
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """doc_id, a 128-bit signature of the set, its size, its sorted 32-bit hashes; a written table."""
+    """uid (the row's number), doc_id, a hash of the text, a 128-bit signature of the set, its size, its sorted 32-bit hashes; a written table."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(2))
             for a, b in row_slices(offsets):
                 h, row = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 h >>= np.uint64(32)
@@ -89,9 +100,12 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", words
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (mix(h ^ GOLD), mix(h + GOLD))]
                 s1, s2 = ((x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums)
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((at * 4).astype(np.int64)), pa.py_buffer(h.astype("<u4"))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(s1), pa.array(s2), pa.array(n, pa.int32()), raw], [x.split()[0] for x in SETS.split(", ")])
+                uid, first = uid + b - a, uid
+                ids, marks = (batch.column(k).slice(a, b - a) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(range(first, uid), pa.int64()), ids, marks, pa.array(s1), pa.array(s2), pa.array(n, pa.int32()), raw], [x.split()[0] for x in SETS.split(", ")])
 
-    return written(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(job, SETS), "shingle-sets")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(text).cast("string").alias("text"))
+    return written(rows.mapInArrow(job, SETS), "shingle-sets")
 
 
 def paths(tokens: np.ndarray, runs: int, depth: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +139,7 @@ def choose_paths(sets: DataFrame, runs: int, depth: int, threshold: float) -> Da
 
 def choose_leaves(nodes: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
     """(leaf, size) of the leaves, one for each set of members; and (rep, leaf) of their members."""
-    sizes = nodes.groupBy("node", "parent").agg(F.count("*").alias("size"), F.sum((F.xxhash64("rep") % F.lit(1 << 40))).alias("members")).filter("size > 1")
+    sizes = nodes.groupBy("node", "parent").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("members"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("members2")).filter("size > 1")
     sizes = written(sizes, "path-sizes")
     big = sizes.filter(F.col("size") > leaf).select(F.col("node").alias("_big"))
     top = sizes.filter((F.col("parent") == 0) & (F.col("size") <= leaf))
@@ -135,32 +149,35 @@ def choose_leaves(nodes: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
     parents = big.join(inner.select(F.col("parent").alias("_p")).distinct(), F.col("_big") == F.col("_p"), "left_anti")  # large, without children
     lone = sizes.join(parents, F.col("node") == F.col("_big"), "left_semi").filter(F.col("parent") == 0)
     leaves = top.unionByName(below).unionByName(lone)
-    leaves = written(leaves.groupBy("size", "members").agg(F.min("node").alias("leaf")).select("leaf", "size"), "path-leaves")
+    leaves = written(leaves.groupBy("size", "members", "members2").agg(F.min("node").alias("leaf")).select("leaf", "size"), "path-leaves")
     members = nodes.join(leaves, F.col("node") == F.col("leaf")).select("rep", "leaf").distinct()
     return leaves, members
 
 
-def plan_blocks(leaves: DataFrame, members: DataFrame, leaf: int) -> DataFrame:
+def plan_blocks(leaves: DataFrame, members: DataFrame, classes: DataFrame, leaf: int) -> DataFrame:
     """(rep, own, task, side): in which searches a set takes part.
 
-    A leaf within the limit is one search. In a larger one, let `first` be a set's least large leaf. Pairs with the same
-    first leaf belong to that one, so in another leaf the sets of its most common first leaf ("covered") are only
-    compared with the rest ("open"), block by block.
+    A leaf within the limit is one search; sets weigh one, and more where they have thousands of shingles. In a larger
+    leaf, let `first` be a set's least large leaf. Pairs with the same first leaf belong to that one, so in another leaf
+    the sets of its most common first leaf ("covered") are only compared with the rest ("open"), block by block.
     """
-    large = F.broadcast(leaves.filter(F.col("size") > leaf).select(F.col("leaf").alias("_large")))  # at most members / limit rows
     lists = members.groupBy("rep").agg(F.sort_array(F.collect_list("leaf")).alias("own"))  # bounded by the paths of a set
-    rows = members.join(lists, "rep")
+    weights = classes.groupBy(F.col("sig1").alias("_rep")).agg(F.sum(1 + F.col("n") / SHINGLES_A_SET).alias("w"))
+    rows = members.join(lists.join(weights, F.col("rep") == F.col("_rep")).drop("_rep"), "rep")
+    heavy = members.join(weights, F.col("rep") == F.col("_rep")).groupBy(F.col("leaf").alias("_large")).agg(F.sum("w").alias("_w")).filter(F.col("_w") > 2 * leaf)
+    heavy = written(heavy.select("_large"), "path-large")
+    large = broadcast_small(heavy)
     small = rows.join(large, F.col("leaf") == F.col("_large"), "left_anti").select("rep", "own", F.struct("leaf", F.lit(0).alias("i"), F.lit(0).alias("j")).alias("task"), F.lit(0).alias("side"))
     wide = rows.join(large, F.col("leaf") == F.col("_large"), "left_semi")
     first = wide.groupBy("rep").agg(F.min("leaf").alias("first"))
     wide = written(wide.join(first, "rep"), "path-wide")
-    kinds = wide.groupBy("leaf", "first").agg(F.count("*").alias("n"))
-    best = kinds.groupBy("leaf").agg(F.max(F.struct("n", "first")).alias("m"), F.sum("n").alias("all"))
-    best = best.select(F.col("leaf").alias("_leaf"), F.when(F.col("m.first") != F.col("leaf"), F.col("m.first")).alias("covered_first"), F.when(F.col("m.first") != F.col("leaf"), F.col("m.n")).otherwise(0).alias("n_covered"), "all")
-    wide = wide.join(F.broadcast(written(best, "path-kinds")), F.col("leaf") == F.col("_leaf"))  # a row a large leaf
+    kinds = wide.groupBy("leaf", "first").agg(F.sum("w").alias("w"))
+    best = kinds.groupBy("leaf").agg(F.max(F.struct("w", "first")).alias("m"), F.sum("w").alias("all"))
+    best = best.select(F.col("leaf").alias("_leaf"), F.when(F.col("m.first") != F.col("leaf"), F.col("m.first")).alias("covered_first"), F.when(F.col("m.first") != F.col("leaf"), F.col("m.w")).otherwise(0.0).alias("w_covered"), "all")
+    wide = wide.join(broadcast_small(written(best, "path-kinds")), F.col("leaf") == F.col("_leaf"))  # a row a large leaf
     covered = F.coalesce(F.col("first") == F.col("covered_first"), F.lit(False))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / leaf)).cast("int")
-    wide = wide.withColumn("covered", covered).withColumn("n_open", blocks(F.col("all") - F.col("n_covered"))).withColumn("n_cov", F.when(F.col("n_covered") > 0, blocks(F.col("n_covered"))).otherwise(0))
+    blocks = lambda w: F.greatest(F.lit(1), F.ceil(w / leaf)).cast("int")
+    wide = wide.withColumn("covered", covered).withColumn("n_open", blocks(F.col("all") - F.col("w_covered"))).withColumn("n_cov", F.when(F.col("w_covered") > 0, blocks(F.col("w_covered"))).otherwise(0))
     wide = wide.withColumn("k", F.pmod(F.xxhash64("rep", "leaf"), F.when(F.col("covered"), F.col("n_cov")).otherwise(F.col("n_open"))).cast("int"))
     # Searches are (i, j): open block i with open block j >= i, or with covered block j, numbered after the open ones.
     as_covered = F.transform(F.sequence(F.lit(0), F.col("n_open") - 1), lambda i: F.struct(i.alias("i"), (F.col("n_open") + F.col("k")).alias("j"), F.lit(1).alias("side")))
@@ -275,15 +292,19 @@ def search(task: tuple, reps: np.ndarray, side: np.ndarray, own: list, sets: lis
 
 
 def search_leaves(plan: DataFrame, sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, links): a forest edge (links null), or the links of class a (b null) found in one search.
+    """(a, b, links): a forest edge (links null), or the links of class a (b null) found in one search; classes by their row numbers.
 
-    The representatives' sets move twice: to their searches' list, and from there to the searches.
+    The representatives' sets move twice: to their searches' list, and from there to the searches. Classes that share the
+    half signature by which paths name them both come along.
     """
     lists = plan.groupBy("rep").agg(F.first("own").alias("own"), F.collect_list(F.struct("task", "side")).alias("tasks"))
-    lists = written(lists.join(classes.select(F.col("sig1").alias("_sig"), "class_id"), F.col("rep") == F.col("_sig")).select("rep", "own", "tasks", "class_id"), "path-tasks")
-    rows = sets.select("doc_id", "sig1", "tokens").join(lists, (F.col("doc_id") == F.col("class_id")) & (F.col("sig1") == F.col("rep")))
-    rows = rows.select("rep", "own", F.explode("tasks").alias("t"), "tokens").select("rep", "own", "t.task", "t.side", "tokens")
-    rows = rows.repartition("task").sortWithinPartitions("task", "rep", "side")
+    named = classes.select(F.col("sig1").alias("_sig"), F.col("class_uid"), F.col("n").alias("_n"))
+    lists = written(lists.join(named, F.col("rep") == F.col("_sig")).select("class_uid", "own", "tasks", "_n"), "path-tasks")
+    size = lists.agg(F.sum((4 * F.col("_n").cast("long") + 8 * F.size("own")) * F.size("tasks"))).first()[0] or 0
+    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    rows = sets.select("uid", "tokens").join(lists, F.col("uid") == F.col("class_uid"))
+    rows = rows.select("uid", "own", F.explode("tasks").alias("t"), "tokens").select(F.col("uid").alias("rep"), "own", "t.task", "t.side", "tokens")
+    rows = rows.repartition(parts, "task").sortWithinPartitions("task", "rep", "side")
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -306,8 +327,6 @@ def search_leaves(plan: DataFrame, sets: DataFrame, classes: DataFrame, threshol
                 if key != task:
                     out += done()
                     held, task = [], key
-                if held and held[-1][:2] == (rep, side):
-                    continue  # a row repeated with its id
                 held.append((rep, side, own, np.frombuffer(raw.as_buffer().to_pybytes(), "<u4")))
             yield batch_of(out)
         yield batch_of(done())
@@ -322,7 +341,8 @@ def connected(edges: DataFrame, name: str = "groups") -> DataFrame:
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
-    state = now.agg(F.count("*"), F.sum(F.col("b") % 1_000_003), F.sum("b")).first()
+    seen = [F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))]  # tell a table of distinct edges from another
+    state = now.agg(*seen).first()
     while True:
         least = both(now).groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both(now).join(least.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -331,36 +351,39 @@ def connected(edges: DataFrame, name: str = "groups") -> DataFrame:
         small = large.join(least.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a"))
         small = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         now = written(small.filter("a <> b").distinct(), name)
-        last, state = state, now.agg(F.count("*"), F.sum(F.col("b") % 1_000_003), F.sum("b")).first()
+        last, state = state, now.agg(*seen).first()
         if state == last:
             return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("group"))
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, words: int = 5, leaf: int = 1024, depth: int = 2, miss: float = 1e-4) -> DataFrame:
-    """One row per document row: doc_id, class_id, class_size, group_id, n_links.
+    """One row per document row: doc_id, class_id, class_size, group_id, n_links, n_shingles, keeps, text_hash.
 
     class_id: least id with the same shingle set. group_id: least id of the connected component of similar documents.
     n_links: other classes, so other texts, with similarity of at least the threshold; equal texts are class_size - 1 more.
+    keeps: true for one row of each group, that with the least id (null last). text_hash: xxhash64 of the text, which with
+    the id tells rows apart.
     """
     sets = shingle_sets(docs, key, text, words)
-    classes = sets.filter("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    classes = written(classes, "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
+    classes = sets.filter("n > 0").groupBy("sig1", "sig2", "n").agg(first, F.count("*").alias("class_size"))
+    classes = written(classes.withColumn("class_uid", F.col("first.uid")), "classes")
     nodes = written(choose_paths(sets, runs_needed(threshold, depth, miss), depth, threshold), "paths")
     leaves, members = choose_leaves(nodes, leaf)
-    plan = plan_blocks(leaves, written(members, "path-members"), leaf)
+    plan = plan_blocks(leaves, written(members, "path-members"), classes, leaf)
     found = written(search_leaves(plan, sets, classes, threshold), "links")
-    # Searches name classes by the first half of their signatures; groups take the least id of their documents.
     degree = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
-    by_class = classes.join(degree, F.col("sig1") == F.col("a"), "left").select("sig1", "sig2", "n", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("class_links"))
-    named = by_class.select(F.col("sig1").alias("_sig"), "class_id")
-    edges = found.filter("b is not null").join(named.withColumnRenamed("class_id", "a_id"), F.col("a") == F.col("_sig")).drop("_sig")
-    edges = edges.join(named.withColumnRenamed("class_id", "b_id"), F.col("b") == F.col("_sig")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    groups = connected(edges)
-    by_class = written(by_class.join(groups, F.col("class_id") == F.col("id"), "left").withColumn("group_id", F.coalesce("group", "class_id")), "class-results")
+    groups = connected(found.filter("b is not null").select("a", "b"))
+    by_class = classes.join(degree, F.col("class_uid") == F.col("a"), "left").join(groups, F.col("class_uid") == F.col("id"), "left")
+    by_class = written(by_class.select("sig1", "sig2", "n", "first", "class_size", F.coalesce("links", F.lit(0)).alias("class_links"), F.coalesce("group", "class_uid").alias("_group")), "class-results")
+    leads = by_class.groupBy(F.col("_group").alias("_g")).agg(F.min("first").alias("lead"))
+    named = by_class.join(leads, F.col("_group") == F.col("_g"))
+    named = named.select(*[F.col(c).alias(f"_{c}") for c in ("sig1", "sig2", "n")], F.col("first.doc_id").alias("class_id"), "class_size", F.col("lead.doc_id").alias("group_id"), F.col("lead.uid").alias("_lead"), "class_links")
     same = [F.col(c) == F.col(f"_{c}") for c in ("sig1", "sig2", "n")]
-    named = by_class.select(*[F.col(c).alias(f"_{c}") for c in ("sig1", "sig2", "n")], "class_id", "class_size", "group_id", "class_links")
-    rows = sets.select("doc_id", "sig1", "sig2", "n").join(named, (F.col("n") > 0) & same[0] & same[1] & same[2], "left")
+    rows = sets.select("uid", "doc_id", "text_hash", "sig1", "sig2", "n").join(named, (F.col("n") > 0) & same[0] & same[1] & same[2], "left")
+    alone = F.col("_lead").isNull()  # no shingles
     return rows.select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("group_id", "doc_id").alias("group_id"),
-        F.coalesce("class_links", F.lit(0)).alias("n_links"), F.col("n").alias("n_shingles"),
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("class_links", F.lit(0)).alias("n_links"), F.col("n").alias("n_shingles"),
+        (alone | (F.col("uid") == F.col("_lead"))).alias("keeps"), "text_hash",
     )

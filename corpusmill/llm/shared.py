@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 
@@ -33,6 +34,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows (counted now); else a join is left to Spark."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def pieces(rows: int) -> int:
     """How many hash pieces to cut a table into: with the square root, neither a piece nor the table of totals grows fast."""
     return max(1, math.ceil(math.sqrt(rows)))
@@ -110,6 +116,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = ~BLANK)
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
+LONG_SPAN = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -132,8 +139,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, by one running sum over the bytes."""
+    """A 64-bit hash of each span's bytes, by one running sum over the bytes.
+
+    Polynomials modulo 2^64 have known collisions from about a thousand bytes on, so long spans are hashed by BLAKE2b.
+    """
     up, down = _powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    out = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    for k in np.flatnonzero(ends - starts > LONG_SPAN):
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out

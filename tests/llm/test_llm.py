@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import jaccard_join, licenses, media, mixing, packing, pii, quality_classifier, quality_rules, token_output, tokens, warc
+from corpusmill.llm import jaccard_join, licenses, media, mixing, packing, pii, quality_classifier, quality_rules, shared, token_output, tokens, warc
 from corpusmill.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, start long, node long, _kept long"
@@ -85,6 +85,47 @@ def test_jaccard_join(spark, texts, leaf):
         assert (got[i].class_id, got[i].n_links, got[i].group_id) == (c, links[c], root(c)), many[i]
 
 
+@pytest.mark.parametrize("ids", [[None, None, 7], [None, None, None], [7, 7, 7], [2**63 - 1, 2**63 - 2, -(2**63)]])
+def test_jaccard_join_any_ids(spark, ids):
+    """Three near copies of each other: null, repeated and 64-bit ids lose no link, and one row of the group is kept."""
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join(words[:k] + ["other"] + words[k + 1 :]) for k in (0, 59)] + [" ".join(words)]
+    docs = spark.createDataFrame([*zip(ids, near, strict=True), (ids[0], "quite another text that has no copy here")], "doc_id long, text string")
+    got = jaccard_join.jaccard_join(docs).collect()
+    assert sorted((x.n_links, x.n_shingles) for x in got) == [(0, 4), (2, 56), (2, 56), (2, 56)]
+    least = min((i for i in ids if i is not None), default=None)
+    assert [x.group_id for x in got if x.n_links] == [least] * 3 and sum(x.keeps for x in got if x.n_links) == 1
+    assert [x.keeps for x in got if not x.n_links] == [True]
+    assert all(x.doc_id == least for x in got if x.keeps and x.n_links)
+
+
+def test_jaccard_join_weighs_long_sets(spark, monkeypatch):
+    """Sets of many shingles fill a leaf sooner: blocks of few rows give the same links."""
+    monkeypatch.setattr(jaccard_join, "SHINGLES_A_SET", 20)
+    words = [f"w{k}" for k in range(300)]
+    docs = frame(spark, [" ".join(words[:k] + ["x"] + words[k + 1 :]) for k in range(0, 300, 15)])
+    assert {x.n_links for x in jaccard_join.jaccard_join(docs, leaf=8).collect()} == {19}
+
+
+def test_nested_sets_are_found_as_often_as_promised():
+    """A set that holds another at the threshold: the common children of a node are one in the mean."""
+    r, missed = np.random.default_rng(3), 0
+    runs = jaccard_join.runs_needed(0.8, 2, 1e-2)
+    for _ in range(2000):
+        x = r.integers(0, 2**32, 100).astype(np.uint64)
+        missed += not np.isin(*(jaccard_join.paths(t, runs, 2, 0.8)[0] for t in (x, x[:80]))).any()
+    # One level alone gives more leaves than the promise counts on.
+    assert missed <= 2000 * 1e-2 * 1.5
+
+
+def test_long_words_do_not_collide():
+    """Thue-Morse words collide under every polynomial modulo 2^64."""
+    a = bytes(97 + (bin(k).count("1") & 1) for k in range(2048))
+    data = np.frombuffer(a + a.translate(bytes.maketrans(b"ab", b"ba")), np.uint8)
+    h = shared.span_hashes(data, np.array([0, 2048]), np.array([2048, 4096]))
+    assert h[0] != h[1]
+
+
 def test_jaccard_join_empty(spark, empty):
     assert jaccard_join.jaccard_join(empty).collect() == []
 
