@@ -2,11 +2,12 @@
 
 Documents are range-partitioned and sorted by their key; each task encodes its documents and writes one shard file. A
 shard holds 16 bit planes (most significant bit first). Each plane is the stable partition of the one before it, with
-its number of zeros and, for each 512 bits, the ones before them, so that rank takes one look-up and select a binary
-search. Planes are compressed one by one in the same file. Files of lost attempts are never named by the index.
+its number of zeros and, for each 512 bits, the ones before them: rank takes one look-up and the counts of 64 bytes at
+most, select a binary search over the look-ups and then over the bytes of one block. Planes are compressed one by one in
+the same file. Files of lost attempts are never named by the index.
 
 Defined cases: a null text is empty and gives the end id alone; rows repeated with one key are kept, in an order fixed
-by their texts; a null key sorts first; an empty table writes nothing.
+by their texts' hashes, and spread over shards; a null key sorts first; an empty table writes nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.llm.shared import new_path, written
+from corpusmill.llm.shared import broadcast_small, new_path, written
 from corpusmill.llm.tokens import encoded
 from corpusmill.llm.warc import open_folder
 
@@ -116,15 +117,44 @@ class WaveletMatrix:
         a, b = self._range(token, start, self.n if end is None else end)
         return b - a
 
+    def select(self, plane: int, bit: int, numbers: np.ndarray) -> np.ndarray:
+        """Places of the bits with these numbers (from 0) among the plane's ones or zeros."""
+        numbers = np.asarray(numbers, np.int64)
+        ranks = self.ranks[plane]
+        before = ranks if bit else np.arange(len(ranks)) * BLOCK - ranks  # the padding of the last block comes after all bits
+        block = np.searchsorted(before, numbers, "right") - 1
+        left = numbers - before[block]
+        size = BLOCK // 8
+        padded = np.zeros(len(ranks) * size, np.uint8)
+        padded[: len(self.bits[plane])] = self.bits[plane]
+        held = padded.reshape(-1, size)[block]
+        held = held if bit else ~held
+        count = np.cumsum(np.bitwise_count(held), 1, dtype=np.int64)
+        byte = (count <= left[:, None]).sum(1)
+        rows = np.arange(len(numbers))
+        left -= np.where(byte > 0, count[rows, byte - 1], 0)
+        inside = np.cumsum(np.unpackbits(held[rows, byte][:, None], axis=1, bitorder="little"), 1)
+        return block * BLOCK + byte * 8 + (inside <= left[:, None]).sum(1)
+
     def find(self, token: int, start: int = 0, end: int | None = None) -> np.ndarray:
         """Places of all occurrences in the range: select on each plane from the last to the first."""
         a, b = self._range(token, start, self.n if end is None else end)
         at = np.arange(a, b, dtype=np.int64)
         for k in range(BITS - 1, -1, -1):
-            bits = np.unpackbits(self.bits[k], count=self.n, bitorder="little").astype(bool)
             one = token >> (BITS - 1 - k) & 1
-            at = np.flatnonzero(bits)[at - self.zeros[k]] if one else np.flatnonzero(~bits)[at]
-        return at
+            at = self.select(k, one, at - self.zeros[k] if one else at)
+        return np.sort(at)
+
+    def nth(self, token: int, number: int) -> int | None:
+        """The place of an id's occurrence with this number (from 0), or None."""
+        a, b = self._range(token, 0, self.n)
+        if not 0 <= number < b - a:
+            return None
+        at = np.array([a + number])
+        for k in range(BITS - 1, -1, -1):
+            one = token >> (BITS - 1 - k) & 1
+            at = self.select(k, one, at - self.zeros[k] if one else at)
+        return int(at[0])
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = 2, shard_bytes: int = 12 << 20) -> DataFrame:
@@ -133,6 +163,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
     tokenizer: path of the vocabulary file, the same on every executor. shard_bytes: about so much text goes to a shard.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("_mark", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +193,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
         )
 
     shards = max(1, -(-size // shard_bytes))
-    return written(rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(job, INDEX), "token-index")
+    order = ["doc_id", "_mark", "_row"]  # the row's number parts a hot key's copies
+    return written(rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(job, INDEX), "token-index")
 
 
 def read_tokens(index: DataFrame, folder: str) -> DataFrame:
@@ -170,6 +202,7 @@ def read_tokens(index: DataFrame, folder: str) -> DataFrame:
     shards = index.groupBy("shard", "shard_no").agg(F.sum("n_tokens").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("shard_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a shard
     shards = written(shards.select("shard", before.alias("before")), "token-shards").withColumnRenamed("shard", "_shard")
+    files = max(1, shards.count())
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = open_folder(folder)
@@ -183,8 +216,8 @@ def read_tokens(index: DataFrame, folder: str) -> DataFrame:
                 sums.append(zlib.crc32(ids[start : start + n].astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), b.column(3), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = index.join(shards, F.col("shard") == F.col("_shard")).select("doc_id", "shard", "row_start", "n_tokens", (F.col("before") + F.col("row_start")).alias("start"))
-    return rows.repartition("shard").sortWithinPartitions("shard", "row_start").mapInArrow(job, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = index.join(broadcast_small(shards), F.col("shard") == F.col("_shard")).select("doc_id", "shard", "row_start", "n_tokens", (F.col("before") + F.col("row_start")).alias("start"))
+    return rows.repartition(files, "shard").sortWithinPartitions("shard", "row_start").mapInArrow(job, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = 2) -> DataFrame:

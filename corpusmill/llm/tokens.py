@@ -1,8 +1,9 @@
 """Token ids of whole texts, with each distinct word encoded once.
 
 The word-level tokenizer never joins characters across ASCII white space (its pre-tokenizer has no match with white
-space, and it drops what lies between), so a text's ids are its words' ids one after the other. A task keeps the ids of
-the words it has met; the words are told apart by a 64-bit hash of their bytes, computed for a whole batch at once.
+space, and it drops what lies between), so a text's ids are its words' ids one after the other. A task keeps the words it
+has met with their ids. A word is looked up by a 64-bit hash of its bytes, computed for a whole batch at once, and then
+compared byte by byte with the one kept; a word with another's hash is encoded by itself.
 Words of Latin letters go straight to the tokenizer's model, in the pieces its pre-tokenizer would make; all others go
 through the whole tokenizer.
 """
@@ -19,7 +20,7 @@ import pyarrow as pa
 from corpusmill.llm.shared import row_slices, span_hashes, utf8, word_spans
 
 #: A task forgets its words beyond so many, to bound its memory.
-KEEP_WORDS = 1_500_000
+KEEP_WORDS, KEEP_BYTES = 1_500_000, 64 << 20
 #: The pre-tokenizer's pattern for lower-case Latin text.
 LATIN = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u0101-\u017f"
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^{LATIN}0-9]+")
@@ -35,6 +36,14 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in same} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def appended(kept: np.ndarray, used: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+    """`more` behind the first `used` of `kept`, which is doubled as often as needed."""
+    while used + len(more) > len(kept):
+        kept = np.concatenate([kept, np.zeros_like(kept)])
+    kept[used : used + len(more)] = more
+    return kept, used + len(more)
+
+
 class WordEncoder:
     """Ids of batches of texts by the tokenizer file at `path`."""
 
@@ -49,10 +58,11 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        """Words are kept as sorted hashes beside the place and number of their ids: some 20 bytes a word."""
+        """Words are kept as sorted hashes beside the places and lengths of their ids and bytes: some 40 bytes a word."""
         self.keys = np.zeros(0, np.uint64)
-        self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.start, self.count, self.at, self.size = (np.zeros(0, np.int64) for _ in range(4))
         self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
+        self.bytes_kept, self.bytes_used = np.zeros(1 << 18, np.uint8), 0
 
     def word(self, text: str) -> list[int]:
         if not PLAIN.fullmatch(text) or "<|" in text or not unicodedata.is_normalized("NFC", text):
@@ -64,34 +74,50 @@ class WordEncoder:
             out += [t.id for t in self.model.tokenize(piece)]
         return out
 
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        """Adds words; their hashes are sorted and new."""
+    def store(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Start and number of the words' ids, now kept."""
         found = [self.word(w) for w in words]
-        count = np.array([len(f) for f in found], np.int32)
+        count = np.array([len(f) for f in found], np.int64)
         flat = np.fromiter((i for f in found for i in f), np.uint16, int(count.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        start = (self.used + np.cumsum(count) - count).astype(np.int32)
-        self.used += len(flat)
-        keys = np.concatenate([self.keys, hashes])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.start, self.count = keys[order], np.concatenate([self.start, start])[order], np.concatenate([self.count, count])[order]
+        start = self.used + np.cumsum(count) - count
+        self.ids, self.used = appended(self.ids, self.used, flat)
+        return start, count
+
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Adds words; their hashes are sorted and new."""
+        start, count = self.store([w.decode("utf-8", "replace") for w in words])
+        size = np.array([len(w) for w in words], np.int64)
+        at = self.bytes_used + np.cumsum(size) - size
+        self.bytes_kept, self.bytes_used = appended(self.bytes_kept, self.bytes_used, np.frombuffer(b"".join(words), np.uint8))
+        order = np.argsort(np.concatenate([self.keys, hashes]), kind="stable")
+        self.keys, self.start, self.count, self.at, self.size = (np.concatenate([x, y])[order] for x, y in ((self.keys, hashes), (self.start, start), (self.count, count), (self.at, at), (self.size, size)))
+
+    def others(self, slot: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The words whose bytes are not those kept at their slots."""
+        size = ends - starts
+        differ = self.size[slot] != size
+        size = np.where(differ, 0, size)
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum()))
+        unlike = np.flatnonzero(data[np.repeat(starts - first, size) + place] != self.bytes_kept[np.repeat(self.at[slot] - first, size) + place])
+        differ[np.searchsorted(first, unlike, "right") - 1] = True
+        return np.flatnonzero(differ)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after the other, each with `end` behind it, and how many ids each row has."""
         starts, ends = word_spans(data, offsets)
         hashes = span_hashes(data, starts, ends)
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > KEEP_WORDS:
+        if len(self.keys) + len(distinct) > KEEP_WORDS or self.bytes_used > KEEP_BYTES:
             self.forget()
         at = np.searchsorted(self.keys, distinct)
         new = np.flatnonzero((at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != distinct)) if len(self.keys) else np.arange(len(distinct))
         if len(new):
-            words = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            self.learn(distinct[new], words)
+            self.learn(distinct[new], [data[a:b].tobytes() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
         slot = np.searchsorted(self.keys, distinct)[back]
-        counts, sources = self.count[slot].astype(np.int64), self.start[slot].astype(np.int64)
+        counts, sources = self.count[slot], self.start[slot]
+        if len(bad := self.others(slot, data, starts, ends)):
+            sources[bad], counts[bad] = self.store([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[bad].tolist(), ends[bad].tolist(), strict=True)])
         row_words = np.searchsorted(starts, offsets)  # words before each row
         before = np.concatenate([[0], np.cumsum(counts)])
         row_ids = before[row_words[1:]] - before[row_words[:-1]] + 1

@@ -223,6 +223,32 @@ def test_word_encoder_is_the_tokenizer(texts):
             assert ids[at[k - a] : at[k - a + 1]].tolist() == [*ids_of(odd[k]), 2]
 
 
+def test_word_encoder_tells_colliding_words_apart(monkeypatch):
+    """With a hash that is the same for all words of a length, the ids are still the tokenizer's."""
+    monkeypatch.setattr(tokens, "span_hashes", lambda data, a, b: (b - a).astype(np.uint64))
+    some = ["one two six ten", "two one ten", "three seven eight", "a bee sea two"]
+    e = tokens.WordEncoder(tokenizer_path())
+    for part in (some[:2], some[2:], some):
+        raw = [t.encode() for t in part]
+        ids, n = e.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]), 2)
+        assert ids.tolist() == [x for t in part for x in [*ids_of(t), 2]] and n.tolist() == [len(ids_of(t)) + 1 for t in part]
+
+
+def test_token_shards_spread_one_key(spark):
+    """Rows of one id, null ids and copies: every row has a range of its own, in ascending ids, over several shards."""
+    texts = ["alpha beta"] * 40 + [f"word {k}" for k in range(20)] + ["last"]
+    docs = spark.createDataFrame([*[(None if k % 2 else 5, t) for k, t in enumerate(texts[:-1])], (9, "last")], "doc_id long, text string")
+    from corpusmill.llm.shared import new_path
+
+    folder = new_path(spark, "tokens")
+    index = token_output.write_tokens(docs, folder, tokenizer_path(), shard_bytes=60)
+    assert index.filter("doc_id = 5").select("shard").distinct().count() > 2
+    got = sorted(token_output.read_tokens(index, folder).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got[:-1]])) and len(got) == len(texts)
+    assert [r.doc_id for r in got] == [None] * 30 + [5] * 30 + [9]
+    assert Counter(r.ids_crc32 for r in got) == Counter(crc([*ids_of(t), 2]) for t in texts)
+
+
 def test_token_shards(spark, texts, empty):
     got = {r.doc_id: r for r in token_output.token_round_trip(frame(spark, texts), tokenizer_path()).collect()}
     start = 0
@@ -242,7 +268,9 @@ def test_wavelet_matrix(n):
         places = np.random.default_rng(1).integers(0, n, 50)
         assert (m.access(places) == ids[places]).all()
         for t in {int(ids[0]), int(ids[-1]), 49407}:
-            assert m.count(t, n // 4, n) == int((ids[n // 4 :] == t).sum()) and sorted(m.find(t).tolist()) == np.flatnonzero(ids == t).tolist()
+            assert m.count(t, n // 4, n) == int((ids[n // 4 :] == t).sum()) and m.find(t).tolist() == np.flatnonzero(ids == t).tolist()
+            assert m.find(t, n // 3, n // 2).tolist() == [k for k in range(n // 3, n // 2) if ids[k] == t]
+            assert [m.nth(t, k) for k in range(3)] == [*np.flatnonzero(ids == t)[:3].tolist(), None, None, None][:3]
 
 
 def test_packing(spark, texts, empty):
