@@ -296,13 +296,47 @@ def test_packing(spark, texts, empty):
 
 
 def test_packing_windows_hold_the_shares(spark):
-    docs = frame(spark, [" ".join(["word"] * 50)] * 1200, ["a", "a", "b"])
-    got = packing.pack(docs, tokenizer_path(), length=64, window=20).collect()
-    per = defaultdict(Counter)
-    for r in got:
-        per[r.round][r.source] += r.length
-    for k in range(1, max(per)):
-        assert abs(per[k]["a"] / sum(per[k].values()) - 2 / 3) < 0.06
+    """Every sequence holds each of 20 sources at its share, a hot one with a third included, but for less than two units."""
+    r = random.Random(6)
+    names = ["hot"] * 10 + [f"s{k}" for k in range(19)]
+    docs = frame(spark, [" ".join(["word"] * r.randrange(20, 700)) for _ in range(2900)], names)
+    got = packing.pack(docs, tokenizer_path()).collect()
+    ids, per = Counter(), defaultdict(Counter)
+    for x in got:
+        per[x.sequence_id][x.source] += x.length
+        ids[x.source] += x.length
+    total = sum(ids.values())
+    for k in range(max(per)):
+        for s, n in ids.items():
+            share = 2048 * n / total
+            assert abs(per[k][s] - share) < 2 * max(64, share), (k, s)
+        assert len(per[k]) == 20 and 400 < per[k]["hot"] < 1100
+
+
+def test_packing_shares_what_a_dry_source_leaves(spark):
+    """A source without a target comes last; when one runs out, the others share the windows by their targets."""
+    docs = frame(spark, [" ".join(["word"] * 200)] * 1200, ["a", "a", "b", "c", "d", None])
+    got = packing.pack(docs, tokenizer_path(), targets={"a": 2, "b": 2, "c": 1, "gone": 5}).collect()
+    per, last = defaultdict(Counter), {}
+    for x in got:
+        per[x.sequence_id][x.source] += x.length
+        last[x.source] = max(last.get(x.source, 0), x.sequence_id)
+    assert len(got) >= 1200 and last["b"] < last["a"] and min(x.sequence_id for x in got if x.source in ("d", None)) >= last["c"]
+    assert max(x.round for x in got) < 400
+    dry = range(last["b"] + 1, min(last["a"], last["c"]))  # a and c by 2 : 1, units of 819 and 410 ids
+    assert len(dry) > 10 and all(abs(per[k]["a"] - 2048 * 2 / 3) < 820 and abs(per[k]["c"] - 2048 / 3) < 410 for k in dry)
+    assert abs(sum(per[k]["a"] for k in dry) / (2048 * len(dry)) - 2 / 3) < 0.02
+    for k in range(last["b"]):
+        assert abs(per[k]["a"] - per[k]["b"]) < 500
+
+
+def test_packing_repeated_ids_and_one_source(spark):
+    docs = spark.createDataFrame([(None if k % 2 else 3, None if k % 3 else "same words here", "s") for k in range(300)], "doc_id long, text string, source string")
+    got = packing.pack(docs, tokenizer_path(), length=64).collect()
+    n = 100 * (len(ids_of("same words here")) + 1) + 200
+    assert sum(x.length for x in got) == n and max(x.sequence_id for x in got) == (n - 1) // 64
+    seen = sorted((x.sequence_id * 64 + x.offset, x.length) for x in got)
+    assert all(a + k == b for (a, k), (b, _) in zip(seen, seen[1:])) and seen[0][0] == 0
 
 
 def test_pii_base(spark):
