@@ -408,6 +408,31 @@ def test_licenses(spark, texts, empty):
     assert licenses.scan_licenses(empty).collect() == []
 
 
+@pytest.mark.parametrize(("line", "labels", "score"), [
+    ("SPDX-License-Identifier: MIT. This file is part of Foo", "mit", 1.0),
+    ("<!-- SPDX-License-Identifier: MIT -->", "mit", 1.0),
+    ("/* SPDX-License-Identifier: (GPL-2.0-only OR Apache-2.0) AND CC-BY-4.0 */ int x;", "apache,cc-by,gpl", 0.9),
+    ("# SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0, see the file", "gpl", 0.4),
+    ("SPDX-License-Identifier: LicenseRef-Own-1 OR 0BSD or", "bsd,licenseref-own-1", 1.0),
+    ("SPDX-License-Identifier: see the file", "", 0.5),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this", "mit", 1.0),
+    ("under a Creative Commons Attribution-NonCommercial license", "cc-by-nc", 0.1),
+])
+def test_licence_expressions(line, labels, score):
+    got = licenses.scan(line.encode(), licenses.automaton())
+    assert (got[5], got[6]) == (labels, pytest.approx(score))
+
+
+def test_licence_scan_is_linear():
+    """Two megabytes of phrases in seconds: hits are neither recounted nor compared with each other."""
+    import time
+
+    began = time.process_time()
+    assert licenses.scan(b"mit license or " * 120_000, licenses.automaton())[5:7] == ("mit", 1.0)
+    got = licenses.scan(b"mit license then " * 120_000, licenses.automaton())
+    assert (got[0], got[1], got[2], got[3], got[5]) == (360_000, 120_000, 0, 359_997, "mit") and time.process_time() - began < 10
+
+
 def test_shunting_yard():
     assert licenses.shunting_yard("a or b and c with d".split()) == ["a", "b", "c", "d", "with", "and", "or"]
     assert licenses.shunting_yard("( a or b ) and ( c".split()) == ["a", "b", "or", "c", "and"] and licenses.shunting_yard(["and", ")", "or"]) == []
@@ -432,6 +457,11 @@ def test_media(spark, texts, empty):
         raw = (t or "").encode()
         p = raw + b" " * (-len(raw) % 192 if raw else 192)
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+        stored, n = media.container(p), len(p) // 192
+        assert (got[i].media_bytes, got[i].media_sha256, got[i].codec, got[i].duration_s) == (len(stored), hashlib.sha256(stored).hexdigest(), "raw ", pytest.approx(len(p) / 8000))
+        front = len(stored) - len(p)
+        assert [(k.offset, k.bytes) for k in got[i].keyframes] == [(front + 192 * j, 192) for j in range(0, n, 16)] and got[i].n_keyframes == len(got[i].keyframes)
+        assert got[i].feature == f"codec=raw;duration={len(p)}/8000;samples={n};chunks={-(-n // 32)};keyframes={-(-n // 16)};first_key={front}+192"
     assert media.read_media(media.store_media(empty)).collect() == []
     whole = media.container(b"x" * 192 * 50)
     found = media.parse(whole)
@@ -439,6 +469,37 @@ def test_media(spark, texts, empty):
     assert media.parse(whole[:100]) is None and media.parse(b"") is None
 
 
+@pytest.mark.parametrize("kind", [b"stts", b"stss", b"stsc", b"stsz", b"stco", b"mdhd", b"stsd"])
+def test_broken_containers_give_nulls(spark, kind):
+    """Any table's count or first value set to a wrong number: nulls, never an error or a great array."""
+    whole = media.container(bytes(range(192)) * 70)
+    at = whole.index(kind) + 4
+    some = []
+    for place in range(at, min(at + 24, len(whole) - 4)):
+        for value in (0, 1, 2, 77, 2**30, 2**32 - 1):
+            some.append(whole[:place] + value.to_bytes(4, "big") + whole[place + 4 :])
+    for m in some:
+        found = media.parse(m)
+        assert found is None or len(media.stored_bytes(m, found)) <= len(m)
+    n = at + (8 if kind == b"stsz" else 4)  # the count
+    if kind not in (b"mdhd", b"stsd"):
+        assert media.parse(whole[:n] + (2**30).to_bytes(4, "big") + whole[n + 4 :]) is None
+    rows = spark.createDataFrame([(k, 1, bytearray(m)) for k, m in enumerate([*some[:20], b"", whole])] + [(99, 1, None)], "doc_id long, n_bytes long, media binary")
+    got = media.read_media(rows).collect()
+    assert len(got) == 23 and sum(r.payload_bytes == 192 * 70 for r in got) >= 1
+
+
+def test_tracks_are_not_mixed():
+    """A track without sample tables before the one that has them; a clock of 0 gives no duration."""
+    whole = media.container(b"x" * 192 * 5)
+    at = whole.index(b"trak") - 4
+    empty_track = media.box(b"trak", media.box(b"mdia", media.full(b"mdhd", bytes(16))))
+    start = whole.index(b"moov") - 4
+    size = int.from_bytes(whole[start : start + 4], "big") + len(empty_track)
+    more = whole[:start] + size.to_bytes(4, "big") + whole[start + 4 : at] + empty_track + whole[at:]
+    assert media.parse(more)["clock"] == 8000 and len(media.parse(more)["sizes"]) == 5
+
+
 def test_quality_classifier_learns(spark, empty):
     r = random.Random(4)
     good = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(40)) + "."
