@@ -4,8 +4,10 @@ Shallow trees are grown in numpy on random parts of a bounded sample of labelled
 conjunctive rule; a logistic regression with an L1 penalty keeps few of them, and the kept rules and weights become one
 column expression, which Spark evaluates over all documents.
 
-Defined cases: a null or empty text has all statistics 0 and gets a score like any other; without labels (or with one
-class only) every score is the share of label 1, or 0.5; repeated rows give equal scores.
+Defined cases: a null or empty text has no words and gets a score like any other; where no rule can be made (no labels,
+one class only, too few labelled rows to part, or rows with equal statistics) every score is the smoothed share of label
+1, 0.5 without labels; repeated rows give equal scores, and labels repeated with other values count as they stand; a null
+key is not held out and never learned from; only the key and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -118,9 +120,10 @@ def lasso_logistic(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 40
 
 def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 0.001, seed: int = 11) -> tuple[float, list[tuple[float, Rule]]]:
     """Intercept, and (weight, rule) of the rules kept."""
+    share = (y.sum() + 1) / (len(y) + 2)
+    alone = float(np.log(share / (1 - share))), []
     if len(y) == 0 or y.min() == y.max():
-        share = (y.sum() + 1) / (len(y) + 2)
-        return float(np.log(share / (1 - share))), []
+        return alone
     r = np.random.default_rng(seed)
     rules: dict[Rule, None] = {}
     for _ in range(trees):
@@ -135,6 +138,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, pen
             seen.add(mark)
             found.append(rule)
             hits.append(hit)
+    if not found:
+        return alone
     intercept, w = lasso_logistic(np.array(hits, np.float64).T, y, penalty)
     return intercept, [(float(v), q) for v, q in zip(w, found, strict=True) if abs(v) > 1e-4]
 

@@ -515,6 +515,47 @@ def test_quality_classifier_learns(spark, empty):
     assert {x.score for x in quality_classifier.score_quality(docs, labels.limit(0)).select(F.round("score", 6).alias("score")).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("n", [2, 8, 40])
+def test_quality_classifier_without_rules(spark, n):
+    """Both labels, but too few rows for a split, or rows with equal statistics: the share of label 1 for all."""
+    docs = frame(spark, ["the same words"] * n)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    known = [i for i in range(n) if zlib.crc32(str(i).encode()) % 5]
+    got = quality_classifier.score_quality(docs, labels).collect()
+    assert len(got) == n and {round(x.score, 6) for x in got} == {round((sum(i % 2 for i in known) + 1) / (len(known) + 2), 6)}
+
+
+def test_compiled_rules_are_the_rules(spark, texts):
+    """The compiled column against the rules applied in numpy, and the statistics against plain Python."""
+    stats = quality_classifier.with_statistics(frame(spark, texts), "doc_id", "text")
+    rows = stats.orderBy("doc_id").toPandas()
+    names = [c for c in rows.columns if c.startswith("s_")]
+    for i, t in enumerate(texts):
+        t = t or ""
+        w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", t) if x]
+        lines = t.split("\n")
+        x = rows.loc[i]
+        assert (x.s_chars, x.s_words, x.s_lines) == (len(t), len(w), len(lines)) and x.s_distinct_words == pytest.approx(len(set(w)) / max(1, len(w)))
+        assert x.s_digits == pytest.approx(sum(c in "0123456789" for c in t) / max(1, len(t))) and x.s_bars_a_word == pytest.approx(t.count("|") / max(1, len(w)))
+    x = rows[names].to_numpy()
+    y = (x[:, names.index("s_words")] > 40).astype(float)
+    intercept, rules = quality_classifier.fit_rules(x, y)
+    assert rules and 0 < len(rules) < 200
+    total = intercept + sum(w * quality_classifier.covered(x, rule) for w, rule in rules)
+    got = stats.select("doc_id", quality_classifier.compiled(intercept, rules, names).alias("score")).orderBy("doc_id").toPandas()
+    assert np.allclose(got["score"], 1 / (1 + np.exp(-total))) and ((got["score"] > 0.5) == (y > 0)).mean() > 0.98
+
+
+def test_lasso_keeps_few_rules():
+    """The proximal gradient's optimum: gradients of weights at 0 stay within the penalty, others meet it."""
+    r = np.random.default_rng(0)
+    a = (r.random((300, 30)) < 0.4).astype(float)
+    y = (r.random(300) < 1 / (1 + np.exp(-(3 * a[:, 0] - 3 * a[:, 1])))).astype(float)
+    b, w = quality_classifier.lasso_logistic(a, y, 0.02, 3000)
+    g = a.T @ (1 / (1 + np.exp(-(a @ w + b))) - y) / 300
+    assert (np.abs(g[w == 0]) <= 0.02 + 1e-4).all() and np.allclose(g[w != 0], -0.02 * np.sign(w[w != 0]), atol=1e-3) and (w == 0).sum() > 10
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     """Five stages on a small table against what they must give."""
     import corpus_pipeline
