@@ -4,11 +4,13 @@ Each source's documents, in a hashed order, are cut into blocks of about `block_
 weight w (a fraction), block i (from 0) of a source is released at floor(i / w) and due at ceil((i + 1) / w). As the
 weights sum to 1, earliest-deadline-first over the released blocks meets all deadlines, so while every source has blocks
 each is within less than one block of its share at each slot, however long the input. The schedule is made once over all
-blocks on the driver, with a heap of a row a source, and written in parts: its size is the number of blocks, one for
-`block_chars` characters. A source that has run out leaves slots empty. Sources with the weight 0 come after all others,
+blocks on the driver, with a heap of a row a source, and written in parts. A block has `block_chars` characters, or as
+many more as keep the blocks at about `most_blocks`, so the driver's work is bounded at any size of the input and the
+mixture is as fine in proportion. A source that has run out leaves slots empty. Sources with the weight 0 come after all others,
 in proportion to their characters. Nothing is dropped or repeated: the mixture is an order.
 
-Defined cases: a null source is a source of its own; null and empty texts weigh one character; an empty table gives an
+Defined cases: a null source is a source of its own; null and empty texts weigh one character; rows repeated with one id,
+or without one, have a place each; a text longer than a block lies in the block where it starts; an empty table gives an
 empty result; only the key, source and text are read, so other columns can't clash.
 """
 
@@ -95,15 +97,15 @@ def schedule_of(spark: SparkSession, sizes: dict[str | None, int], weights: dict
     return spark.read.schema(SCHEDULE).parquet(path), at
 
 
-def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", targets: dict | None = None, temper: float = 0.7, block_chars: int = 20_000, period: int = 1_000) -> DataFrame:
+def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", targets: dict | None = None, temper: float = 0.7, block_chars: int = 20_000, most_blocks: int = 1_000_000) -> DataFrame:
     """One row per document row: key, source, n_chars, block, release_slot, deadline_slot, slot, position (0-based in the mixture).
 
     targets: weight by source (0 where missing: after all others); else the sources' characters to the power `temper`.
-    period: without effect, as the schedule is not periodic; kept for callers.
     """
     base = docs.select(F.col(key), F.col(source).cast("string").alias("source"), characters(text).alias("n_chars"))
     base = written(base, "mix-sizes")
     sizes = dict(base.groupBy("source").agg(F.sum("n_chars")).collect())  # a row a source
+    block_chars = max(block_chars, -(-sum(sizes.values()) // most_blocks))
     n = pieces(base.count())
     placed = running_start(base.withColumn("_piece", F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(n))), "n_chars", "start", [key], ["source"], "_piece")
     placed = placed.withColumn("block", F.floor(F.col("start") / block_chars))

@@ -4,8 +4,9 @@ A document has fixed rules (`base_failed`) and softer ones (`soft_failed`). Fail
 `source` column), each host's rate is shrunk by a beta prior fitted to all hosts by moments, and a document of a host
 with a bad verdict has to pass the softer rules as well. Clean documents stay, whatever their host.
 
-Defined cases: a null or empty text has no words and fails; null hosts form one host; an empty table gives an empty
-result; other columns of the input are kept out of the way by taking only the id, host and text.
+Defined cases: a null or empty text has no words and fails; null hosts form one host; rows repeated with one id, or
+without one, are judged one by one; texts of any length are read whole; an empty table gives an empty result; other
+columns of the input are kept out of the way by taking only the id, host and text.
 """
 
 from __future__ import annotations
@@ -58,11 +59,12 @@ def rule_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     )
 
 
-def host_verdicts(stats: DataFrame, host: str = "_host", failed: str = "failed", margin: float = 2.0) -> DataFrame:
+def host_verdicts(stats: DataFrame, host: str = "_host", failed: str = "failed", margin: float = 2.0, least_rate: float = 0.05) -> DataFrame:
     """(host, n, failures, shrunk_rate, bad): a beta prior from the hosts' moments, weighted by their documents.
 
-    A host is bad if its shrunk rate is over `margin` times the mean rate. With no spread between hosts beyond chance the
-    prior has great weight and no host is bad. The prior's two numbers come from one aggregate over hosts.
+    A host is bad if its shrunk rate is over `margin` times the mean rate of all other hosts' documents, so a hot host does
+    not hide itself, and at least `least_rate`. With no spread between hosts beyond chance the prior has great weight and
+    no host is bad, nor is one that stands alone. The prior's two numbers come from one aggregate over hosts.
     """
     by = written(stats.groupBy(host).agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("long")).alias("failures")), "hosts")
     rate = F.col("failures") / F.col("n")
@@ -72,9 +74,11 @@ def host_verdicts(stats: DataFrame, host: str = "_host", failed: str = "failed",
     chance = mean * (1 - mean) * F.col("_hosts") / F.col("_n")  # what binomial noise alone gives
     between = F.greatest(spread - chance, mean * (1 - mean) * 1e-4)
     weight = F.coalesce(F.greatest(F.try_divide(mean * (1 - mean), between) - 1, F.lit(1.0)), F.lit(1.0))
-    mean, weight = prior.select(mean, weight).first()
+    mean, weight, total, fails = prior.select(mean, weight, "_n", "_f").first()
     shrunk = (F.col("failures") + F.lit(mean) * F.lit(weight)) / (F.col("n") + F.lit(weight))
-    return by.select(host, "n", "failures", shrunk.alias("shrunk_rate"), (shrunk > margin * F.lit(mean)).alias("bad"))
+    others = F.try_divide(F.lit(fails) - F.col("failures"), F.lit(total) - F.col("n"))
+    bad = F.coalesce((shrunk > margin * others) & (shrunk >= least_rate), F.lit(False))
+    return by.select(host, "n", "failures", shrunk.alias("shrunk_rate"), bad.alias("bad"))
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", margin: float = 2.0) -> DataFrame:

@@ -6,8 +6,9 @@ offset, joins near ranges into one read, and takes the records out.
 
 Of records with equal payloads (by SHA-1) the one with the largest page id is the response, the others are revisits.
 
-Defined cases: a null html is an empty payload and takes part like others; a null URL writes no target; a null page id
-never wins against a number and is written without id; rows repeated with the same id and payload are all responses.
+Defined cases: a null html is an empty payload and takes part like others; a null URL writes no target, line ends in one
+are percent-encoded; a null page id never wins against a number and is written without id; rows repeated with the same
+id and payload are all responses; very long pages are one record each; an empty table writes nothing.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ READ = "page_id long, payload_bytes long, payload_digest string, record_type str
 #: A file is closed beyond this; ranges with smaller gaps are read at once, up to so many bytes.
 FILE_BYTES, GAP, READ_BYTES = 256 << 20, 64 << 10, 8 << 20
 DATE = "2024-01-01T00:00:00Z"
+#: Line ends can't stand in a header.
+BREAKS = {10: "%0A", 13: "%0D"}
 
 
 def open_folder(path: str):
@@ -44,7 +47,7 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, kind:
     """One gzip member with a WARC record; a revisit has no payload but says the length of what it refers to."""
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + " ".join(url.split()))
+        lines.append("WARC-Target-URI: " + url.translate(BREAKS))
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (b"" if kind == "revisit" else payload)
@@ -145,7 +148,10 @@ def read_warc(index: DataFrame, folder: str) -> DataFrame:
             yield table(out, READ)
 
     wanted = index.select("file", "offset", "length")
-    wanted = wanted.withColumn("_range", F.floor(F.col("offset") / (16 * READ_BYTES))).repartition("file", "_range").sortWithinPartitions("file", "offset").drop("_range")
+    # The index is small beside the archives, so the number of tasks follows the records' bytes, not its own.
+    tasks = -(-(wanted.agg(F.sum("length")).first()[0] or 0) // (4 * READ_BYTES))
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks)
+    wanted = wanted.withColumn("_range", F.floor(F.col("offset") / (16 * READ_BYTES))).repartition(tasks, "file", "_range").sortWithinPartitions("file", "offset").drop("_range")
     return wanted.mapInArrow(job, READ)
 
 
