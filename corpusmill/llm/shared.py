@@ -22,8 +22,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders that this process has made below the shared one.
+MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def remove_made(spark: SparkSession, since: int) -> None:
+    """Deletes the folders made since MADE had that length; for when nothing will read them any more."""
+    for path in MADE[since:]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del MADE[since:]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

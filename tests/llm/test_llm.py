@@ -705,14 +705,80 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert kept == {*range(30), 34}
     assert got.count() >= 31 and got.agg(F.max("sequence_id")).first()[0] >= 0
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    before = list(shared.MADE)
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    assert [x.rsplit("/", 1)[1].split("-")[0] for x in shared.MADE[len(before) :]] == ["stage"] * 5  # only the stages' tables are left
 
 
-def test_near_duplicate_stage_keeps_rows_without_id(spark):
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, position long, mark_a string, row_mark int, `a.b` string"
+
+
+def documents(spark, rows):
+    """(doc_id, text, source) as documents with extra columns of clashing names."""
+    return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t), False, 7, str(k % 2), 3, "x") for k, (i, t, s) in enumerate(rows)], DOCS)
+
+
+def kept_rows(df):
+    return sorted(((r.doc_id, r.text, r.source) for r in df.collect()), key=str)
+
+
+def test_quality_stage(spark):
+    import corpus_pipeline
+
+    good, other = " ".join(f"word{k}" for k in range(30)), " ".join(f"plain{k}" for k in range(30))
+    rows = [(1, good, "a"), (1, "too short", "a"), (1, other, None), (None, good, "b"), (None, None, "b"), (2, "", "b"), (3, "a b c d e " * 20, "a"), (None, good, "b"), (4, other + " end" * 100_000, "a"), (5, other, None)]
+    df = documents(spark, rows)
+    got = corpus_pipeline.keep_quality(spark, df, "")
+    assert got.columns == df.columns and kept_rows(got) == sorted([rows[0], rows[2], rows[3], rows[7], rows[9]], key=str)
+    assert corpus_pipeline.keep_quality(spark, df.limit(0), "").collect() == []
+
+
+def test_near_duplicate_stage(spark):
+    """Repeated and null ids: nothing but duplicates goes, and one row of each group stays."""
     import corpus_pipeline
 
-    docs = spark.createDataFrame([(None, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (2, "a b c d e f g", None)], "doc_id long, text string, kept_id string")
-    assert sorted(str(r.doc_id) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) in (["1", "None"], ["None"])
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    near = text("n").replace("n30", "changed")
+    rows = [(1, text("a"), "s"), (1, text("b"), "s"), (1, text("a"), "s"), (None, text("c"), None), (None, text("d"), None), (None, text("n"), "s"), (9, near, "s"), (7, text("n"), "t"), (None, None, None), (None, None, "u"), (5, "", None), (6, "", "s"), (2**63 - 1, text("e"), "s")]
+    df = documents(spark, rows)
+    got = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    found = kept_rows(got)
+    assert got.columns == df.columns and len(found) == 9
+    assert Counter((i, t) for i, t, _ in found) == Counter([(1, text("a")), (1, text("b")), (None, text("c")), (None, text("d")), (7, text("n")), (None, None), (5, ""), (6, ""), (2**63 - 1, text("e"))])
+    assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), "").collect() == []
+
+
+def test_masking_stage(spark, tagger, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "mask_pii", lambda docs: pii.mask_pii(docs, tagger=tagger))
+    rows = [(1, "mail x1@mail.example.com now", "a"), (1, "no data here", None), (None, None, "b"), (2, "", "b"), (3, "lorem " * 20_000 + "10.1.2.3", "b"), (1, "mail x1@mail.example.com now", "a")]
+    df = documents(spark, rows)
+    got = corpus_pipeline.mask_personal_data(spark, df, "")
+    assert got.columns == df.columns and kept_rows(got) == sorted([(1, "mail [EMAIL] now", "a"), rows[1], rows[2], rows[3], (3, "lorem " * 20_000 + "[IP]", "b"), (1, "mail [EMAIL] now", "a")], key=str)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.collect())
+    assert corpus_pipeline.mask_personal_data(spark, df.limit(0), "").collect() == []
+
+
+def test_mixing_and_packing_stages(spark, tmp_path, texts):
+    import corpus_pipeline
+
+    rows = [*[(i, t, ["a", None, "b"][i % 3]) for i, t in enumerate(texts)], (1, "another text", "a"), (None, "one", None), (None, "one", None), (None, None, "b"), (2**63 - 1, "last", "b")]
+    df = documents(spark, rows)
+    got = corpus_pipeline.mix_to_weights(spark, df, "")
+    assert got.columns == df.columns and kept_rows(got) == sorted(rows, key=str)
+    got.write.parquet(f"{tmp_path}/mixed")
+    packed = corpus_pipeline.pack_sequences(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
+    ids = Counter()
+    for x in packed:
+        ids[x.doc_id] += x.length
+    want = Counter()
+    for i, t, _ in rows:
+        want[i] += len(ids_of(t)) + 1
+    assert ids == want
+    none = df.limit(0)
+    corpus_pipeline.mix_to_weights(spark, none, "").write.parquet(f"{tmp_path}/none")
+    assert corpus_pipeline.pack_sequences(spark, spark.read.parquet(f"{tmp_path}/none"), "").collect() == []
 
 
 def test_pipeline_packs_by_the_mixture(spark, tmp_path):
