@@ -151,6 +151,23 @@ def test_bad_host_is_stricter(spark):
     assert r.filter("host = 'h3' and not soft_failed and not kept").count() == 0 and r.filter("host = 'h3' and soft_failed and kept").count() == 0
 
 
+@pytest.mark.parametrize("name", ["op7_warc", "op9_quality_rules"])
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    from corpusmill.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    ours, theirs = queries.QUERIES[name](spark, sf), con.execute(queries.ORACLE_SQL[name])
+    names = sorted(c[0] for c in theirs.description)
+    assert names == sorted(ours.columns)
+    place = [[c[0] for c in theirs.description].index(n) for n in names]
+    assert sorted((tuple(r[n] for n in names) for r in ours.collect()), key=str) == sorted((tuple(r[k] for k in place) for r in theirs.fetchall()), key=str)
+
+
 @pytest.mark.parametrize("share", [3, 2])
 def test_hot_junk_host_is_bad(spark, share):
     """A host with a third or half of all rows, all of them junk, does not hide itself behind its own mean."""
