@@ -82,6 +82,29 @@ def table_markdown(tables: DataFrame) -> DataFrame:
     return tables.withColumn("_w", width).withColumn("markdown", F.array_join(F.concat(F.array(line(names), rule), body), "\n")).drop("_w")
 
 
+def structural_sections(blocks: DataFrame) -> DataFrame:
+    """(doc_id, section, page, block_type, heading_path, text, blocks): runs of blocks of one page and type between headings.
+
+    blocks: doc_id, page, block_order, kind, text. Blocks without text give none. A heading's number (1.2.3) says its level.
+    """
+    mark = F.regexp_replace("text", r"^#{1,6}\s+", "")
+    head = (F.col("kind") == "heading") | F.coalesce(F.col("text").rlike(r"^#{1,6}\s+"), F.lit(False))
+    kind = F.when(F.col("kind").isin("list", "table", "caption", "figure", "footnote", "reference"), F.col("kind")).otherwise("paragraph")
+    order = Window.partitionBy("doc_id").orderBy("page", "block_order")
+    b = blocks.withColumn("_head", F.coalesce(head, F.lit(False))).withColumn("_heads", F.sum(F.col("_head").cast("int")).over(order)).withColumn("block_type", kind)
+    level = F.size(F.split(F.regexp_extract(F.trim(mark), r"^(\d+(?:\.\d+)*)", 1), r"\."))
+    titles = b.filter(F.col("_head") & (F.trim(mark) != "")).select("doc_id", "_heads", level.alias("level"), F.trim(mark).alias("title"))
+    titles = titles.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("_heads", "level", "title"))).alias("_titles"))  # a document's headings
+    body = b.filter(~F.col("_head") & (F.coalesce("text", F.lit("")) != ""))
+    same = (F.lag("page").over(order) == F.col("page")) & (F.lag("_heads").over(order) == F.col("_heads")) & (F.lag("block_type").over(order) == F.col("block_type"))
+    body = body.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("section", F.sum("_new").over(order) - 1)
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("block_order", "text"))), lambda x: x["text"])
+    sections = body.groupBy("doc_id", "section", "page", "block_type", "_heads").agg(F.array_join(texts, "\n").alias("text"), F.count("*").alias("blocks")).filter(F.trim("text") != "")
+    none = F.array().cast("array<string>")
+    path = F.aggregate(F.filter(F.coalesce("_titles", F.array().cast("array<struct<_heads:bigint,level:int,title:string>>")), lambda t: t["_heads"] <= F.col("_heads")), none, lambda p, t: F.array_append(F.slice(p, 1, t["level"] - 1), t["title"]))
+    return sections.join(titles, "doc_id", "left").select("doc_id", "section", "page", "block_type", path.alias("heading_path"), "text", "blocks")
+
+
 def section_ends(sections: DataFrame, pages: DataFrame) -> DataFrame:
     """end_page: the page before the next section, not before the start; the last one ends with the document. pages: (doc_id, page_count)."""
     w = Window.partitionBy("doc_id").orderBy("start_page", "section_id")

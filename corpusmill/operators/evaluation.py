@@ -114,10 +114,14 @@ def dataset_health(coverage: Column, duplicates: Column, drift: Column) -> Colum
     return F.round(0.45 * coverage + 0.30 * (1 - duplicates) + 0.25 * (1 - drift), 6)
 
 
+def match_runs(a: DataFrame, b: DataFrame, key: str = "case_key") -> DataFrame:
+    """Cases of two runs by key, in any order; cases that only one has drop out. Columns are a.* and b.*."""
+    return a.alias("a").join(b.alias("b"), key)
+
+
 def compare_cases(a: DataFrame, b: DataFrame, key: str = "case_key") -> DataFrame:
     """Matched by key: fixed, new_failure, regressed, improved, unchanged, and whether a critical case got worse."""
-    x, y = a.alias("a"), b.alias("b")
-    j = x.join(y, key)
+    j = match_runs(a, b, key)
     delta = F.col("b.overall_score") - F.col("a.overall_score")
     change = (
         F.when(~F.col("a.passed") & F.col("b.passed"), "fixed").when(F.col("a.passed") & ~F.col("b.passed"), "new_failure")
@@ -216,6 +220,142 @@ def mine_candidates(new: DataFrame, vectors: DataFrame, known: DataFrame, same:
     return j.withColumn("outcome", F.when(F.col("similarity") >= same, "duplicate").when(F.col("similarity") >= near, "clustered").otherwise("novel"))
 
 
+def prefix_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of unit vectors that can reach the cosine `least`; vectors are rows (id, bucket, weight).
+
+    Buckets are ordered by how many vectors they have, rare ones first. Of each vector only the first buckets count, up to
+    where the rest's norm is under `least`: vectors without a common one there have a smaller product.
+    """
+    both = left.unionByName(right)
+    size = both.groupBy(F.col("bucket").alias("_b")).agg(F.count("*").alias("_size"))
+    before = Window.partitionBy("id").orderBy("_size", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rest = 1 - F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(before), F.lit(0.0))
+    heads = lambda v: v.join(size, F.col("bucket") == F.col("_b")).withColumn("_rest", rest).filter(F.col("_rest") >= least * least - 1e-9).select("id", "bucket")
+    return heads(left).withColumnRenamed("id", "a").join(heads(right).withColumnRenamed("id", "b"), "bucket").select("a", "b").distinct()
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of all pairs at `least` or over, exact on the candidates of `prefix_pairs`."""
+    pairs = prefix_pairs(left, right, least)
+    x = pairs.join(left.select(F.col("id").alias("a"), "bucket", F.col("weight").alias("wa")), "a")
+    j = x.join(right.select(F.col("id").alias("b"), "bucket", F.col("weight").alias("wb")), ["b", "bucket"])
+    return j.groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def near_duplicate_pairs(vectors: DataFrame, least: float = 0.92) -> DataFrame:
+    """(a, b, similarity): pairs a < b of one table's vectors."""
+    return similar_pairs(vectors, vectors, least).filter("a < b")
+
+
+def nearest(new: DataFrame, known: DataFrame, least: float = 0.72) -> DataFrame:
+    """(a, b, similarity): each new vector's most similar known one at `least` or over, ties by id."""
+    order = Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b")
+    return similar_pairs(new, known, least).filter("a <> b").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+
+
+def run_aggregate(results: DataFrame) -> DataFrame:
+    """(measure, value): each metric's mean over the cases that have it, pass rate, latency by nearest rank, totals and counts.
+
+    results: scores (map of doubles), passed, latency, tokens, cost, calls, steps, error.
+    """
+    ranks = {f"latency_p{int(100 * p)}": nearest_rank("latency", p) for p in (0.5, 0.95, 0.99)}
+    flat = {"pass_rate": F.avg(F.col("passed").cast("double")), "latency_mean": F.avg("latency"), **ranks} | {n: F.sum(n) for n in ("tokens", "cost", "calls", "steps")}
+    flat |= {"errors": F.count_if(F.col("error")), "valid": F.count_if(~F.coalesce(F.col("error"), F.lit(False)))}
+    one = results.agg(*[c.cast("double").alias(n) for n, c in flat.items()])
+    totals = one.select(F.explode(F.create_map(*[x for n in flat for x in (F.lit(n), F.col(n))])).alias("measure", "value"))
+    means = results.select(F.explode("scores").alias("measure", "value")).filter("value is not null").groupBy(F.concat(F.lit("mean_"), "measure").alias("measure")).agg(F.avg("value").alias("value"))
+    return totals.unionByName(means)
+
+
+def retrieval_monitor(traces: DataFrame, n: int = 200) -> DataFrame:
+    """(measure, value) over the newest n traces: counts by status, average evidence, p95 latency at index floor(0.95 n).
+
+    traces: trace_id, ts, status, evidence, latency.
+    """
+    some = traces.orderBy(F.col("ts").desc(), F.col("trace_id").desc()).limit(n)
+    status = some.groupBy(F.concat(F.lit("status_"), "status").alias("measure")).agg(F.count("*").cast("double").alias("value"))
+    average = some.agg(F.avg("evidence").alias("value")).select(F.lit("average_evidence").alias("measure"), "value")
+    late = index_percentile(some.withColumn("_all", F.lit(1)), ["_all"], "latency", 0.95).select(F.lit("latency_p95").alias("measure"), F.col("value").cast("double").alias("value"))
+    return status.unionByName(average).unionByName(late)
+
+
+def suite_averages(metrics: DataFrame, names: list[str], by: str = "suite") -> DataFrame:
+    """One row a suite: its cases, and the mean of each metric over the cases that have it."""
+    return metrics.groupBy(by).agg(F.count("*").alias("cases"), *[F.avg(n).alias(n) for n in names])
+
+
+def variant_benchmark(cases: DataFrame) -> DataFrame:
+    """(variant, cases, recall_at_5, recall_at_10, mrr): texts ranked by the share of the query's tokens that they hold.
+
+    cases: variant, case_id, query, doc, text, place, relevant; ties go to the earlier place.
+    """
+    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"(?U)[\w\u207a]+"), F.lit(0)))
+    share = F.size(F.array_intersect(tokens("query"), tokens("text"))) / F.greatest(F.size(tokens("query")), F.lit(1))
+    order = Window.partitionBy("variant", "case_id").orderBy(F.col("_share").desc(), "place")
+    ranked = cases.withColumn("_share", share).withColumn("rank", F.row_number().over(order)).filter("relevant")
+    first = ranked.groupBy("variant", "case_id").agg(F.min("rank").alias("rank"))
+    return first.groupBy("variant").agg(F.count("*").alias("cases"), *[F.avg((F.col("rank") <= k).cast("double")).alias(f"recall_at_{k}") for k in (5, 10)], F.avg(1 / F.col("rank")).alias("mrr"))
+
+
+#: Words of a question that don't count.
+QUESTION_WORDS = """的 了 是 在 什么 怎么 如何 哪些 请 帮 我 你 吗 呢 吧 啊 the a an is are was were what how why when where which please help can could would should""".split()
+_HAN = "[\u4e00-\u9fff]"
+
+
+def _words(text: Column, marks: str) -> Column:
+    """Words between blanks, without the marks at their ends."""
+    cut = rf"^[{marks}]+|[{marks}]+$"
+    return F.filter(F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(w, cut, "")), lambda w: w != "")
+
+
+def _grams(text: Column, least: int = 2) -> Column:
+    """Runs of two and three characters of each run of Han characters that has at least so many."""
+    blocks = F.regexp_extract_all(text, F.lit(rf"{_HAN}{{{least},}}"), F.lit(0))
+    some = lambda b, n: F.when(F.length(b) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(b) - n + 1, F.lit(1))), lambda i: F.substr(b, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(blocks, lambda b: F.concat(some(b, 2), some(b, 3))))
+
+
+def faithfulness(answer: Column, context: Column) -> Column:
+    """Share of an answer's numbers, quotes and capitalised words that the context holds; without any, of its sentences of which a fifth of the key words are held."""
+    held = F.lower(context)
+    inside = lambda x: F.contains(held, x)
+    numbers = F.array_distinct(F.regexp_extract_all(answer, F.lit(r"(?U)\b\d+(?:\.\d+)?%?\b"), F.lit(0)))
+    quotes = F.array_distinct(F.regexp_extract_all(answer, F.lit('"([^"]+)"'), F.lit(1)))
+    names = F.array_distinct(F.transform(F.filter(_words(answer, r",.!?;:()\[\]{}\""), lambda w: (F.length(w) > 3) & w.rlike(r"^\p{Lu}")), F.lower))
+    claims = F.concat(F.transform(numbers, F.lower), F.transform(quotes, F.lower), names)
+    sentences = F.filter(F.transform(F.split(answer, r"[.!?\n]"), F.trim), lambda x: x != "")
+    key = lambda x: F.concat(F.filter(F.transform(F.split(F.lower(x), r"\s+"), lambda w: F.translate(w, ".,!?;:()[]", "")), lambda w: F.length(w) > 3), F.filter(_grams(F.lower(x)), inside))
+    told = F.filter(sentences, lambda x: (F.size(key(x)) == 0) | (F.size(F.filter(key(x), inside)) >= 0.2 * F.size(key(x))))
+    rest = F.when(F.size(sentences) == 0, 1.0).otherwise(F.size(told) / F.size(sentences))
+    share = F.when(F.size(claims) > 0, F.size(F.filter(claims, inside)) / F.size(claims)).otherwise(rest)
+    return F.when((F.coalesce(answer, F.lit("")) == "") | context.isNull(), 0.0).otherwise(share)
+
+
+def relevancy(question: Column, answer: Column) -> Column:
+    """Share of a question's words, Han runs and their parts that the answer holds; 1 where nothing is asked for."""
+    q, a = F.lower(question), F.lower(answer)
+    stop = F.array(*[F.lit(w) for w in QUESTION_WORDS])
+    words = F.filter(_words(q, r".,!?;:'()\[\]"), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    blocks = F.regexp_extract_all(q, F.lit(f"{_HAN}{{2,}}"), F.lit(0))
+    asked = F.array_distinct(F.concat(words, blocks, F.filter(_grams(q), lambda g: ~F.array_contains(stop, g))))
+    share = F.when(F.size(asked) == 0, 1.0).otherwise(F.size(F.filter(asked, lambda w: F.contains(a, w))) / F.size(asked))
+    return F.when((F.coalesce(question, F.lit("")) == "") | (F.coalesce(answer, F.lit("")) == ""), 0.0).otherwise(share)
+
+
+def token_f1(answer: Column, expected: Column) -> Column:
+    """F1 of the two sets of words: runs of a-z, and what stands between blanks and stops, two characters at least."""
+    units = lambda c: F.array_distinct(F.concat(F.regexp_extract_all(c, F.lit(r"(?U)\b[a-z]+\b"), F.lit(0)), F.filter(F.split(c, r"(?U)[\s,，。.!?！？、；;：:]+"), lambda w: F.length(w) > 1)))
+    x, y = units(F.lower(F.trim(answer))), units(F.lower(F.trim(expected)))
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), 2 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))).when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(0.0)
+
+
+def correctness(answer: Column, expected: Column) -> Column:
+    """1 for equal texts, else 0.4 F1 of their words and 0.4 of their longest common subsequence's share."""
+    x, y = F.lower(F.trim(answer)), F.lower(F.trim(expected))
+    empty = (F.coalesce(answer, F.lit("")) == "") | (F.coalesce(expected, F.lit("")) == "")
+    return F.when(empty, 0.0).when(x == y, 1.0).otherwise(0.4 * token_f1(answer, expected) + 0.4 * longest_common_share(x, y))
+
+
 def longest_common_share(a: Column, b: Column) -> Column:
     """Longest common subsequence of characters over the longer text's length; each row's table is one row wide."""
     return F.pandas_udf(_longest_common_share, "double")(a, b)
@@ -224,15 +364,19 @@ def longest_common_share(a: Column, b: Column) -> Column:
 def _longest_common_share(a: pd.Series, b: pd.Series) -> pd.Series:
 
     def one(x: str | None, y: str | None) -> float:
+        """By rows of bits: a bit stands for a character of y, and is cleared where the subsequence grows."""
         x, y = x or "", y or ""
         if not x or not y:
             return float(x == y)
-        row = [0] * (len(y) + 1)
+        places: dict[str, int] = {}
+        for k, c in enumerate(y):
+            places[c] = places.get(c, 0) | 1 << k
+        full = (1 << len(y)) - 1
+        row = full
         for c in x:
-            last = 0
-            for j, d in enumerate(y, 1):
-                last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
-        return row[-1] / max(len(x), len(y))
+            hit = row & places.get(c, 0)
+            row = (row + hit | row - hit) & full
+        return (len(y) - row.bit_count()) / max(len(x), len(y))
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 

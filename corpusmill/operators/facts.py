@@ -34,7 +34,7 @@ def decide_write(candidates: DataFrame, least_confidence: float = 0.6, least_imp
 def merge_changes(changes: DataFrame, days: int = 90) -> DataFrame:
     """Versions of each key from its changes in order of time: runs of one value are one version (slowly changing dimension, type 2).
 
-    changes: KEY, value, source_type, confidence, ts. A change from a low-trust source that contradicts is `disputed`
+    changes: KEY, value, source_type, confidence, importance, ts; a version has the greatest confidence and importance. A change from a low-trust source that contradicts is `disputed`
     and doesn't move the active version; the last undisputed version is active until it expires.
     """
     c = changes.withColumn("trusted", trust(F.col("source_type")) != "low")
@@ -45,11 +45,11 @@ def merge_changes(changes: DataFrame, days: int = 90) -> DataFrame:
     c = c.withColumn("disputed", ~F.col("trusted") & ~F.col("_first") & (F.col("value") != F.col("_active")))
     c = c.withColumn("_new", (~F.col("disputed") & (F.col("_first") | (F.col("value") != F.col("_active")))).cast("int"))
     c = c.withColumn("version", F.sum("_new").over(w))
-    kept = c.filter(~F.col("disputed")).groupBy(*KEY, "version").agg(F.max("value").alias("value"), F.min("ts").alias("valid_from"), F.max("ts").alias("last_seen"), F.max("confidence").alias("confidence"), F.count("*").alias("sources"))
+    kept = c.filter(~F.col("disputed")).groupBy(*KEY, "version").agg(F.max("value").alias("value"), F.min("ts").alias("valid_from"), F.max("ts").alias("last_seen"), F.max("confidence").alias("confidence"), F.max("importance").alias("importance"), F.count("*").alias("sources"))
     after = Window.partitionBy(*KEY).orderBy("version")
     kept = kept.withColumn("valid_to", F.lead("valid_from").over(after)).withColumn("status", F.when(F.col("valid_to").isNull(), "active").otherwise("superseded"))
     kept = kept.withColumn("expires_at", F.col("last_seen") + F.expr(f"interval {days} days"))
-    lost = c.filter("disputed").select(*KEY, "version", "value", F.col("ts").alias("valid_from"), F.col("ts").alias("last_seen"), "confidence", F.lit(1).cast("long").alias("sources"), F.lit(None).cast("timestamp").alias("valid_to"), F.lit("disputed").alias("status"), (F.col("ts") + F.expr(f"interval {days} days")).alias("expires_at"))
+    lost = c.filter("disputed").select(*KEY, "version", "value", F.col("ts").alias("valid_from"), F.col("ts").alias("last_seen"), "confidence", "importance", F.lit(1).cast("long").alias("sources"), F.lit(None).cast("timestamp").alias("valid_to"), F.lit("disputed").alias("status"), (F.col("ts") + F.expr(f"interval {days} days")).alias("expires_at"))
     return kept.unionByName(lost)
 
 

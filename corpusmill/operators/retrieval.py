@@ -51,18 +51,59 @@ def scope_filter(chunks: DataFrame, scope: DataFrame, tenant: int | None = None)
     return kept.join(scope.select("kb_id").distinct(), "kb_id", "left_semi")
 
 
-def exact_topk(terms: DataFrame, chunks: DataFrame, k: int = 10, col: str = "content") -> DataFrame:
+def contained(texts: DataFrame, phrases: DataFrame, most: int = 100_000) -> DataFrame:
+    """(chunk_id, phrase): which phrases stand in which texts, each pair once; texts: chunk_id, _text.
+
+    One automaton over the distinct phrases reads each text once, whatever their number; phrases come in blocks of at most
+    `most`, each of which reads the texts once.
+    """
+    p = phrases.filter("phrase <> ''").select("phrase").distinct()
+    first = p.limit(most + 1).toPandas()["phrase"].tolist()
+    parts = -(-4 * p.count() // (3 * most)) if len(first) > most else 1
+    out = None
+    for part in range(parts):
+        block = first if parts == 1 else p.filter(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == part).toPandas()["phrase"].tolist()
+        found = texts.select("chunk_id", "_text").mapInPandas(_phrase_job(block), "chunk_id long, phrase string")
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
+def _phrase_job(block: list[str]):
+    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for phrase in block:
+            found.add_word(phrase, phrase)
+        if block:
+            found.make_automaton()
+        for b in batches:
+            rows = [(k, x) for k, t in zip(b["chunk_id"], b["_text"], strict=True) if block and t for x in {x for _, x in found.iter(t)}]
+            yield pd.DataFrame(rows, columns=["chunk_id", "phrase"])
+
+    return job
+
+
+def lowered(chunks: DataFrame, col: str) -> DataFrame:
+    return chunks.select("chunk_id", F.lower(F.coalesce(F.col(col), F.lit(""))).alias("_text"))
+
+
+def exact_topk(terms: DataFrame, chunks: DataFrame, k: int = 10, col: str = "content", metadata: list[str] = (), most_terms: int = 20) -> DataFrame:
     """(query_id, route, rank, chunk_id, score): share of a query's terms that the text holds, letter case aside.
 
-    The queries' distinct terms are few by contract (at most 20 each); each text is tested once for each distinct term.
+    terms: query_id, term and, where a query has more than one, pos, their order: the first 20 distinct ones count.
+    metadata: array columns of chunks (entities, keywords, codes); a chunk that holds a term only there scores 0.
     """
-    trimmed = terms.select("query_id", F.lower(F.trim("term")).alias("term")).filter("term <> ''").distinct()
-    ranked = trimmed.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("term"))).filter("_n <= 20").drop("_n")
+    pos = F.col("pos") if "pos" in terms.columns else F.lit(0)
+    trimmed = terms.select("query_id", F.lower(F.trim("term")).alias("term"), pos.alias("pos")).filter("term <> ''").groupBy("query_id", "term").agg(F.min("pos").alias("pos"))
+    ranked = trimmed.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("pos", "term"))).filter(F.col("_n") <= most_terms).drop("_n", "pos")
     total = ranked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    distinct = ranked.select("term").distinct()
-    lowered = chunks.select("chunk_id", F.lower(F.coalesce(F.col(col), F.lit(""))).alias("_text"))
-    hits = lowered.join(distinct, F.col("_text").contains(F.col("term"))).select("chunk_id", "term")
-    scored = hits.join(ranked, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits")).join(total, "query_id")
+    phrases = ranked.select(F.col("term").alias("phrase"))
+    hits = contained(lowered(chunks, col), phrases).withColumn("hit", F.lit(1))
+    if metadata:
+        held = chunks.select("chunk_id", F.lower(F.concat_ws("\n", *[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in metadata])).alias("_text"))
+        hits = hits.unionByName(contained(held, phrases).withColumn("hit", F.lit(0)))
+    scored = hits.withColumnRenamed("phrase", "term").join(ranked, "term").groupBy("query_id", "chunk_id").agg(F.sum("hit").alias("hits")).join(total, "query_id")
     return rank_routes(scored.select("query_id", F.lit("exact").alias("route"), "chunk_id", (F.col("hits") / F.col("n_terms")).alias("score")), k)
 
 
@@ -86,8 +127,8 @@ def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, col: str = "
     held = placed.groupBy("chunk_id", "term").agg(F.min("pos").alias("pos"))
     full = held.join(asked, "term").groupBy("query_id", "chunk_id", "need").agg(F.count("*").alias("got"), F.min("pos").alias("a"), F.max("pos").alias("b")).filter("got = need")
     dense = full.select("query_id", "chunk_id", (F.col("need") / (F.col("b") - F.col("a") + 1)).alias("density"))
-    whole = chunks.select("chunk_id", F.lower(F.coalesce(F.col(col), F.lit(""))).alias("_text"))
-    inside = whole.join(queries.select("query_id", F.lower(F.trim("query")).alias("_q")).filter("_q <> ''"), F.col("_text").contains(F.col("_q"))).select("query_id", "chunk_id", F.lit(0.5).alias("bonus"))
+    said = queries.select("query_id", F.lower(F.trim("query")).alias("phrase"))
+    inside = contained(lowered(chunks, col), said).join(said, "phrase").select("query_id", "chunk_id", F.lit(0.5).alias("bonus"))
     scored = dense.join(inside, ["query_id", "chunk_id"], "full").select("query_id", F.lit("sparse").alias("route"), "chunk_id", (F.coalesce("density", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))).alias("score"))
     return rank_routes(scored, k)
 
@@ -265,13 +306,21 @@ def dynamic_k(queries: DataFrame, cap: int = 8, col: str = "query") -> DataFrame
     return queries.withColumn("k", F.least(F.lit(cap), F.when(F.col(col).rlike(wide), 12).when(F.col(col).rlike(some), 8).otherwise(5)))
 
 
-def budget_select(ranked: DataFrame, k: int, most_tokens: int, keep: int = 60) -> DataFrame:
-    """In order of rank: take what fits, pass over what doesn't, the first always, at most k. A fold over at most `keep` rows a query."""
-    top = ranked.filter(F.col("rank") <= keep).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", F.col("tokens").cast("long").alias("tokens")))).alias("rows"))
-    fold = f"""aggregate(rows, named_struct('used', 0L, 'taken', cast(array() as array<struct<rank:int,chunk_id:bigint,tokens:bigint>>)),
+def budget_select(ranked: DataFrame, k: int, most_tokens: int) -> DataFrame:
+    """In order of rank: take what fits, pass over what doesn't, the first always, at most k.
+
+    Where `own_tokens` is given, a first item over the budget counts with its own content instead of its context's, and
+    `own` says so. The fold runs over all rows of a query, as many as its routes were asked for.
+    """
+    own = F.coalesce(F.col("own_tokens").cast("long"), F.col("tokens").cast("long")) if "own_tokens" in ranked.columns else F.col("tokens").cast("long")
+    first = Window.partitionBy("query_id").orderBy("rank")
+    falls = (F.row_number().over(first) == 1) & (F.col("tokens") > most_tokens) & (own < F.col("tokens"))
+    rows = ranked.withColumn("own", falls).withColumn("tokens", F.when(F.col("own"), own).otherwise(F.col("tokens").cast("long")))
+    top = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "chunk_id", "tokens", "own"))).alias("rows"))
+    fold = f"""aggregate(rows, named_struct('used', 0L, 'taken', cast(array() as array<struct<rank:int,chunk_id:bigint,tokens:bigint,own:boolean>>)),
         (st, x) -> if(size(st.taken) < {k} and (size(st.taken) = 0 or st.used + x.tokens <= {most_tokens}),
-            named_struct('used', st.used + x.tokens, 'taken', array_append(st.taken, named_struct('rank', x.rank, 'chunk_id', x.chunk_id, 'tokens', x.tokens))), st), st -> st.taken)"""
-    return top.select("query_id", F.posexplode(F.expr(fold)).alias("place", "x")).select("query_id", (F.col("place") + 1).alias("place"), "x.rank", "x.chunk_id", "x.tokens")
+            named_struct('used', st.used + x.tokens, 'taken', array_append(st.taken, named_struct('rank', x.rank, 'chunk_id', x.chunk_id, 'tokens', x.tokens, 'own', x.own))), st), st -> st.taken)"""
+    return top.select("query_id", F.posexplode(F.expr(fold)).alias("place", "x")).select("query_id", (F.col("place") + 1).alias("place"), "x.rank", "x.chunk_id", "x.tokens", "x.own")
 
 
 def overlap_score(query: Column, text: Column) -> Column:
@@ -409,6 +458,16 @@ def evidence_basis(evidence: DataFrame) -> DataFrame:
     return rows.select("answer_id", F.concat(F.lit("basis_"), F.substring(F.sha2(F.to_json(F.transform("rows", lambda x: F.struct(x["evidence_id"], x["hash"]))), 256), 1, 20)).alias("basis_id"))
 
 
+def order_variants(variants: DataFrame, preferred: str) -> tuple[DataFrame, DataFrame]:
+    """An answer's variants, the preferred style first, then by id; and the answers whose variants rest on different bases.
+
+    variants: answer_id, variant_id, style, basis_id.
+    """
+    order = Window.partitionBy("answer_id").orderBy(F.coalesce(F.col("style") != preferred, F.lit(True)), "variant_id")
+    mixed = variants.groupBy("answer_id").agg(F.count_distinct("basis_id").alias("n")).filter("n > 1").select("answer_id")
+    return variants.join(mixed, "answer_id", "left_anti").withColumn("place", F.row_number().over(order)), mixed
+
+
 def verify_evidence(evidence: DataFrame, least_overlap: float = 0.08, least_score: float = 0.2) -> DataFrame:
     """Evidence with injected lines neutralised and a reason to reject, or null. evidence: query, text, score."""
     injected = F.lower(F.coalesce("text", F.lit(""))).rlike("(?i)" + tx.INJECTION)

@@ -115,9 +115,9 @@ def ag9_metric_provenance(spark: SparkSession, sf: str) -> DataFrame:
     return ev.aggregate_metrics(e, ["event_type"]).withColumn("mean", F.round("mean", 4))
 
 
-@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_discount), 6) AS mean FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(round(l_discount * 100)::BIGINT) / count(*) / 100, 6) AS mean FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
 def ag11_category_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 6).alias("mean"))
+    return table(spark, sf, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum(F.round(F.col("l_discount") * 100).cast("long")) / F.count("*") / 100, 6).alias("mean"))
 
 
 @query("""SELECT o_orderpriority AS variant, count(*) AS rows, round(avg(o_totalprice), 4) AS price, NULL::DOUBLE AS partial FROM orders GROUP BY 1""")

@@ -44,6 +44,22 @@ def validate_cases(cases: DataFrame) -> DataFrame:
     return cases.select("id", F.explode(rules).alias("violation")).unionByName(repeated).unionByName(versions)
 
 
+def validate_run(rows: DataFrame) -> DataFrame:
+    """(case_id, violation) of captured executions: case_id, status, answer, final_answer, retrieved_evidence, tool_calls.
+
+    retrieved_evidence: structs with evidence_id and content; tool_calls: structs with name, arguments and status.
+    """
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    rules = F.array_compact(F.array(
+        F.when(blank(F.col("case_id")), F.lit("no case_id")), F.when(F.col("status").isNull(), F.lit("no status")), F.when(F.coalesce("answer", "final_answer").isNull(), F.lit("no answer")),
+        F.when(F.col("retrieved_evidence").isNull(), F.lit("no evidence list")), F.when(F.col("tool_calls").isNull(), F.lit("no tool list")),
+        F.when(F.exists("retrieved_evidence", lambda e: e.isNull() | blank(e["evidence_id"]) | e["content"].isNull()), F.lit("bad evidence")),
+        F.when(F.exists("tool_calls", lambda c: c.isNull() | c["name"].isNull() | c["arguments"].isNull() | c["status"].isNull()), F.lit("bad tool call")),
+    ))
+    repeated = rows.filter(~blank(F.col("case_id"))).groupBy("case_id").agg(F.count("*").alias("n")).filter("n > 1").select("case_id", F.lit("repeated case_id").alias("violation"))
+    return rows.select("case_id", F.explode(rules).alias("violation")).unionByName(repeated)
+
+
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of the files' bytes."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
@@ -54,6 +70,21 @@ def replace_chunks(chunks: DataFrame, path: str, key: str = "doc_bucket") -> Non
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
+def unlike_counts(spark: SparkSession, path: str, chunks: DataFrame, by: str = "doc_id", vector: str | None = None) -> DataFrame:
+    """(by, written, wanted): documents of `chunks` whose chunks below `path`, those with a vector where one is named, are not as many."""
+    there = spark.read.parquet(path)
+    there = there.filter(F.col(vector).isNotNull()) if vector else there
+    got = there.groupBy(F.col(by).alias("_k")).agg(F.count("*").alias("written"))
+    want = chunks.groupBy(by).agg(F.count("*").alias("wanted"))
+    return want.join(got, F.col(by) == F.col("_k"), "left").select(by, F.coalesce("written", F.lit(0)).alias("written"), "wanted").filter("written <> wanted")
+
+
+def keep_reviews(new: DataFrame, before: DataFrame, by: str = "doc_id") -> DataFrame:
+    """new with review_status: an approved one survives a re-run, all others stand as computed."""
+    old = before.filter("review_status = 'approved'").select(F.col(by).alias("_k")).distinct()
+    return new.join(old, F.col(by) == F.col("_k"), "left").withColumn("review_status", F.when(F.col("_k").isNotNull(), "approved").otherwise(F.col("review_status"))).drop("_k")
+
+
 def replace_layers(layers: dict[str, DataFrame], top: str, key: str = "doc_bucket") -> None:
     for name, df in layers.items():
         replace_chunks(df, f"{top}/{name}", key)
