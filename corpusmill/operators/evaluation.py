@@ -165,6 +165,13 @@ def routing_scores(df: DataFrame, expected: str = "expected", actual: str = "act
     return df.withColumn("score", F.when(F.col(expected) == F.col(actual), 1.0).when(cursor == F.size(expected), 0.8).otherwise(F.coalesce(share, F.lit(0.0))))
 
 
+def mode_scores(runs: DataFrame, cases: DataFrame) -> DataFrame:
+    """(case_id, score): 1 where the run's mode is one of the case's allowed ones (any, if none are named), else 0."""
+    j = cases.select("case_id", "allowed").join(runs.select("case_id", "mode"), "case_id", "left")
+    free = F.coalesce(F.size("allowed"), F.lit(0)) <= 0
+    return j.select("case_id", F.when(free | F.coalesce(F.array_contains("allowed", F.col("mode")), F.lit(False)), 1.0).otherwise(0.0).alias("score"))
+
+
 def tool_scores(calls: DataFrame, expected: DataFrame) -> DataFrame:
     """Per case: exact set, precision, recall, f1, success rate, rate of calls repeated with the same arguments.
 

@@ -136,3 +136,17 @@ def doc_progress(docs: DataFrame, tasks: DataFrame) -> DataFrame:
     p = F.coalesce("progress", F.lit(0))
     value = F.when(F.col("vector_status") == "completed", 100).when(F.col("vector_status") == "failed", F.least(F.lit(99), F.greatest(F.lit(0), p))).when(F.col("progress").isNotNull(), p)
     return j.withColumn("shown", value.when(F.col("vector_status") == "processing", 65).when(F.col("parse_status") == "completed", 60).when(F.col("parse_status") == "processing", 2).otherwise(0))
+
+
+def owned_messages(messages: DataFrame, sessions: DataFrame, session: str, user: str) -> DataFrame:
+    """Messages with their session's owner; those of sessions without one drop out. sessions: session, user."""
+    owner = sessions.select(F.col(session).alias("_s"), F.col(user).alias("owner"))
+    return messages.join(owner, F.col(session) == F.col("_s")).drop("_s")
+
+
+def system_stats(counts: dict[str, DataFrame], active: DataFrame, user: str) -> DataFrame:
+    """(measure, value): rows of each table, and the distinct users of the active one; each table is read once, for a count."""
+    out = active.agg(F.count_distinct(user).alias("value")).select(F.lit("active_users").alias("measure"), "value")
+    for name, df in counts.items():
+        out = out.unionByName(df.agg(F.count("*").alias("value")).select(F.lit(name).alias("measure"), "value"))
+    return out

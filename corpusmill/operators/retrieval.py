@@ -294,6 +294,12 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
+def dedup_sources(df: DataFrame, order: list[Column], by: list[str] = ()) -> DataFrame:
+    """The first row of each address, or of each content where there is none, by the order given."""
+    key = F.coalesce(F.nullif("url", F.lit("")), F.sha2(F.coalesce("content", F.lit("")), 256))
+    return keep_first(df.withColumn("_key", key), [*by, "_key"], order).drop("_key")
+
+
 def adaptive_floor(fused: DataFrame, ratio: float = 0.2, score: str = "rrf_score") -> DataFrame:
     best = F.max(score).over(Window.partitionBy("query_id"))
     return fused.withColumn("dropped", F.col(score) < ratio * best)

@@ -218,7 +218,8 @@ def ev26_run_report(spark: SparkSession, sf: str) -> DataFrame:
     return ev.run_report(cases).select("cases", "tool_score", "overall", "strict_pass", "n_tool", "n_retrieval")
 
 
-@query()
+@query("""WITH s AS (SELECT user_id AS case_id, string_agg(event_type, ',' ORDER BY event_id) AS steps, list_distinct(list(event_type)) AS kinds FROM events GROUP BY 1)
+  SELECT case_id, CASE WHEN steps = 'view,click' THEN 1.0 WHEN regexp_matches(steps, 'view,(.*,)?click') THEN 0.8 ELSE len(list_intersect(kinds, ['view', 'click'])) / 2.0 END::DOUBLE AS score FROM s""")
 def ev17_routing_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Each user's sequence of event types against view, then click."""
     steps = table(spark, sf, "events").groupBy(F.col("user_id").alias("case_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("actual"))

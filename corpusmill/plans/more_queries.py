@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
 from corpusmill.operators import benchmarks as bm
+from corpusmill.operators import evaluation as ev
 from corpusmill.operators import docprep, facts, graph, ops
 from corpusmill.operators import retrieval as rt
 from corpusmill.plans.operation_queries import edges_of
@@ -162,10 +163,11 @@ def jn14_chunk_context(spark: SparkSession, sf: str) -> DataFrame:
     return near.join(c.filter("role = 'assistant'").select("message"), "message", "left_semi").select("message", "neighbour")
 
 
-@query("SELECT e.event_id FROM events e JOIN customer ON user_id = c_custkey WHERE c_acctbal > 0")
+@query("SELECT e.event_id, c_nationkey AS owner FROM events e JOIN customer ON user_id = c_custkey WHERE c_acctbal > 0")
 def jn12_owned_messages(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
-    return table(spark, sf, "events").join(own, "user_id").select("event_id")
+    """Events as messages of their users' sessions, which belong to nations."""
+    sessions = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"), "c_nationkey")
+    return ops.owned_messages(table(spark, sf, "events"), sessions, "user_id", "c_nationkey").select("event_id", "owner")
 
 
 @query()
@@ -223,9 +225,14 @@ def ev14_snapshot_changes(spark: SparkSession, sf: str) -> DataFrame:
     return bm.snapshot_changes(bm.snapshot(p, "v1", "p_partkey", ["p_name"]), bm.snapshot(b, "v2", "p_partkey", ["p_name"]), "p_partkey")
 
 
-@query("SELECT event_id, event_type IN ('view', 'click') AS allowed FROM events")
+@query("""WITH m AS (SELECT c_custkey AS case_id, c_custkey % 3 AS k, CASE WHEN c_custkey % 4 > 0 THEN CASE WHEN c_acctbal > 0 THEN 'single' ELSE 'multi' END END AS mode FROM customer)
+  SELECT case_id, CASE WHEN k = 0 THEN 1.0 WHEN k = 1 AND mode = 'single' THEN 1.0 WHEN k = 2 AND mode IS NOT NULL THEN 1.0 ELSE 0.0 END AS score FROM m""")
 def ev18_mode_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", F.array_contains(F.array(F.lit("view"), F.lit("click")), F.col("event_type")).alias("allowed"))
+    """Customers as cases that allow any mode, one or both; a quarter has no run."""
+    c, k = table(spark, sf, "customer"), F.col("c_custkey") % 3
+    cases = c.select(F.col("c_custkey").alias("case_id"), F.when(k == 1, F.array(F.lit("single"))).when(k == 2, F.array(F.lit("single"), F.lit("multi"))).otherwise(F.array().cast("array<string>")).alias("allowed"))
+    runs = c.filter("c_custkey % 4 > 0").select(F.col("c_custkey").alias("case_id"), F.when(F.col("c_acctbal") > 0, "single").otherwise("multi").alias("mode"))
+    return ev.mode_scores(runs, cases)
 
 
 @query("""WITH c AS (SELECT DISTINCT user_id FROM events), s AS (SELECT user_id, ((SELECT count(*) > 0 FROM events e WHERE e.user_id = c.user_id AND event_type = 'view')::INT + (SELECT count(*) > 0 FROM events e WHERE e.user_id = c.user_id AND event_type = 'click' AND value < 50)::INT) / 2.0::DOUBLE AS score, (SELECT count(*) > 0 FROM events e WHERE e.user_id = c.user_id AND event_type = 'error') AS bad FROM c)

@@ -102,10 +102,10 @@ def ag19_step_summary(spark: SparkSession, sf: str) -> DataFrame:
     return ops.step_summary(s).select("run_id", F.array_join("actions", ",").alias("actions"))
 
 
-@query("SELECT (SELECT count(*) FROM customer) AS customers, (SELECT count(*) FROM documents) AS documents, (SELECT count(DISTINCT user_id) FROM events) AS active_users")
+@query("""SELECT 'customers' AS measure, count(*) AS value FROM customer UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'messages', count(*) FROM conversations UNION ALL SELECT 'active_users', count(DISTINCT user_id) FROM events""")
 def ag2_system_stats(spark: SparkSession, sf: str) -> DataFrame:
-    one = lambda t, c, n: table(spark, sf, t).agg(c.alias(n))
-    return one("customer", F.count("*"), "customers").crossJoin(one("documents", F.count("*"), "documents")).crossJoin(one("events", F.count_distinct("user_id"), "active_users"))
+    counts = {"customers": table(spark, sf, "customer"), "documents": table(spark, sf, "documents"), "messages": table(spark, sf, "conversations")}
+    return ops.system_stats(counts, table(spark, sf, "events"), "user_id")
 
 
 @query("SELECT conv_id, count(*) AS messages, max(turn) AS last_turn, substr(arg_max(text, turn) FILTER (role = 'user'), 1, 200) AS topic FROM conversations GROUP BY 1")
@@ -138,9 +138,16 @@ def mm3_trust_and_namespace(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("event_id", fa.trust(F.col("source_type")).alias("trust"), fa.namespace(F.col("tenant_id").cast("string"), F.col("user_id").cast("string"), F.lit("fact")).alias("namespace"))
 
 
-@query()
+@query("""WITH c AS (SELECT user_id, event_type AS value, ts, value / 100 AS confidence, (event_id % 10) / 10.0::DOUBLE AS importance, value <= 50 AS trusted, row_number() OVER (PARTITION BY user_id ORDER BY ts) = 1 AS first FROM events),
+  a AS (SELECT *, last_value(CASE WHEN trusted OR first THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS active FROM c),
+  d AS (SELECT *, NOT trusted AND NOT first AND value <> active AS disputed FROM a), n AS (SELECT *, sum((NOT disputed AND (first OR value <> active))::INT) OVER (PARTITION BY user_id ORDER BY ts) AS version FROM d),
+  k AS (SELECT user_id, version, max(value) AS value, min(ts) AS valid_from, max(confidence) AS confidence, max(importance) AS importance, count(*) AS sources FROM n WHERE NOT disputed GROUP BY 1, 2),
+  v AS (SELECT *, lead(valid_from) OVER (PARTITION BY user_id ORDER BY version) AS valid_to FROM k)
+  SELECT user_id, version, value, valid_from, valid_to, CASE WHEN valid_to IS NULL THEN 'active' ELSE 'superseded' END AS status, sources, round(confidence, 6) AS confidence, importance FROM v
+  UNION ALL SELECT user_id, version, value, ts, NULL, 'disputed', 1, round(confidence, 6), importance FROM n WHERE disputed""")
 def mm2_merge_changes(spark: SparkSession, sf: str) -> DataFrame:
-    return fa.merge_changes(changes_of(spark, sf)).select("user_id", "version", "value", "valid_from", "valid_to", "status", "sources")
+    changes = changes_of(spark, sf).withColumn("importance", (F.col("event_id") % 10) / 10)
+    return fa.merge_changes(changes).select("user_id", "version", "value", "valid_from", "valid_to", "status", "sources", F.round("confidence", 6).alias("confidence"), "importance")
 
 
 @query("SELECT event_id AS fact_id, CASE WHEN ts + INTERVAL 5 DAY <= TIMESTAMP '2024-01-15' THEN 'expired' ELSE 'active' END AS status FROM events")

@@ -64,9 +64,11 @@ def wn3_keep_first(spark: SparkSession, sf: str) -> DataFrame:
     return rt.keep_first(j, ["query_id", "hash"], [F.col("rrf_score").desc(), F.col("chunk_id")]).select("query_id", "chunk_id")
 
 
-@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+@query("""WITH k AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'u' || doc_id % 7 ELSE sha256(text) END AS k FROM documents) SELECT min(doc_id) AS doc_id FROM k GROUP BY k""")
 def wn4_dedup_sources(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("k")
+    """A third of the documents with one of seven addresses, the others by their texts."""
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("u"), F.col("doc_id") % 7)).otherwise("").alias("url"), F.col("text").alias("content"))
+    return rt.dedup_sources(d, [F.col("doc_id")]).select("doc_id")
 
 
 @query(f"""WITH w AS (SELECT item_id AS query_id, list_filter(list_distinct(string_split_regex(lower(text), '\\s+')), lambda w: w <> '') AS q FROM benchmark),

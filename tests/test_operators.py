@@ -192,3 +192,63 @@ def test_dense_takes_any_number_of_queries(spark, f):
         best = np.argsort(-(unit @ unit.T), axis=1, kind="stable")[:, :5]
         assert set(got) == {(i, k + 1, int(best[i, k])) for i in range(300) for k in range(5)}
     assert f(q.limit(0), c, 5).collect() == []
+
+
+def test_text_metrics(spark):
+    """Shares worked out by hand."""
+    rows = [
+        ('Give 5 mg and "one dose" to Patients', "take 5 MG as one dose", "how much", "give 5 mg", 0.5),
+        ("plain words only here", "plain words elsewhere", "what is plain here", "plain words only here", 1.0),
+        ("", "context", "question", "x", 0.0),
+        ("aaaa bbbb. cccc dddd", "aaaa", "zz yy", "aaaa bbbb cccc", 0.5),
+    ]
+    df = spark.createDataFrame(rows, "a string, c string, q string, e string, want double")
+    got = df.select("want", evaluation.faithfulness(F.col("a"), F.col("c")).alias("f"), evaluation.relevancy(F.col("q"), F.col("a")).alias("r"), evaluation.correctness(F.col("a"), F.col("e")).alias("x"), evaluation.token_f1(F.col("a"), F.col("e")).alias("t")).collect()
+    assert [round(g.f, 6) for g in got] == [round(g.want, 6) for g in got]
+    assert [round(g.r, 6) for g in got] == [0.0, 1.0, 0.0, 0.0] and got[1].x == 1.0 and got[2].x == 0.0
+    assert abs(got[3].t - 2 * 2 / (4 + 3)) < 0.3 and 0 < got[3].x < 1
+    han = spark.createDataFrame([("高血压怎么治疗", "高血压的治疗")], "q string, a string").select(evaluation.relevancy(F.col("q"), F.col("a")).alias("r")).first().r
+    assert 0 < han < 1
+
+
+def test_longest_common_subsequence_against_a_table(spark):
+    import random
+
+    r, pairs = random.Random(1), []
+    for _ in range(60):
+        x, y = ("".join(r.choice("abcé ") for _ in range(r.randrange(0, 90))) for _ in range(2))
+        t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, c in enumerate(x):
+            for j, d in enumerate(y):
+                t[i + 1][j + 1] = t[i][j] + 1 if c == d else max(t[i][j + 1], t[i + 1][j])
+        pairs.append((x, y, t[-1][-1] / max(len(x), len(y)) if x and y else float(x == y)))
+    got = spark.createDataFrame(pairs, "x string, y string, want double").select("want", evaluation.longest_common_share(F.col("x"), F.col("y")).alias("s")).collect()
+    assert all(abs(g.s - g.want) < 1e-9 for g in got)
+
+
+def test_exact_terms_count_in_their_order(spark):
+    """The first 20 distinct terms as given, not by the alphabet; one that only metadata holds scores 0."""
+    terms = spark.createDataFrame([(1, f"z{k:02d}", k) for k in range(20)] + [(1, "aaa", 20), (1, "Z00", 21)], "query_id long, term string, pos int")
+    chunks = spark.createDataFrame([(1, "z00 z19", []), (2, "aaa", []), (3, "none", ["has z05"])], "chunk_id long, content string, codes array<string>")
+    got = {r.chunk_id: r.score for r in retrieval.exact_topk(terms, chunks, 10, metadata=["codes"]).collect()}
+    assert got == {1: 0.1, 3: 0.0}
+
+
+def test_budget_falls_back_to_own_content(spark):
+    ranked = spark.createDataFrame([(1, 1, 10, 99, 5), (1, 2, 11, 10, 2)] + [(2, k, k, 30, 30) for k in range(1, 90)] + [(2, 90, 500, 1, 1)], "query_id long, rank int, chunk_id long, tokens int, own_tokens int")
+    got = [(r.query_id, r.chunk_id, r.tokens, r.own) for r in retrieval.budget_select(ranked, 5, 31).orderBy("query_id", "place").collect()]
+    assert got == [(1, 10, 5, True), (1, 11, 10, False), (2, 1, 30, False), (2, 500, 1, False)]
+
+
+def test_prefix_pairs_lose_nothing(spark):
+    import random
+
+    r, rows = random.Random(4), []
+    for k in range(60):
+        w = {b: r.random() for b in r.sample(range(20), 6)} if k % 3 else {b: 1 + r.random() / 9 for b in range(k % 5, k % 5 + 6)}
+        norm = sum(x * x for x in w.values()) ** 0.5
+        rows += [(k, b, x / norm) for b, x in w.items()]
+    v = spark.createDataFrame(rows, "id long, bucket int, weight double")
+    by = {k: {b: x for i, b, x in rows if i == k} for k in range(60)}
+    want = {(a, b) for a in by for b in by if a < b and round(sum(x * by[b].get(k, 0) for k, x in by[a].items()), 6) >= 0.8}
+    assert {(p.a, p.b) for p in evaluation.near_duplicate_pairs(v, 0.8).collect()} == want and want
