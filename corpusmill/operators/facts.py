@@ -34,9 +34,11 @@ def decide_write(candidates: DataFrame, least_confidence: float = 0.6, least_imp
 def merge_changes(changes: DataFrame, days: int = 90) -> DataFrame:
     """Versions of each key from its changes in order of time: runs of one value are one version (slowly changing dimension, type 2).
 
-    changes: KEY, value, source_type, confidence, importance, ts; a version has the greatest confidence and importance. A change from a low-trust source that contradicts is `disputed`
+    changes: KEY, value, source_type, confidence, importance (may be missing), ts; a version has the greatest confidence and importance. A change from a low-trust source that contradicts is `disputed`
     and doesn't move the active version; the last undisputed version is active until it expires.
     """
+    if "importance" not in changes.columns:
+        changes = changes.withColumn("importance", F.lit(None).cast("double"))
     c = changes.withColumn("trusted", trust(F.col("source_type")) != "low")
     w = Window.partitionBy(*KEY).orderBy("ts", "value")
     first = F.row_number().over(w) == 1
