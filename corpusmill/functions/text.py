@@ -83,16 +83,23 @@ def fold_blanks(text: Column) -> Column:
 
 
 def drop_line_runs(text: Column, most: int = 3) -> Column:
-    """Runs of at least `most` equal lines become one: a fold over lines that keeps (line, length of its run)."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("x"), F.lit(1).alias("n")))
-
-    def add(done: Column, line: Column) -> Column:
-        last = F.element_at(done, -1)
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["x"].alias("x"), (last["n"] + 1).alias("n"))))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["x"] == line["x"]), grown).otherwise(F.array_append(done, line))
-
-    folded = F.aggregate(lines, F.array().cast("array<struct<x:string,n:int>>"), add)
-    return F.array_join(F.flatten(F.transform(folded, lambda r: F.array_repeat(r["x"], F.when(r["n"] >= most, 1).otherwise(r["n"])))), "\n")
+    """Runs of at least `most` equal lines become one: each line is seen beside its neighbours, so time is linear in lines."""
+    lines = F.split(text, "\n")
+    none = F.lit(None).cast("string")
+    places = range(1 - most, most)
+    beside = [F.concat(F.array_repeat(none, -k), lines) if k < 0 else F.concat(F.slice(lines, k + 1, F.greatest(F.size(lines), F.lit(1))), F.array_repeat(none, k)) for k in places]
+
+    def keeps(x: Column) -> Column:
+        same = {k: F.coalesce(x[str(n)] == x[str(most - 1)], F.lit(False)) for n, k in enumerate(places)}
+        run = F.lit(False)
+        for first in range(1 - most, 1):  # the line lies in `most` equal ones that start there
+            whole = F.lit(True)
+            for k in range(first, first + most):
+                whole = whole & same[k]
+            run = run | whole
+        return x[str(most - 1)].isNotNull() & ~(same[-1] & run)
+
+    return F.array_join(F.transform(F.filter(F.arrays_zip(*beside), keeps), lambda x: x[str(most - 1)]), "\n")
 
 
 def clean_text(df: DataFrame, col: str = "text", remove_urls: bool = False) -> DataFrame:

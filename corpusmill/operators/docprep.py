@@ -164,6 +164,10 @@ CHUNKS = "doc_id long, chunk_index int, chunk_type string, parent_index int, sec
 _UNIT = re.compile(r"[㐀-鿿]|[A-Za-z0-9]+(?:[-'/][A-Za-z0-9]+)*|[^\sA-Za-z0-9㐀-鿿]")
 
 
+#: The least share of the limit at which a piece may end, the best one, the weight of the distance from it, and what a blank line is worth.
+LEAST_SHARE, BEST_SHARE, SHARE_WEIGHT, BLANK_LINE = 0.42, 0.78, 0.12, 0.35
+
+
 def _cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """Character ranges of pieces of at most `limit` units: a cut between 42 and 100 % of the limit, best near 78 % and where the topic changes."""
     units = [(m.start(), m.end()) for m in _UNIT.finditer(text)]
@@ -171,12 +175,12 @@ def _cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     out, a = [], 0
     while len(units) - a > limit:
         best, at = None, a + limit
-        for b in range(a + int(0.42 * limit), a + limit + 1):
+        for b in range(a + int(LEAST_SHARE * limit), a + limit + 1):
             gap = text[units[b - 1][1] : units[b][0]]
             if not ("\n" in gap or words[b - 1] in ".!?;。！？；"):
                 continue
             left, right = set(words[max(a, b - 24) : b]), set(words[b : b + 24])
-            score = len(left & right) / max(1, len(left | right)) + 0.12 * abs((b - a) / limit - 0.78) - 0.35 * ("\n\n" in gap)
+            score = len(left & right) / max(1, len(left | right)) + SHARE_WEIGHT * abs((b - a) / limit - BEST_SHARE) - BLANK_LINE * ("\n\n" in gap)
             if best is None or score < best:
                 best, at = score, b
         out.append((units[a][0], units[at - 1][1]))

@@ -252,3 +252,14 @@ def test_prefix_pairs_lose_nothing(spark):
     by = {k: {b: x for i, b, x in rows if i == k} for k in range(60)}
     want = {(a, b) for a in by for b in by if a < b and round(sum(x * by[b].get(k, 0) for k, x in by[a].items()), 6) >= 0.8}
     assert {(p.a, p.b) for p in evaluation.near_duplicate_pairs(v, 0.8).collect()} == want and want
+
+
+def test_line_runs_against_groups(spark):
+    import itertools
+    import random
+
+    r, texts = random.Random(2), ["", "a", "a\na", "a\na\na", "\n\n\n\nx", "a\na\na\nb\nb\na"]
+    texts += ["\n".join(r.choice(["a", "b", ""]) for _ in range(r.randrange(30))) for _ in range(80)]
+    want = ["\n".join(x for k, g in itertools.groupby(t.split("\n")) for x in (lambda g: g[:1] if len(g) >= 3 else g)(list(g))) for t in texts]
+    got = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", tx.drop_line_runs(F.col("t")).alias("t")).orderBy("id").collect()
+    assert [x.t for x in got] == want
