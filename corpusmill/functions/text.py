@@ -243,8 +243,14 @@ def target_url(url: Column) -> Column:
     return public_url(F.when(argument != "", F.try_url_decode(argument)).otherwise(url))
 
 
+#: How far a kind of source counts; others count 5.
+AUTHORITY = {"clinical_guideline": 10, "drug_label": 9, "fda": 9, "hospital_internal": 8, "pubmed": 8, "msd_manual": 7, "local_knowledge_base": 7}
+
+
 def authority(source: Column) -> Column:
-    return F.when(source == "guideline", 10).when(source.isin("label", "fda"), 9).when(source.isin("internal", "pubmed"), 8).when(source.isin("manual", "local"), 7).otherwise(5)
+    """A source without a kind is a local one."""
+    known = F.create_map(*[F.lit(x) for pair in AUTHORITY.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.coalesce(F.nullif(source, F.lit("")), F.lit("local_knowledge_base"))), F.lit(5))
 
 
 def fact_tokens(text: Column) -> Column:

@@ -181,7 +181,7 @@ def block_scores(ids: np.ndarray, unit: np.ndarray, chunks: DataFrame, k: int, c
                     rows = np.arange(a, min(a + 256, len(ids)))
                     if c is not None:
                         rows = rows[near[rows, c]]
-                    s = unit[rows] @ m[members].T
+                    s = np.round(unit[rows] @ m[members].T, 9)  # equal vectors tie wherever they stand in the product
                     best = best_columns(s, k)
                     found.append((np.repeat(rows, best.shape[1]), members[best.ravel()], np.take_along_axis(s, best, 1).ravel()))
                 row, column, score = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -276,9 +276,9 @@ def dense_topk_ann(queries: DataFrame, chunks: DataFrame, k: int = 10, recall: f
 
 
 def rrf(ranked: DataFrame, k: int = 60) -> DataFrame:
-    """(query_id, chunk_id, rrf_score, n_routes, first_route, best_score): sum of 1 / (k + rank)."""
+    """(query_id, chunk_id, rrf_score, n_routes, first_route, best_score, exact): sum of 1 / (k + rank), and the exact route's score or 0."""
     order = F.when(F.col("route") == "dense", 0).when(F.col("route") == "sparse", 1).otherwise(2)
-    return ranked.groupBy("query_id", "chunk_id").agg(F.sum(1 / (k + F.col("rank"))).alias("rrf_score"), F.count_distinct("route").alias("n_routes"), F.min_by("route", order).alias("first_route"), F.max("score").alias("best_score"))
+    return ranked.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / (k + F.col("rank"))), 12).alias("rrf_score"), F.count_distinct("route").alias("n_routes"), F.min_by("route", order).alias("first_route"), F.max("score").alias("best_score"), F.coalesce(F.max(F.when(F.col("route") == "exact", F.col("score"))), F.lit(0.0)).alias("exact"))
 
 
 def fuse_sources(groups: DataFrame, k: int = 60) -> DataFrame:
@@ -305,28 +305,35 @@ def adaptive_floor(fused: DataFrame, ratio: float = 0.2, score: str = "rrf_score
     return fused.withColumn("dropped", F.col(score) < ratio * best)
 
 
+#: Wordings that ask for 12 and for 8 chunks, and cues that a text goes on beside it.
+WIDE = r"比较|对比|综述|多文档|compare|review"
+SOME = r"禁忌|相互作用|说明书|剂量|drug"
+CONTINUED = r"上述|如下|见下|continued|表注"
+
+
 def dynamic_k(queries: DataFrame, cap: int = 8, col: str = "query") -> DataFrame:
     """How many chunks the wording of a query asks for: 12, 8 or 5, at most the cap."""
-    wide = r"(?i)compare|difference|versus|\bvs\b|比较|区别|对比|综述|overview"
-    some = r"(?i)\b(and|or|how|why|list)\b|哪些|如何|为什么|以及"
-    return queries.withColumn("k", F.least(F.lit(cap), F.when(F.col(col).rlike(wide), 12).when(F.col(col).rlike(some), 8).otherwise(5)))
+    return queries.withColumn("k", F.least(F.lit(cap), F.when(F.col(col).rlike("(?i)" + WIDE), 12).when(F.col(col).rlike("(?i)" + SOME), 8).otherwise(5)))
 
 
-def budget_select(ranked: DataFrame, k: int, most_tokens: int) -> DataFrame:
-    """In order of rank: take what fits, pass over what doesn't, the first always, at most k.
+def budget_select(ranked: DataFrame, k: int | str, most_tokens: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """In order of rank: take what fits, pass over what doesn't, the first always, at most k (a number, or the column that holds it).
 
     Where `own_tokens` is given, a first item over the budget counts with its own content instead of its context's, and
-    `own` says so. The fold runs over all rows of a query, as many as its routes were asked for.
+    `own` says so. The fold runs over all rows of a query, as many as its routes were asked for; `carry` names the (small)
+    columns that go through it.
     """
     own = F.coalesce(F.col("own_tokens").cast("long"), F.col("tokens").cast("long")) if "own_tokens" in ranked.columns else F.col("tokens").cast("long")
     first = Window.partitionBy("query_id").orderBy("rank")
     falls = (F.row_number().over(first) == 1) & (F.col("tokens") > most_tokens) & (own < F.col("tokens"))
-    rows = ranked.withColumn("own", falls).withColumn("tokens", F.when(F.col("own"), own).otherwise(F.col("tokens").cast("long")))
-    top = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "chunk_id", "tokens", "own"))).alias("rows"))
-    fold = f"""aggregate(rows, named_struct('used', 0L, 'taken', cast(array() as array<struct<rank:int,chunk_id:bigint,tokens:bigint,own:boolean>>)),
-        (st, x) -> if(size(st.taken) < {k} and (size(st.taken) = 0 or st.used + x.tokens <= {most_tokens}),
-            named_struct('used', st.used + x.tokens, 'taken', array_append(st.taken, named_struct('rank', x.rank, 'chunk_id', x.chunk_id, 'tokens', x.tokens, 'own', x.own))), st), st -> st.taken)"""
-    return top.select("query_id", F.posexplode(F.expr(fold)).alias("place", "x")).select("query_id", (F.col("place") + 1).alias("place"), "x.rank", "x.chunk_id", "x.tokens", "x.own")
+    rows = ranked.withColumn("own", falls).withColumn("tokens", F.when(F.col("own"), own).otherwise(F.col("tokens").cast("long"))).withColumn("_k", F.col(k) if isinstance(k, str) else F.lit(k))
+    item = F.struct(F.col("rank").cast("int").alias("rank"), "chunk_id", "tokens", "own", *carry)
+    top = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("rows"), F.max("_k").alias("_k"))
+    kind = top.schema["rows"].dataType.simpleString()
+    fold = f"""aggregate(rows, named_struct('used', 0L, 'taken', cast(array() as {kind})),
+        (st, x) -> if(size(st.taken) < _k and (size(st.taken) = 0 or st.used + x.tokens <= {most_tokens}),
+            named_struct('used', st.used + x.tokens, 'taken', array_append(st.taken, x)), st), st -> st.taken)"""
+    return top.select("query_id", F.posexplode(F.expr(fold)).alias("place", "x")).select("query_id", (F.col("place") + 1).alias("place"), "x.*")
 
 
 def overlap_score(query: Column, text: Column) -> Column:
@@ -343,9 +350,9 @@ def apply_threshold(df: DataFrame, threshold: float, k: int) -> DataFrame:
 
 def final_score(df: DataFrame) -> DataFrame:
     """0.60 base + 0.20 constraint + 0.15 authority / 10 + 0.05 quality, ranked with exact hits first."""
-    quality = F.when(F.col("quality_status") == "review", 0.4).when(F.col("quality_status") == "medium", 0.7).otherwise(1.0)
+    quality = F.when(F.col("quality_status").isin("manual_review_required", "review"), 0.4).when(F.col("quality_status") == "medium", 0.7).otherwise(1.0)
     base = F.coalesce(F.nullif("rerank", F.lit(0.0)), "rrf_score")
-    df = df.withColumn("final_score", 0.60 * base + 0.20 * F.col("constraint_score") + 0.15 * F.col("authority") / 10 + 0.05 * quality)
+    df = df.withColumn("final_score", F.round(0.60 * base + 0.20 * F.col("constraint_score") + 0.15 * F.col("authority") / 10 + 0.05 * quality, 12))
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("exact").desc(), F.col("final_score").desc(), "chunk_id")))
 
 
@@ -358,15 +365,16 @@ def constraint_match(df: DataFrame, content: str, constraints: str) -> DataFrame
 
 
 def numeric_present(text: Column, original: Column, name: Column, unit: Column, values: Column) -> Column:
-    """The compacted original is held, or name, unit and every value within 0.1 % (0.001 at least)."""
-    compact = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", "")
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), lambda x: x.cast("double"))
+    """The compacted original is held, or name, unit and every value within 0.1 % (0.001 at least); name and unit may be empty, values not."""
+    compact = lambda c: F.replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", ""), F.lit("％"), F.lit("%"))
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\d.])\d+(?:\.\d+)?(?![\d.])"), F.lit(0)), lambda x: x.cast("double"))
     near = F.forall(values, lambda v: F.exists(numbers, lambda n: F.abs(n - v) <= F.greatest(F.lit(0.001), 0.001 * F.abs(v))))
-    return F.contains(compact(text), compact(original)) | (F.contains(compact(text), compact(name)) & F.contains(compact(text), compact(unit)) & near)
+    named = (compact(name) == "numeric_condition") | F.contains(compact(text), compact(name))
+    return ((compact(original) != "") & F.contains(compact(text), compact(original))) | (named & F.contains(compact(text), compact(unit)) & (F.size(values) > 0) & near)
 
 
 def needs_neighbours(content: Column, chunk_type: Column, section_path: Column) -> Column:
-    cue = content.rlike(r"[:：]\s*$") | content.rlike(r"(?i)\b(as follows|see below|following|continued)\b|如下|见下|续表")
+    cue = content.rlike(r"[:：]\s*$") | content.rlike("(?i)" + CONTINUED)
     return cue | chunk_type.isin("list", "table", "footnote") | (F.coalesce(F.size(section_path), F.lit(0)) <= 0)
 
 
@@ -396,21 +404,64 @@ def expand_context(chunks: DataFrame) -> DataFrame:
     return base.join(texts, "chunk_id", "left").withColumn("context", F.concat_ws("\n", "_near", "context")).drop("_near")
 
 
-def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, terms: DataFrame, k: int = 5, route_k: int = 20, most_tokens: int = 1200) -> DataFrame:
-    """Queries x chunks in one plan: sparse and exact routes, fusion, floor, duplicates of one text, final order, budget.
+def beside(rows: DataFrame, chunks: DataFrame, steps: Column, value: Column) -> DataFrame:
+    """Rows with `_step`, `_id` and `_value` of the chunks at these steps from theirs in the same document; a row without steps stays once."""
+    near = chunks.select(F.col("document_id").alias("_d"), F.col("kb_id").alias("_kb"), F.col("chunk_index").alias("_i"), F.col("chunk_id").alias("_id"), value.alias("_value"))
+    stepped = rows.select("*", F.explode_outer(steps).alias("_step"))
+    return stepped.join(near, (F.col("document_id") == F.col("_d")) & (F.col("kb_id") == F.col("_kb")) & (F.col("chunk_index") + F.col("_step") == F.col("_i")), "left").drop("_d", "_kb", "_i")
+
+
+def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, terms: DataFrame, scope: DataFrame, tenant: int | None = None, k: int | None = None, route_k: int = 30, exact_k: int = 20, most_tokens: int = 3000) -> DataFrame:
+    """Evidence of each query: (query_id, place, chunk_id, document_id, tokens, rrf_score, final_score, context, status).
 
-    queries: (query_id, query); terms: (query_id, term); chunks: (chunk_id, content, quality_status, source_type).
+    The scope's children are ranked by three routes and fused; equal texts of one document count once, what lies below a
+    fifth of the best goes. Exact hits come first, then the final score. A chunk's context is its parent's text, for the
+    first k with their neighbours before it where they need them; the first k that fit the budget are taken, and a first
+    one too large counts with its own text. Only ids and counts go through the ranking: texts are joined to what is taken.
+
+    queries: query_id, query, embedding (null: no dense route), constraints (phrases). terms: query_id, term, maybe pos.
+    chunks: chunk_id, document_id, kb_id, chunk_index (once in a document's children), chunk_type, parent_chunk_id, content,
+    content_type, section_path, quality_status, source_type, embedding. scope: kb_id. Without k the wording decides.
+
+    status: error without a scope, else no_result without evidence, partial where a route was missing, else success; a
+    blank query has no result.
     """
-    ranked = sparse_topk(queries, chunks, route_k).unionByName(exact_topk(terms, chunks, route_k))
-    fused = adaptive_floor(rrf(ranked)).filter("not dropped")
-    seen = fused.join(chunks, "chunk_id").withColumn("content_hash", F.sha2("content", 256))
-    seen = keep_first(seen, ["query_id", "content_hash"], [F.col("rrf_score").desc(), F.col("chunk_id")])
-    scored = final_score(seen.withColumn("rerank", F.lit(None).cast("double")).withColumn("constraint_score", F.lit(1.0)).withColumn("authority", tx.authority(F.col("source_type"))).withColumn("exact", (F.col("first_route") == "exact").cast("int")))
-    chosen = budget_select(scored.select("query_id", "rank", "chunk_id", tx.count_tokens(F.col("content")).alias("tokens")), k, most_tokens)
-    out = chosen.join(scored.select("query_id", "chunk_id", "rrf_score", "final_score"), ["query_id", "chunk_id"])
-    found = out.select("query_id", "place", "chunk_id", "tokens", "rrf_score", "final_score")
-    none = queries.select("query_id").join(found.select("query_id").distinct(), "query_id", "left_anti")
-    return found.withColumn("status", F.lit("success")).unionByName(none.withColumn("status", F.lit("no_result")), allowMissingColumns=True)
+    inside = scope_filter(chunks, scope, tenant)
+    asked = queries.filter(F.trim("query") != "")
+    asked = dynamic_k(asked) if k is None else asked.withColumn("k", F.lit(k))
+    wanted = terms.join(asked.select("query_id"), "query_id", "left_semi")
+    ranked = dense_topk(asked.filter("embedding is not null"), inside, route_k).select("query_id", "route", "chunk_id", "score", "rank")
+    ranked = ranked.unionByName(sparse_topk(asked, inside, route_k)).unionByName(exact_topk(wanted, inside, exact_k))
+
+    content = F.col("content")
+    seen = rrf(ranked).join(inside, "chunk_id").join(asked.select("query_id", "k", "constraints"), "query_id")
+    seen = seen.withColumn("_hash", F.sha2("content", 256)).withColumn("own_tokens", tx.count_tokens(content))
+    seen = constraint_match(seen, "content", "constraints").withColumn("needs", needs_neighbours(content, F.col("content_type"), F.col("section_path")))
+    small = ["query_id", "chunk_id", "k", "document_id", "kb_id", "chunk_index", "parent_chunk_id", "own_tokens", "needs", "rrf_score", "exact", "constraint_score", "quality_status", "source_type"]
+    seen = keep_first(seen.select(*small, "_hash"), ["query_id", "document_id", "_hash"], [F.col("rrf_score").desc(), F.col("chunk_id")])
+    kept = adaptive_floor(seen).filter("not dropped").withColumn("rerank", F.lit(None).cast("double")).withColumn("authority", tx.authority(F.col("source_type")))
+    scored = final_score(kept).withColumn("wide", F.col("needs") & (F.col("rank") <= F.col("k")))
+
+    facts = ["rank", "k", "document_id", "kb_id", "chunk_index", "parent_chunk_id", "own_tokens", "wide", "rrf_score", "final_score"]
+    sized = beside(scored, inside, F.when(F.col("wide"), F.array(F.lit(-1), F.lit(1))), tx.count_tokens(content))
+    sized = sized.groupBy("query_id", "chunk_id", *facts).agg(F.coalesce(F.sum("_value"), F.lit(0)).alias("_beside"))
+    parents = chunks.select(F.col("chunk_id").alias("parent_chunk_id"), tx.count_tokens(content).alias("_parent"))
+    sized = sized.join(parents, "parent_chunk_id", "left").withColumn("tokens", F.col("_beside") + F.coalesce("_parent", "own_tokens"))
+    carried = ("document_id", "kb_id", "chunk_index", "parent_chunk_id", "wide", "rrf_score", "final_score")
+    taken = budget_select(sized, "k", most_tokens, carried)
+
+    texts = beside(taken, inside, F.when(F.col("wide") & ~F.col("own"), F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))), content)
+    texts = texts.groupBy("query_id", "place", "chunk_id", "tokens", "own", *carried).agg(
+        F.max(F.when(F.col("_id") == F.col("chunk_id"), F.col("_value"))).alias("_self"),
+        F.sort_array(F.collect_list(F.when(F.col("_step") != 0, F.struct("_step", "_id", "_value")))).alias("_near"),
+    )
+    parents = chunks.select(F.col("chunk_id").alias("parent_chunk_id"), content.alias("_parent"))
+    around = F.concat(F.transform("_near", lambda x: x["_value"]), F.array(F.coalesce("_parent", "_self")))
+    found = texts.join(parents, "parent_chunk_id", "left").withColumn("context", F.when(F.col("own"), F.col("_self")).otherwise(F.array_join(around, "\n")))
+    found = found.select("query_id", "place", "chunk_id", "document_id", "tokens", "rrf_score", "final_score", "context")
+    missing = F.col("embedding").isNull() & (F.trim("query") != "")
+    status = F.lit("error") if scope.isEmpty() else F.when(F.col("_missing"), "partial").when(F.col("chunk_id").isNull(), "no_result").otherwise("success")
+    return queries.select("query_id", missing.alias("_missing")).join(found, "query_id", "left").withColumn("status", status).drop("_missing")
 
 
 def validate_citations(answers: DataFrame, evidence: DataFrame) -> DataFrame:

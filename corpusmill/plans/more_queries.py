@@ -65,19 +65,21 @@ def rt9_constraint_match(spark: SparkSession, sf: str) -> DataFrame:
     return rt.constraint_match(d, "text", "c").select("doc_id", F.size("matched").alias("matched"), F.size("missing").alias("missing"), "constraint_score")
 
 
-@query()
+@query(r"""WITH x AS (SELECT doc_id, regexp_replace(lower(text), '\s+', '', 'g') AS t, list_filter(regexp_extract_all(text, '[\d.]+'), lambda n: regexp_full_match(n, '\d+(\.\d+)?')) AS numbers FROM documents)
+  SELECT doc_id, contains(t, 'version2.0') OR (contains(t, 'th') AND contains(t, 'e') AND len(list_filter(numbers, lambda n: abs(n::DOUBLE - 12) <= 0.012)) > 0) AS present FROM x""")
 def rt10_numeric_present(spark: SparkSession, sf: str) -> DataFrame:
+    """The document holds "version 2.0", or "th", "e" and the number 12."""
     d = table(spark, sf, "documents")
-    return d.select("doc_id", rt.numeric_present(F.col("text"), F.lit("version 2.0"), F.lit("version"), F.lit("version"), F.array(F.lit(2.0))).alias("present"))
+    return d.select("doc_id", rt.numeric_present(F.col("text"), F.lit("version 2.0"), F.lit("TH"), F.lit("e"), F.array(F.lit(12.0))).alias("present"))
 
 
 @query("SELECT doc_id, CASE WHEN lang = 'en' THEN 10 WHEN lang = 'fr' THEN 9 WHEN lang = 'de' THEN 8 ELSE 5 END AS authority FROM documents")
 def rt11_authority(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.when(F.col("lang") == "en", "guideline").when(F.col("lang") == "fr", "label").when(F.col("lang") == "de", "pubmed").otherwise("other")
+    kind = F.when(F.col("lang") == "en", "clinical_guideline").when(F.col("lang") == "fr", "drug_label").when(F.col("lang") == "de", "pubmed").otherwise("other")
     return table(spark, sf, "documents").select("doc_id", tx.authority(kind).alias("authority"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '[:：]\s*$') OR regexp_matches(text, '\b(as follows|see below|following|continued)\b|如下|见下|续表', 'i') OR lang = 'fr' OR doc_id % 4 = 0 AS needs FROM documents""")
+@query(r"""SELECT doc_id, regexp_matches(text, '[:：]\s*$') OR regexp_matches(text, '上述|如下|见下|continued|表注', 'i') OR lang = 'fr' OR doc_id % 4 = 0 AS needs FROM documents""")
 def rt12_needs_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     path = F.when(F.col("doc_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a")))
     return table(spark, sf, "documents").select("doc_id", rt.needs_neighbours(F.col("text"), F.when(F.col("lang") == "fr", "table").otherwise("text"), path).alias("needs"))

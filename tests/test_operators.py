@@ -263,3 +263,55 @@ def test_line_runs_against_groups(spark):
     want = ["\n".join(x for k, g in itertools.groupby(t.split("\n")) for x in (lambda g: g[:1] if len(g) >= 3 else g)(list(g))) for t in texts]
     got = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", tx.drop_line_runs(F.col("t")).alias("t")).orderBy("id").collect()
     assert [x.t for x in got] == want
+
+
+CHUNKS = "chunk_id long, document_id long, kb_id long, chunk_index int, chunk_type string, parent_chunk_id long, content string, content_type string, section_path array<string>, quality_status string, source_type string, embedding array<double>"
+
+
+def hybrid_fixture(spark):
+    def child(key, doc, kb, n, content, vector, path=("a",)):
+        return (key, doc, kb, n, "child", doc * 100, content, "text", list(path), "good", "local_knowledge_base", vector)
+
+    chunks = [
+        child(1, 1, 1, 0, "alpha opens", [1.0, 0.0]), child(2, 1, 1, 1, "beta dose 5 mg", [0.0, 1.0], ()), child(3, 1, 1, 2, "gamma ends", [0.6, 0.8]),
+        child(4, 2, 2, 0, "beta dose 5 mg", [0.0, 1.0]), child(5, 3, 1, 0, "beta " * 60 + "dose", [0.1, 1.0]),
+        (100, 1, 1, -1, "parent", None, "whole of one", "text", ["a"], "good", None, None), (300, 3, 1, -1, "parent", None, "word " * 200, "text", ["a"], "good", None, None),
+    ]
+    queries = [(1, "beta dose", [0.0, 1.0], ["5 mg"]), (2, "beta dose", None, []), (3, "  ", [0.0, 1.0], []), (4, "unheard", None, [])]
+    terms = [(1, "beta dose"), (2, "beta dose"), (3, "beta")]
+    return (
+        spark.createDataFrame(queries, "query_id long, query string, embedding array<double>, constraints array<string>"),
+        spark.createDataFrame(chunks, CHUNKS), spark.createDataFrame(terms, "query_id long, term string"),
+    )
+
+
+def test_hybrid_scope_context_and_status(spark):
+    queries, chunks, terms = hybrid_fixture(spark)
+    scope = spark.createDataFrame([(1,)], "kb_id long")
+    rows = retrieval.hybrid_retrieve(queries, chunks, terms, scope, k=3).collect()
+    status = {r.query_id: r.status for r in rows}
+    assert status == {1: "success", 2: "partial", 3: "no_result", 4: "partial"}  # 4: a route was missing, and nothing was found
+    got = {(r.query_id, r.chunk_id): r for r in rows if r.chunk_id is not None}
+    assert not any(k[1] == 4 for k in got)  # outside the scope
+    assert got[1, 2].place == 1 and got[1, 2].context == "alpha opens\ngamma ends\nwhole of one"  # neighbours, then the parent
+    assert got[1, 2].tokens == 2 + 2 + 3
+    assert {k[1] for k in got if k[0] == 2} == {2, 5}
+
+
+def test_hybrid_budget_and_empty_scope(spark):
+    queries, chunks, terms = hybrid_fixture(spark)
+    only = chunks.filter("document_id = 3")
+    scope = spark.createDataFrame([(1,), (1,)], "kb_id long")
+    r = retrieval.hybrid_retrieve(queries.filter("query_id = 1"), only, terms, scope, k=3, most_tokens=100).first()
+    assert r.tokens == 61 and r.context == ("beta " * 60 + "dose")  # the parent is too large, so its own text counts
+    rows = retrieval.hybrid_retrieve(queries, chunks, terms, scope.filter("kb_id = 9")).collect()
+    assert len(rows) == 4 and {(r.status, r.chunk_id) for r in rows} == {("error", None)}
+
+
+def test_numbers_and_kinds(spark):
+    rows = [("take 5.0 mg", 5.0, True), ("take 1.5.0 mg", 5.0, False), ("take 50 mg", 5.0, False), ("5 %", 5.0, False)]
+    df = spark.createDataFrame(rows, "t string, v double, want boolean")
+    got = df.select("want", retrieval.numeric_present(F.col("t"), F.lit(""), F.lit("numeric_condition"), F.lit("MG"), F.array("v")).alias("g"), retrieval.numeric_present(F.col("t"), F.lit(""), F.lit(""), F.lit(""), F.array().cast("array<double>")).alias("none")).collect()
+    assert all(r.g == r.want and not r.none for r in got)
+    kinds = spark.createDataFrame([("drug_label", 9), (None, 7), ("", 7), ("blog", 5)], "s string, want int")
+    assert all(r.a == r.want for r in kinds.select("want", tx.authority(F.col("s")).alias("a")).collect())
