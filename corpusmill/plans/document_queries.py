@@ -78,17 +78,20 @@ def dc3_nfkc_symbol_safe(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(tx.nfkc_symbol_safe(F.col("text")), 256).alias("sha256"))
 
 
-@query()
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '\b((?i:long|short|well|self|non|follow))-\n(\p{Ll})', '\1-\2', 'g'), '(\p{L})-\n(\p{Ll})', '\1\2', 'g')) AS sha256 FROM documents""")
 def dc4_repair_hyphens(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(tx.repair_hyphens(F.col("text")), 256).alias("sha256"))
 
 
-@query()
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '(^|[^A-Za-z])[Oo]\.(\d)', '\10.\2', 'g'), '(^|[^A-Za-z0-9])l0(\s*(?:mg|g|ml|%))', '\110\2', 'g'), '(\d)\s*u\s*g\b', '\1 μg', 'g')) AS sha256 FROM documents""")
 def dc5_repair_ocr_units(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(tx.repair_ocr_units(F.col("text")), 256).alias("sha256"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+  m AS (SELECT doc_id, array_to_string(list_transform(ls, lambda x, i: CASE WHEN i = 1 THEN '' WHEN (ls[i - 1] = '' AND i > 2) OR regexp_matches(ls[i - 1], '[.!?:;。！？：；]$') OR (x = '' AND i < len(ls)) OR regexp_matches(x, '^(?:[-*•#]|\d+[.)])') THEN chr(10)
+    WHEN regexp_matches(ls[i - 1], '[\x{3400}-\x{9fff}]$') AND regexp_matches(x, '^[\x{3400}-\x{9fff}]') THEN '' ELSE ' ' END || x), '') AS t FROM l)
+  SELECT doc_id, (length(t) - length(replace(t, chr(10), '')))::INT AS line_ends, sha256(t) AS sha256 FROM m""")
 def dc6_merge_lines(spark: SparkSession, sf: str) -> DataFrame:
     t = tx.merge_lines(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", F.regexp_count(t, F.lit("\n")).alias("line_ends"), F.sha2(t, 256).alias("sha256"))
@@ -207,7 +210,8 @@ def mm6_fact_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.size(tx.fact_tokens(F.col("text"))).alias("n_tokens"))
 
 
-@query()
+@query(f"""WITH k AS (SELECT doc_id, unhex('{bytes(c ^ 0x36 for c in b"key".ljust(64, bytes(1))).hex()}') AS i, unhex('{bytes(c ^ 0x5C for c in b"key".ljust(64, bytes(1))).hex()}') AS o, encode(concat_ws(':', source, doc_id, n_chars)) AS m FROM documents)
+  SELECT doc_id, 'ev_' || substr(sha256(o || unhex(sha256(i || m))), 1, 16) AS evidence_id FROM k""")
 def rt15_evidence_id(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", tx.evidence_id("key", F.col("source"), F.col("doc_id"), F.col("n_chars")).alias("evidence_id"))
 

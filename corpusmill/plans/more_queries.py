@@ -10,6 +10,7 @@ from corpusmill.operators import benchmarks as bm
 from corpusmill.operators import evaluation as ev
 from corpusmill.operators import docprep, facts, graph, ops
 from corpusmill.operators import retrieval as rt
+from corpusmill.plans.document_queries import LINES
 from corpusmill.plans.operation_queries import edges_of
 from corpusmill.plans.registry import query, table
 from corpusmill.plans.retrieval_queries import DENSE, dense_of
@@ -92,7 +93,7 @@ def rt13_expand_context(spark: SparkSession, sf: str) -> DataFrame:
     return rt.expand_context(c).select("chunk_id", F.sha2("context", 256).alias("context"))
 
 
-@query()
+@query("""SELECT doc_id AS answer_id, 1 AS known, 1 AS unknown, 'see [ev_' || substr(sha256(doc_id::VARCHAR), 1, 16) || '] and [citation removed]' AS answer FROM documents""")
 def rt16_validate_citations(spark: SparkSession, sf: str) -> DataFrame:
     """Each document as an answer that cites itself and one that nobody knows."""
     d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("ev_"), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 16)).alias("evidence_id"))
@@ -107,13 +108,15 @@ def rt18_evidence_status(spark: SparkSession, sf: str) -> DataFrame:
     return rt.evidence_status(e).select("query_id", "status")
 
 
-@query()
+@query(r"""WITH f AS (SELECT conv_id, turn, regexp_extract(text, '^\s*(.+?(?:[.!?。！？]|$))', 1) AS f, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+  SELECT conv_id AS query_id, n AS claim_no, length(CASE WHEN length(f) > 220 THEN regexp_extract(substr(f, 1, 220), '^(.*[,;，；]|.*)', 1) ELSE f END) AS n_chars, turn AS evidence_id FROM f WHERE n <= 4""")
 def rt20_extract_claims(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), "text", F.col("turn").alias("evidence_id"))
     return rt.extract_claims(e).select("query_id", "claim_no", F.length("claim").alias("n_chars"), "evidence_id")
 
 
-@query()
+@query("""WITH f AS (SELECT conv_id, turn, '{"evidence_id":' || turn || ',"hash":"' || sha256(text) || '"}' AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+  SELECT conv_id AS answer_id, 'basis_' || substr(sha256('[' || string_agg(x, ',' ORDER BY turn) || ']'), 1, 20) AS basis_id FROM f WHERE n <= 4 GROUP BY 1""")
 def rt22_evidence_basis(spark: SparkSession, sf: str) -> DataFrame:
     return rt.evidence_basis(table(spark, sf, "conversations").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("rank"), F.col("turn").alias("evidence_id"), F.col("text").alias("content")))
 
@@ -142,7 +145,7 @@ def dc14_page_quality(spark: SparkSession, sf: str) -> DataFrame:
     return docprep.page_quality(p).select("l_orderkey", "l_linenumber", "l_partkey", "quality")
 
 
-@query()
+@query(rf"""WITH b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS n, trim(regexp_replace(x, '^#+\s*', '')) AS t FROM ({LINES})) SELECT doc_id, sha1(concat_ws('|', doc_id, 1, n, t)) AS section_id, CASE WHEN regexp_matches(t, '^\d') THEN 1 + len(regexp_extract_all(regexp_extract(t, '^\d+(?:\.\d+)*'), '\.')) ELSE 1 END AS level, 1 AS start_page FROM b WHERE length(t) < 60""")
 def dc13_recover_sections(spark: SparkSession, sf: str) -> DataFrame:
     b = docprep.text_blocks(table(spark, sf, "documents")).withColumn("kind", F.when(F.length("text") < 60, "heading").otherwise("text"))
     return docprep.recover_sections(b).select("doc_id", "section_id", "level", "start_page")
@@ -172,7 +175,9 @@ def jn12_owned_messages(spark: SparkSession, sf: str) -> DataFrame:
     return ops.owned_messages(table(spark, sf, "events"), sessions, "user_id", "c_nationkey").select("event_id", "owner")
 
 
-@query()
+@query(rf"""WITH b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS n, trim(regexp_replace(x, '^#+\s*', '')) AS t FROM ({LINES})), h AS (SELECT doc_id, n, least(6, CASE WHEN regexp_matches(t, '^\d') THEN 1 + len(regexp_extract_all(regexp_extract(t, '^\d+(?:\.\d+)*'), '\.')) ELSE 1 END) AS level FROM b WHERE length(t) < 60),
+  c AS (SELECT a.doc_id, a.n, min(z.n) AS closed FROM h a LEFT JOIN h z ON a.doc_id = z.doc_id AND z.n > a.n AND z.level <= a.level GROUP BY 1, 2)
+  SELECT b.doc_id, b.n AS block_order, count(c.n)::INT AS depth FROM b LEFT JOIN c ON b.doc_id = c.doc_id AND c.n <= b.n AND (closed IS NULL OR closed > b.n) GROUP BY 1, 2""")
 def wn10_heading_paths(spark: SparkSession, sf: str) -> DataFrame:
     b = docprep.text_blocks(table(spark, sf, "documents")).withColumn("kind", F.when(F.length("text") < 60, "heading").otherwise("text"))
     return bm.heading_paths(b).select("doc_id", "block_order", F.size("section_path").alias("depth"))
@@ -289,7 +294,10 @@ def ev35_on_off_report(spark: SparkSession, sf: str) -> DataFrame:
     return bm.on_off_report(one("l_discount"), one("l_tax"), ["d"]).select("metric", "delta")
 
 
-@query()
+@query(r"""WITH e AS (SELECT conv_id * 1000 + turn AS id, conv_id % 10 AS t, turn % 5 / 5.0::DOUBLE AS quality, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+|[\x{4e00}-\x{9fff}]{1,8}')) AS w FROM conversations WHERE role = 'assistant'),
+  p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY quality DESC, id) AS n FROM e) WHERE n <= 50), q AS (SELECT conv_id, conv_id % 10 AS t, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+|[\x{4e00}-\x{9fff}]{1,8}')) AS w FROM conversations WHERE turn = 0),
+  j AS (SELECT conv_id, id, quality, len(list_intersect(q.w, p.w)) AS overlap FROM q JOIN p USING (t)), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, quality DESC, id) AS rank FROM j WHERE overlap > 0)
+  SELECT conv_id AS query_id, rank, id AS episode_id, overlap FROM r WHERE rank <= 3""")
 def mm11_retrieve_episodes(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     e = c.filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("episode_id"), (F.col("conv_id") % 10).alias("tenant_id"), F.lit(None).cast("long").alias("user_id"), "text", (F.col("turn") % 5 / 5).alias("quality"), F.lit(True).alias("reusable"))
@@ -353,13 +361,20 @@ def src10_seed_cases(spark: SparkSession, sf: str) -> DataFrame:
     return files.seed_cases(p.select("case_key", "name"), p.filter("p_size > 25").select("case_key", F.upper("name").alias("name")))
 
 
-@query()
+ONE = r"\d+(?:\.\d+)?\s*(?:mg|g|ml|kg|%|mmHg|mmol/L|years?|days?|岁|天|周|月)"
+SPAN = r"\d+(?:\.\d+)?\s*(?:-|~|to|至|到)\s*" + ONE
+
+
+@query(rf"""WITH q AS (SELECT conv_id, turn, text AS q, regexp_replace(text, '{SPAN}', ' ', 'gi') AS rest FROM conversations)
+  SELECT conv_id, turn, len(regexp_extract_all(q, '{SPAN}', 0, 'i')) + len(regexp_extract_all(rest, '{ONE}', 0, 'i')) AS numbers, len(list_distinct(regexp_extract_all(lower(q), '\b(?:not|no|without|never)\b|不|无|非|禁'))) AS negations,
+    least(5, len(list_filter(regexp_split_to_array(q, '[?？;；]|\band\b'), lambda x: trim(x) <> ''))) AS sub_questions FROM q""")
 def tx12_plan_features(spark: SparkSession, sf: str) -> DataFrame:
     f = bm.plan_features(table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("query")))
     return f.select("conv_id", "turn", F.size("numbers").alias("numbers"), F.size("negations").alias("negations"), F.size("sub_questions").alias("sub_questions"))
 
 
-@query()
+@query(r"""WITH s AS (SELECT conv_id, substr(max_by(text, turn), 1, 20) AS topic FROM conversations WHERE role = 'user' GROUP BY 1)
+  SELECT conv_id AS session_id, turn, sha256(CASE WHEN topic IS NULL THEN text ELSE replace(regexp_replace(text, '\b(it|this|that|they)\b|它|这个|那个', chr(1), 'gi'), chr(1), topic) END) AS sha256 FROM conversations LEFT JOIN s USING (conv_id)""")
 def tx13_resolve_pronouns(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     s = facts.session_state(c).select(F.col("conv_id").alias("session_id"), F.array().cast("array<string>").alias("entities"), F.substring("topic", 1, 20).alias("topic"))

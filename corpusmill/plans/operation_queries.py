@@ -174,7 +174,10 @@ def mm10_protect(spark: SparkSession, sf: str) -> DataFrame:
     return fa.protect(f, "0123456789abcdef", "00" * 16).select("c_custkey", "value", "sealed")
 
 
-@query()
+@query("""WITH f AS (SELECT user_id, event_id, value / 100 AS importance, ts, list_distinct(list_concat(['user', 'did'], regexp_extract_all(lower(event_type), '[a-z0-9]+'))) AS ft, row_number() OVER (PARTITION BY user_id ORDER BY value / 100 DESC, ts DESC, event_id) AS n FROM events),
+  s AS (SELECT *, len(list_intersect(ft, ['what', 'error', 'did', 'the', 'user', 'see'])) AS hits FROM f WHERE n <= 200),
+  r AS (SELECT user_id AS query_id, event_id AS fact_id, round(least(1, 0.35::DOUBLE * hits / (6 + len(ft) - hits) + 0.25::DOUBLE * hits / 6 + 0.20::DOUBLE * importance + 0.10::DOUBLE * pow(0.5, (epoch(TIMESTAMP '2024-03-01') - floor(epoch(ts))) / 86400 / 30) + 0.10::DOUBLE * 0.9), 6) AS score FROM s),
+  o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS rank FROM r) SELECT query_id, rank, fact_id, score FROM o WHERE rank <= 6""")
 def mm5_retrieve_facts(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     facts = e.select(F.lit(1).alias("tenant_id"), "user_id", F.lit("user").alias("subject"), F.lit("did").alias("predicate"), F.col("event_type").alias("value"), F.col("event_id").alias("fact_id"), (F.col("value") / 100).alias("importance"), F.lit(0.9).alias("confidence"), F.col("ts").alias("updated_at"), F.lit(None).cast("timestamp").alias("expires_at"), F.lit("active").alias("status"))
@@ -239,17 +242,21 @@ def st1_dedup_stream(spark: SparkSession, sf: str) -> DataFrame:
     return run_stream(spark, jobs.dedup_stream(stream_of(spark, sf), "event_id", "ts").select("event_id"), "st1")
 
 
-@query()
+@query("""WITH k AS (SELECT user_id AS key, max(epoch_us(ts) // 1000) AS last_ms FROM events GROUP BY 1), w AS (SELECT max(last_ms) - 600000 AS mark FROM k)
+  SELECT key, last_ms, 'active' AS status FROM k UNION ALL SELECT key, last_ms, 'expired' FROM k, w WHERE last_ms + 3600000 < mark""")
 def st2_expire_stream(spark: SparkSession, sf: str) -> DataFrame:
     return run_stream(spark, jobs.expire_stream(stream_of(spark, sf), "user_id", "ts"), "st2")
 
 
-@query()
+@query("""WITH w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events), g AS (SELECT date_trunc('day', ts) AS window_start, event_type AS tool, count(*) AS calls, avg((event_type = 'error')::INT) AS rate, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1, 2)
+  SELECT window_start, tool, calls, round(rate, 6) AS error_rate, p95, CASE WHEN rate > 0.2 THEN 'degraded' ELSE 'healthy' END AS state FROM g, w WHERE window_start + INTERVAL 1 DAY <= mark""")
 def st3_health_stream(spark: SparkSession, sf: str) -> DataFrame:
     s = stream_of(spark, sf).withColumn("failed", F.col("event_type") == "error")
     return run_stream(spark, jobs.health_stream(s, "event_type", "ts", "failed", "value", "1 day"), "st3")
 
 
-@query()
+@query("""WITH w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events), o AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER u + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM o)
+  SELECT user_id AS session_key, min(ts) AS started, max(ts) + INTERVAL 1 HOUR AS ended, count(*) AS messages FROM s, w GROUP BY user_id, session, mark HAVING max(ts) + INTERVAL 1 HOUR <= mark""")
 def st4_session_stream(spark: SparkSession, sf: str) -> DataFrame:
     return run_stream(spark, jobs.session_stream(stream_of(spark, sf), "user_id", "ts", "1 hour"), "st4")

@@ -68,7 +68,13 @@ def tools_of(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, web.get(n, "local"), ["*"], ["read"] if n in web else [], n != "pubmed", "local_knowledge_base", 2, False) for n in names], "tool string, category string, agents array<string>, scopes array<string>, healthy boolean, fallback string, max_calls int, requires_approval boolean")
 
 
-@query()
+WANTED = " ".join(f"WHEN '{k}' THEN {v}" for k, v in rq.TOOLS.items())
+
+
+@query(f"""WITH r AS (SELECT conv_id * 1000 + turn AS request_id, turn % 2 = 0 AS may_read, conv_id % 2 = 0 AS online, {INTENT} AS intent FROM conversations),
+  w AS (SELECT *, CASE intent {WANTED} ELSE ['local_knowledge_base'] END AS tools FROM r), t AS (SELECT *, unnest(tools) AS tool, generate_subscripts(tools, 1) AS pos FROM w),
+  f AS (SELECT request_id, CASE WHEN tool = 'pubmed' THEN 'local_knowledge_base' ELSE tool END AS tool, min(pos) AS pos FROM t WHERE tool NOT IN ('web_search', 'pubmed', 'msd_manual', 'fda_drug_label') OR (online AND may_read) GROUP BY 1, 2),
+  p AS (SELECT request_id, tool, row_number() OVER (PARTITION BY request_id ORDER BY pos, tool) AS place FROM f) SELECT request_id, place, tool FROM p WHERE place <= 4""")
 def tx16_tool_candidates(spark: SparkSession, sf: str) -> DataFrame:
     m = rq.triage(messages(spark, sf), tx.risk_level(F.col("text")), "text")
     r = m.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "intent", F.col("role").alias("agent"), F.when(F.col("turn") % 2 == 0, F.array(F.lit("read"))).otherwise(F.array().cast("array<string>")).alias("scopes"), (F.col("conv_id") % 2 == 0).alias("online"), F.lit("low").alias("risk_level"))

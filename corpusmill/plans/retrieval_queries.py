@@ -200,7 +200,10 @@ def jn5_with_parent(spark: SparkSession, sf: str) -> DataFrame:
     return rt.with_parent(c).select("chunk_id", F.sha2("context", 256).alias("context"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {DENSE}, i AS (SELECT query_id, rank, chunk_id, len(regexp_extract_all(text, '{UNITS}'))::BIGINT AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM dense JOIN documents ON doc_id = chunk_id),
+  f AS (SELECT query_id, n, tokens AS used, 1 AS taken, true AS took FROM i WHERE n = 1
+    UNION ALL SELECT i.query_id, i.n, f.used + CASE WHEN f.taken < 5 AND f.used + i.tokens <= 1200 THEN i.tokens ELSE 0 END, f.taken + (f.taken < 5 AND f.used + i.tokens <= 1200)::INT, f.taken < 5 AND f.used + i.tokens <= 1200 FROM f JOIN i ON i.query_id = f.query_id AND i.n = f.n + 1)
+  SELECT query_id, taken AS place, rank, chunk_id, tokens, false AS own FROM f JOIN i USING (query_id, n) WHERE took""")
 def wn5_budget_select(spark: SparkSession, sf: str) -> DataFrame:
     tokens = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), tx.count_tokens(F.col("text")).alias("tokens"))
     ranked = dense_of(spark, sf).select("query_id", "rank", "chunk_id").join(tokens, "chunk_id")
