@@ -24,9 +24,13 @@ SIGNALS = {
     "dependency": r"(?i)(?:先.+再|根据.+结合|依赖|基于.+结果|趋势.+建议|then|depends?\s+on|based\s+on)",
     "definition": r"(?i)^(?:请)?(?:简单)?(?:解释|介绍|说明)?\s*(?:一下)?[^，；;,.!?！？]{1,36}(?:是什么|的定义|什么意思|有哪些常见表现)?[？?。]?$",
 }
-WEIGHTS = {
-    "intents": 0.08, "subtasks": 0.15, "tools": 0.08, "dependency": 0.13, "rag": 0.08, "private": 0.08, "cross_domain": 0.10, "cross_agent": 0.13, "context": 0.04, "constraints": 0.07, "turns": 0.03, "safety": 0.10,
-}
+#: The signals of a query, their weights, and what each is worth, from the patterns' counts.
+SIGNAL_VALUES = [
+    ("intent_count", 0.08, "least(1, (connector + int(cross_domain > 0)) / 3)"), ("subtask_count", 0.15, "least(1, (subtasks - 1) / 5)"), ("estimated_tool_count", 0.08, "least(1, tools / 3)"),
+    ("tool_dependency", 0.13, "int(dependency > 0)"), ("requires_rag", 0.08, "int(rag > 0)"), ("requires_private_data", 0.08, "int(private > 0)"), ("cross_domain", 0.10, "int(cross_domain > 0)"),
+    ("cross_agent_requirement", 0.13, "int(crossing)"), ("context_complexity", 0.04, "least(1, size / 500 + summary / 1200)"), ("constraint_count", 0.07, "least(1, constraint / 4)"),
+    ("multi_turn_dependency", 0.03, "if(summary > 0, 0.75D, 0)"), ("safety_complexity", 0.10, "int(safety > 0)"),
+]
 INTENTS = [
     ("drug_information", r"(?i)药|用药|副作用|相互作用|drug|medication|dose|剂量|说明书"), ("literature_search", r"(?i)论文|文献|研究|指南|PMID|PubMed|meta[- ]?analysis"),
     ("symptom_consultation", r"(?i)疼|痛|发热|咳|吐|晕|乏力|症状|不舒服|symptom|ache|fever"), ("document_summary", r"(?i)这份|本文|文档|附件|总结|概括|document|attachment|summari"),
@@ -84,31 +88,35 @@ def triage(df: DataFrame, risk: Column, col: str) -> DataFrame:
     return df.withColumn("intent", first_match(rules, "general_knowledge"))
 
 
-def complexity(df: DataFrame, col: str, direct: float = 0.20, multi: float = 0.45) -> DataFrame:
-    """Score, mode, level and confidence from twelve weighted signals and their overrides."""
-    q = F.trim(F.coalesce(F.col(col), F.lit("")))
-    hit = {k: q.rlike(p) for k, p in SIGNALS.items()}
-    n = {k: F.regexp_count(q, F.lit(SIGNALS[k])) for k in ("connector", "constraint", "tool")}
-    clauses = F.size(F.filter(F.split(q, r"[，。；;,.!?！？\n]+"), lambda x: F.trim(x) != ""))
-    num = lambda c: c.cast("double")
-    df = df.withColumn("_subtasks", F.greatest(F.lit(1), clauses + n["connector"])).withColumn("_tools", F.greatest(n["tool"], hit["rag"].cast("int"), hit["private"].cast("int")))
-    cross = ((F.col("_subtasks") >= 4) & (hit["cross_domain"] | (n["constraint"] >= 2))) | hit["dependency"]
-    signals = {
-        "intents": F.least(F.lit(1.0), (n["connector"] + hit["cross_domain"].cast("int")) / 3), "subtasks": F.least(F.lit(1.0), (F.col("_subtasks") - 1) / 5), "tools": F.least(F.lit(1.0), F.col("_tools") / 3),
-        "dependency": num(hit["dependency"]), "rag": num(hit["rag"]), "private": num(hit["private"]), "cross_domain": num(hit["cross_domain"]), "cross_agent": num(cross),
-        "context": F.least(F.lit(1.0), F.length(q) / 500), "constraints": F.least(F.lit(1.0), n["constraint"] / 4), "turns": F.lit(0.0), "safety": num(hit["safety"]),
-    }
-    simple = hit["definition"] & ~hit["rag"] & ~hit["private"] & (n["tool"] == 0) & ~hit["dependency"] & ~hit["safety"]
-    raw = F.least(F.lit(1.0), reduce(lambda a, b: a + b, [w * signals[k] for k, w in WEIGHTS.items()]))
-    df = df.withColumn("_simple", simple).withColumn("_cross", cross)
-    score = F.when(F.col("_simple"), F.least(raw, F.lit(direct * 0.45))).when(hit["rag"] | hit["private"] | (F.col("_tools") > 0), F.greatest(raw, F.lit(direct + 0.02))).otherwise(raw)
-    score = F.when(F.col("_cross") & (hit["dependency"] | (F.col("_subtasks") >= 4)), F.greatest(score, F.lit(multi + 0.05))).otherwise(score)
-    df = df.withColumn("score", F.round(score, 4))
+def complexity(df: DataFrame, col: str, direct: float = 0.20, multi: float = 0.45, summary: str | None = None) -> DataFrame:
+    """Adds signals (name to value), score, mode, level and confidence. summary: the column of a conversation's summary.
+
+    The score is the weighted sum of the signals, kept within the bounds that plain definitions, requests for data and
+    requests of several parts have.
+    """
+    bare = lambda c: F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t\n\r\f\u3000"))
+    q = bare(F.col(col))
+    clauses = F.size(F.filter(F.split(q, r"[，。；;,.!?！？\n]+"), lambda x: bare(x) != ""))
+    counts = {k: F.regexp_count(q, F.lit(p)) for k, p in SIGNALS.items()}
+    facts = counts | {"size": F.length(q), "clauses": clauses, "summary": F.length(bare(F.col(summary))) if summary else F.lit(0)}
+    steps = [  # each step reads the ones before it
+        {"subtasks": "greatest(1, clauses + connector)", "tools": "greatest(tool, int(rag > 0), int(private > 0))", "simple": "definition > 0 and rag + private + tool + dependency + safety = 0"},
+        {"crossing": "dependency > 0 or (subtasks >= 4 and (cross_domain > 0 or constraint >= 2))"},
+        {"values": "map(" + ", ".join(f"'{name}', double({value})" for name, _, value in SIGNAL_VALUES) + ")"},
+        {"raw": "least(1D, " + " + ".join(f"{weight}D * values['{name}']" for name, weight, _ in SIGNAL_VALUES) + ")"},
+        {"low": f"greatest(if(not simple and tools > 0, {direct + 0.02}D, 0D), if(crossing and (dependency > 0 or subtasks >= 4), {multi + 0.05}D, 0D))", "high": f"if(simple, {direct * 0.45}D, 1D)"},
+        {"score": "round(greatest(least(raw, high), low), 4)"},
+    ]
+    out = df.select(F.struct(*df.columns).alias("_row"), *[c.alias(k) for k, c in facts.items()])
+    for step in steps:
+        out = out.select("*", *[F.expr(e).alias(k) for k, e in step.items()])
     s = F.col("score")
+    below = [(direct / 2, "direct", "very_simple"), (direct, "direct", "simple"), ((direct + multi) / 2, "react", "simple"), (multi, "react", "medium"), (0.75, "multi_agent", "complex")]
+    mode = first_match([(s < bound, m) for bound, m, _ in below[:4]], "multi_agent")
+    level = first_match([(s < bound, x) for bound, _, x in below], "very_complex")
     near = F.least(F.abs(s - direct), F.abs(s - multi))
-    level = F.when(s < direct / 2, "very_simple").when(s < direct, "simple").when(s < (direct + multi) / 2, "simple").when(s < multi, "medium").when(s < 0.75, "complex").otherwise("very_complex")
-    df = df.withColumn("mode", F.when(s < direct, "direct").when(s < multi, "react").otherwise("multi_agent")).withColumn("level", level)
-    return df.withColumn("confidence", F.round(F.least(F.lit(0.99), 0.62 + near * 1.8 + F.when(F.col("_simple") | F.col("_cross"), 0.12).otherwise(0.0)), 4)).drop("_subtasks", "_tools", "_simple", "_cross")
+    sure = F.round(F.least(F.lit(0.99), 0.62 + near * 1.8 + F.when(F.col("simple") | F.col("crossing"), 0.12).otherwise(0.0)), 4)
+    return out.select("_row.*", F.col("values").alias("signals"), "score", mode.alias("mode"), level.alias("level"), sure.alias("confidence"))
 
 
 def escalation_reason(runs: DataFrame) -> DataFrame:

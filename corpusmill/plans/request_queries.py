@@ -49,7 +49,20 @@ def tx11_triage(spark: SparkSession, sf: str) -> DataFrame:
     return rq.triage(messages(spark, sf), tx.risk_level(F.col("text")), "text").select("conv_id", "turn", "intent")
 
 
-@query()
+COUNTS = ", ".join(f"len(regexp_extract_all(q, '{p[4:]}', 0, 'i')) AS {k}" for k, p in rq.SIGNALS.items())
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || '　') AS q FROM conversations),
+  n AS (SELECT *, {COUNTS}, len(list_filter(regexp_split_to_array(q, '[，。；;,.!?！？\\n]+'), lambda x: NOT regexp_matches(x, '^\\s*$'))) AS clauses FROM t),
+  f AS (SELECT *, greatest(1, clauses + connector) AS subtasks, greatest(tool, (rag > 0)::INT, (private > 0)::INT) AS tools, definition > 0 AND NOT (rag > 0 OR private > 0 OR tool > 0 OR dependency > 0 OR safety > 0) AS simple FROM n),
+  x AS (SELECT *, dependency > 0 OR (subtasks >= 4 AND (cross_domain > 0 OR "constraint" >= 2)) AS crossing FROM f),
+  r AS (SELECT *, least(1, 0.08::DOUBLE * least(1, (connector + (cross_domain > 0)::INT) / 3) + 0.15::DOUBLE * least(1, (subtasks - 1) / 5) + 0.08::DOUBLE * least(1, tools / 3) + 0.13::DOUBLE * (dependency > 0)::INT + 0.08::DOUBLE * (rag > 0)::INT
+    + 0.08::DOUBLE * (private > 0)::INT + 0.10::DOUBLE * (cross_domain > 0)::INT + 0.13::DOUBLE * crossing::INT + 0.04::DOUBLE * least(1, length(q) / 500) + 0.07::DOUBLE * least(1, "constraint" / 4) + 0.10::DOUBLE * (safety > 0)::INT) AS raw FROM x),
+  b AS (SELECT *, CASE WHEN simple THEN least(raw, 0.09) WHEN tools > 0 THEN greatest(raw, 0.22) ELSE raw END AS bound FROM r),
+  s AS (SELECT *, round(CASE WHEN crossing AND (dependency > 0 OR subtasks >= 4) THEN greatest(bound, 0.5) ELSE bound END, 4) AS score FROM b)
+  SELECT conv_id, turn, score, CASE WHEN score < 0.2 THEN 'direct' WHEN score < 0.45 THEN 'react' ELSE 'multi_agent' END AS mode,
+    CASE WHEN score < 0.1 THEN 'very_simple' WHEN score < 0.325 THEN 'simple' WHEN score < 0.45 THEN 'medium' WHEN score < 0.75 THEN 'complex' ELSE 'very_complex' END AS level,
+    round(least(0.99, 0.62 + 1.8 * least(abs(score - 0.2), abs(score - 0.45)) + CASE WHEN simple OR crossing THEN 0.12 ELSE 0 END), 4) AS confidence FROM s""")
 def tx14_complexity(spark: SparkSession, sf: str) -> DataFrame:
     return rq.complexity(messages(spark, sf), "text").select("conv_id", "turn", "score", "mode", "level", "confidence")
 

@@ -315,3 +315,15 @@ def test_numbers_and_kinds(spark):
     assert all(r.g == r.want and not r.none for r in got)
     kinds = spark.createDataFrame([("drug_label", 9), (None, 7), ("", 7), ("blog", 5)], "s string, want int")
     assert all(r.a == r.want for r in kinds.select("want", tx.authority(F.col("s")).alias("a")).collect())
+
+
+def test_complexity_bounds_and_clashing_names(spark):
+    from corpusmill.functions import requests as rq
+
+    rows = [("什么是高血压", 1), ("查询我的检查结果", 2), ("based on the record, compare dose; compare renal risk; then search, and then plan", 3), (None, 4)]
+    df = spark.createDataFrame(rows, "text string, size int")
+    got = {r["size"]: r for r in rq.complexity(df, "text").collect()}
+    assert {k: r["mode"] for k, r in got.items()} == {1: "direct", 2: "react", 3: "multi_agent", 4: "direct"}
+    assert got[2]["score"] >= 0.22 and got[3]["score"] >= 0.5 and got[3]["signals"]["tool_dependency"] == 1.0 and got[4]["score"] == 0.0
+    more = rq.complexity(df.withColumn("s", F.lit("x" * 240)), "text", summary="s").filter("size = 4").first()
+    assert more["signals"]["multi_turn_dependency"] == 0.75 and abs(more["signals"]["context_complexity"] - 0.2) < 1e-9
