@@ -50,21 +50,30 @@ def nfc_unescaped(text: Column) -> Column:
     return F.pandas_udf(_nfc_unescaped, "string")(text)
 
 
+#: Signs of measures that keep their form, compounds that keep their hyphen, and openings of list items, headings, page numbers and watermarks.
+SYMBOLS = ["mg/mL", "μg", "mmHg", "SpO₂", "eGFR", "β", "≤", "≥", "±", "10⁹/L", "Na⁺", "K⁺"]
+COMPOUNDS = ["dose-dependent", "double-blind", "case-control", "follow-up", "long-term", "short-term"]
+LIST_ITEM = r"^(?:[-•●▪◦]|\d+[.)]|[一二三四五六七八九十]+[、.]|[（(][一二三四五六七八九十\d]+[）)])"
+HEADING = r"^(?:第[一二三四五六七八九十百\d]+[章节]|\d+(?:\.\d+){0,3}[、.\s]|[一二三四五六七八九十]+、|[（(][一二三四五六七八九十\d]+[）)]|【(?:适应证|禁忌证|用法用量|注意事项|相互作用)】|摘要|关键词|参考文献|References)"
+PAGE_NUMBER = r"(?i)^(?:-\s*)?\d+(?:\s*-)?$|^第\s*\d+\s*页$|^Page\s+\d+(?:\s+of\s+\d+)?$"
+WATERMARK = r"(?i)^(?:CONFIDENTIAL|DRAFT|SAMPLE|COPY|机密|草稿|仅供内部使用)$"
+
+
 def _nfkc_symbol_safe(texts: pd.Series) -> pd.Series:
-    kept = "℃℉™®©²³½¼¾µ±"  # fixed values
+    signs = re.compile("(" + "|".join(map(re.escape, SYMBOLS)) + ")")
+    gone = str.maketrans({"\xa0": " ", "\u3000": " ", "\x00": None, "\u2060": None, "\ufeff": None} | {c: None for c in range(0x200B, 0x2010)})
 
     def one(t: str | None) -> str | None:
         if t is None:
             return None
-        parts = re.split(f"([{kept}])", t)
-        out = "".join(p if p in kept and p else unicodedata.normalize("NFKC", p) for p in parts)
-        return re.sub("[​-‍﻿\x00]", "", out).replace("\xa0", " ")
+        parts = signs.split(t)  # every second part is a sign
+        return "".join(p if n % 2 else unicodedata.normalize("NFKC", p) for n, p in enumerate(parts)).translate(gone)
 
     return texts.map(one)
 
 
 def nfkc_symbol_safe(text: Column) -> Column:
-    """NFKC, except for signs that carry meaning; zero-width characters and NULs out, hard spaces to spaces."""
+    """NFKC, except for signs of measures; zero-width characters and NULs out, hard and wide spaces to spaces."""
     return F.pandas_udf(_nfkc_symbol_safe, "string")(text)
 
 
@@ -123,21 +132,39 @@ def garbled_ratio(text: Column) -> Column:
     return F.when(visible == 0, 0.0).otherwise(F.least(F.lit(1.0), F.regexp_count(text, F.lit(r"[\x{fffd}\x00-\x08\x0b\x0c\x0e-\x1f]")) / visible))
 
 
+#: Not inside a word of any script, on this side.
+OPENS, CLOSES = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+
 def repair_ocr_units(text: Column) -> Column:
-    t = F.regexp_replace(text, r"(?<![A-Za-z])[Oo]\.(?=\d)", "0.")
-    return F.regexp_replace(F.regexp_replace(t, r"(?<![A-Za-z0-9])l0(?=\s*(?:mg|g|ml|%))", "10"), r"(?<=\d)\s*u\s*g\b", " μg")
+    """O and l read for 0 and 1 before a unit, and a parted microgram."""
+    unit = rf"\s*(?:mg|g|mL|μg){CLOSES}"
+    t = F.regexp_replace(text, rf"(?<![A-Za-z0-9])O(?=\.\d+{unit})", "0")
+    return F.regexp_replace(F.regexp_replace(t, rf"(?<![A-Za-z0-9])l(?=0{unit})", "1"), rf"(?i){OPENS}u\s+g{CLOSES}", "μg")
 
 
 def repair_hyphens(text: Column) -> Column:
-    """A word broken at a line end is joined; the listed compounds keep their hyphen."""
-    kept = r"(?i)\b(long|short|well|self|non|follow)-\n(?=\p{Ll})"
-    return F.regexp_replace(F.regexp_replace(text, kept, "$1-"), r"(\p{L})-\n(?=\p{Ll})", "$1")
+    """A word broken at a line end is joined where it goes on in lower case; the listed compounds keep their hyphen."""
+    end = r"-\s*\n\s*"
+    halves = [c.split("-") for c in COMPOUNDS]
+    kept = "|".join(rf"(?i:{a})(?={end}{b[0]}(?i:{b[1:]}){CLOSES})" for a, b in halves)
+    t = F.regexp_replace(text, rf"{OPENS}({kept}){end}", "$1-")
+    return F.regexp_replace(t, rf"{OPENS}([A-Za-z]{{2,}}){end}([a-z][A-Za-z]*){CLOSES}", "$1$2")
 
 
 def merge_lines(text: Column) -> Column:
-    """Visual lines joined unless the one before ends a sentence or the next begins a list; no blank between CJK."""
-    t = F.regexp_replace(text, rf"(?<=[{CJK}])\n(?=[{CJK}])", "")
-    return F.regexp_replace(t, r"(?<![.!?:;。！？：；\n])\n(?!\n|[-*•#]|\d+[.)])", " ")
+    """Visual lines, trimmed and without blank ones, joined unless the one before ends a sentence or the next opens an item or a heading; no blank between CJK."""
+    folded = F.transform(F.split(text, r"[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"(?U)^\s+|\s+$", ""))
+    lines = F.filter(folded, lambda x: x != "")
+    pairs = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), lines), lines)  # each line beside the one before
+
+    def joined(x: Column) -> Column:
+        before, line = x["0"], x["1"]
+        apart = before.rlike(r"[。！？!?；;：:]$") | line.rlike(LIST_ITEM) | line.rlike(HEADING)
+        close = before.rlike(r"[\x{4e00}-\x{9fff}]$") & line.rlike(r"^[\x{4e00}-\x{9fff}]")
+        return F.concat(F.when(before.isNull(), "").when(apart, "\n").when(close, "").otherwise(" "), line)
+
+    return F.array_join(F.transform(pairs, joined), "")
 
 
 def pattern_hits(text: Column, patterns: list[str]) -> Column:

@@ -30,45 +30,72 @@ def edge_key(text: str = "text"):
 
 
 def repeated_edges(blocks: DataFrame, share: float = 0.4) -> DataFrame:
-    """(doc_id, edge): texts, digits aside, on at least max(2, floor(share pages + 0.999)) pages of their document."""
+    """(doc_id, edge): texts, digits aside, on at least max(2, floor(share pages + 0.999)) pages of their document; of headers and footers, where blocks have a kind."""
     pages = blocks.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
-    seen = blocks.select("doc_id", "page", edge_key().alias("edge")).distinct().groupBy("doc_id", "edge").agg(F.count("*").alias("on"))
+    edge = blocks.filter(F.col("kind").isin("header", "footer") & (F.trim("text") != "")) if "kind" in blocks.columns else blocks
+    seen = edge.select("doc_id", "page", edge_key().alias("edge")).distinct().groupBy("doc_id", "edge").agg(F.count("*").alias("on"))
     return seen.join(pages, "doc_id").filter(F.col("on") >= F.greatest(F.lit(2), F.floor(share * F.col("pages") + 0.999))).select("doc_id", "edge")
 
 
-def remove_blocks(blocks: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks without repeated headers and footers, page numbers and watermarks; and an audit row for each removed."""
+def action(name, before, after, rule: str, confidence: float):
+    name = F.lit(name) if isinstance(name, str) else name
+    return F.struct(name.alias("action"), before.alias("before"), after.alias("after"), F.lit(rule).alias("rule"), F.lit(confidence).alias("confidence"))
+
+
+def audit(blocks: DataFrame, actions: str = "actions") -> DataFrame:
+    """(doc_id, page, block_order, action, before, after, rule, confidence): one row for each thing done to a block."""
+    return blocks.select("doc_id", "page", "block_order", F.explode(actions).alias("a")).select("doc_id", "page", "block_order", "a.*")
+
+
+def mark_removed(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Blocks with `removed`: header, footer, page_number, watermark, or null."""
     e = edges.select(F.col("doc_id").alias("_d"), F.col("edge").alias("_e"))
-    marked = blocks.withColumn("_key", edge_key()).join(e, (F.col("doc_id") == F.col("_d")) & (F.col("_key") == F.col("_e")), "left")
-    reason = (
-        F.when(F.col("kind").isin("header", "footer") & F.col("_e").isNotNull(), "repeated_edge").when(F.col("text").rlike(r"^\s*(?:page\s*)?\d{1,4}(?:\s*(?:/|of)\s*\d{1,4})?\s*$"), "page_number")
-        .when(F.col("kind") == "watermark", "watermark")
+    j = blocks.withColumn("_key", edge_key()).join(e, (F.col("doc_id") == F.col("_d")) & (F.col("_key") == F.col("_e")), "left")
+    bare = F.trim(F.coalesce("text", F.lit("")))
+    removed = (
+        F.when(F.col("kind").isin("header", "footer") & F.col("_e").isNotNull(), F.col("kind"))
+        .when((F.col("kind") == "page_number") | bare.rlike(tx.PAGE_NUMBER), "page_number").when(bare.rlike(tx.WATERMARK), "watermark")
     )
-    marked = marked.withColumn("rule", reason).drop("_key", "_d", "_e")
-    return marked.filter("rule is null").drop("rule"), audit(marked.filter("rule is not null"), "removed")
+    return j.withColumn("removed", removed).drop("_key", "_d", "_e")
+
+
+def removal(text: str = "text"):
+    return action(F.concat(F.lit("remove_"), "removed"), F.col(text), F.lit(""), "repeated_position_or_page_pattern", 0.95)
+
+
+def remove_blocks(blocks: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks without repeated headers and footers, page numbers and watermarks; and an audit row for each removed."""
+    marked = mark_removed(blocks, edges)
+    return marked.filter("removed is null").drop("removed"), audit(marked.filter("removed is not null").withColumn("actions", F.array(removal())))
 
 
-def audit(blocks: DataFrame, action: str) -> DataFrame:
-    return blocks.select("doc_id", "page", F.lit(action).alias("action"), F.col("text").alias("before"), F.lit(None).cast("string").alias("after"), "rule")
+def fingerprint(text: str = "text"):
+    """Letters, digits and low lines in lower case; null where there are none, as such blocks are no copies of each other."""
+    return F.nullif(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_]+", "")), F.lit(""))
 
 
 def dedup_blocks(blocks: DataFrame) -> DataFrame:
-    """The first block of each fingerprint (letters and digits, lower case) on a page."""
-    fp = F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}_]+", ""))
-    return keep_first(blocks.withColumn("fingerprint", fp), ["doc_id", "page", "fingerprint"], [F.col("block_order")]).drop("fingerprint")
+    """The first block of each fingerprint on a page."""
+    same = Window.partitionBy("doc_id", "page", "_print", F.when(F.col("_print").isNull(), F.col("block_order"))).orderBy("block_order")
+    return blocks.withColumn("_print", fingerprint()).withColumn("_n", F.row_number().over(same)).filter(F.col("_print").isNull() | (F.col("_n") == 1)).drop("_print", "_n")
 
 
-def merge_tables(tables: DataFrame) -> DataFrame:
-    """Tables on consecutive pages with the same headers become one; a repeated header row goes. Gaps and islands over pages."""
+def table_islands(tables: DataFrame) -> DataFrame:
+    """Tables with `island`: those on consecutive pages with the same headers, whose rows fit them, share one. Also the headers as they are compared."""
     norm = F.transform("headers", lambda h: F.lower(F.regexp_replace(h, r"\s+", "")))
     fits = F.forall("rows", lambda r: F.size(r) == F.size("headers"))
     w = Window.partitionBy("doc_id").orderBy("page_start", "table_id")
     t = tables.withColumn("_h", norm).withColumn("_fits", fits & F.exists("headers", lambda h: F.trim(h) != ""))
     joins = (F.lag("_h").over(w) == F.col("_h")) & (F.lag("page_end").over(w) + 1 == F.col("page_start")) & F.col("_fits") & F.lag("_fits").over(w)
-    t = t.withColumn("_new", (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("_island", F.sum("_new").over(w))
+    return t.withColumn("_new", (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("island", F.sum("_new").over(w)).drop("_new", "_fits")
+
+
+def merge_tables(tables: DataFrame) -> DataFrame:
+    """Tables on consecutive pages with the same headers become one; a repeated header row goes. Gaps and islands over pages."""
+    t = table_islands(tables)
     t = t.withColumn("rows", F.filter("rows", lambda r: ~(F.transform(r, lambda h: F.lower(F.regexp_replace(h, r"\s+", ""))) == F.col("_h"))))
     parts = F.sort_array(F.collect_list(F.struct("page_start", "table_id", "rows", "footnotes")))
-    agg = t.groupBy("doc_id", "_island").agg(F.min_by("table_id", "page_start").alias("table_id"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.min_by("headers", "page_start").alias("headers"), parts.alias("_p"), F.min("confidence").alias("confidence"), F.count("*").alias("merged"))
+    agg = t.groupBy("doc_id", "island").agg(F.min_by("table_id", "page_start").alias("table_id"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.min_by("headers", "page_start").alias("headers"), parts.alias("_p"), F.min("confidence").alias("confidence"), F.count("*").alias("merged"))
     return agg.select("doc_id", "table_id", "page_start", "page_end", "headers", F.flatten(F.transform("_p", lambda x: x["rows"])).alias("rows"), F.array_distinct(F.flatten(F.transform("_p", lambda x: x["footnotes"]))).alias("footnotes"), "confidence", "merged")
 
 
@@ -153,11 +180,42 @@ def quality_report(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"), F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"), F.round(F.avg(tx.garbled_ratio(F.col("text"))), 6).alias("garbled"), F.round(1 - F.count_distinct("text") / F.count("*"), 6).alias("duplicate_ratio"))
 
 
+#: Kinds of blocks whose lines are not merged.
+FIXED_LINES = ["title", "heading", "list", "table", "caption", "footnote", "reference"]
+
+
 def clean_documents(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Symbol-safe NFKC, hyphens, lines, repeated edges, duplicates; the blocks left, and the audit."""
-    b = blocks.withColumn("text", tx.merge_lines(tx.repair_hyphens(tx.nfkc_symbol_safe(F.coalesce("text", F.lit(""))))))
-    kept, removed = remove_blocks(b, repeated_edges(b))
-    return dedup_blocks(kept), removed
+    """The blocks left, and the audit of all that was done to them.
+
+    Repeated headers and footers, page numbers and watermarks go by their given texts. The others' texts become
+    symbol-safe NFKC; hyphens at line ends, units (of recognised blocks and those below a confidence of 0.9) and visual
+    lines are repaired; plain blocks that open so become headings or list items. Then empty blocks go, figures aside, and
+    what a page has already said. method and confidence may be missing.
+    """
+    b = mark_removed(blocks.withColumn("_given", F.coalesce("text", F.lit(""))), repeated_edges(blocks))
+    t0 = F.regexp_replace(F.regexp_replace(tx.nfkc_symbol_safe(F.col("_given")), r"\r\n?", "\n"), r"[ \t]+", " ")
+    unsure = F.coalesce(F.col("confidence") < 0.9, F.lit(False)) if "confidence" in b.columns else F.lit(False)
+    unsure = unsure | F.coalesce(F.col("method") == "ocr", F.lit(False)) if "method" in b.columns else unsure
+    b = b.withColumn("_t0", t0).withColumn("_t1", tx.repair_hyphens(F.col("_t0"))).withColumn("_t2", F.when(unsure, tx.repair_ocr_units(F.col("_t1"))).otherwise(F.col("_t1")))
+    b = b.withColumn("_t3", F.when(F.col("kind").isin(FIXED_LINES), F.col("_t2")).otherwise(tx.merge_lines(F.col("_t2"))))
+    b = b.withColumn("text", F.regexp_replace(F.regexp_replace("_t3", r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", ""))
+    plain = F.col("kind") == "text"
+    b = b.withColumn("kind", F.when(plain & F.col("text").rlike(tx.HEADING) & (F.length("text") <= 160), "heading").when(plain & F.col("text").rlike(tx.LIST_ITEM), "list").otherwise(F.col("kind")))
+    gone = F.col("removed").isNotNull() | ((F.col("text") == "") & (F.col("kind") != "figure"))
+    b = b.withColumn("_gone", gone).withColumn("_print", F.when(~gone, fingerprint()))
+    same = Window.partitionBy("doc_id", "page", "_print", F.when(F.col("_print").isNull(), F.col("block_order"))).orderBy("block_order")
+    b = b.withColumn("_copy", F.col("_print").isNotNull() & (F.row_number().over(same) > 1))
+    lines = lambda c: F.size(F.filter(F.split(c, "\n"), lambda x: F.trim(x) != ""))
+    done = [
+        (F.col("_t1") != F.col("_t0"), action("repair_hyphenation", F.col("_given"), F.col("_t1"), "line_end_hyphen_lowercase_continuation", 0.92)),
+        (F.col("_t2") != F.col("_t1"), action("repair_ocr_numeric_unit", F.col("_t1"), F.col("_t2"), "low_confidence_numeric_unit_context", 0.88)),
+        (lines(F.col("_t3")) < lines(F.col("_t2")), action("merge_visual_lines", F.col("_t2"), F.col("_t3"), "same_layout_block_without_sentence_boundary", 0.9)),
+        (F.col("_copy"), action("remove_duplicate", F.col("_given"), F.lit(""), "same_page_normalized_hash", 0.98)),
+    ]
+    kept = F.array_compact(F.array(*[F.when(holds, a) for holds, a in done]))
+    b = b.withColumn("actions", F.when(F.col("removed").isNotNull(), F.array(removal("_given"))).otherwise(kept))
+    left = b.filter(~F.col("_gone") & ~F.col("_copy")).select(*blocks.columns)
+    return left, audit(b)
 
 
 CHUNKS = "doc_id long, chunk_index int, chunk_type string, parent_index int, section_path string, content string, start int, end int"

@@ -50,8 +50,8 @@ def dc8_repeated_edges(spark: SparkSession, sf: str) -> DataFrame:
     return docprep.repeated_edges(lines, 0.01)
 
 
-@query(rf"""SELECT doc_id, block_order, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(regexp_replace(text, '[^\p{{L}}\p{{N}}_]+', '', 'g')) ORDER BY block_order) AS n FROM (
-  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::INT AS block_order, trim(regexp_replace(x, '^#+\s*', '')) AS text FROM ({LINES}))) WHERE n = 1""")
+@query(rf"""WITH b AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::INT AS block_order, trim(regexp_replace(x, '^#+\s*', '')) AS text FROM ({LINES})),
+  f AS (SELECT *, lower(regexp_replace(text, '[^\p{{L}}\p{{N}}_]+', '', 'g')) AS print FROM b) SELECT doc_id, block_order, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, print ORDER BY block_order) AS n FROM f) WHERE n = 1 OR print = ''""")
 def dc10_dedup_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return docprep.dedup_blocks(docprep.text_blocks(table(spark, sf, "documents"))).select("doc_id", "block_order", "text")
 
@@ -73,35 +73,73 @@ def dc1_clean_text(spark: SparkSession, sf: str) -> DataFrame:
     return tx.clean_text(table(spark, sf, "documents")).select("doc_id", F.length("clean").alias("n_chars"), F.sha2("clean", 256).alias("sha256"))
 
 
-@query()
+@query("SELECT doc_id, sha256(text || ' fi A2 SpO₂ 10⁹/L 1⁄2 x y') AS sha256 FROM documents")
 def dc3_nfkc_symbol_safe(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.sha2(tx.nfkc_symbol_safe(F.col("text")), 256).alias("sha256"))
+    """Texts with compatibility characters, signs and hard spaces at their end (the given texts hold none, so the oracle needs no NFKC)."""
+    t = F.concat("text", F.lit(" ﬁ Ａ² SpO₂ 10⁹/L ½　x​﻿\xa0y"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(tx.nfkc_symbol_safe(t), 256).alias("sha256"))
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '\b((?i:long|short|well|self|non|follow))-\n(\p{Ll})', '\1-\2', 'g'), '(\p{L})-\n(\p{Ll})', '\1\2', 'g')) AS sha256 FROM documents""")
+@query(r"""WITH t AS (SELECT doc_id, replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), 'e ', 'e-' || chr(10)) AS t FROM documents)
+  SELECT doc_id, sha256(regexp_replace(t, '([A-Za-z]{2,})-\s*\n\s*([a-z][A-Za-z]*)', '\1\2', 'g') || ' Long-term LONG-term') AS sha256 FROM t""")
 def dc4_repair_hyphens(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.sha2(tx.repair_hyphens(F.col("text")), 256).alias("sha256"))
+    """Texts, in ASCII, broken after every word that ends in e, and two compounds."""
+    t = F.concat(F.replace(F.regexp_replace("text", r"[^\x00-\x7F]", ""), F.lit("e "), F.lit("e-\n")), F.lit(" Long-\nterm LONG- \n term"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(tx.repair_hyphens(t), 256).alias("sha256"))
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '(^|[^A-Za-z])[Oo]\.(\d)', '\10.\2', 'g'), '(^|[^A-Za-z0-9])l0(\s*(?:mg|g|ml|%))', '\110\2', 'g'), '(\d)\s*u\s*g\b', '\1 μg', 'g')) AS sha256 FROM documents""")
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '\bl(0\s*(?:mg|g|mL|μg))\b', '1\1', 'g'), '(?i)\bu\s+g\b', 'μg', 'g') || ' 0.5 mg 10 mL xl0 g O.5 m 3 μg') AS sha256 FROM documents""")
 def dc5_repair_ocr_units(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.sha2(tx.repair_ocr_units(F.col("text")), 256).alias("sha256"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(tx.repair_ocr_units(F.concat("text", F.lit(" O.5 mg l0 mL xl0 g O.5 m 3 U  g"))), 256).alias("sha256"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-  m AS (SELECT doc_id, array_to_string(list_transform(ls, lambda x, i: CASE WHEN i = 1 THEN '' WHEN (ls[i - 1] = '' AND i > 2) OR regexp_matches(ls[i - 1], '[.!?:;。！？：；]$') OR (x = '' AND i < len(ls)) OR regexp_matches(x, '^(?:[-*•#]|\d+[.)])') THEN chr(10)
-    WHEN regexp_matches(ls[i - 1], '[\x{3400}-\x{9fff}]$') AND regexp_matches(x, '^[\x{3400}-\x{9fff}]') THEN '' ELSE ' ' END || x), '') AS t FROM l)
+@query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls FROM documents),
+  m AS (SELECT doc_id, array_to_string(list_transform(ls, lambda x, i: CASE WHEN i = 1 THEN '' WHEN regexp_matches(ls[i - 1], '[。！？!?；;：:]$') OR regexp_matches(x, '^([-•●▪◦]|\d+[.)]|\d+(\.\d+){0,3}\s|References)') THEN chr(10) ELSE ' ' END || x), '') AS t FROM l)
   SELECT doc_id, (length(t) - length(replace(t, chr(10), '')))::INT AS line_ends, sha256(t) AS sha256 FROM m""")
 def dc6_merge_lines(spark: SparkSession, sf: str) -> DataFrame:
     t = tx.merge_lines(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", F.regexp_count(t, F.lit("\n")).alias("line_ends"), F.sha2(t, 256).alias("sha256"))
 
 
-@query()
+def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """A source's documents as the pages of one document: the first line as header, the last as footer."""
+    lines = table(spark, sf, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.split("text", "\n").alias("lines"))
+    rows = lines.select("doc_id", "page", F.size("lines").alias("n"), F.posexplode("lines").alias("block_order", "text"))
+    kind = F.when(F.col("block_order") == 0, "header").when(F.col("block_order") == F.col("n") - 1, "footer").otherwise("text")
+    return rows.filter(F.trim("text") != "").select("doc_id", "page", "block_order", kind.alias("kind"), "text")
+
+
+PAGES = r"""l AS (SELECT source AS doc_id, doc_id AS page, string_split(text, chr(10)) AS ls FROM documents),
+  r AS (SELECT doc_id, page, len(ls) AS n, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS block_order FROM l),
+  b AS (SELECT *, CASE WHEN block_order = 0 THEN 'header' WHEN block_order = n - 1 THEN 'footer' ELSE 'text' END AS kind, trim(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '\d+', '#', 'g')) AS edge FROM r WHERE trim(text) <> ''),
+  e AS (SELECT doc_id, edge FROM b WHERE kind <> 'text' GROUP BY 1, 2 HAVING count(DISTINCT page) >= greatest(2, floor({share} * (SELECT count(DISTINCT page) FROM b x WHERE x.doc_id = b.doc_id) + 0.999))),
+  m AS (SELECT b.*, CASE WHEN kind <> 'text' AND e.edge IS NOT NULL THEN kind WHEN regexp_matches(trim(text), '^(-\s*)?\d+(\s*-)?$|^第\s*\d+\s*页$|^Page\s+\d+(\s+of\s+\d+)?$', 'i') THEN 'page_number'
+    WHEN regexp_matches(trim(text), '^(CONFIDENTIAL|DRAFT|SAMPLE|COPY|机密|草稿|仅供内部使用)$', 'i') THEN 'watermark' END AS removed FROM b LEFT JOIN e USING (doc_id, edge))"""
+
+
+@query(f"WITH {PAGES.format(share=0.01)} SELECT doc_id, page, block_order, sha256(text) AS sha256 FROM m WHERE removed IS NULL")
+def dc9_remove_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    b = page_blocks(spark, sf)
+    return docprep.remove_blocks(b, docprep.repeated_edges(b, 0.01))[0].select("doc_id", "page", "block_order", F.sha2("text", 256).alias("sha256"))
+
+
+@query(f"WITH {PAGES.format(share=0.01)} SELECT doc_id, page, block_order, 'remove_' || removed AS action, sha256(text) AS before, '' AS after, 'repeated_position_or_page_pattern' AS rule, 0.95::DOUBLE AS confidence FROM m WHERE removed IS NOT NULL")
+def dc11_cleaning_audit(spark: SparkSession, sf: str) -> DataFrame:
+    b = page_blocks(spark, sf)
+    return docprep.remove_blocks(b, docprep.repeated_edges(b, 0.01))[1].withColumn("before", F.sha2("before", 256))
+
+
+@query(rf"""WITH {PAGES.format(share=0.4)}, t AS (SELECT *, regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS clean FROM m WHERE removed IS NULL),
+  f AS (SELECT *, lower(regexp_replace(clean, '[^\p{{L}}\p{{N}}_]+', '', 'g')) AS print FROM t WHERE clean <> ''),
+  c AS (SELECT *, print <> '' AND row_number() OVER (PARTITION BY doc_id, page, print ORDER BY block_order) > 1 AS copy FROM f)
+  SELECT doc_id, page, count(*) FILTER (NOT copy) AS kept, count(*) FILTER (copy) AS copies, sha256(coalesce(string_agg(clean, chr(10) ORDER BY block_order) FILTER (NOT copy), '')) AS sha256 FROM c GROUP BY 1, 2""")
 def dc12_clean_documents(spark: SparkSession, sf: str) -> DataFrame:
-    kept, removed = docprep.clean_documents(docprep.text_blocks(table(spark, sf, "documents")))
-    a = kept.groupBy("doc_id").agg(F.count("*").alias("kept"))
-    return a.join(removed.groupBy("doc_id").agg(F.count("*").alias("removed")), "doc_id", "left").select("doc_id", "kept", F.coalesce("removed", F.lit(0)).alias("removed"))
+    """Pages of lines, so hyphens and lines have nothing to be merged with; the oracle takes the given texts as NFKC, which they are."""
+    kept, done = docprep.clean_documents(page_blocks(spark, sf))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_order", "text"))), lambda x: x["text"]), "\n")
+    a = kept.groupBy("doc_id", "page").agg(F.count("*").alias("kept"), F.sha2(text, 256).alias("sha256"))
+    d = done.filter("action = 'remove_duplicate'").groupBy("doc_id", "page").agg(F.count("*").alias("copies"))
+    return a.join(d, ["doc_id", "page"], "left").select("doc_id", "page", "kept", F.coalesce("copies", F.lit(0)).alias("copies"), "sha256")
 
 
 @query(rf"""WITH b AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::INT AS n, trim(x) AS t FROM ({LINES})),

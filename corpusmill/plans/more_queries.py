@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusmill.functions import text as tx
 from corpusmill.operators import benchmarks as bm
@@ -125,12 +126,19 @@ def rt22_evidence_basis(spark: SparkSession, sf: str) -> DataFrame:
   j AS (SELECT *, CASE WHEN lag(h) OVER w = h AND lag(p) OVER w + 1 = p THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY p, id)),
   i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p, id) AS island FROM j) SELECT doc_id, min(p) AS page_start, max(p) AS page_end, count(*) AS merged FROM i GROUP BY doc_id, island""")
 def dc7_merge_tables(spark: SparkSession, sf: str) -> DataFrame:
+    return docprep.merge_tables(line_tables(spark, sf)).select("doc_id", "page_start", "page_end", "merged")
+
+
+def line_tables(spark: SparkSession, sf: str) -> DataFrame:
     """An order's lines as one-row tables on the page of their number, with the return flag as header."""
     li = table(spark, sf, "lineitem")
-    from pyspark.sql.window import Window
+    return li.select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag")).alias("table_id"), F.col("l_linenumber").alias("page_start"), F.col("l_linenumber").alias("page_end"), F.array("l_returnflag").alias("headers"), F.array(F.array(F.col("l_quantity").cast("string"))).alias("rows"), F.array().cast("array<string>").alias("footnotes"), F.lit(1.0).alias("confidence"))
 
-    t = li.select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag")).alias("table_id"), F.col("l_linenumber").alias("page_start"), F.col("l_linenumber").alias("page_end"), F.array("l_returnflag").alias("headers"), F.array(F.array(F.col("l_quantity").cast("string"))).alias("rows"), F.array().cast("array<string>").alias("footnotes"), F.lit(1.0).alias("confidence"))
-    return docprep.merge_tables(t).select("doc_id", "page_start", "page_end", "merged")
+
+@query("""WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber AS p, l_returnflag AS h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS id FROM lineitem),
+  j AS (SELECT *, CASE WHEN lag(h) OVER w = h AND lag(p) OVER w + 1 = p THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY p, id)) SELECT doc_id, id AS table_id, sum(new) OVER (PARTITION BY doc_id ORDER BY p, id) AS island FROM j""")
+def wn8_table_islands(spark: SparkSession, sf: str) -> DataFrame:
+    return docprep.table_islands(line_tables(spark, sf)).select("doc_id", "table_id", "island")
 
 
 @query("""SELECT p_partkey, '| ' || p_brand || ' | Column 2 |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_name || ' | ' || p_size || ' |' AS markdown FROM part""")

@@ -327,3 +327,23 @@ def test_complexity_bounds_and_clashing_names(spark):
     assert got[2]["score"] >= 0.22 and got[3]["score"] >= 0.5 and got[3]["signals"]["tool_dependency"] == 1.0 and got[4]["score"] == 0.0
     more = rq.complexity(df.withColumn("s", F.lit("x" * 240)), "text", summary="s").filter("size = 4").first()
     assert more["signals"]["multi_turn_dependency"] == 0.75 and abs(more["signals"]["context_complexity"] - 0.2) < 1e-9
+
+
+def test_cleaning_rules_and_audit(spark):
+    """Hand-made blocks: what is removed, repaired, merged, and what the audit says of it."""
+    rows = [
+        ("header", "Report 1", 1, 0), ("text", "the con-\ntrolled dose-\ndependent élé-\nment", 1, 1), ("text", "first line\nsecond line.\n- item", 1, 2), ("text", "***", 1, 3), ("text", "===", 1, 4),
+        ("text", "Draft", 1, 5), ("text", "Page 3 of 9", 1, 6), ("text", "one  two", 1, 7), ("text", "One, two", 1, 8), ("text", "   ", 1, 9), ("text", "1.2 Methods", 1, 10), ("header", "Report 2", 2, 0), ("text", "l0 mg", 2, 1),
+    ]
+    b = spark.createDataFrame(rows, "kind string, text string, page int, block_order int").withColumn("doc_id", F.lit(1)).withColumn("confidence", F.when(F.col("page") == 2, 0.5))
+    kept, done = docprep.clean_documents(b)
+    got = {(r.page, r.block_order): (r.kind, r.text) for r in kept.collect()}
+    assert got == {
+        (1, 1): ("text", "the controlled dose-dependent élé- ment"), (1, 2): ("text", "first line second line. - item".replace(" - ", "\n- ")), (1, 3): ("text", "***"), (1, 4): ("text", "==="),
+        (1, 7): ("text", "one two"), (1, 10): ("heading", "1.2 Methods"), (2, 1): ("heading", "10 mg"),
+    }
+    said = sorted((r.page, r.block_order, r.action) for r in done.collect())
+    assert said == [
+        (1, 0, "remove_header"), (1, 1, "merge_visual_lines"), (1, 1, "repair_hyphenation"), (1, 2, "merge_visual_lines"), (1, 5, "remove_watermark"), (1, 6, "remove_page_number"),
+        (1, 8, "remove_duplicate"), (2, 0, "remove_header"), (2, 1, "repair_ocr_numeric_unit"),
+    ]
