@@ -335,9 +335,13 @@ def split_recursive(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInPandas(job, "key long, piece int, content string").withColumnRenamed("key", key)
 
 
+def embedding_key(model: str, size: int, text: str = "text"):
+    return F.sha2(F.concat_ws("|", F.lit(model), F.lit(str(size)), F.col(text)), 256)
+
+
 def embed_missing(texts: DataFrame, cache: DataFrame, embed_fn, model: str, size: int) -> DataFrame:
     """Vectors of texts that the cache (cache_key) lacks; embed_fn maps a list of texts to vectors, batch by batch. A wrong size is an error row."""
-    keyed = texts.withColumn("cache_key", F.sha2(F.concat_ws("|", F.lit(model), F.lit(str(size)), "text"), 256)).select("cache_key", "text").dropDuplicates(["cache_key"])
+    keyed = texts.withColumn("cache_key", embedding_key(model, size)).select("cache_key", "text").dropDuplicates(["cache_key"])
     missing = keyed.join(cache.select("cache_key"), "cache_key", "left_anti")
 
     def job(batches):

@@ -356,12 +356,22 @@ def final_score(df: DataFrame) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("exact").desc(), F.col("final_score").desc(), "chunk_id")))
 
 
-def constraint_match(df: DataFrame, content: str, constraints: str) -> DataFrame:
-    """matched and missing of an array of required phrases, and their share (1 without any)."""
-    compact = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
-    held = lambda x: F.contains(compact(F.coalesce(F.col(content), F.lit(""))), compact(x))
+#: What a text that denies something holds.
+NEGATIVE = r"无|没有|不推荐|禁止|禁忌|not|without|contraindicat"
+
+
+def constraint_match(df: DataFrame, content: str, constraints: str, negated: str | None = None) -> DataFrame:
+    """matched and missing of an array of required phrases, letter case aside, and the share of checks that hold (1 without any).
+
+    negated: a boolean column; where it is true the text must deny something, which is one check more. Numbers are `numeric_present`'s.
+    """
+    text = F.lower(F.coalesce(F.col(content), F.lit("")))
+    held = lambda x: F.contains(text, F.lower(x))
     df = df.withColumn("matched", F.filter(F.col(constraints), held)).withColumn("missing", F.filter(F.col(constraints), lambda x: ~held(x)))
-    return df.withColumn("constraint_score", F.when(F.size(constraints) > 0, F.size("matched") / F.size(constraints)).otherwise(1.0))
+    asked = F.coalesce(F.col(negated), F.lit(False)).cast("int") if negated else F.lit(0)
+    checks = F.coalesce(F.size(F.col(constraints)), F.lit(0)) + asked
+    hits = F.coalesce(F.size("matched"), F.lit(0)) + asked * text.rlike("(?i)" + NEGATIVE).cast("int")
+    return df.withColumn("constraint_score", F.when(checks > 0, hits / checks).otherwise(1.0))
 
 
 def numeric_present(text: Column, original: Column, name: Column, unit: Column, values: Column) -> Column:

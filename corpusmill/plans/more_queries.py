@@ -13,7 +13,7 @@ from corpusmill.operators import docprep, facts, graph, ops
 from corpusmill.operators import retrieval as rt
 from corpusmill.plans.document_queries import LINES
 from corpusmill.plans.operation_queries import edges_of
-from corpusmill.plans.registry import query, table
+from corpusmill.plans.registry import query, scratch, table
 from corpusmill.plans.retrieval_queries import DENSE, dense_of
 from corpusmill.sources import files
 
@@ -61,10 +61,12 @@ def rt5_fuse_sources(spark: SparkSession, sf: str) -> DataFrame:
     return rt.fuse_sources(d).select("query_id", "key", F.round("rrf_score", 6).alias("rrf_score"), "rank")
 
 
-@query(r"""WITH x AS (SELECT doc_id, regexp_replace(lower(text), '\s+', '', 'g') AS t FROM documents), y AS (SELECT doc_id, contains(t, 'ofthe')::INT + contains(t, 'license')::INT AS n FROM x) SELECT doc_id, n AS matched, 2 - n AS missing, n / 2.0::DOUBLE AS constraint_score FROM y""")
+@query(r"""WITH y AS (SELECT doc_id, contains(lower(text), 'th er')::INT + contains(lower(text), 'license')::INT AS n, regexp_matches(text, '无|没有|不推荐|禁止|禁忌|not|without|contraindicat', 'i')::INT AS negative FROM documents)
+  SELECT doc_id, n AS matched, 2 - n AS missing, CASE WHEN doc_id % 2 = 0 THEN (n + negative) / 3.0::DOUBLE ELSE n / 2.0::DOUBLE END AS constraint_score FROM y""")
 def rt9_constraint_match(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").withColumn("c", F.array(F.lit("Of the"), F.lit("LICENSE")))
-    return rt.constraint_match(d, "text", "c").select("doc_id", F.size("matched").alias("matched"), F.size("missing").alias("missing"), "constraint_score")
+    """Two phrases; every second document is also asked for a negation."""
+    d = table(spark, sf, "documents").withColumn("c", F.array(F.lit("Th er"), F.lit("LICENSE"))).withColumn("n", F.col("doc_id") % 2 == 0)
+    return rt.constraint_match(d, "text", "c", "n").select("doc_id", F.size("matched").alias("matched"), F.size("missing").alias("missing"), "constraint_score")
 
 
 @query(r"""WITH x AS (SELECT doc_id, regexp_replace(lower(text), '\s+', '', 'g') AS t, list_filter(regexp_extract_all(text, '[\d.]+'), lambda n: regexp_full_match(n, '\d+(\.\d+)?')) AS numbers FROM documents)
@@ -413,7 +415,13 @@ def dc27_split_semantic(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def dc32_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    return docprep.ingest(table(spark, sf, "documents")).select("doc_id", "chunk_index", "chunk_type", "chunk_id", "doc_bucket", F.size("keywords").alias("n_keywords"))
+    """Documents into a chunk table, with their texts' lengths as vectors, where nothing is cached; unlike: children without a vector."""
+    path, work = scratch(spark, "ingested"), scratch(spark, "ingest")
+    cache = spark.createDataFrame([], "cache_key string, embedding array<float>")
+    unlike = files.ingest_to(table(spark, sf, "documents"), path, work, cache, lambda ts: [[float(len(t))] * 4 for t in ts], "length", 4)
+    unlike = unlike.select(F.col("doc_id").alias("_d"), F.lit(1).alias("_u"))
+    out = spark.read.parquet(path).join(unlike, F.col("doc_id") == F.col("_d"), "left")
+    return out.select("doc_id", "chunk_index", "chunk_type", "chunk_id", "doc_bucket", F.size("keywords").alias("n_keywords"), (F.get("embedding", F.lit(0)) == F.length("content")).alias("embedded"), F.coalesce("_u", F.lit(0)).alias("unlike"))
 
 
 @query("SELECT event_id AS doc_id, CASE WHEN event_type = 'view' THEN 'approved' WHEN event_type = 'click' THEN 'rejected' ELSE 'rejected' END AS review_status FROM events WHERE event_type IN ('view', 'click', 'error')")

@@ -118,7 +118,7 @@ HYBRID = rf"""WITH RECURSIVE lines AS (SELECT doc_id, lang, unnest(string_split(
   fused AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS rrf, coalesce(max(score) FILTER (route = 'exact'), 0) AS exact FROM ranked GROUP BY 1, 2),
   one AS (SELECT f.*, doc_id, n, lang, k.text, toks, needs, row_number() OVER (PARTITION BY query_id, doc_id, sha256(k.text) ORDER BY rrf DESC, f.chunk_id) AS copy FROM fused f JOIN kids k USING (chunk_id)),
   kept AS (SELECT * FROM (SELECT *, max(rrf) OVER (PARTITION BY query_id) AS best FROM one WHERE copy = 1) WHERE rrf >= 0.2 * best),
-  final AS (SELECT k.*, 0.60 * rrf + 0.20 * contains(regexp_replace(lower(k.text), '\s+', '', 'g'), lower(split_part(b.text, ' ', 1)))::INT + 0.15 * (CASE WHEN lang = 'en' THEN 10 ELSE 7 END) / 10
+  final AS (SELECT k.*, 0.60 * rrf + 0.20 * contains(lower(k.text), lower(split_part(b.text, ' ', 1)))::INT + 0.15 * (CASE WHEN lang = 'en' THEN 10 ELSE 7 END) / 10
       + 0.05 * (CASE WHEN lang = 'fr' THEN 0.7 WHEN lang = 'de' THEN 0.4 ELSE 1 END) AS final_score,
     CASE WHEN regexp_matches(b.text, '比较|对比|综述|多文档|compare|review', 'i') THEN 8 WHEN regexp_matches(b.text, '禁忌|相互作用|说明书|剂量|drug', 'i') THEN 8 ELSE 5 END AS k FROM kept k JOIN benchmark b ON query_id = item_id),
   ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, round(final_score, 12) DESC, chunk_id) AS rank FROM final),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from corpusmill.operators import docprep
 from pyspark.sql import types as T
 
 
@@ -79,6 +81,22 @@ def unlike_counts(spark: SparkSession, path: str, chunks: DataFrame, by: str = "
     return want.join(got, F.col(by) == F.col("_k"), "left").select(by, F.coalesce("written", F.lit(0)).alias("written"), "wanted").filter("written <> wanted")
 
 
+def ingest_to(docs: DataFrame, path: str, work: str, cache: DataFrame, embed_fn, model: str, size: int) -> DataFrame:
+    """Documents cleaned, chunked and embedded into the chunk table below `path`; returns the documents whose children lack a vector there.
+
+    cache: cache_key, embedding; only texts that it lacks are embedded. Chunks and new vectors are written below `work`
+    once, so neither is computed twice; the documents' buckets in the table are replaced.
+    """
+    spark = docs.sparkSession
+    docprep.ingest(docs).withColumn("cache_key", F.when(F.col("chunk_type") == "child", docprep.embedding_key(model, size, "content"))).write.parquet(f"{work}/chunks")
+    chunks = spark.read.parquet(f"{work}/chunks")
+    children = chunks.filter("chunk_type = 'child'")
+    docprep.embed_missing(children.select(F.col("content").alias("text")), cache, embed_fn, model, size).write.parquet(f"{work}/vectors")
+    known = cache.select("cache_key", "embedding").dropDuplicates(["cache_key"]).unionByName(spark.read.parquet(f"{work}/vectors").select("cache_key", "embedding"))
+    replace_chunks(chunks.join(known, "cache_key", "left"), path)
+    return unlike_counts(spark, path, children, "doc_id", "embedding")
+
+
 def keep_reviews(new: DataFrame, before: DataFrame, by: str = "doc_id") -> DataFrame:
     """new with review_status: an approved one survives a re-run, all others stand as computed."""
     old = before.filter("review_status = 'approved'").select(F.col(by).alias("_k")).distinct()
