@@ -12,14 +12,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def tokenizer_path() -> str:
-    """Where the vocabulary file lies: TOKENIZER_FILE, else the installed public one."""
-    given = os.environ.get("TOKENIZER_FILE")
+def tokenizer_path(name: str = "word_bpe_49k.json", variable: str = "TOKENIZER_FILE") -> str:
+    """Where the vocabulary file lies: as the environment's variable says, else the installed public one."""
+    given = os.environ.get(variable)
     if given:
         return given
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,24 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.best_fit import best_fit
+
+    return best_fit(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json", "BYTE_TOKENIZER_FILE"))
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.conversation_repair import repair_conversations
+
+    return repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_score_quality": op1_score_quality,
     "op2_find_pii": op2_find_pii,
@@ -94,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_shards": op10_token_shards,
+    "op11_best_fit": op11_best_fit,
+    "op12_whiten": op12_whiten,
+    "op13_repair_conversations": op13_repair_conversations,
 }
 
 #: The base32 alphabet over 20 bits at a time, as hex digits give them.

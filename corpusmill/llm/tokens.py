@@ -17,7 +17,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
-from corpusmill.llm.shared import row_slices, span_hashes, utf8, word_spans
+from corpusmill.llm.shared import BLANK, row_slices, span_hashes, utf8, word_spans
 
 #: A task forgets its words beyond so many, to bound its memory.
 KEEP_WORDS, KEEP_BYTES = 1_500_000, 64 << 20
@@ -26,6 +26,8 @@ LATIN = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u0101-\u017f"
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^{LATIN}0-9]+")
 #: Words that the pattern covers in full; longer ones go the common way.
 PLAIN = re.compile(f"[!-~A-Za-z{LATIN}\u00c0-\u00d6\u00d8-\u00de]{{1,64}}")
+#: The second and third bytes (or the second) of the characters beyond ASCII that count as white space.
+WIDE_BLANKS = {0xC2: [(0x85,), (0xA0,)], 0xE1: [(0x9A, 0x80)], 0xE2: [*((0x80, b) for b in range(0x80, 0x8B)), (0x80, 0xA8), (0x80, 0xA9), (0x80, 0xAF), (0x81, 0x9F)], 0xE3: [(0x80, 0x80)]}
 _HELD: dict[str, WordEncoder] = {}
 
 
@@ -103,9 +105,13 @@ class WordEncoder:
         differ[np.searchsorted(first, unlike, "right") - 1] = True
         return np.flatnonzero(differ)
 
+    def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words, which are encoded one by one."""
+        return word_spans(data, offsets)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after the other, each with `end` behind it, and how many ids each row has."""
-        starts, ends = word_spans(data, offsets)
+        starts, ends = self.spans(data, offsets)
         hashes = span_hashes(data, starts, ends)
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(distinct) > KEEP_WORDS or self.bytes_used > KEEP_BYTES:
@@ -130,14 +136,42 @@ class WordEncoder:
         return out, row_ids
 
 
-def encoder(path: str) -> WordEncoder:
+class ByteEncoder(WordEncoder):
+    """For byte-level tokenizers that keep white space: a word is a run of white space and what follows it up to the next one.
+
+    Their pre-tokenizer's pieces never hold white space behind another character, and look ahead only from white space to what
+    follows it, so a text may be cut wherever ASCII white space begins behind a character that is none of any kind.
+    """
+
+    def word(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        blank = BLANK[data]
+        closed = blank.copy()  # the last bytes of white space of any kind
+        for lead, tails in WIDE_BLANKS.items():
+            at = np.flatnonzero(data == lead)
+            for tail in tails:
+                here = at[at + len(tail) < len(data)]
+                for k, byte in enumerate(tail, 1):
+                    here = here[data[here + k] == byte]
+                closed[here + len(tail)] = True
+        begins = np.zeros(len(data), bool)
+        begins[1:] = blank[1:] & ~closed[:-1]
+        edge = offsets[:-1]
+        begins[edge[(edge < len(data)) & (np.diff(offsets) > 0)]] = True
+        starts = np.flatnonzero(begins)
+        return starts, np.append(starts[1:], len(data))[: len(starts)]
+
+
+def encoder(path: str, kind: type[WordEncoder] = WordEncoder) -> WordEncoder:
     if path not in _HELD:
-        _HELD[path] = WordEncoder(path)
+        _HELD[path] = kind(path)
     return _HELD[path]
 
 
-def encoded(column: pa.Array, path: str, end: int):
+def encoded(column: pa.Array, path: str, end: int, kind: type[WordEncoder] = WordEncoder):
     """(first row, last row, ids, ids of each row) for slices of a text column."""
     data, offsets = utf8(column)
     for a, b in row_slices(offsets):
-        yield a, b, *encoder(path).encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end)
+        yield a, b, *encoder(path, kind).encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end)
