@@ -5,7 +5,7 @@ decodes the sample tables (stts, stss, stsc, stsz, stco or co64) of the first tr
 duration and every keyframe's byte range from them; samples are located by the tables and never decoded.
 
 Defined cases: a null text is empty, an empty one is a single block of spaces; rows repeated with one id give equal rows;
-a container that breaks off, has no track with sample tables, or whose tables contradict each other, their boxes or the
+boxes may be nested to any depth; a container that breaks off, has no track with sample tables, or whose tables contradict each other, their boxes or the
 file's size gives nulls (`parse`): no count is believed before its table is seen to fit its box.
 """
 
@@ -71,18 +71,25 @@ def container(payload: bytes) -> bytes:
 
 def walk(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
     """(kind, start, end) of every box's body, nested ones after their holder."""
-    while start + 8 <= end:
+    ends = [end]  # of the boxes that hold this place
+    while ends:
+        if start + 8 > ends[-1]:
+            start = ends.pop()
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
-        if size == 1 and start + 16 <= end:
+        if size == 1 and start + 16 <= ends[-1]:
             size, head = struct.unpack_from(">Q", data, start + 8)[0], 16
-        size = size or end - start
-        if size < head or start + size > end:
-            return
+        size = size or ends[-1] - start
+        if size < head or start + size > ends[-1]:  # the rest of the holder can't be read
+            start = ends.pop()
+            continue
         yield kind, start + head, start + size
         if kind in NESTED:
-            yield from walk(data, start + head, start + size)
-        start += size
+            ends.append(start + size)
+            start += head
+        else:
+            start += size
 
 
 def counted(data: memoryview, at: tuple[int, int], dtype: str, cols: int) -> np.ndarray:

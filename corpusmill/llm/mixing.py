@@ -3,11 +3,11 @@
 Each source's documents, in a hashed order, are cut into blocks of about `block_chars` characters. With the exact target
 weight w (a fraction), block i (from 0) of a source is released at floor(i / w) and due at ceil((i + 1) / w). As the
 weights sum to 1, earliest-deadline-first over the released blocks meets all deadlines, so while every source has blocks
-each is within less than one block of its share at each slot, however long the input. The schedule is made once over all
-blocks on the driver, with a heap of a row a source, and written in parts. A block has `block_chars` characters, or as
-many more as keep the blocks at about `most_blocks`, so the driver's work is bounded at any size of the input and the
-mixture is as fine in proportion. A source that has run out leaves slots empty. Sources with the weight 0 come after all others,
-in proportion to their characters. Nothing is dropped or repeated: the mixture is an order.
+each is within less than one block of its share at each slot, however long the input. Weights are whole numbers of slots
+in a period: their common denominator, or `period` slots where that is longer (weights are then the nearest parts of it, one
+at least). All windows and so the schedule repeat with the period: the driver schedules one period, with a heap of a row a source, and
+each block of the corpus finds its slot in it by its number. A source that has run out leaves slots empty. Sources with
+the weight 0 come after all others, in proportion to their characters. Nothing is dropped or repeated: the mixture is an order.
 
 Defined cases: a null source is a source of its own; null and empty texts weigh one character; rows repeated with one id,
 or without one, have a place each; a text longer than a block lies in the block where it starts; an empty table gives an
@@ -24,12 +24,11 @@ from math import lcm
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import new_path, pieces, running_start, written
+from corpusmill.llm.shared import broadcast_small, pieces, running_start, written
 
 
-SCHEDULE = "_s string, _b long, release_slot long, deadline_slot long, slot long, _at long"
-#: Blocks that are scheduled and written at once.
-PART = 100_000
+SCHEDULE = "_s string, _j long, _release long, _deadline long, _slot long"
+SHARES = "_source string, _slots long, _period long, _base long"
 
 
 def characters(text: str) -> Column:
@@ -70,48 +69,59 @@ def windows(weights: dict[str | None, Fraction], blocks: dict[str | None, int],
             heapq.heappush(coming, (done[k] * whole // share[k], k))
 
 
-def schedule_of(spark: SparkSession, sizes: dict[str | None, int], weights: dict[str | None, Fraction], block_chars: int) -> tuple[DataFrame, int]:
-    """The written schedule of all blocks, `_at` counting them, and their number."""
+def whole_slots(weights: dict[str | None, Fraction], period: int) -> tuple[int, dict[str | None, int]]:
+    """Slots of a period, and each source's share of them: exact where the common denominator is no longer, else the nearest parts."""
+    exact = lcm(*[w.denominator for w in weights.values()])
+    if exact <= period:
+        return exact, {s: int(w * exact) for s, w in weights.items()}
+    period = max(period, 8 * len(weights))
+    slots = {s: max(1, int(w * period)) for s, w in weights.items()}
+    left = period - sum(slots.values())
+    order = sorted(weights, key=lambda s: (slots[s] - weights[s] * period, s is not None, s or ""))
+    if left >= 0:
+        for s in order[:left]:
+            slots[s] += 1
+    else:  # small sources were rounded up: from those that are most above their weights
+        for _ in range(-left):
+            slots[max((s for s in order if slots[s] > 1), key=lambda s: slots[s] - weights[s] * period)] -= 1
+    return period, slots
+
+
+def schedule_of(spark: SparkSession, sizes: dict[str | None, int], weights: dict[str | None, Fraction], block_chars: int, period: int) -> tuple[DataFrame, DataFrame, int]:
+    """A period's written schedule, a row a source with its slots a period and where its part begins, and the number of all slots."""
     blocks = {s: -(-n // block_chars) for s, n in sizes.items()}
     some = {s: w for s, w in weights.items() if w}
     none = {s: Fraction(blocks[s]) for s, w in weights.items() if not w}
     none = {s: w / sum(none.values()) for s, w in none.items()}
-    path, part, at, end = new_path(spark, "mix-schedule"), [], 0, 0
-
-    def write() -> None:
-        spark.createDataFrame(part, SCHEDULE).coalesce(1).write.mode("append").option("compression", "zstd").parquet(path)
-        part.clear()
-
+    rows, shares, end = [], [], 0
     for group in (some, none):
         if not group:
             continue
-        for row in windows(group, blocks, end):
-            part.append((*row, at))
-            at += 1
-            if len(part) == PART:
-                write()
-            slot = row[-1]
-        end = slot + 1
-    if part or not at:
-        write()
-    return spark.read.schema(SCHEDULE).parquet(path), at
-
-
-def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", targets: dict | None = None, temper: float = 0.7, block_chars: int = 20_000, most_blocks: int = 1_000_000) -> DataFrame:
+        length, slots = whole_slots(group, period)
+        turn = list(windows({s: Fraction(k, length) for s, k in slots.items()}, slots))
+        at = {(s, j): slot for s, j, _, _, slot in turn}
+        rows += turn
+        shares += [(s, k, length, end) for s, k in slots.items()]
+        end += 1 + max((blocks[s] - 1) // k * length + at[s, (blocks[s] - 1) % k] for s, k in slots.items())
+    return written(spark.createDataFrame(rows, SCHEDULE).coalesce(1), "mix-schedule"), spark.createDataFrame(shares, SHARES), end
+
+
+def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", targets: dict | None = None, temper: float = 0.7, block_chars: int = 20_000, period: int = 100_000) -> DataFrame:
     """One row per document row: key, source, n_chars, block, release_slot, deadline_slot, slot, position (0-based in the mixture).
 
     targets: weight by source (0 where missing: after all others); else the sources' characters to the power `temper`.
     """
-    base = docs.select(F.col(key), F.col(source).cast("string").alias("source"), characters(text).alias("n_chars"))
-    base = written(base, "mix-sizes")
+    base = docs.select(F.col(key), F.col(source).cast("string").alias("source"), characters(text).alias("n_chars"), F.monotonically_increasing_id().alias("_row"))
+    base = written(base, "mix-sizes")  # _row tells rows apart that have no key, or the same
     sizes = dict(base.groupBy("source").agg(F.sum("n_chars")).collect())  # a row a source
-    block_chars = max(block_chars, -(-sum(sizes.values()) // most_blocks))
     n = pieces(base.count())
-    placed = running_start(base.withColumn("_piece", F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(n))), "n_chars", "start", [key], ["source"], "_piece")
+    placed = running_start(base.withColumn("_piece", F.pmod(F.xxhash64(key, "_row", F.lit("mix")), F.lit(n))), "n_chars", "start", [key, "_row"], ["source"], "_piece")
     placed = placed.withColumn("block", F.floor(F.col("start") / block_chars))
-    schedule, blocks = schedule_of(docs.sparkSession, sizes, target_weights(sizes, temper, targets), block_chars)
-    placed = placed.join(schedule, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
-    placed = placed.select(key, "source", "n_chars", "block", "release_slot", "deadline_slot", "slot", "_at", "start", F.lit(1).cast("long").alias("_one"))
-    placed = written(placed, "mix-slots")
-    by_slots = placed.withColumn("_piece", F.floor(F.col("_at") / max(1, -(-blocks // n))))
-    return running_start(by_slots, "_one", "position", ["_at", "start", key], [], "_piece").select(key, "source", "n_chars", "block", "release_slot", "deadline_slot", "slot", "position")
+    schedule, shares, slots = schedule_of(docs.sparkSession, sizes, target_weights(sizes, temper, targets), block_chars, period)
+    placed = placed.join(broadcast_small(shares), F.col("source").eqNullSafe(F.col("_source")))
+    placed = placed.withColumn("_nth", F.col("block") % F.col("_slots")).withColumn("_before", F.col("_base") + F.floor(F.col("block") / F.col("_slots")) * F.col("_period"))
+    placed = placed.join(broadcast_small(schedule), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_nth") == F.col("_j")))
+    times = [(F.col("_before") + F.col(f"_{c}")).alias(out) for c, out in (("release", "release_slot"), ("deadline", "deadline_slot"), ("slot", "slot"))]
+    placed = written(placed.select(key, "source", "n_chars", "block", *times, "start", "_row", F.lit(1).cast("long").alias("_one")), "mix-slots")
+    by_slots = placed.withColumn("_piece", F.floor(F.col("slot") / max(1, -(-slots // n))))
+    return running_start(by_slots, "_one", "position", ["slot", "start", key, "_row"], [], "_piece").select(key, "source", "n_chars", "block", "release_slot", "deadline_slot", "slot", "position")

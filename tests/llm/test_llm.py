@@ -257,12 +257,39 @@ def test_schedule_is_plain_earliest_deadline_first():
         assert list(mixing.windows(w, blocks)) == want
 
 
-def test_mixing_bounds_its_blocks(spark):
-    """With few blocks allowed the schedule is as short, every row has its place, and the shares hold."""
-    docs = frame(spark, ["x" * 100] * 900, ["a", "a", "b"])
-    got = mixing.mix_sources(docs, targets={"a": 1, "b": 1}, block_chars=100, most_blocks=30).orderBy("position").collect()
-    assert [x.position for x in got] == list(range(900)) and len({(x.source, x.block) for x in got}) == 30
-    assert abs(sum(x.source == "a" for x in got[:400]) - 200) <= 30
+@pytest.mark.parametrize("period", [50, 100_000])
+def test_mixing_repeats_its_period(period):
+    """The blocks' slots by a period's schedule are those of the schedule of all blocks, two million of them."""
+    from fractions import Fraction
+
+    weights = {"a": Fraction(7, 50), "b": Fraction(30, 50), None: Fraction(13, 50)}
+    length, slots = mixing.whole_slots(weights, period)
+    assert length == 50 and slots == {"a": 7, "b": 30, None: 13}
+    at = {(s, j): (release, due, slot) for s, j, release, due, slot in mixing.windows(weights, slots)}
+    for s, b, release, due, slot in mixing.windows(weights, {k: 40_000 * n for k, n in slots.items()}):
+        first = b // slots[s] * length
+        assert (release - first, due - first, slot - first) == at[s, b % slots[s]]
+
+
+def test_mixing_rounds_weights_to_its_period():
+    from fractions import Fraction
+
+    r = random.Random(6)
+    for n in (2, 30, 400):
+        w = {f"s{k}": Fraction(repr(r.random() ** 6 + 1e-9)) for k in range(n)}
+        w = {s: x / sum(w.values()) for s, x in w.items()}
+        length, slots = mixing.whole_slots(w, 10_000)
+        assert length == 10_000 == sum(slots.values()) and min(slots.values()) >= 1
+        assert all(abs(slots[s] - w[s] * length) <= 1 + (n > 2) * 2 for s in w)
+
+
+def test_mixing_cuts_rows_without_a_key(spark):
+    """Rows of one source with a null or repeated key are counted in many pieces, and have a place each."""
+    docs = spark.createDataFrame([(None if k % 2 else 5, "x" * (k % 7), "en", "a", 0, 0.0, 0, 0, 0) for k in range(3000)], SCHEMA)
+    got = mixing.mix_sources(docs, block_chars=50)
+    assert sorted(x.position for x in got.collect()) == list(range(3000))
+    base = docs.withColumn("_row", F.monotonically_increasing_id())
+    assert base.select(F.pmod(F.xxhash64("doc_id", "_row", F.lit("mix")), F.lit(shared.pieces(3000)))).distinct().count() > 40
 
 
 def test_mixing_puts_sources_without_weight_last(spark):
@@ -639,6 +666,67 @@ def test_broken_containers_give_nulls(spark, kind):
     assert len(got) == 23 and sum(r.payload_bytes == 192 * 70 for r in got) >= 1
 
 
+def test_deeply_nested_boxes():
+    """Boxes in boxes give nulls, or what lies in them, at any depth."""
+    deep = b"".join((8 * (n + 1)).to_bytes(4, "big") + b"moov" for n in range(50_000, -1, -1))
+    assert media.parse(deep) is None and len(list(media.walk(memoryview(deep), 0, len(deep)))) == 50_001
+    whole = media.container(b"x" * 192 * 5)
+    start = whole.index(b"moov") - 4
+    end = start + int.from_bytes(whole[start : start + 4], "big")
+    inner = whole[start:end]
+    for _ in range(2000):
+        inner = media.box(b"edts", inner)
+    found = media.parse(whole[:start] + inner + whole[end:])
+    assert found is None or len(found["sizes"]) == 5
+
+
+def foreign(samples, per_chunk, gap):
+    """A container as others write it: the data first, 64-bit offsets, several runs of chunks, unequal samples and durations,
+    gaps between chunks, boxes with 64-bit sizes, and boxes that are not known."""
+    chunks, k = [], 0
+    for n in per_chunk:
+        chunks.append(samples[k : k + n])
+        k += n
+    data, offsets = b"", []
+    front = media.box(b"ftyp", b"mp42", bytes(4), b"mp42isom") + media.box(b"free", b"?" * 13)
+    for c in chunks:
+        data += b"-" * gap
+        offsets.append(len(front) + 16 + len(data))
+        data += b"".join(c)
+    mdat = (1).to_bytes(4, "big") + b"mdat" + (16 + len(data)).to_bytes(8, "big") + data
+    u = lambda *v: b"".join(x.to_bytes(4, "big") for x in v)
+    runs = [(i + 1, n) for i, n in enumerate(per_chunk) if i == 0 or n != per_chunk[i - 1]]
+    keys = list(range(1, len(samples) + 1, 3))
+    stbl = media.box(
+        b"stbl", media.full(b"co64", u(len(offsets)), b"".join(o.to_bytes(8, "big") for o in offsets)), media.full(b"stsz", u(0, len(samples)), u(*map(len, samples))),
+        media.full(b"stsc", u(len(runs)), *[u(a, n, 1) for a, n in runs]), media.full(b"sdtp", bytes(3)), media.full(b"stss", u(len(keys), *keys)), media.full(b"ctts", u(1, len(samples), 7)),
+        media.full(b"stts", u(2, 2, 10, len(samples) - 2, 25)), media.full(b"stsd", u(1), u(16), b"avc1", bytes(8)),
+    )
+    head = (1 << 24).to_bytes(4, "big") + bytes(16) + u(90_000) + bytes(12)  # version 1
+    mdia = media.box(b"mdia", media.box(b"minf", stbl), media.full(b"hdlr", bytes(20)), media.box(b"mdhd", head))
+    body = media.box(b"trak", media.box(b"tkhd", bytes(84)), mdia) + media.box(b"udta", b"zz")
+    return front + mdat + (1).to_bytes(4, "big") + b"moov" + (16 + len(body)).to_bytes(8, "big") + body, keys
+
+
+def test_foreign_layouts():
+    r = random.Random(3)
+    for _ in range(40):
+        samples = [r.randbytes(r.randrange(1, 90)) for _ in range(r.randrange(3, 60))]
+        per, left = [], len(samples)
+        while left:
+            per.append(min(left, r.choice([1, 2, 2, 5])))
+            left -= per[-1]
+        whole, keys = foreign(samples, per, r.randrange(0, 9))
+        found = media.parse(whole)
+        assert media.stored_bytes(whole, found) == b"".join(samples) and found["codec"] == "avc1" and found["clock"] == 90_000
+        assert found["duration"] == 20 + 25 * (len(samples) - 2) and (found["keys"] + 1).tolist() == keys
+        assert [whole[p : p + n] for p, n in zip(found["places"], found["sizes"], strict=True)] == samples
+        for _ in range(30):  # no single changed byte may crash it
+            k = r.randrange(len(whole))
+            broken = media.parse(whole[:k] + bytes([r.randrange(256)]) + whole[k + 1 :])
+            assert broken is None or len(media.stored_bytes(whole, broken)) <= len(whole)
+
+
 def test_tracks_are_not_mixed():
     """A track without sample tables before the one that has them; a clock of 0 gives no duration."""
     whole = media.container(b"x" * 192 * 5)
