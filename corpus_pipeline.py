@@ -136,12 +136,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written to the shared folder and read again, and what the stage wrote for itself removed."""
+    """All stages over documents; each stage's result is written to the shared folder and read again. What the stage wrote
+    for itself goes, and the table that it read as well: only the last stage's is left."""
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
     for k, (_, stage) in enumerate(STAGES):
         path = new_path(spark, f"stage-{k}")
         before = len(MADE)
         stage(spark, docs, sf_dir).write.parquet(path)
         remove_made(spark, before)
+        if k:
+            remove_made(spark, before - 2, before - 1)
         docs = spark.read.parquet(path)
     return docs

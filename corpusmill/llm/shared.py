@@ -31,12 +31,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return MADE[-1]
 
 
-def remove_made(spark: SparkSession, since: int) -> None:
-    """Deletes the folders made since MADE had that length; for when nothing will read them any more."""
-    for path in MADE[since:]:
+def remove_made(spark: SparkSession, since: int, until: int | None = None) -> None:
+    """Deletes the folders made since MADE had that length, or the other; for when nothing will read them any more."""
+    for path in MADE[since:until]:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    del MADE[since:]
+    del MADE[since:until]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
