@@ -14,7 +14,7 @@ from corpusmill.operators import retrieval as rt
 from corpusmill.plans.document_queries import VECTORS
 from corpusmill.plans.evaluation_queries import CASES, case_runs
 from corpusmill.plans.registry import query, scratch, table
-from corpusmill.sources import files
+from corpusmill.sources import files, snapshots
 
 
 @query(f"WITH {CASES} SELECT k AS case_key, a.passed AS before, b.passed AS after FROM a JOIN b USING (k)")
@@ -125,31 +125,48 @@ def src4_validate_run(spark: SparkSession, sf: str) -> DataFrame:
     return files.validate_run(rows)
 
 
-@query("SELECT conv_id, turn, CASE WHEN conv_id % 8 = 3 THEN 'new ' ELSE '' END || text AS text, 0 AS unlike FROM conversations")
+@query("""WITH m AS (SELECT min(conv_id) AS lo, max(conv_id) AS hi FROM conversations)
+  SELECT conv_id, turn, CASE WHEN conv_id = lo THEN 'new ' ELSE '' END || text AS text, text AS before, 0 AS unlike FROM conversations, m WHERE conv_id <> hi AND NOT (conv_id = lo AND turn > 0)""")
 def src6_replace_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Messages as chunks; those of one bucket are replaced, the others stay, and the counts are checked."""
-    path = scratch(spark, "chunks")
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "text", (F.col("conv_id") % 8).alias("doc_bucket"))
-    files.replace_chunks(c, path)
-    some = c.filter("doc_bucket = 3").withColumn("text", F.concat(F.lit("new "), "text"))
-    files.replace_chunks(some, path)
-    unlike = files.unlike_counts(spark, path, c, "conv_id", "text").select(F.col("conv_id").alias("_c"), F.lit(1).alias("_u"))
-    j = spark.read.parquet(path).join(unlike, F.col("conv_id") == F.col("_c"), "left")
-    return j.select("conv_id", "turn", "text", F.coalesce("_u", F.lit(0)).alias("unlike"))
-
-
-@query("SELECT doc_id, 'document' AS layer, CASE WHEN doc_id % 5 = 0 THEN 'approved' ELSE 'second' END AS review_status FROM documents UNION ALL SELECT doc_id, 'page', sha256(text) FROM documents")
+    """Messages as chunks: one conversation is written again, shorter, and one deleted; all others stay, whatever bucket they share.
+
+    before: the text in the version before, which can still be read; unlike: conversations whose chunks are not as many as they should be.
+    """
+    top = scratch(spark, "chunks")
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    ends = c.agg(F.min("conv_id").alias("lo"), F.max("conv_id").alias("hi"))
+    first = files.replace_chunks(spark, top, c, key="conv_id")
+    again = c.join(ends, (F.col("conv_id") == F.col("lo")) & (F.col("turn") == 0), "left_semi").withColumn("text", F.concat(F.lit("new "), "text"))
+    second = files.replace_chunks(spark, top, again, ends.select(F.explode(F.array("lo", "hi")).alias("conv_id")), "conv_id")
+    now, old = (snapshots.read(spark, top, "chunks", of=v) for v in (second, first))
+    unlike = files.unlike_counts(now, again, "conv_id", "text").select(F.col("conv_id").alias("_u"))
+    before = old.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("text").alias("before"))
+    j = now.join(before, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left").join(unlike, F.col("conv_id") == F.col("_u"), "left")
+    return j.select("conv_id", "turn", "text", "before", F.col("_u").isNotNull().cast("int").alias("unlike"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, doc_id % 3 = 0 AS again, text, unnest(['document', 'page', 'block', 'table', 'chunk', 'report']) AS layer FROM documents)
+  SELECT doc_id, layer, CASE layer WHEN 'document' THEN CASE WHEN doc_id % 5 = 0 THEN 'approved' WHEN again THEN 'second' ELSE 'first' END WHEN 'page' THEN sha256(text) WHEN 'block' THEN len(string_split(text, chr(10)))::VARCHAR
+    WHEN 'table' THEN len(regexp_extract_all(text, '[|]'))::VARCHAR WHEN 'chunk' THEN left(text, 20) ELSE CASE WHEN again THEN '2' ELSE '1' END END AS value FROM l""")
 def src7_replace_layers(spark: SparkSession, sf: str) -> DataFrame:
-    """Two layers of documents written twice: an approved review survives the second run."""
+    """Six layers of documents in one commit, a third of the documents in a second one: their approved reviews survive, the others stay."""
     top = scratch(spark, "layers")
-    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"), (F.col("doc_id") % 4).alias("doc_bucket"))
-    first = d.withColumn("review_status", F.when(F.col("doc_id") % 5 == 0, "approved").otherwise("first"))
-    files.replace_layers({"documents": first, "pages": d}, top)
-    before = spark.read.parquet(f"{top}/documents").select("doc_id", "review_status")
-    again = scratch(spark, "layers")
-    files.replace_layers({"documents": files.keep_reviews(d.withColumn("review_status", F.lit("second")), before), "pages": d}, again)
-    documents = spark.read.parquet(f"{again}/documents").select("doc_id", F.lit("document").alias("layer"), "review_status")
-    return documents.unionByName(spark.read.parquet(f"{again}/pages").select("doc_id", F.lit("page").alias("layer"), F.col("text_sha256").alias("review_status")))
+    d = table(spark, sf, "documents")
+
+    def layers(docs: DataFrame, run: int, review: str) -> dict[str, DataFrame]:
+        value = {"page": F.sha2("text", 256), "block": F.size(F.split("text", "\n", -1)).cast("string"), "table": F.regexp_count("text", F.lit("[|]")).cast("string"), "chunk": F.substring("text", 1, 20), "report": F.lit(str(run))}
+        first = docs.withColumn("review_status", F.when((F.lit(run) == 1) & (F.col("doc_id") % 5 == 0), "approved").otherwise(review))
+        return {"document": first.select("doc_id", "review_status")} | {k: docs.select("doc_id", v.alias("value")) for k, v in value.items()}
+
+    files.replace_layers(spark, top, layers(d, 1, "first"), d.select("doc_id"))
+    some = d.filter("doc_id % 3 = 0")
+    again = layers(some, 2, "second")
+    again["document"] = files.keep_reviews(again["document"], snapshots.read(spark, top, "document"))
+    last = files.replace_layers(spark, top, again, some.select("doc_id"))
+    out = [snapshots.read(spark, top, k, of=last).select("doc_id", F.lit(k).alias("layer"), F.col("review_status" if k == "document" else "value").alias("value")) for k in again]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
 
 
 SECTION_BLOCKS = """b AS (SELECT user_id AS doc_id, event_id // 500 AS page, event_id AS o, event_type = 'error' AS head, CASE WHEN event_type = 'click' THEN 'table' ELSE 'paragraph' END AS block_type FROM events),

@@ -15,7 +15,7 @@ from corpusmill.plans.document_queries import LINES
 from corpusmill.plans.operation_queries import edges_of
 from corpusmill.plans.registry import query, scratch, table
 from corpusmill.plans.retrieval_queries import DENSE, dense_of
-from corpusmill.sources import files
+from corpusmill.sources import files, ingestion, snapshots
 
 
 @query("SELECT 0 AS source_no, s_suppkey AS id FROM supplier UNION ALL SELECT 1, c_custkey FROM customer")
@@ -413,15 +413,45 @@ def dc27_split_semantic(spark: SparkSession, sf: str) -> DataFrame:
     return docprep.split_semantic(table(spark, sf, "documents")).select("doc_id", "piece", F.length("content").alias("n_chars"))
 
 
+def lengths(texts: list[str]) -> list[list[float]]:
+    """Texts' lengths as vectors."""
+    return [[float(len(t))] * 4 for t in texts]
+
+
 @query()
 def dc32_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents into a chunk table, with their texts' lengths as vectors, where nothing is cached; unlike: children without a vector."""
-    path, work = scratch(spark, "ingested"), scratch(spark, "ingest")
-    cache = spark.createDataFrame([], "cache_key string, embedding array<float>")
-    unlike = files.ingest_to(table(spark, sf, "documents"), path, work, cache, lambda ts: [[float(len(t))] * 4 for t in ts], "length", 4)
-    unlike = unlike.select(F.col("doc_id").alias("_d"), F.lit(1).alias("_u"))
-    out = spark.read.parquet(path).join(unlike, F.col("doc_id") == F.col("_d"), "left")
-    return out.select("doc_id", "chunk_index", "chunk_type", "chunk_id", "doc_bucket", F.size("keywords").alias("n_keywords"), (F.get("embedding", F.lit(0)) == F.length("content")).alias("embedded"), F.coalesce("_u", F.lit(0)).alias("unlike"))
+    """Documents into chunks with their texts' lengths as vectors, where nothing is there yet; unlike: children without a vector."""
+    top = scratch(spark, "ingested")
+    v = ingestion.ingest_changes(table(spark, sf, "documents"), top, lengths, "length", 4)
+    out = snapshots.read(spark, top, ingestion.CHUNKS, of=v)
+    embedded = F.get("embedding", F.lit(0)) == F.length("content")
+    return out.select("doc_id", "chunk_index", "chunk_type", "chunk_id", F.size("keywords").alias("n_keywords"), embedded.alias("embedded"), ((F.col("chunk_type") == "child") & F.col("embedding").isNull()).cast("int").alias("unlike"))
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 100 = 7 AS changed, doc_id % 100 = 13 AS added FROM documents WHERE doc_id % 100 <> 29)
+  SELECT doc_id, sha256(text || CASE WHEN changed THEN ' changed once' ELSE '' END) AS text_sha256, CASE WHEN changed OR added THEN 2 ELSE 1 END AS version, 0 AS stale, 0 AS unlike,
+    (SELECT count(*) FROM d WHERE changed) AS n_changed, (SELECT count(*) FROM d WHERE added) AS n_added, (SELECT count(*) FROM documents WHERE doc_id % 100 = 29) AS n_removed, true AS embedded_only_new FROM d""")
+def dc32_ingest_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """A second run with one document in a hundred changed, one added and one gone.
+
+    stale: chunks of a document that its text does not give; unlike: its children without a vector; embedded_only_new: the second run embedded
+    the children's texts that no vector was there for, and none else.
+    """
+    top = scratch(spark, "ingested")
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    part = F.col("doc_id") % 100
+    first = ingestion.ingest_changes(d.filter(part != 13), top, lengths, "length", 4)
+    after = d.filter(part != 29).withColumn("text", F.when(part == 7, F.concat("text", F.lit(" changed once"))).otherwise(F.col("text")))
+    last = ingestion.ingest_changes(after, top, lengths, "length", 4)
+    chunks, before = (snapshots.read(spark, top, ingestion.CHUNKS, of=v) for v in (last, first))
+    right = docprep.ingest(after.filter(part.isin(7, 13))).select("doc_id", "chunk_id")
+    now = chunks.filter(part.isin(7, 13, 29)).select("doc_id", "chunk_id")
+    stale = now.exceptAll(right).unionByName(right.exceptAll(now)).select(F.col("doc_id").alias("_s")).distinct()
+    unlike = chunks.filter("chunk_type = 'child' and embedding is null").select(F.col("doc_id").alias("_u")).distinct()
+    new = chunks.filter(part.isin(7, 13) & (F.col("chunk_type") == "child")).select("cache_key").distinct().join(before.select("cache_key").distinct(), "cache_key", "left_anti").count()
+    said = [F.lit(last.notes[k]).cast("long").alias(f"n_{k}") for k in ("changed", "added", "removed")] + [F.lit(last.notes["embedded"] == new).alias("embedded_only_new")]
+    out = snapshots.read(spark, top, ingestion.DOCUMENTS, of=last).join(stale, F.col("doc_id") == F.col("_s"), "left").join(unlike, F.col("doc_id") == F.col("_u"), "left")
+    return out.select("doc_id", "text_sha256", "version", F.col("_s").isNotNull().cast("int").alias("stale"), F.col("_u").isNotNull().cast("int").alias("unlike"), *said)
 
 
 @query("SELECT event_id AS doc_id, CASE WHEN event_type = 'view' THEN 'approved' WHEN event_type = 'click' THEN 'rejected' ELSE 'rejected' END AS review_status FROM events WHERE event_type IN ('view', 'click', 'error')")

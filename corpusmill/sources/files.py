@@ -1,13 +1,13 @@
-"""Readers and writers: evaluation files, strict JSON lines, validation as violation tables, chunk tables replaced per document."""
+"""Readers and writers: evaluation files, strict JSON lines, validation as violation tables, chunks and layers replaced per document."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from corpusmill.operators import docprep
 from pyspark.sql import types as T
 
+from corpusmill.sources import snapshots
+
 
 def read_cases(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON lines, a JSON list, or an object with the rows under cases, retrieval or data."""
@@ -67,34 +67,17 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def replace_chunks(chunks: DataFrame, path: str, key: str = "doc_bucket") -> None:
-    """Writes chunks below `path`, partitioned by `key`: only the partitions that are in the table are replaced, each at once."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
-
-
-def unlike_counts(spark: SparkSession, path: str, chunks: DataFrame, by: str = "doc_id", vector: str | None = None) -> DataFrame:
-    """(by, written, wanted): documents of `chunks` whose chunks below `path`, those with a vector where one is named, are not as many."""
-    there = spark.read.parquet(path)
+def unlike_counts(there: DataFrame, chunks: DataFrame, by: str = "doc_id", vector: str | None = None) -> DataFrame:
+    """(by, written, wanted): documents of `chunks` whose chunks that are there, those with a vector where one is named, are not as many."""
     there = there.filter(F.col(vector).isNotNull()) if vector else there
     got = there.groupBy(F.col(by).alias("_k")).agg(F.count("*").alias("written"))
     want = chunks.groupBy(by).agg(F.count("*").alias("wanted"))
     return want.join(got, F.col(by) == F.col("_k"), "left").select(by, F.coalesce("written", F.lit(0)).alias("written"), "wanted").filter("written <> wanted")
 
 
-def ingest_to(docs: DataFrame, path: str, work: str, cache: DataFrame, embed_fn, model: str, size: int) -> DataFrame:
-    """Documents cleaned, chunked and embedded into the chunk table below `path`; returns the documents whose children lack a vector there.
-
-    cache: cache_key, embedding; only texts that it lacks are embedded. Chunks and new vectors are written below `work`
-    once, so neither is computed twice; the documents' buckets in the table are replaced.
-    """
-    spark = docs.sparkSession
-    docprep.ingest(docs).withColumn("cache_key", F.when(F.col("chunk_type") == "child", docprep.embedding_key(model, size, "content"))).write.parquet(f"{work}/chunks")
-    chunks = spark.read.parquet(f"{work}/chunks")
-    children = chunks.filter("chunk_type = 'child'")
-    docprep.embed_missing(children.select(F.col("content").alias("text")), cache, embed_fn, model, size).write.parquet(f"{work}/vectors")
-    known = cache.select("cache_key", "embedding").dropDuplicates(["cache_key"]).unionByName(spark.read.parquet(f"{work}/vectors").select("cache_key", "embedding"))
-    replace_chunks(chunks.join(known, "cache_key", "left"), path)
-    return unlike_counts(spark, path, children, "doc_id", "embedding")
+def replace_chunks(spark: SparkSession, top: str, chunks: DataFrame, documents: DataFrame | None = None, key: str = "doc_id") -> snapshots.Version:
+    """Puts `chunks` in the place of their documents' ones, or of all of `documents`, in one new version; no other document is touched."""
+    return snapshots.commit(spark, top, {"chunks": snapshots.Change(chunks, key, documents)})
 
 
 def keep_reviews(new: DataFrame, before: DataFrame, by: str = "doc_id") -> DataFrame:
@@ -103,9 +86,9 @@ def keep_reviews(new: DataFrame, before: DataFrame, by: str = "doc_id") -> DataF
     return new.join(old, F.col(by) == F.col("_k"), "left").withColumn("review_status", F.when(F.col("_k").isNotNull(), "approved").otherwise(F.col("review_status"))).drop("_k")
 
 
-def replace_layers(layers: dict[str, DataFrame], top: str, key: str = "doc_bucket") -> None:
-    for name, df in layers.items():
-        replace_chunks(df, f"{top}/{name}", key)
+def replace_layers(spark: SparkSession, top: str, layers: dict[str, DataFrame], documents: DataFrame, key: str = "doc_id") -> snapshots.Version:
+    """Puts the layers' rows of `documents` in the place of those there, all layers in one commit."""
+    return snapshots.commit(spark, top, {name: snapshots.Change(df, key, documents) for name, df in layers.items()})
 
 
 def load_layers(pages: DataFrame, documents: DataFrame) -> DataFrame:

@@ -347,16 +347,3 @@ def test_cleaning_rules_and_audit(spark):
         (1, 0, "remove_header"), (1, 1, "merge_visual_lines"), (1, 1, "repair_hyphenation"), (1, 2, "merge_visual_lines"), (1, 5, "remove_watermark"), (1, 6, "remove_page_number"),
         (1, 8, "remove_duplicate"), (2, 0, "remove_header"), (2, 1, "repair_ocr_numeric_unit"),
     ]
-
-
-def test_ingest_embeds_only_what_is_not_cached(spark, tmp_path):
-    from corpusmill.sources import files
-
-    docs = spark.createDataFrame([(1, "one text here"), (2, "another text")], "doc_id long, text string")
-    known = spark.createDataFrame([("one text here", [7.0, 7.0])], "text string, embedding array<float>").withColumn("cache_key", docprep.embedding_key("m", 2))
-    lacking = files.ingest_to(docs, f"{tmp_path}/t", f"{tmp_path}/w", known, lambda ts: [[1.0, 2.0] if t.startswith("another") else [0.0] for t in ts], "m", 2)
-    assert lacking.count() == 0
-    got = {r.doc_id: r.embedding for r in spark.read.parquet(f"{tmp_path}/t").filter("chunk_type = 'child'").collect()}
-    assert got == {1: [7.0, 7.0], 2: [1.0, 2.0]}
-    bad = files.ingest_to(docs, f"{tmp_path}/t", f"{tmp_path}/x", known, lambda ts: [[0.0] for _ in ts], "m", 2)  # vectors of a wrong size
-    assert [tuple(r) for r in bad.collect()] == [(2, 0, 1)]
