@@ -156,11 +156,8 @@ def best_columns(s: np.ndarray, k: int) -> np.ndarray:
     return part
 
 
-def block_scores(ids: np.ndarray, unit: np.ndarray, chunks: DataFrame, k: int, centres: np.ndarray | None = None, near: np.ndarray | None = None) -> DataFrame:
-    """(query_id, chunk_id, score): each Arrow batch's best k of one block of queries, by matrix products over 256 queries at a time.
-
-    centres, near: chunks fall into the cell of the closest centre, and a query is only compared with the cells that its row of `near` marks.
-    """
+def block_scores(ids: np.ndarray, unit: np.ndarray, chunks: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, score): each Arrow batch's best k of one block of queries, by matrix products over 256 queries at a time."""
 
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -170,27 +167,10 @@ def block_scores(ids: np.ndarray, unit: np.ndarray, chunks: DataFrame, k: int, c
             key, m = b["chunk_id"].to_numpy(), unit_rows(b["embedding"].tolist())
             order = np.argsort(key, kind="stable")
             key, m = key[order], m[order]
-            cells = [(None, np.arange(len(key)))]
-            if centres is not None:
-                cell = (m @ centres.T).argmax(1)
-                by = np.argsort(cell, kind="stable")
-                cells = [(cell[x[0]], x) for x in np.split(by, np.flatnonzero(np.diff(cell[by])) + 1)]
             for a in range(0, len(ids), 256):
-                found = []
-                for c, members in cells:
-                    rows = np.arange(a, min(a + 256, len(ids)))
-                    if c is not None:
-                        rows = rows[near[rows, c]]
-                    s = np.round(unit[rows] @ m[members].T, 9)  # equal vectors tie wherever they stand in the product
-                    best = best_columns(s, k)
-                    found.append((np.repeat(rows, best.shape[1]), members[best.ravel()], np.take_along_axis(s, best, 1).ravel()))
-                row, column, score = (np.concatenate(x) for x in zip(*found, strict=True))
-                if len(cells) > 1:
-                    order = np.lexsort((column, -score, row))
-                    row, column, score = row[order], column[order], score[order]
-                    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
-                    row, column, score = row[kept], column[kept], score[kept]
-                yield pd.DataFrame({"query_id": ids[row], "chunk_id": key[column], "score": score})
+                s = np.round(unit[a : a + 256] @ m.T, 9)  # equal vectors tie wherever they stand in the product
+                best = best_columns(s, k)
+                yield pd.DataFrame({"query_id": np.repeat(ids[a : a + 256], best.shape[1]), "chunk_id": key[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})
 
     return chunks.select("chunk_id", "embedding").mapInPandas(job, "query_id long, chunk_id long, score double")
 
@@ -225,56 +205,11 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, most_queries:
     return ranked
 
 
-def cell_centres(unit: np.ndarray, cells: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
-    """Spherical k-means; a centre that loses its vectors stays where it is."""
-    centres = unit[np.random.default_rng(seed).permutation(len(unit))[:cells]]
-    for _ in range(rounds):
-        total = np.zeros_like(centres)
-        np.add.at(total, (unit @ centres.T).argmax(1), unit)
-        size = np.linalg.norm(total, axis=1, keepdims=True)
-        centres = np.where(size > 1e-12, total / np.maximum(size, 1e-12), centres)
-    return centres
-
-
 def hashed_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
     """About `rows` of the `total` rows, by a hash of the key."""
     return df if total <= rows else df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * rows / total))
 
 
-def closest_cells(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The place of each cell in each row's order of cells."""
-    return np.argsort(np.argsort(-(unit @ centres.T), axis=1, kind="stable"), axis=1)
-
-
-def probes_needed(queries: DataFrame, chunks: DataFrame, centres: np.ndarray, k: int, recall: float) -> int:
-    """How many of its closest cells a query needs, so that these queries' exact top k is found at the given recall."""
-    found = dense_topk(queries, chunks, k).select("query_id", "chunk_id")
-    found = found.join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").join(chunks.select("chunk_id", F.col("embedding").alias("c")), "chunk_id").toPandas()
-    if not len(found):
-        return len(centres)
-    cell = (unit_rows(found["c"].tolist()) @ centres.T).argmax(1)
-    place = np.sort(closest_cells(unit_rows(found["q"].tolist()), centres)[np.arange(len(cell)), cell])
-    return int(place[int(np.ceil(recall * len(place))) - 1]) + 1
-
-
-def dense_topk_ann(queries: DataFrame, chunks: DataFrame, k: int = 10, recall: float = 0.95, most_cells: int = 1024, seed: int = 5, most_queries: int = 4096) -> DataFrame:
-    """Approximate top k: chunks lie in about sqrt(chunks) cells, and each query is compared with the chunks of its closest cells.
-
-    How many cells that takes depends on the vectors, so it is measured: the exact top k of about 256 queries must be
-    found at `recall`. Vectors without clusters need many cells, clustered ones few. Cells are no join keys, so a hot one
-    is spread as the rows are.
-    """
-    n, asked = chunks.count(), queries.count()
-    sample = hashed_sample(chunks.select("chunk_id", "embedding").filter("embedding is not null"), "chunk_id", 20_000, n).toPandas()
-    size = queries.select(F.max(F.size("embedding"))).first()[0] or 0
-    vectors = [v for v in sample["embedding"] if len(v) == size]
-    if not vectors or not asked:
-        return dense_topk(queries, chunks, k)
-    centres = cell_centres(unit_rows(vectors), max(1, min(most_cells, int(n**0.5))), seed=seed)
-    probes = probes_needed(hashed_sample(queries, "query_id", 256, asked), chunks, centres, k, recall)
-    return best_of_blocks((block_scores(ids, unit, chunks, k, centres, closest_cells(unit, centres) < probes) for ids, unit in query_blocks(queries, most_queries)), k)
-
-
 def rrf(ranked: DataFrame, k: int = 60) -> DataFrame:
     """(query_id, chunk_id, rrf_score, n_routes, first_route, best_score, exact): sum of 1 / (k + rank), and the exact route's score or 0."""
     order = F.when(F.col("route") == "dense", 0).when(F.col("route") == "sparse", 1).otherwise(2)

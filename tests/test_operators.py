@@ -2,12 +2,13 @@
 
 import hashlib
 import hmac
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
-from corpusmill.operators import docprep, evaluation, facts, graph, ops, retrieval
+from corpusmill.operators import docprep, evaluation, facts, graph, ops, retrieval, vector_index
 
 
 def rows(df):
@@ -154,6 +155,26 @@ def test_evidence_conflicts(spark):
     assert {r.query_id: r.status for r in retrieval.evidence_status(e).collect()} == {1: "conflicting", 2: "sufficient"}
 
 
+def through_index(queries, chunks, k, **more):
+    """dense_topk's arguments, by an index in a folder of its own."""
+    top = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    vector_index.build_index(chunks, f"file://{top}/index", sample=2000)
+    return vector_index.search_index(queries, f"file://{top}/index", k, most=4 * k, **more)
+
+
+def test_ann_on_the_embeddings(spark):
+    """Recall at 10 of 0.9 at least on the given vectors, with full vectors of at most a tenth of the chunks a query."""
+    from corpusmill.plans.retrieval_queries import vectors_of
+
+    q, v = vectors_of(spark, "/root/testdata/sf0.01")
+    top = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    vector_index.build_index(v, f"file://{top}/index")
+    n, found = v.count(), vector_index.candidates(q, f"file://{top}/index", 40)
+    assert spark.read.parquet(f"file://{top}/index/codes").count() == n and max(r["count"] for r in found.groupBy("query_id").count().collect()) <= n / 10
+    exact, near = (set(rows(df.select("query_id", "chunk_id"))) for df in (retrieval.dense_topk(q, v, 10), vector_index.search_index(q, f"file://{top}/index", 10, 40)))
+    assert len(near) == len(exact) and len(exact & near) / len(exact) >= 0.95
+
+
 def test_ann_recall(spark):
     import numpy as np
 
@@ -162,7 +183,7 @@ def test_ann_recall(spark):
     v = [(int(i), [float(x) for x in centre[i % 20] + 0.15 * r.normal(size=16)]) for i in range(400)]
     c = spark.createDataFrame(v, "chunk_id long, embedding array<float>")
     q = c.filter("chunk_id < 20").withColumnRenamed("chunk_id", "query_id")
-    exact, near = (set(rows(f(q, c, 5).select("query_id", "chunk_id"))) for f in (retrieval.dense_topk, retrieval.dense_topk_ann))
+    exact, near = (set(rows(f(q, c, 5).select("query_id", "chunk_id"))) for f in (retrieval.dense_topk, through_index))
     assert len(exact & near) / len(exact) >= 0.9
 
 
@@ -172,12 +193,12 @@ def test_ann_recall_without_clusters(spark):
     r = np.random.default_rng(1)
     c = spark.createDataFrame([(i, [float(x) for x in r.normal(size=64)]) for i in range(2000)], "chunk_id long, embedding array<float>")
     q = c.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
-    exact, near = (set(rows(f(q, c, 10).select("query_id", "chunk_id"))) for f in (retrieval.dense_topk, retrieval.dense_topk_ann))
+    exact, near = (set(rows(f(q, c, 10).select("query_id", "chunk_id"))) for f in (retrieval.dense_topk, through_index))
     others = {x for x in exact if x[0] != x[1]}
     assert len(near) == 1000 and len(exact & near) / len(exact) >= 0.9 and len(others & near) / len(others) >= 0.9
 
 
-@pytest.mark.parametrize("f", [retrieval.dense_topk, retrieval.dense_topk_ann])
+@pytest.mark.parametrize("f", [retrieval.dense_topk, through_index])
 def test_dense_takes_any_number_of_queries(spark, f):
     import numpy as np
 
