@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.functions import text as tx
+from corpusmill.operators import sparse
+from corpusmill.operators.tables import written
 
 ROUTES = ["dense", "sparse", "exact"]
 
@@ -51,18 +53,18 @@ def scope_filter(chunks: DataFrame, scope: DataFrame, tenant: int | None = None)
     return kept.join(scope.select("kb_id").distinct(), "kb_id", "left_semi")
 
 
-def contained(texts: DataFrame, phrases: DataFrame, most: int = 100_000) -> DataFrame:
+def contained(texts: DataFrame, phrases: DataFrame, most: int = 8 << 20) -> DataFrame:
     """(chunk_id, phrase): which phrases stand in which texts, each pair once; texts: chunk_id, _text.
 
-    One automaton over the distinct phrases reads each text once, whatever their number; phrases come in blocks of at most
-    `most`, each of which reads the texts once.
+    One automaton over the distinct phrases reads each text once, whatever their number; phrases come in blocks of about
+    `most` bytes (a longer phrase is a block of its own), each of which reads the texts once.
     """
     p = phrases.filter("phrase <> ''").select("phrase").distinct()
-    first = p.limit(most + 1).toPandas()["phrase"].tolist()
-    parts = -(-4 * p.count() // (3 * most)) if len(first) > most else 1
+    size = p.agg(F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()[0]
+    parts = 1 if size <= most else -(-4 * size // (3 * most))
     out = None
     for part in range(parts):
-        block = first if parts == 1 else p.filter(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == part).toPandas()["phrase"].tolist()
+        block = (p if parts == 1 else p.filter(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == part)).toPandas()["phrase"].tolist()
         found = texts.select("chunk_id", "_text").mapInPandas(_phrase_job(block), "chunk_id long, phrase string")
         out = found if out is None else out.unionAll(found)
     return out
@@ -107,29 +109,18 @@ def exact_topk(terms: DataFrame, chunks: DataFrame, k: int = 10, col: str = "con
     return rank_routes(scored.select("query_id", F.lit("exact").alias("route"), "chunk_id", (F.col("hits") / F.col("n_terms")).alias("score")), k)
 
 
-def postings(chunks: DataFrame, col: str = "content", key: str = "chunk_id") -> DataFrame:
-    """(key, term, positions, length): the words' places in each text."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    placed = chunks.select(key, F.posexplode(words).alias("pos", "term"))
-    return placed.groupBy(key, "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, col: str = "content", index: str | None = None) -> DataFrame:
+    """Texts that match a query's words (see `sparse`), or hold the query itself: cover density, plus 0.5 for the query itself.
 
-
-def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, col: str = "content") -> DataFrame:
-    """Texts that hold all words of a query, or the query itself: density of the words' cover, plus 0.5 for the query itself.
-
-    The cover of a text is from the first to the last of the words' first places; density is words / length of the cover.
+    index: the folder of a stored index of the chunks; else the places of the asked words are taken from the texts.
     """
-    words = F.filter(F.array_distinct(F.split(F.lower("query"), r"[^\p{L}\p{N}_]+")), lambda w: w != "")
-    asked = queries.select("query_id", F.lower(F.trim("query")).alias("_q"), F.explode(words).alias("term"), F.size(words).alias("need"))
-    # Only asked words leave the texts: they are few, so their semi-join comes before any shuffle of words.
-    texts = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    placed = chunks.select("chunk_id", F.posexplode(texts).alias("pos", "term")).join(asked.select("term").distinct(), "term", "left_semi")
-    held = placed.groupBy("chunk_id", "term").agg(F.min("pos").alias("pos"))
-    full = held.join(asked, "term").groupBy("query_id", "chunk_id", "need").agg(F.count("*").alias("got"), F.min("pos").alias("a"), F.max("pos").alias("b")).filter("got = need")
-    dense = full.select("query_id", "chunk_id", (F.col("need") / (F.col("b") - F.col("a") + 1)).alias("density"))
+    items = sparse.parse_queries(queries)
+    terms = sparse.asked_terms(items)
+    found = sparse.read_postings(queries.sparkSession, index, terms) if index else sparse.postings(chunks, col, terms)
+    dense = sparse.cover_density(items, found)
     said = queries.select("query_id", F.lower(F.trim("query")).alias("phrase"))
     inside = contained(lowered(chunks, col), said).join(said, "phrase").select("query_id", "chunk_id", F.lit(0.5).alias("bonus"))
-    scored = dense.join(inside, ["query_id", "chunk_id"], "full").select("query_id", F.lit("sparse").alias("route"), "chunk_id", (F.coalesce("density", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))).alias("score"))
+    scored = dense.join(inside, ["query_id", "chunk_id"], "full").select("query_id", F.lit("sparse").alias("route"), "chunk_id", F.round(F.coalesce("density", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0)), 12).alias("score"))
     return rank_routes(scored, k)
 
 
@@ -371,38 +362,40 @@ def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, terms: DataFrame, sco
     status: error without a scope, else no_result without evidence, partial where a route was missing, else success; a
     blank query has no result.
     """
-    inside = scope_filter(chunks, scope, tenant)
+    content = F.col("content")
+    inside = scope_filter(chunks, scope, tenant).withColumn("own_tokens", tx.count_tokens(content)).withColumn("_hash", F.sha2("content", 256))
+    inside = written(inside.withColumn("needs", needs_neighbours(content, F.col("content_type"), F.col("section_path"))), "inside")
+    above = inside.select(F.col("parent_chunk_id").alias("_p")).filter("_p is not null").distinct()
+    above = chunks.select("chunk_id", "content").join(above, F.col("chunk_id") == F.col("_p"), "left_semi")
+    above = written(above.select(F.col("chunk_id").alias("parent_chunk_id"), tx.count_tokens(content).alias("_size"), F.col("content").alias("_parent")), "above")
     asked = queries.filter(F.trim("query") != "")
     asked = dynamic_k(asked) if k is None else asked.withColumn("k", F.lit(k))
     wanted = terms.join(asked.select("query_id"), "query_id", "left_semi")
     ranked = dense_topk(asked.filter("embedding is not null"), inside, route_k).select("query_id", "route", "chunk_id", "score", "rank")
     ranked = ranked.unionByName(sparse_topk(asked, inside, route_k)).unionByName(exact_topk(wanted, inside, exact_k))
 
-    content = F.col("content")
-    seen = rrf(ranked).join(inside, "chunk_id").join(asked.select("query_id", "k", "constraints"), "query_id")
-    seen = seen.withColumn("_hash", F.sha2("content", 256)).withColumn("own_tokens", tx.count_tokens(content))
-    seen = constraint_match(seen, "content", "constraints").withColumn("needs", needs_neighbours(content, F.col("content_type"), F.col("section_path")))
+    fused = written(rrf(ranked), "fused")
+    seen = fused.join(inside, "chunk_id").join(asked.select("query_id", "k", "constraints"), "query_id")
+    seen = constraint_match(seen, "content", "constraints")
     small = ["query_id", "chunk_id", "k", "document_id", "kb_id", "chunk_index", "parent_chunk_id", "own_tokens", "needs", "rrf_score", "exact", "constraint_score", "quality_status", "source_type"]
     seen = keep_first(seen.select(*small, "_hash"), ["query_id", "document_id", "_hash"], [F.col("rrf_score").desc(), F.col("chunk_id")])
     kept = adaptive_floor(seen).filter("not dropped").withColumn("rerank", F.lit(None).cast("double")).withColumn("authority", tx.authority(F.col("source_type")))
-    scored = final_score(kept).withColumn("wide", F.col("needs") & (F.col("rank") <= F.col("k")))
+    scored = written(final_score(kept).withColumn("wide", F.col("needs") & (F.col("rank") <= F.col("k"))), "scored")
 
     facts = ["rank", "k", "document_id", "kb_id", "chunk_index", "parent_chunk_id", "own_tokens", "wide", "rrf_score", "final_score"]
-    sized = beside(scored, inside, F.when(F.col("wide"), F.array(F.lit(-1), F.lit(1))), tx.count_tokens(content))
+    sized = beside(scored, inside, F.when(F.col("wide"), F.array(F.lit(-1), F.lit(1))), F.col("own_tokens"))
     sized = sized.groupBy("query_id", "chunk_id", *facts).agg(F.coalesce(F.sum("_value"), F.lit(0)).alias("_beside"))
-    parents = chunks.select(F.col("chunk_id").alias("parent_chunk_id"), tx.count_tokens(content).alias("_parent"))
-    sized = sized.join(parents, "parent_chunk_id", "left").withColumn("tokens", F.col("_beside") + F.coalesce("_parent", "own_tokens"))
+    sized = sized.join(above.select("parent_chunk_id", "_size"), "parent_chunk_id", "left").withColumn("tokens", F.col("_beside") + F.coalesce("_size", "own_tokens"))
     carried = ("document_id", "kb_id", "chunk_index", "parent_chunk_id", "wide", "rrf_score", "final_score")
-    taken = budget_select(sized, "k", most_tokens, carried)
+    taken = written(budget_select(sized, "k", most_tokens, carried), "taken")
 
     texts = beside(taken, inside, F.when(F.col("wide") & ~F.col("own"), F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))), content)
     texts = texts.groupBy("query_id", "place", "chunk_id", "tokens", "own", *carried).agg(
         F.max(F.when(F.col("_id") == F.col("chunk_id"), F.col("_value"))).alias("_self"),
         F.sort_array(F.collect_list(F.when(F.col("_step") != 0, F.struct("_step", "_id", "_value")))).alias("_near"),
     )
-    parents = chunks.select(F.col("chunk_id").alias("parent_chunk_id"), content.alias("_parent"))
     around = F.concat(F.transform("_near", lambda x: x["_value"]), F.array(F.coalesce("_parent", "_self")))
-    found = texts.join(parents, "parent_chunk_id", "left").withColumn("context", F.when(F.col("own"), F.col("_self")).otherwise(F.array_join(around, "\n")))
+    found = texts.join(above.select("parent_chunk_id", "_parent"), "parent_chunk_id", "left").withColumn("context", F.when(F.col("own"), F.col("_self")).otherwise(F.array_join(around, "\n")))
     found = found.select("query_id", "place", "chunk_id", "document_id", "tokens", "rrf_score", "final_score", "context")
     missing = F.col("embedding").isNull() & (F.trim("query") != "")
     status = F.lit("error") if scope.isEmpty() else F.when(F.col("_missing"), "partial").when(F.col("chunk_id").isNull(), "no_result").otherwise("success")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
 from corpusmill.operators import retrieval as rt
-from corpusmill.operators import vector_index
+from corpusmill.operators import sparse, vector_index
 from corpusmill.plans.document_queries import UNITS
 from corpusmill.plans.registry import query, scratch, table
 
@@ -21,22 +21,48 @@ def items_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return items, items.select("query_id", F.col("query").alias("term"))
 
 
-SPARSE = r"""q AS (SELECT item_id AS query_id, lower(trim(text)) AS q, list_filter(list_distinct(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')), lambda w: w <> '') AS ws FROM benchmark),
-  w AS (SELECT query_id, len(ws) AS need, unnest(ws) AS term FROM q),
-  d AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+') AS ts FROM documents),
-  t AS (SELECT doc_id, term, min(pos) AS pos FROM (SELECT doc_id, unnest(list_filter(ts, lambda x: x <> '')) AS term, generate_subscripts(list_filter(ts, lambda x: x <> ''), 1) AS pos FROM d) GROUP BY 1, 2),
-  f AS (SELECT query_id, doc_id, need::DOUBLE / (max(pos) - min(pos) + 1) AS density FROM w JOIN t USING (term) GROUP BY query_id, doc_id, need HAVING count(*) = need),
+#: Alternatives and items of each query; places of each item; of the texts that match, all ends with the latest starts before them, and of those
+#: the minimal covers.
+SPARSE = r"""q AS (SELECT item_id AS query_id, lower(trim(text)) AS q, regexp_extract_all(lower(text), '-?"[^"]*"|[^\s"]+') AS toks FROM benchmark),
+  tk AS (SELECT query_id, t, sum((t = 'or')::INT) OVER (PARTITION BY query_id ORDER BY i) AS alt FROM (SELECT query_id, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM q)),
+  ws AS (SELECT query_id, alt, t[1] = '-' AS neg, t[1] = '-' OR contains(t, '"') AS whole, list_filter(regexp_split_to_array(t, '[^\p{L}\p{N}_]+'), lambda w: w <> '') AS ws FROM tk WHERE t <> 'or'),
+  un AS (SELECT DISTINCT query_id, alt, neg, u FROM (SELECT query_id, alt, neg, unnest(CASE WHEN whole THEN [ws] ELSE list_transform(ws, lambda w: [w]) END) AS u FROM ws) WHERE len(u) > 0),
+  nd AS (SELECT query_id, alt, count(*) AS need, sum(len(u)) AS n_words FROM un WHERE NOT neg GROUP BY 1, 2),
+  d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS ts FROM documents),
+  ps AS (SELECT doc_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM d),
+  us AS (SELECT DISTINCT u FROM un),
+  hit AS (SELECT u, doc_id, pos AS s FROM us JOIN ps ON term = u[1] WHERE len(u) = 1 UNION ALL SELECT u, doc_id, pos FROM us JOIN ps ON term = u[1] AND len(u) > 1 JOIN d USING (doc_id) WHERE ts[pos:pos + len(u) - 1] = u),
+  ma AS (SELECT query_id, alt, doc_id FROM un JOIN hit USING (u) JOIN nd USING (query_id, alt) GROUP BY query_id, alt, doc_id, need HAVING count(DISTINCT u) FILTER (NOT neg) = need AND count(*) FILTER (neg) = 0),
+  hh AS (SELECT query_id, alt, doc_id, u, s, s + len(u) - 1 AS e FROM ma JOIN un USING (query_id, alt) JOIN hit USING (u, doc_id) WHERE NOT neg),
+  lo AS (SELECT a.query_id, a.alt, a.doc_id, a.e, b.u, max(b.s) AS s FROM (SELECT DISTINCT query_id, alt, doc_id, e FROM hh) a JOIN hh b ON a.query_id = b.query_id AND a.alt = b.alt AND a.doc_id = b.doc_id AND b.e <= a.e GROUP BY ALL),
+  cv AS (SELECT query_id, alt, doc_id, n_words, e, min(s) AS s FROM lo JOIN nd USING (query_id, alt) GROUP BY query_id, alt, doc_id, n_words, need, e HAVING count(*) = need),
+  mc AS (SELECT query_id, alt, doc_id, n_words, s, min(e) AS e FROM cv GROUP BY ALL),
+  f AS (SELECT query_id, doc_id, max(density) AS density FROM (SELECT query_id, alt, doc_id, sum(0.1::DOUBLE / (1 + greatest(e - s + 1 - n_words, 0))) AS density FROM mc GROUP BY 1, 2, 3) GROUP BY 1, 2),
   i AS (SELECT query_id, doc_id, 0.5 AS bonus FROM documents, q WHERE q.q <> '' AND contains(lower(text), q.q)),
-  sp AS (SELECT query_id, doc_id AS chunk_id, coalesce(density, 0) + coalesce(bonus, 0) AS score FROM f FULL JOIN i USING (query_id, doc_id)),
+  sp AS (SELECT query_id, doc_id AS chunk_id, round(coalesce(density, 0) + coalesce(bonus, 0), 12) AS score FROM f FULL JOIN i USING (query_id, doc_id)),
   sparse AS (SELECT * FROM (SELECT query_id, 'sparse' AS route, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sp) WHERE rank <= 20)"""
+#: The benchmark's texts in three web-style forms: two quoted words of a text and one not wanted, one of two words, and a few words as they are.
+ASKED = r"""asked AS (SELECT item_id * 4 + n AS item_id, CASE n WHEN 0 THEN '"' || ws[2] || ' ' || ws[3] || '" -' || ws[9] WHEN 1 THEN ws[5] || ' ' || ws[6] || ' or ' || ws[7] || ' "' || ws[8] || '"' WHEN 2 THEN ws[4] || ', ' || ws[6] || ' ' || ws[8] ELSE text END AS text
+  FROM (SELECT item_id, text, regexp_extract_all(text, '\p{L}+') AS ws, unnest([0, 1, 2, 3]) AS n FROM benchmark))"""
 EXACT = """exact AS (SELECT * FROM (SELECT item_id AS query_id, 'exact' AS route, doc_id AS chunk_id, 1.0::DOUBLE AS score, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank
   FROM benchmark b, documents d WHERE trim(b.text) <> '' AND contains(lower(d.text), lower(trim(b.text)))) WHERE rank <= 20)"""
 RRF = f"WITH {SPARSE}, {EXACT}, r AS (SELECT * FROM sparse UNION ALL BY NAME SELECT * FROM exact), fu AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, count(DISTINCT route) AS n_routes FROM r GROUP BY 1, 2)"
 
 
-@query(f"WITH {SPARSE} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM sparse")
+def asked_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark's texts in three web-style forms, and as they are."""
+    rows = table(spark, sf, "benchmark").select("item_id", "text", F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)).alias("ws"), F.explode(F.array(*map(F.lit, range(4)))).alias("n"))
+    w = lambda k: F.get("ws", F.lit(k - 1))
+    forms = F.when(F.col("n") == 0, F.concat(F.lit('"'), w(2), F.lit(" "), w(3), F.lit('" -'), w(9))).when(F.col("n") == 1, F.concat(w(5), F.lit(" "), w(6), F.lit(" or "), w(7), F.lit(' "'), w(8), F.lit('"')))
+    return rows.select((F.col("item_id") * 4 + F.col("n")).alias("query_id"), forms.when(F.col("n") == 2, F.concat(w(4), F.lit(", "), w(6), F.lit(" "), w(8))).otherwise(F.col("text")).alias("query"))
+
+
+@query(f"WITH {ASKED}, {SPARSE.replace('FROM benchmark', 'FROM asked')} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM sparse")
 def rt2_sparse_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.sparse_topk(items_of(spark, sf)[0], chunks_of(spark, sf), 20).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    """Through a stored index of the documents' words."""
+    index, chunks = scratch(spark, "words"), chunks_of(spark, sf)
+    sparse.build_term_index(chunks, index)
+    return rt.sparse_topk(asked_of(spark, sf), chunks, 20, index=index).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {EXACT} SELECT query_id, rank, chunk_id, score FROM exact")
