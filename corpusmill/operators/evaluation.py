@@ -214,19 +214,6 @@ def variant_means(rows: DataFrame, metrics: list[str]) -> DataFrame:
     return rows.groupBy("variant").agg(F.count("*").alias("rows"), *[F.when(F.count(m) == F.count("*"), F.avg(m)).alias(m) for m in metrics])
 
 
-def mine_candidates(new: DataFrame, vectors: DataFrame, known: DataFrame, same: float = 0.92, near: float = 0.72) -> DataFrame:
-    """Each new query with its most similar known one: duplicate, clustered or novel. Vectors are sparse (id, bucket, weight).
-
-    Products are summed by a join on buckets; both sides' rows in a bucket are those of different queries.
-    """
-    a = new.join(vectors, "id").select(F.col("id").alias("a"), "bucket", F.col("weight").alias("wa"))
-    b = known.join(vectors, "id").select(F.col("id").alias("b"), "bucket", F.col("weight").alias("wb"))
-    sims = a.join(b, "bucket").filter("a <> b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("similarity"))
-    best = sims.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b"))).filter("_n = 1").drop("_n")
-    j = new.select(F.col("id").alias("a")).join(best, "a", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
-    return j.withColumn("outcome", F.when(F.col("similarity") >= same, "duplicate").when(F.col("similarity") >= near, "clustered").otherwise("novel"))
-
-
 def prefix_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(a, b): pairs of unit vectors that can reach the cosine `least`; vectors are rows (id, bucket, weight).
 

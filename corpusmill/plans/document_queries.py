@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
-from corpusmill.operators import docprep, evaluation
+from corpusmill.operators import docprep, mining
 from corpusmill.plans.registry import query, table
 
 UNITS = r"[\x{3400}-\x{9fff}]|[A-Za-z0-9]+(?:[-''/][A-Za-z0-9]+)*|[^\sA-Za-z0-9\x{3400}-\x{9fff}]"
@@ -265,10 +265,26 @@ def ev9_hashed_vector(spark: SparkSession, sf: str) -> DataFrame:
     return tx.hashed_vector(table(spark, sf, "benchmark"), "item_id", "text").select("item_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
-@query(f"""WITH {VECTORS}, s AS (SELECT x.item_id AS a, y.item_id AS b, round(sum(x.weight * y.weight), 6) AS similarity FROM v x JOIN v y USING (bucket) WHERE x.item_id <> y.item_id GROUP BY 1, 2),
-  r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS n FROM s)
-  SELECT a, b, similarity, CASE WHEN similarity >= 0.92 THEN 'duplicate' WHEN similarity >= 0.72 THEN 'clustered' ELSE 'novel' END AS outcome FROM r WHERE n = 1""")
+#: The benchmark's texts as requests, a third again with a mark behind, a third with one word more; ties in time.
+REQUESTS = """rq AS (SELECT item_id * 2 + n AS item_id, item_id * 2 + n AS id, (item_id * 7 + n * 3) % 50 AS tm, CASE WHEN n = 0 THEN text WHEN item_id % 3 = 0 THEN text || ' !' ELSE text || ' more' END AS text,
+    CASE item_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'success' END AS status, item_id * 100 AS total_tokens, CASE WHEN item_id % 5 = 0 THEN item_id / 50.0 END AS safety_score
+  FROM benchmark, (SELECT unnest([0, 1]) AS n) WHERE n = 0 OR item_id % 3 < 2)"""
+
+
+@query(f"""WITH RECURSIVE {REQUESTS}, n AS (SELECT *, {NORMAL} AS normal FROM rq), o AS (SELECT *, sha256(normal) AS hash, first_value(id) OVER (PARTITION BY normal ORDER BY tm, id) AS owner FROM n),
+  {VECTORS.replace("FROM benchmark", "FROM o WHERE id = owner")},
+  s AS (SELECT x.item_id AS a, y.item_id AS b, round(sum(x.weight * y.weight), 6) AS similarity, max(q.tm) AS tm FROM v x JOIN v y USING (bucket) JOIN o p ON p.id = x.item_id JOIN o q ON q.id = y.item_id WHERE q.tm < p.tm OR q.tm = p.tm AND q.id < p.id GROUP BY 1, 2),
+  l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, tm, b) AS k FROM s) WHERE k = 1),
+  up AS (SELECT id, id AS root FROM o WHERE id = owner AND id NOT IN (SELECT a FROM l WHERE similarity >= 0.72) UNION ALL SELECT l.a, up.root FROM l JOIN up ON l.b = up.id WHERE similarity >= 0.72),
+  j AS (SELECT o.*, l.b, coalesce(l.similarity, 0) AS similarity, CASE WHEN o.id <> o.owner THEN 'existing' WHEN l.similarity >= 0.92 THEN 'duplicate' WHEN l.similarity >= 0.72 THEN 'clustered' ELSE 'novel' END AS outcome FROM o LEFT JOIN l ON l.a = o.id)
+  SELECT j.id, outcome, CASE WHEN outcome = 'existing' THEN j.owner ELSE b END AS match, CASE WHEN outcome = 'existing' THEN 1 ELSE similarity END AS similarity, substr(r.hash, 1, 16) AS cluster_key,
+    CASE WHEN outcome IN ('clustered', 'novel') THEN round(round(0.30 * CASE WHEN j.status = 'failed' THEN 1 ELSE 0.4 END + 0.15 * 0.5 + 0.15 * (1 - similarity) + 0.10 * 0.5 + 0.15 * least(1, coalesce(j.safety_score, 0.3)) + 0.15 * least(1, j.total_tokens / 6000.0), 9)::DECIMAL(12, 9), 4)::DOUBLE END AS score
+  FROM j JOIN up ON up.id = j.owner JOIN o r ON r.id = up.root""")
 def ev10_mine_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
-    vectors = tx.hashed_vector(items, "id", "text")
-    return evaluation.mine_candidates(items.select("id"), vectors, items.select("id"))
+    k, n = F.col("item_id"), F.col("n")
+    rows = table(spark, sf, "benchmark").select("item_id", "text", F.explode(F.array(F.lit(0), F.lit(1))).alias("n")).filter((n == 0) | (k % 3 < 2))
+    requests = rows.select(
+        (k * 2 + n).alias("id"), ((k * 7 + n * 3) % 50).alias("created_at"), F.when(n == 0, F.col("text")).when(k % 3 == 0, F.concat("text", F.lit(" !"))).otherwise(F.concat("text", F.lit(" more"))).alias("query"),
+        F.when(k % 4 == 0, "failed").when(k % 4 == 1, "success").alias("status"), (k * 100).alias("total_tokens"), F.when(k % 5 == 0, k / 50.0).alias("safety_score"),
+    )
+    return mining.mine_candidates(requests).drop("breakdown")
