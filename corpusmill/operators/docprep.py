@@ -109,7 +109,7 @@ def table_markdown(tables: DataFrame) -> DataFrame:
     return tables.withColumn("_w", width).withColumn("markdown", F.array_join(F.concat(F.array(line(names), rule), body), "\n")).drop("_w")
 
 
-def structural_sections(blocks: DataFrame) -> DataFrame:
+def structural_sections(blocks: DataFrame, between: str = "\n") -> DataFrame:
     """(doc_id, section, page, block_type, heading_path, text, blocks): runs of blocks of one page and type between headings.
 
     blocks: doc_id, page, block_order, kind, text. Blocks without text give none. A heading's number (1.2.3) says its level.
@@ -126,7 +126,7 @@ def structural_sections(blocks: DataFrame) -> DataFrame:
     same = (F.lag("page").over(order) == F.col("page")) & (F.lag("_heads").over(order) == F.col("_heads")) & (F.lag("block_type").over(order) == F.col("block_type"))
     body = body.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("section", F.sum("_new").over(order) - 1)
     texts = F.transform(F.sort_array(F.collect_list(F.struct("block_order", "text"))), lambda x: x["text"])
-    sections = body.groupBy("doc_id", "section", "page", "block_type", "_heads").agg(F.array_join(texts, "\n").alias("text"), F.count("*").alias("blocks")).filter(F.trim("text") != "")
+    sections = body.groupBy("doc_id", "section", "page", "block_type", "_heads").agg(F.array_join(texts, between).alias("text"), F.count("*").alias("blocks")).filter(F.trim("text") != "")
     none = F.array().cast("array<string>")
     path = F.aggregate(F.filter(F.coalesce("_titles", F.array().cast("array<struct<_heads:bigint,level:int,title:string>>")), lambda t: t["_heads"] <= F.col("_heads")), none, lambda p, t: F.array_append(F.slice(p, 1, t["level"] - 1), t["title"]))
     return sections.join(titles, "doc_id", "left").select("doc_id", "section", "page", "block_type", path.alias("heading_path"), "text", "blocks")
@@ -218,68 +218,7 @@ def clean_documents(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, audit(b)
 
 
-CHUNKS = "doc_id long, chunk_index int, chunk_type string, parent_index int, section_path string, content string, start int, end int"
-_UNIT = re.compile(r"[㐀-鿿]|[A-Za-z0-9]+(?:[-'/][A-Za-z0-9]+)*|[^\sA-Za-z0-9㐀-鿿]")
-
-
-#: The least share of the limit at which a piece may end, the best one, the weight of the distance from it, and what a blank line is worth.
-LEAST_SHARE, BEST_SHARE, SHARE_WEIGHT, BLANK_LINE = 0.42, 0.78, 0.12, 0.35
-
-
-def _cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Character ranges of pieces of at most `limit` units: a cut between 42 and 100 % of the limit, best near 78 % and where the topic changes."""
-    units = [(m.start(), m.end()) for m in _UNIT.finditer(text)]
-    words = [text[a:b].lower() for a, b in units]
-    out, a = [], 0
-    while len(units) - a > limit:
-        best, at = None, a + limit
-        for b in range(a + int(LEAST_SHARE * limit), a + limit + 1):
-            gap = text[units[b - 1][1] : units[b][0]]
-            if not ("\n" in gap or words[b - 1] in ".!?;。！？；"):
-                continue
-            left, right = set(words[max(a, b - 24) : b]), set(words[b : b + 24])
-            score = len(left & right) / max(1, len(left | right)) + SHARE_WEIGHT * abs((b - a) / limit - BEST_SHARE) - BLANK_LINE * ("\n\n" in gap)
-            if best is None or score < best:
-                best, at = score, b
-        out.append((units[a][0], units[at - 1][1]))
-        a = max(a + 1, at - overlap)
-    if a < len(units):
-        out.append((units[a][0], units[-1][1]))
-    return out
-
-
-def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", child: int = 320, parent: int = 900, overlap: int = 48) -> DataFrame:
-    """Parents of at most `parent` units, below a heading path, and their children. Indexes count parents and children."""
-
-    def one(i: int, t: str) -> list[tuple]:
-        rows, path, start = [], [], 0
-        heads = [(m.start(), m.end(), len(m[1]), m[2].strip()) for m in re.finditer(r"(?m)^(#{1,6})\s+(.*)$", t)]
-        bounds = [(0, heads[0][0] if heads else len(t), None)] + [(h[1], heads[k + 1][0] if k + 1 < len(heads) else len(t), h) for k, h in enumerate(heads)]
-        for a, b, h in bounds:
-            if h:
-                path = [*path[: h[2] - 1], h[3]]
-            for p, q in _cut(t[a:b], parent, 0):
-                start = len(rows)
-                rows.append((i, start, "parent", None, " > ".join(path), t[a + p : a + q], a + p, a + q))
-                for c, d in _cut(t[a + p : a + q], child, overlap):
-                    rows.append((i, len(rows), "child", start, " > ".join(path), t[a + p + c : a + p + d], a + p + c, a + p + d))
-        return rows
-
-    def job(batches):
-        names = [x.split()[0] for x in CHUNKS.split(", ")]
-        for b in batches:
-            rows = [r for i, t in zip(b[key], b[text], strict=True) for r in one(i, t or "")]
-            out = pd.DataFrame(rows, columns=names)
-            out["parent_index"] = out["parent_index"].astype("Int32")
-            yield out
-
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInPandas(job, CHUNKS)
-
-
-def chunk_ids(chunks: DataFrame) -> DataFrame:
-    """Stable ids over the fields that make a chunk, and its content's hash."""
-    fields = ["doc_id", "chunk_index", "chunk_type", "section_path", "start", "end", "content"]
-    return chunks.withColumn("content_sha256", F.sha2("content", 256)).withColumn("chunk_id", F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]), 256))
+TOKEN = re.compile(r"[㐀-鿿]|[A-Za-z0-9]+(?:[-'/][A-Za-z0-9]+)*|[^\sA-Za-z0-9㐀-鿿]")
 
 
 def split_chars(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 500, overlap: int = 100) -> DataFrame:
@@ -371,10 +310,10 @@ def pack_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", limit:
     def pieces(t: str):
         lines = t.split("\n")
         head, body = lines[:header_lines], lines[header_lines:]
-        used = start = sum(len(_UNIT.findall(x)) for x in head)
+        used = start = sum(len(TOKEN.findall(x)) for x in head)
         now: list[str] = []
         for x in body:
-            n = len(_UNIT.findall(x))
+            n = len(TOKEN.findall(x))
             if now and used + n > limit:
                 yield "\n".join(head + now)
                 now, used = [], start
@@ -416,12 +355,3 @@ def split_semantic(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
             yield pd.DataFrame(rows, columns=["key", "piece", "content"])
 
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInPandas(job, "key long, piece int, content string").withColumnRenamed("key", key)
-
-
-def ingest(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = 64) -> DataFrame:
-    """Documents to chunks: blocks cleaned and joined again, chunked, with ids and keywords; doc_bucket is what to partition the table by."""
-    kept, _ = clean_documents(text_blocks(docs, key, text).withColumnRenamed(key, "doc_id"))
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("page", "block_order", F.when(F.col("kind") == "heading", F.concat(F.lit("# "), "text")).otherwise(F.col("text")).alias("t")))), lambda x: x["t"])
-    clean = kept.groupBy("doc_id").agg(F.array_join(lines, "\n").alias("text"))
-    chunks = chunk_ids(chunk_documents(clean))
-    return tx.extract_metadata(chunks.withColumn("doc_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))), "content")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
-from corpusmill.operators import docprep, mining
+from corpusmill.operators import chunking, docprep, mining
 from corpusmill.plans.registry import query, table
 
 UNITS = r"[\x{3400}-\x{9fff}]|[A-Za-z0-9]+(?:[-''/][A-Za-z0-9]+)*|[^\sA-Za-z0-9\x{3400}-\x{9fff}]"
@@ -155,12 +155,12 @@ def wn9_section_ends(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def dc22_chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return docprep.chunk_documents(table(spark, sf, "documents")).select("doc_id", "chunk_index", "chunk_type", "parent_index", "start", "end", F.sha2("content", 256).alias("content_sha256"))
+    return chunking.chunk_documents(table(spark, sf, "documents")).select("doc_id", "chunk_index", "chunk_type", "parent_index", "section", "block_type", "start", "end", F.sha2("content", 256).alias("content_sha256"))
 
 
 @query()
 def dc25_chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return docprep.chunk_ids(docprep.chunk_documents(table(spark, sf, "documents"))).select("doc_id", "chunk_index", "chunk_id", "content_sha256")
+    return chunking.chunk_ids(chunking.chunk_documents(table(spark, sf, "documents"))).select("doc_id", "chunk_index", "chunk_id", "content_sha256")
 
 
 @query()

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from corpusmill.functions import text as tx
 from corpusmill.operators import benchmarks as bm
 from corpusmill.operators import evaluation as ev
-from corpusmill.operators import docprep, facts, graph, ops
+from corpusmill.operators import chunking, docprep, facts, graph, ops
 from corpusmill.operators import retrieval as rt
 from corpusmill.plans.document_queries import LINES
 from corpusmill.plans.operation_queries import edges_of
@@ -403,7 +403,13 @@ def dc23_cohesion(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(n, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t"))).select("conv_id", "turn", F.round(tx.cohesion(F.col("text"), F.col("_next")), 6).alias("cohesion"))
 
 
-@query()
+UNIT = r"[\x{3400}-\x{9fff}]|[A-Za-z0-9]+(?:[-''/][A-Za-z0-9]+)*|[^\sA-Za-z0-9\x{3400}-\x{9fff}]"
+
+
+@query(rf"""WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''), n AS (SELECT *, list_transform(ls, lambda x: len(regexp_extract_all(x, '{UNIT}'))) AS ns FROM d),
+  f AS (SELECT doc_id, ls, ns, 1 AS i, 0 AS piece, ns[1] AS used, ns[1] AS head, false AS held FROM n
+    UNION ALL SELECT doc_id, ls, ns, i + 1, piece + (held AND used + ns[i + 1] > 320)::INT, CASE WHEN held AND used + ns[i + 1] > 320 THEN head ELSE used END + ns[i + 1], head, true FROM f WHERE i < len(ls))
+  SELECT doc_id, piece, max(used) AS tokens FROM f GROUP BY 1, 2""")
 def dc24_pack_lines(spark: SparkSession, sf: str) -> DataFrame:
     return docprep.pack_lines(table(spark, sf, "documents"), header_lines=1).select("doc_id", "piece", tx.count_tokens(F.col("content")).alias("tokens"))
 
@@ -444,7 +450,7 @@ def dc32_ingest_changes(spark: SparkSession, sf: str) -> DataFrame:
     after = d.filter(part != 29).withColumn("text", F.when(part == 7, F.concat("text", F.lit(" changed once"))).otherwise(F.col("text")))
     last = ingestion.ingest_changes(after, top, lengths, "length", 4)
     chunks, before = (snapshots.read(spark, top, ingestion.CHUNKS, of=v) for v in (last, first))
-    right = docprep.ingest(after.filter(part.isin(7, 13))).select("doc_id", "chunk_id")
+    right = chunking.ingest(after.filter(part.isin(7, 13))).select("doc_id", "chunk_id")
     now = chunks.filter(part.isin(7, 13, 29)).select("doc_id", "chunk_id")
     stale = now.exceptAll(right).unionByName(right.exceptAll(now)).select(F.col("doc_id").alias("_s")).distinct()
     unlike = chunks.filter("chunk_type = 'child' and embedding is null").select(F.col("doc_id").alias("_u")).distinct()

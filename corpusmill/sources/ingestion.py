@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators import docprep
+from corpusmill.operators import chunking, docprep
 from corpusmill.sources import snapshots
 from corpusmill.sources.snapshots import Change, Version
 
@@ -45,7 +45,7 @@ def ingest_changes(docs: DataFrame, top: str, embed_fn: Callable, model: str, si
     diff = kept(changes_against(docs, table(DOCUMENTS, "doc_id long, text_sha256 string"), complete), "changes")
     fresh = diff.filter("kind in ('added', 'changed')")
     todo = docs.select("doc_id", "text").join(fresh.select(F.col("doc_id").alias("_d")), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    chunks = docprep.ingest(todo).drop("doc_bucket")
+    chunks = chunking.ingest(todo)
     chunks = kept(chunks.withColumn("cache_key", F.when(F.col("chunk_type") == "child", docprep.embedding_key(model, size, "content"))), "chunks")
     children = chunks.filter("chunk_type = 'child'")
     made = kept(docprep.embed_missing(children.select(F.col("content").alias("text")), cache, embed_fn, model, size), "vectors")

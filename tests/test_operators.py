@@ -97,20 +97,6 @@ def test_table_merge_golden(spark):
     assert docprep.table_markdown(t).first().markdown == "| Drug | Dose |\n| --- | --- |\n| A | 5 mg |"
 
 
-def test_chunks_cover_their_parents_and_are_stable(spark):
-    text = "# One\n" + "alpha beta gamma delta. " * 300 + "\n\n# Two\n" + "word " * 50
-    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
-    got = docprep.chunk_documents(docs, child=50, parent=120, overlap=5).collect()
-    assert {r.doc_id for r in got} == {1}
-    for r in got:
-        assert text[r.start : r.end] == r.content and tx_len(r.content) <= (120 if r.chunk_type == "parent" else 50)
-    assert [r.chunk_index for r in got] == list(range(len(got)))
-
-
-def tx_len(s):
-    return len(docprep._UNIT.findall(s))
-
-
 def test_split_chars_ends(spark):
     docs = spark.createDataFrame([(1, "a." + "b" * 600)], "doc_id long, text string")
     got = docprep.split_chars(docs).collect()
