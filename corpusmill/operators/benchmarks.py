@@ -196,3 +196,20 @@ def flatten_topics(df: DataFrame, col: str, depth: int = 3) -> DataFrame:
         out = leaf if out is None else out.unionByName(leaf)
         now = now.filter("_t.topics is not null").withColumn("_t", F.explode(F.from_json("_t.topics", schema)))
     return out
+
+
+def distinct_in_order(values: Column) -> Column:
+    """An array's values, each where it first stands; a null counts as one value."""
+    return F.array_distinct(values)
+
+
+def set_counts(expected: Column, actual: Column) -> Column:
+    """(both, missing, unexpected): how many distinct values two arrays share, and each has alone."""
+    return F.struct(F.size(F.array_intersect(expected, actual)).alias("both"), F.size(F.array_except(expected, actual)).alias("missing"), F.size(F.array_except(actual, expected)).alias("unexpected"))
+
+
+def tool_benchmark(cases: DataFrame, expected: str = "expected", used: str = "used") -> DataFrame:
+    """One row: cases, and the shares of them with the expected tools exactly, with one missing, with one too many."""
+    c = cases.select(set_counts(F.coalesce(F.col(expected), F.array().cast("array<string>")), F.coalesce(F.col(used), F.array().cast("array<string>"))).alias("x"))
+    share = lambda x: F.round(F.avg(x.cast("double")), 6)
+    return c.agg(F.count("*").alias("cases"), share((F.col("x.missing") == 0) & (F.col("x.unexpected") == 0)).alias("exact"), share(F.col("x.missing") > 0).alias("missing"), share(F.col("x.unexpected") > 0).alias("unnecessary"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusmill.operators.tables import written
+
 
 def _gains(rankings: DataFrame, relevance: DataFrame, dedup: bool) -> DataFrame:
     """(query_id, rank, item, grade): the ranked items with their grades, repeated items counted once if `dedup`."""
@@ -75,18 +78,89 @@ def classification_metrics(rows: DataFrame, truth: str, predicted: str) -> DataF
     return by.select("label", "precision", "recall", zero(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"), "support", (F.sum("right").over(total) / F.sum("support").over(total)).alias("accuracy"))
 
 
-def nearest_rank(value: str, p: float) -> Column:
-    """The value of rank ceil(p n) of a column: an aggregate."""
-    return F.expr(f"percentile_disc({p}) within group (order by `{value}`)")
+def results_with_cases(results: DataFrame, cases: DataFrame, key: str = "case_id") -> DataFrame:
+    """Results with their case's columns; a result without a case goes, as does a case without results."""
+    return results.join(cases, key)
+
+
+def results_with_traces(results: DataFrame, traces: DataFrame, key: str = "trace_id") -> DataFrame:
+    """Results with their trace's columns; one without a trace stays."""
+    return results.join(traces, key, "left")
+
+
+def visible(rows: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the allowed ones; the key is looked up, nothing of `allowed` is added."""
+    return rows.join(allowed.select(F.col(key).alias("_allowed")), F.col(key) == F.col("_allowed"), "left_semi")
+
+
+def mode_profile(results: DataFrame, mode: str, cost: str) -> DataFrame:
+    """(mode, results, usage, mean): each mode's share of all results, and its mean cost over those that have one."""
+    n = results.groupBy(F.col(mode).alias("mode")).agg(F.count("*").alias("results"), F.avg(cost).alias("mean"))
+    return n.withColumn("usage", F.col("results") / F.sum("results").over(Window.partitionBy(F.lit(0))))  # a row a mode
+
+
+def nearest_rank(p: float) -> Callable[[Column], Column]:
+    """The 1-based rank ceil(p n) of n values."""
+    return lambda n: F.greatest(F.lit(1), F.ceil(n * p))
+
+
+def index_rank(p: float) -> Callable[[Column], Column]:
+    """The rank of the 0-based place min(n - 1, floor(n p))."""
+    return lambda n: F.least(n, F.floor(n * p) + 1)
+
+
+def values_at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, tuple[float, Callable[[Column], Column]]], accuracy: int = 10_000) -> DataFrame:
+    """(by, a column for each rank): the values that stand there among a group's values, nulls aside; exact, whatever a group holds.
+
+    ranks: a share p and the rank that it means, a function of n at most two from n p. First each group's sketch gives values that lie
+    a little below and above the share; then the rows below are counted, and those between, by value. Only these, a few in
+    ten thousand besides ties, are put in order. Where a sketch has missed a rank, its group's bounds are made wider.
+    """
+    rows = df.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    groups = [f"_g{i}" for i in range(len(by))]
+    names = list(ranks)
+    out, wide = None, 2.0 / accuracy
+    todo = None
+    while True:
+        shares = [F.lit(float(min(1.0, max(0.0, ranks[k][0] + d)))) for k in names for d in (-wide, wide)]
+        if todo is not None:
+            rows = rows.join(todo.select(*[F.col(g).alias(f"_t{g}") for g in groups]).distinct(), together(groups, "_t"), "left_semi") if groups else rows
+        sizes = rows.groupBy(*groups).agg(F.count("*").alias("_n"), F.percentile_approx("_v", F.array(*shares), accuracy).alias("_q")).filter("_n > 0")
+        each = F.array(*[F.struct(F.lit(k).alias("_k"), ranks[k][1](F.col("_n")).cast("long").alias("_rank"), F.get("_q", F.lit(2 * i)).alias("_lo"), F.get("_q", F.lit(2 * i + 1)).alias("_hi")) for i, k in enumerate(names)])
+        bounds = written(sizes.select(*groups, F.explode(each).alias("_x")).select(*groups, "_x.*"), "bounds")
+        held = bounds.select(*[F.col(g).alias(f"_b{g}") for g in groups], "_k", "_lo", "_hi")
+        same = together(groups, "_b") if groups else F.lit(True)
+        both = rows.join(F.broadcast(held) if not groups else held, same)  # a row a rank where there are no groups
+        # Values below are one count, those between a row a value: what leaves a task is small.
+        both = both.filter("_v <= _hi").groupBy(*groups, "_k", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_at")).agg(F.count("*").alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy(*groups, "_k").orderBy(F.col("_at").asc_nulls_first()))
+        found = both.withColumn("_upto", upto).select(*[F.col(g).alias(f"_f{g}") for g in groups], F.col("_k").alias("_fk"), "_at", "_upto", (F.col("_upto") - F.col("_c")).alias("_before"))
+        match = (F.col("_k") == F.col("_fk")) & (F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_upto")) & F.col("_at").isNotNull()
+        hits = bounds.join(found, match & together(groups, "_f") if groups else match, "left").select(*groups, "_k", "_at")
+        hits = written(hits, "ranks")
+        good = hits.filter("_at is not null")
+        out = good if out is None else out.unionByName(good)
+        todo = hits.filter("_at is null")
+        if todo.isEmpty():
+            break
+        wide *= 16
+    cells = out.groupBy(*groups).agg(*[F.max(F.when(F.col("_k") == k, F.col("_at"))).alias(k) for k in names])
+    return cells.select(*[F.col(g).alias(c) for g, c in zip(groups, by, strict=True)], *names)
+
+
+def together(groups: list[str], mark: str) -> Column:
+    """Equal groups, nulls among them."""
+    out = F.lit(True)
+    for g in groups:
+        out = out & F.col(g).eqNullSafe(F.col(f"{mark}{g}"))
+    return out
 
 
 def index_percentile(df: DataFrame, by: list[str], value: str, p: float, order_most: int | None = None, newest: str | None = None) -> DataFrame:
     """The value at 0-based place min(n - 1, floor(n p)) of each group, over the newest `order_most` rows if given."""
     if order_most:
         df = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(newest).desc()))).filter(F.col("_r") <= order_most)
-    w = Window.partitionBy(*by)
-    at = df.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return at.filter(F.col("_i") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * p))).select(*by, F.col(value).alias("value"))
+    return values_at_ranks(df, by, value, {"value": (p, index_rank(p))})
 
 
 def aggregate_metrics(results: DataFrame, by: list[str]) -> DataFrame:
@@ -96,6 +170,11 @@ def aggregate_metrics(results: DataFrame, by: list[str]) -> DataFrame:
     return agg.withColumn("status", F.when(F.col("applicable") > 0, "VERIFIED").otherwise("UNTESTED"))
 
 
+def category_rollup(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, n, mean): each category's rows and mean, with the totals above it."""
+    return df.rollup(*by).agg(F.count("*").alias("n"), (F.sum(value) / F.count("*")).alias("mean"))
+
+
 def distribution(df: DataFrame, col: str) -> DataFrame:
     counts = df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
     return counts.select("value", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("share"))
@@ -252,11 +331,12 @@ def run_aggregate(results: DataFrame) -> DataFrame:
 
     results: scores (map of doubles), passed, latency, tokens, cost, calls, steps, error.
     """
-    ranks = {f"latency_p{int(100 * p)}": nearest_rank("latency", p) for p in (0.5, 0.95, 0.99)}
-    flat = {"pass_rate": F.avg(F.col("passed").cast("double")), "latency_mean": F.avg("latency"), **ranks} | {n: F.sum(n) for n in ("tokens", "cost", "calls", "steps")}
+    late = values_at_ranks(results, [], "latency", {f"latency_p{int(100 * p)}": (p, nearest_rank(p)) for p in (0.5, 0.95, 0.99)})
+    flat = {"pass_rate": F.avg(F.col("passed").cast("double")), "latency_mean": F.avg("latency")} | {n: F.sum(n) for n in ("tokens", "cost", "calls", "steps")}
     flat |= {"errors": F.count_if(F.col("error")), "valid": F.count_if(~F.coalesce(F.col("error"), F.lit(False)))}
     one = results.agg(*[c.cast("double").alias(n) for n, c in flat.items()])
-    totals = one.select(F.explode(F.create_map(*[x for n in flat for x in (F.lit(n), F.col(n))])).alias("measure", "value"))
+    rows = lambda d: d.select(F.explode(F.create_map(*[x for n in d.columns for x in (F.lit(n), F.col(n))])).alias("measure", "value"))
+    totals = rows(one).unionByName(rows(late))
     means = results.select(F.explode("scores").alias("measure", "value")).filter("value is not null").groupBy(F.concat(F.lit("mean_"), "measure").alias("measure")).agg(F.avg("value").alias("value"))
     return totals.unionByName(means)
 
@@ -269,7 +349,7 @@ def retrieval_monitor(traces: DataFrame, n: int = 200) -> DataFrame:
     some = traces.orderBy(F.col("ts").desc(), F.col("trace_id").desc()).limit(n)
     status = some.groupBy(F.concat(F.lit("status_"), "status").alias("measure")).agg(F.count("*").cast("double").alias("value"))
     average = some.agg(F.avg("evidence").alias("value")).select(F.lit("average_evidence").alias("measure"), "value")
-    late = index_percentile(some.withColumn("_all", F.lit(1)), ["_all"], "latency", 0.95).select(F.lit("latency_p95").alias("measure"), F.col("value").cast("double").alias("value"))
+    late = index_percentile(some, [], "latency", 0.95).select(F.lit("latency_p95").alias("measure"), F.col("value").cast("double").alias("value"))
     return status.unionByName(average).unionByName(late)
 
 

@@ -100,7 +100,9 @@ def ev13_dataset_health(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type, round(avg(value), 4) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
 def ag6_nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), *[ev.nearest_rank("value", p).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)])
+    e = table(spark, sf, "events")
+    ranks = ev.values_at_ranks(e, ["event_type"], "value", {f"p{int(p * 100)}": (p, ev.nearest_rank(p)) for p in (0.5, 0.95, 0.99)})
+    return e.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean")).join(ranks, "event_type")
 
 
 @query("""SELECT event_type, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
@@ -117,7 +119,8 @@ def ag9_metric_provenance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(round(l_discount * 100)::BIGINT) / count(*) / 100, 6) AS mean FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
 def ag11_category_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum(F.round(F.col("l_discount") * 100).cast("long")) / F.count("*") / 100, 6).alias("mean"))
+    rows = table(spark, sf, "lineitem").withColumn("cents", F.round(F.col("l_discount") * 100).cast("long"))
+    return ev.category_rollup(rows, ["l_returnflag", "l_linestatus"], "cents").withColumn("mean", F.round(F.col("mean") / 100, 6))
 
 
 @query("""SELECT o_orderpriority AS variant, count(*) AS rows, round(avg(o_totalprice), 4) AS price, NULL::DOUBLE AS partial FROM orders GROUP BY 1""")

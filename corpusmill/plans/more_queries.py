@@ -12,7 +12,7 @@ from corpusmill.operators import evaluation as ev
 from corpusmill.operators import chunking, docprep, facts, graph, ops
 from corpusmill.operators import retrieval as rt
 from corpusmill.plans.document_queries import LINES
-from corpusmill.plans.operation_queries import edges_of
+from corpusmill.plans.operation_queries import EDGES, edges_of
 from corpusmill.plans.registry import query, scratch, table
 from corpusmill.plans.retrieval_queries import DENSE, dense_of
 from corpusmill.sources import files, ingestion, snapshots
@@ -33,13 +33,13 @@ def flags_of(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {FLAGS}, u AS (SELECT l_orderkey, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM f), m AS (SELECT l_orderkey, x, min(i) AS i FROM u GROUP BY 1, 2) SELECT l_orderkey, string_agg(x, ',' ORDER BY i) AS kept FROM m GROUP BY 1")
 def so2_distinct_keep_order(spark: SparkSession, sf: str) -> DataFrame:
-    return flags_of(spark, sf).select("l_orderkey", F.array_join(F.array_distinct("a"), ",").alias("kept"))
+    return flags_of(spark, sf).select("l_orderkey", F.array_join(bm.distinct_in_order(F.col("a")), ",").alias("kept"))
 
 
 @query(f"WITH {FLAGS} SELECT l_orderkey, len(list_intersect(a, ['A', 'R'])) AS both, len(list_filter(['A', 'R'], lambda x: NOT list_contains(a, x))) AS missing, len(list_filter(list_distinct(a), lambda x: x NOT IN ('A', 'R'))) AS unexpected FROM f")
 def so3_set_ops(spark: SparkSession, sf: str) -> DataFrame:
     e = F.array(F.lit("A"), F.lit("R"))
-    return flags_of(spark, sf).select("l_orderkey", F.size(F.array_intersect("a", e)).alias("both"), F.size(F.array_except(e, "a")).alias("missing"), F.size(F.array_except("a", e)).alias("unexpected"))
+    return flags_of(spark, sf).select("l_orderkey", bm.set_counts(e, F.col("a")).alias("x")).select("l_orderkey", "x.*")
 
 
 @query(f"WITH {FLAGS} SELECT l_orderkey, regexp_matches(array_to_string(a, ''), 'A.*N.*R') AS inside FROM f")
@@ -330,6 +330,22 @@ def mm15_leak_rate(spark: SparkSession, sf: str) -> DataFrame:
     return facts.leak_rate(r, o.select(F.col("o_custkey").alias("case_id")).distinct().withColumn("user", F.col("case_id")))
 
 
+@query(f"""WITH RECURSIVE {EDGES}, b AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges),
+  w AS (SELECT s_suppkey % 50 AS answer, 's' || s_suppkey AS id, 0 AS depth FROM supplier UNION SELECT w.answer, b.b, w.depth + 1 FROM w JOIN b ON b.a = w.id WHERE w.depth < 2),
+  x AS (SELECT DISTINCT answer, source, CASE target[1] WHEN 's' THEN 'is home of' WHEN 'c' THEN 'buys' ELSE 'holds' END AS relation, target FROM (SELECT DISTINCT answer, id FROM w WHERE depth < 2) w JOIN edges e ON e.source = w.id OR e.target = w.id),
+  v AS (SELECT 'r' || r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier),
+  l AS (SELECT DISTINCT answer, '- ' || p.name || ' --[' || relation || ']--> ' || q.name AS line FROM x JOIN v p ON p.id = source JOIN v q ON q.id = target)
+  SELECT answer, line, row_number() OVER (PARTITION BY answer ORDER BY line) AS line_no FROM l""")
+def gr4_graph_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """Contexts of fifty answers at once: each begins with a fiftieth of the suppliers."""
+    name = lambda t, mark, key, says: table(spark, sf, t).select(F.concat(F.lit(mark), key).alias("id"), F.col(says).alias("name"))
+    v = name("region", "r", "r_regionkey", "r_name").unionByName(name("nation", "n", "n_nationkey", "n_name")).unionByName(name("supplier", "s", "s_suppkey", "s_name"))
+    seeds = table(spark, sf, "supplier").select((F.col("s_suppkey") % 50).alias("answer"), F.concat(F.lit("s"), "s_suppkey").alias("id"))
+    e = edges_of(spark, sf)
+    found = graph.relations(e, graph.bfs(e, seeds, 2, ["answer"]), 2, ["answer"])
+    return graph.graph_context(found, v, {"supplies": "is home of"}, ["answer"])
+
+
 @query("SELECT '- ' || r_name || ' --[holds]--> ' || n_name AS line FROM nation JOIN region ON n_regionkey = r_regionkey")
 def gr4_graph_context(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("name")).unionByName(table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("name")))
@@ -509,8 +525,5 @@ def rt21_output_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT user_id, list(DISTINCT event_type) AS used FROM events GROUP BY 1) SELECT count(*) AS cases, round(avg((len(list_intersect(used, ['click', 'view'])) = 2 AND len(used) = 2)::INT), 6) AS exact, round(avg((len(list_intersect(used, ['click', 'view'])) < 2)::INT), 6) AS missing, round(avg((len(used) > len(list_intersect(used, ['click', 'view'])))::INT), 6) AS unnecessary FROM c""")
 def ev32_tool_benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    want = F.array(F.lit("click"), F.lit("view"))
     c = table(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("used"))
-    both = F.size(F.array_intersect("used", want))
-    share = lambda x: F.round(F.avg(x.cast("double")), 6)
-    return c.agg(F.count("*").alias("cases"), share((both == 2) & (F.size("used") == 2)).alias("exact"), share(both < 2).alias("missing"), share(F.size("used") > both).alias("unnecessary"))
+    return bm.tool_benchmark(c.withColumn("expected", F.array(F.lit("click"), F.lit("view"))))

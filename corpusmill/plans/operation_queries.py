@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.operators import facts as fa
 from corpusmill.operators import graph as gr
 from corpusmill.operators import ops
-from corpusmill.plans.registry import query, table
+from corpusmill.plans.registry import ORACLE_SQL, query, table
 from corpusmill.streaming import jobs
 
 
@@ -248,6 +248,18 @@ def st2_expire_stream(spark: SparkSession, sf: str) -> DataFrame:
     return run_stream(spark, jobs.expire_stream(stream_of(spark, sf), "user_id", "ts"), "st2")
 
 
+@query(ORACLE_SQL["mm2_merge_changes"])
+def mm2_facts_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The versions of mm2_merge_changes, kept as state while the changes stream in."""
+    e = stream_of(spark, sf)
+    changes = e.select(
+        F.lit(1).cast("long").alias("tenant_id"), F.col("user_id").cast("long").alias("user_id"), F.lit("self").alias("subject"), F.lit("last_type").alias("predicate"), F.col("event_type").alias("value"),
+        F.when(F.col("value") > 50, "web").otherwise("user_explicit").alias("source_type"), (F.col("value") / 100).alias("confidence"), ((F.col("event_id") % 10) / 10).alias("importance"), "ts",
+    )
+    facts = jobs.current_facts(run_stream(spark, jobs.facts_stream(changes), "mm2"))
+    return facts.select("user_id", "version", "value", "valid_from", "valid_to", "status", "sources", F.round("confidence", 6).alias("confidence"), "importance")
+
+
 @query("""WITH w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events), g AS (SELECT date_trunc('day', ts) AS window_start, event_type AS tool, count(*) AS calls, avg((event_type = 'error')::INT) AS rate, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1, 2)
   SELECT window_start, tool, calls, round(rate, 6) AS error_rate, p95, CASE WHEN rate > 0.2 THEN 'degraded' ELSE 'healthy' END AS state FROM g, w WHERE window_start + INTERVAL 1 DAY <= mark""")
 def st3_health_stream(spark: SparkSession, sf: str) -> DataFrame:

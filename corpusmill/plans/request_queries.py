@@ -161,27 +161,25 @@ def ev24_completion(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT r.l_orderkey AS case_id, r.l_linenumber AS line, o.o_orderpriority AS category FROM lineitem r JOIN orders o ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'")
 def jn1_case_results_with_case(spark: SparkSession, sf: str) -> DataFrame:
     cases = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("category"))
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("line")).join(cases, "case_id")
+    return ev.results_with_cases(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("line")), cases)
 
 
 @query("SELECT o_orderpriority AS mode, count(*) AS results, round(avg(n), 6) AS mean_lines FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1")
 def jn13_results_with_trace(spark: SparkSession, sf: str) -> DataFrame:
-    traces = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    j = table(spark, sf, "orders").join(traces, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return j.groupBy(F.col("o_orderpriority").alias("mode")).agg(F.count("*").alias("results"), F.round(F.avg("n"), 6).alias("mean_lines"))
+    traces = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("trace_id")).agg(F.count("*").alias("n"))
+    j = ev.results_with_traces(table(spark, sf, "orders").withColumnRenamed("o_orderkey", "trace_id"), traces)
+    return ev.mode_profile(j, "o_orderpriority", "n").select("mode", "results", F.round("mean", 6).alias("mean_lines"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def jn10_visible(spark: SparkSession, sf: str) -> DataFrame:
-    seen = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'")
-    return table(spark, sf, "orders").join(seen, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
+    seen = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return ev.visible(table(spark, sf, "orders"), seen, "o_custkey").select("o_orderkey")
 
 
 @query("""SELECT o_orderpriority AS mode, round(count(*)::DOUBLE / (SELECT count(*) FROM orders), 6) AS usage, round(avg(o_totalprice), 4) AS mean_cost FROM orders GROUP BY 1""")
 def ag8_mode_profile(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders")
-    share = ev.distribution(o, "o_orderpriority").select(F.col("value").alias("mode"), F.round("share", 6).alias("usage"))
-    return share.join(o.groupBy(F.col("o_orderpriority").alias("mode")).agg(F.round(F.avg("o_totalprice"), 4).alias("mean_cost")), "mode")
+    return ev.mode_profile(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice").select("mode", F.round("usage", 6).alias("usage"), F.round("mean", 4).alias("mean_cost"))
 
 
 @query("""SELECT d.doc_id, CASE WHEN lang = 'en' THEN 100 WHEN lang = 'fr' THEN least(99, greatest(0, coalesce(p, 0))) WHEN p IS NOT NULL THEN p WHEN lang = 'de' THEN 65 ELSE 0 END AS shown

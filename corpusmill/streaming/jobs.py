@@ -1,4 +1,4 @@
-"""Incremental jobs as Structured Streaming: dedup, expiry, tool health, session state."""
+"""Incremental jobs as Structured Streaming: dedup, expiry, fact versions, tool health, session state."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from corpusmill.operators.facts import KEY, trust
 
 
 def dedup_stream(stream: DataFrame, key: str, at: str, delay: str = "1 hour") -> DataFrame:
@@ -15,24 +17,102 @@ def dedup_stream(stream: DataFrame, key: str, at: str, delay: str = "1 hour") ->
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
+class Expiry(StatefulProcessor):
+    """A key's last update, as state; its timer says `expired` once the watermark has passed its time to live."""
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.last.get()[0] if self.last.exists() else None
+        last = max([*([before] if before is not None else []), *(int(b["ms"].max()) for b in rows)])
+        if before is not None:
+            self.handle.deleteTimer(before + self.ttl)
+        self.last.update((last,))
+        self.handle.registerTimer(last + self.ttl)
+        yield pd.DataFrame({"key": [key[0]], "last_ms": [last], "status": ["active"]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (last,) = self.last.get()
+        self.last.clear()
+        yield pd.DataFrame({"key": [key[0]], "last_ms": [last], "status": ["expired"]})
+
+
 def expire_stream(facts: DataFrame, key: str = "fact_id", at: str = "updated_at", ttl_seconds: int = 3600, delay: str = "10 minutes") -> DataFrame:
     """(key, last_ms, status): each key's last update, and `expired` once the watermark has passed its time to live."""
+    rows = facts.withWatermark(at, delay).select(F.col(key).cast("long").alias("key"), at, (F.unix_micros(at) / 1000).cast("long").alias("ms"))
+    return rows.groupBy("key").transformWithStateInPandas(Expiry(ttl_seconds * 1000), "key long, last_ms long, status string", "append", "eventTime")
 
-    def step(k: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({"key": [k[0]], "last_ms": [last], "status": ["expired"]})
-            return
-        last = state.get[0] if state.exists else 0
-        for pdf in rows:
-            last = max(last, int(pdf["ms"].max()))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": [k[0]], "last_ms": [last], "status": ["active"]})
 
-    rows = facts.withWatermark(at, delay).select(F.col(key).cast("long").alias("key"), at, (F.unix_micros(at) / 1000).cast("long").alias("ms"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key long, last_ms long, status string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+FACTS = "tenant_id long, user_id long, subject string, predicate string, change string, version int, value string, valid_from timestamp, valid_to timestamp, status string, sources long, confidence double, importance double, expires_at timestamp"
+
+
+class FactVersions(StatefulProcessor):
+    """Versions of a key's facts from its changes, batch after batch, by the rules of `facts.merge_changes`.
+
+    Only the active version and its begin have to be known to take a later change; the closed ones are given out when they close. A version
+    is given out again when a change moves it; one whose time is over is `expired` by its timer, and the next change begins anew beside it.
+    """
+
+    def __init__(self, days: int) -> None:
+        self.life = days * 86_400_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.active = handle.getValueState("active", "version int, value string, valid_from long, last_seen long, sources long, confidence double, importance double")
+
+    def row(self, key: tuple, change: str, status: str, version: int, value: str, start: int, seen: int, sources: int, confidence, importance, end: int | None = None) -> tuple:
+        return (*key, change, version, value, pd.Timestamp(start, unit="us"), None if end is None else pd.Timestamp(end, unit="us"), status, sources, confidence, importance, pd.Timestamp(seen + self.life, unit="us"))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        given = pd.concat(list(rows)).sort_values(["us", "value"], kind="stable")
+        held = self.active.get() if self.active.exists() else None
+        old_timer = held[3] if held else None
+        out = []
+        most = lambda a, b: max((x for x in (a, b) if x is not None and x == x), default=None)
+        for us, value, trusted, confidence, importance in zip(given["us"].tolist(), given["value"].tolist(), given["trusted"].tolist(), given["confidence"].tolist(), given["importance"].tolist(), strict=True):
+            if held is None:
+                held = (1, value, us, us, 1, most(confidence, None), most(importance, None))
+            elif value == held[1]:
+                held = (held[0], value, held[2], max(held[3], us), held[4] + 1, most(held[5], confidence), most(held[6], importance))
+            elif not trusted:
+                out.append(self.row(key, "added", "disputed", held[0], value, us, us, 1, most(confidence, None), most(importance, None)))
+            else:
+                out.append(self.row(key, "closed", "superseded", *held, end=us))
+                held = (held[0] + 1, value, us, us, 1, most(confidence, None), most(importance, None))
+        out.append(self.row(key, "moved", "active", *held))
+        if old_timer is not None:
+            self.handle.deleteTimer((old_timer + self.life) // 1000)
+        self.active.update(held)
+        self.handle.registerTimer((held[3] + self.life) // 1000)
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in FACTS.split(", ")])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.active.get()
+        yield pd.DataFrame([self.row(key, "moved", "expired", *held, end=held[3] + self.life)], columns=[x.split()[0] for x in FACTS.split(", ")])
+
+
+def facts_stream(changes: DataFrame, at: str = "ts", days: int = 90, delay: str = "10 minutes") -> DataFrame:
+    """Fact versions as they move: `moved` is the active version's latest state, `closed` a superseded one's last, `added` a disputed change.
+
+    changes: tenant_id, user_id, subject, predicate, value, source_type, confidence, importance and the time. Changes of a
+    key must not be later than the watermark's delay; within a batch they are put in order. `current_facts` gives the table.
+    """
+    trusted = (trust(F.col("source_type")) != "low").alias("trusted")
+    rows = changes.withWatermark(at, delay).select("tenant_id", "user_id", "subject", "predicate", "value", trusted, F.col("confidence").cast("double"), F.col("importance").cast("double"), at, F.unix_micros(at).alias("us"))
+    return rows.groupBy(*KEY).transformWithStateInPandas(FactVersions(days), FACTS, "append", "eventTime")
+
+
+def current_facts(moves: DataFrame) -> DataFrame:
+    """The versions as the stream's rows leave them: of a version's states the last one."""
+    fixed = moves.filter("change = 'added'").drop("change")
+    order = F.struct(F.col("status") == "superseded", "expires_at", "sources", F.col("status") == "expired")
+    last = [c for c in moves.columns if c not in (*KEY, "version", "change")]
+    rest = moves.filter("change <> 'added'").groupBy(*KEY, "version").agg(F.max_by(F.struct(*last), order).alias("_x")).select(*KEY, "version", "_x.*")
+    return rest.unionByName(fixed).select(*last, *KEY, "version")
 
 
 def health_stream(calls: DataFrame, tool: str, at: str, failed: str, latency: str, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -49,6 +129,7 @@ def session_stream(messages: DataFrame, key: str, at: str, gap: str = "30 minute
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there into a Parquet table, and reads it."""
+    """Runs a stream over what is there into a Parquet table, and reads it. Keyed state is kept by RocksDB, which several kinds of state need."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
