@@ -86,6 +86,11 @@ def protect(facts: DataFrame, secret: str, iv: str) -> DataFrame:
     return facts.withColumn("sealed", F.when(hot, sealed)).withColumn("value", F.when(hot, "[PROTECTED]").otherwise(F.col("value")))
 
 
+def reveal(facts: DataFrame, secret: str) -> DataFrame:
+    """`opened`: what was sealed, for those who have the secret; null where nothing was."""
+    return facts.withColumn("opened", F.aes_decrypt(F.unbase64("sealed"), F.lit(secret), F.lit("CBC"), F.lit("PKCS")).cast("string"))
+
+
 def retrieve(queries: DataFrame, facts: DataFrame, now: Column, items: int = 6, pool: int = 200) -> DataFrame:
     """Facts of each query's owner: 0.35 Jaccard + 0.25 share of the query + 0.20 importance + 0.10 recency + 0.10 confidence.
 

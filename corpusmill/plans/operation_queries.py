@@ -168,10 +168,10 @@ def mm9_change_audit(spark: SparkSession, sf: str) -> DataFrame:
     return fa.change_audit(f, fa.delete(f, f.filter("value = 'error'")))
 
 
-@query()
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '[PROTECTED]' ELSE c_name END AS value, CASE WHEN c_acctbal < 0 THEN c_name END AS opened FROM customer")
 def mm10_protect(spark: SparkSession, sf: str) -> DataFrame:
     f = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("value"), F.when(F.col("c_acctbal") < 0, "sensitive").otherwise("normal").alias("sensitivity"))
-    return fa.protect(f, "0123456789abcdef", "00" * 16).select("c_custkey", "value", "sealed")
+    return fa.reveal(fa.protect(f, "0123456789abcdef", "00" * 16), "0123456789abcdef").select("c_custkey", "value", "opened")
 
 
 @query("""WITH f AS (SELECT user_id, event_id, value / 100 AS importance, ts, list_distinct(list_concat(['user', 'did'], regexp_extract_all(lower(event_type), '[a-z0-9]+'))) AS ft, row_number() OVER (PARTITION BY user_id ORDER BY value / 100 DESC, ts DESC, event_id) AS n FROM events),
