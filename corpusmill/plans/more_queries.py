@@ -96,19 +96,29 @@ def rt13_expand_context(spark: SparkSession, sf: str) -> DataFrame:
     return rt.expand_context(c).select("chunk_id", F.sha2("context", 256).alias("context"))
 
 
-@query("""SELECT doc_id AS answer_id, 1 AS known, 1 AS unknown, 'see [ev_' || substr(sha256(doc_id::VARCHAR), 1, 16) || '] and [citation removed]' AS answer FROM documents""")
+@query("""WITH d AS (SELECT doc_id, 'ev_' || substr(sha256(doc_id::VARCHAR), 1, 16) AS own, 'ev_' || substr(sha256((doc_id + 7)::VARCHAR), 1, 16) AS other, doc_id + 7 IN (SELECT doc_id FROM documents) AS there FROM documents)
+  SELECT doc_id AS answer_id, CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 1 + there::INT END AS known, CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE (NOT there)::INT END AS unknown,
+    CASE doc_id % 3 WHEN 0 THEN 'no source' WHEN 1 THEN 'see [' || own || '] and [citation removed]' ELSE '[' || own || '] [' || CASE WHEN there THEN other ELSE 'citation removed' END || '] [' || own || ']' END AS answer FROM d""")
 def rt16_validate_citations(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document as an answer that cites itself and one that nobody knows."""
-    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("ev_"), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 16)).alias("evidence_id"))
-    a = d.select(F.col("doc_id").alias("answer_id"), F.concat(F.lit("see ["), "evidence_id", F.lit("] and [ev_"), F.lit("f" * 16), F.lit("]")).alias("answer"))
+    """Documents as answers: without citations, citing themselves and one that nobody knows, or themselves twice and one seven further."""
+    ids = lambda k: F.concat(F.lit("ev_"), F.substring(F.sha2(k.cast("string"), 256), 1, 16))
+    k = F.col("doc_id")
+    own, other, kind = F.concat(F.lit("["), ids(k), F.lit("]")), F.concat(F.lit("["), ids(k + 7), F.lit("]")), k % 3
+    d = table(spark, sf, "documents").select(k, ids(k).alias("evidence_id"))
+    a = d.select(k.alias("answer_id"), F.when(kind == 0, "no source").when(kind == 1, F.concat(F.lit("see "), own, F.lit(" and [ev_ffffffffffffffff]"))).otherwise(F.concat_ws(" ", own, other, own)).alias("answer"))
     return rt.validate_citations(a, d.select("evidence_id")).select("answer_id", F.size("known").alias("known"), F.size("unknown").alias("unknown"), "answer")
 
 
-@query("""WITH e AS (SELECT user_id AS query_id, event_type <> 'error' AS good, floor(value) AS dosage FROM events), a AS (SELECT query_id, count(*) FILTER (good) AS n, count(DISTINCT dosage) FILTER (good) AS ds FROM e GROUP BY 1)
-  SELECT query_id, CASE WHEN ds > 1 THEN 'conflicting' WHEN n = 0 THEN 'insufficient' ELSE 'sufficient' END AS status FROM a""")
+@query("""WITH e AS (SELECT user_id AS query_id, event_type <> 'error' AND event_id % 7 <> 0 AS good, event_type = 'click' AND event_id % 4 = 0 AS pos, event_type = 'view' AND user_id % 3 = 0 AS neg, CASE WHEN user_id % 5 = 0 THEN floor(value / 60) END AS dosage, event_id % 400 = 3 AS miss FROM events),
+  a AS (SELECT query_id, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS rejected, count(*) FILTER (good AND pos) AS p, count(*) FILTER (good AND neg) AS c, count(DISTINCT dosage) FILTER (good) AS ds, bool_or(miss) AS miss FROM e GROUP BY 1),
+  s AS (SELECT *, CASE WHEN p > 0 AND c > 0 OR ds > 1 THEN 'conflicting' WHEN n = 0 OR miss THEN 'insufficient' ELSE 'sufficient' END AS status FROM a)
+  SELECT query_id, n, rejected, status, CASE WHEN status = 'sufficient' THEN least(0.96, round(0.68 + 0.07 * n, 2)) ELSE 0 END AS confidence FROM s""")
 def rt18_evidence_status(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("evidence_id"), (F.col("event_type") != "error").alias("authorized"), F.lit(True).alias("usable"), F.lit("take").alias("text"), F.floor("value").cast("string").alias("dosage"), F.lit(False).alias("missing"))
-    return rt.evidence_status(e).select("query_id", "status")
+    """Events as a user's evidence, with what they recommend, their doses and what is missing."""
+    k, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    text = F.when((kind == "click") & (k % 4 == 0), "is recommended").when((kind == "view") & (u % 3 == 0), "is contraindicated").otherwise("take")
+    e = table(spark, sf, "events").select(u.alias("query_id"), k.alias("evidence_id"), (kind != "error").alias("authorized"), (k % 7 != 0).alias("usable"), text.alias("text"), F.when(u % 5 == 0, F.floor(F.col("value") / 60)).cast("string").alias("dosage"), (k % 400 == 3).alias("missing"))
+    return rt.evidence_status(e).select("query_id", "n", "rejected", "status", F.round("confidence", 2).alias("confidence"))
 
 
 @query(r"""WITH f AS (SELECT conv_id, turn, regexp_extract(text, '^\s*(.+?(?:[.!?。！？]|$))', 1) AS f, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
@@ -149,10 +159,11 @@ def dc19_table_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return docprep.table_markdown(p).select("p_partkey", "markdown")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_returnflag = 'A' THEN 0.62 * (1 - l_discount) + 0.23 + 0.15 * (1 - l_tax) ELSE 0.75 * (1 - l_tax) + 0.25 END, 6) AS quality FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, round(q, 6) AS quality, CASE WHEN q >= 0.85 THEN 'good' WHEN q >= 0.65 THEN 'medium' ELSE 'review' END AS status
+  FROM (SELECT *, CASE WHEN l_returnflag = 'A' THEN 0.62::DOUBLE * (1 - l_discount) + 0.23::DOUBLE * (l_linenumber % 5 / 4.0::DOUBLE) + 0.15::DOUBLE * (1 - l_tax) ELSE 0.75::DOUBLE * (1 - l_tax) + 0.25::DOUBLE * (l_linenumber % 5 / 4.0::DOUBLE) END AS q FROM lineitem)""")
 def dc14_page_quality(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") == "A", "ocr").otherwise("text").alias("method"), (1 - F.col("l_discount")).alias("confidence"), F.lit(1.0).alias("valid"), (1 - F.col("l_tax")).alias("clean"))
-    return docprep.page_quality(p).select("l_orderkey", "l_linenumber", "l_partkey", "quality")
+    p = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") == "A", "ocr").otherwise("text").alias("method"), (1 - F.col("l_discount")).alias("confidence"), (F.col("l_linenumber") % 5 / 4).alias("valid"), (1 - F.col("l_tax")).alias("clean"))
+    return docprep.page_quality(p).select("l_orderkey", "l_linenumber", "l_partkey", "quality", "status")
 
 
 @query(rf"""WITH b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS n, trim(regexp_replace(x, '^#+\s*', '')) AS t FROM ({LINES})) SELECT doc_id, sha1(concat_ws('|', doc_id, 1, n, t)) AS section_id, CASE WHEN regexp_matches(t, '^\d') THEN 1 + len(regexp_extract_all(regexp_extract(t, '^\d+(?:\.\d+)*'), '\.')) ELSE 1 END AS level, 1 AS start_page FROM b WHERE length(t) < 60""")
@@ -265,9 +276,13 @@ def ev27_compare_reports(spark: SparkSession, sf: str) -> DataFrame:
     return bm.compare_reports(one("F"), one("O"), ["price", "n"]).withColumn("price", F.round("price", 3))
 
 
-@query("SELECT count(*) AS cases, round(avg((trim(text) = text)::INT), 6) AS exact, 1.0::DOUBLE AS symbols_kept, 1.0::DOUBLE AS contained FROM documents")
+@query(r"""WITH c AS (SELECT trim(regexp_replace(text, '\s+', ' ', 'g')) AS got, CASE doc_id % 3 WHEN 0 THEN trim(text) WHEN 1 THEN text || '%' ELSE left(trim(regexp_replace(text, '\s+', ' ', 'g')), 200) END AS want FROM documents)
+  SELECT count(*) AS cases, round(avg((got = want)::INT), 6) AS exact, round(avg((length(got) - length(translate(got, 'μ±≤≥℃%', '')) = length(want) - length(translate(want, 'μ±≤≥℃%', '')))::INT), 6) AS symbols_kept, round(avg(contains(got, want)::INT), 6) AS contained FROM c""")
 def ev30_cleaning_benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    return bm.cleaning_benchmark(table(spark, sf, "documents").select("text", F.trim("text").alias("want")), "text", "want")
+    """Folded blanks against texts as they are, with a sign more, and their first characters."""
+    got = F.trim(F.regexp_replace("text", r"\s+", " "))
+    want = F.when(F.col("doc_id") % 3 == 0, F.trim("text")).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit("%"))).otherwise(F.substring(got, 1, 200))
+    return bm.cleaning_benchmark(table(spark, sf, "documents").select(got.alias("got"), want.alias("want")), "got", "want")
 
 
 @query(f"""WITH {DENSE}, c AS (SELECT query_id, chunk_id AS id, score AS d, 1.0::DOUBLE / (chunk_id % 7 + 1) AS s, (chunk_id % 11 = 0)::INT AS e, label = q_label AS rel FROM dense),
@@ -484,9 +499,9 @@ def dc33_apply_quality_review(spark: SparkSession, sf: str) -> DataFrame:
     return docprep.apply_quality_review(reports, decisions)[0].select("doc_id", "review_status")
 
 
-@query("""WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber AS s, l_partkey AS id, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) SELECT doc_id, s AS source_no, id AS table_id FROM t WHERE n = 1""")
+@query("""WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber AS s, l_partkey AS id, row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus, l_quantity::INT % 3 ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) SELECT doc_id, s AS source_no, id AS table_id FROM t WHERE n = 1""")
 def dc18_merge_table_variants(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("source_no"), F.col("l_partkey").alias("table_id"), F.array("l_returnflag").alias("headers"), F.array(F.array(F.lit("x"))).alias("rows"))
+    t = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("source_no"), F.col("l_partkey").alias("table_id"), F.array("l_returnflag").alias("headers"), F.array(F.array("l_linestatus"), F.array((F.col("l_quantity").cast("int") % 3).cast("string")), F.array(F.col("l_tax").cast("string"))).alias("rows"))
     return bm.merge_table_variants(t).select("doc_id", "source_no", "table_id")
 
 
