@@ -186,6 +186,10 @@ def plan_blocks(leaves: DataFrame, members: DataFrame, classes: DataFrame, leaf:
     return small.unionByName(wide.select("rep", "own", F.struct("leaf", F.col("t.i").alias("i"), F.col("t.j").alias("j")).alias("task"), F.col("t.side").alias("side")))
 
 
+#: Frequent tokens that are multiplied at once: two matrices of a search's sets by so many columns.
+COLUMNS = 1024
+
+
 def overlaps(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sets[rows] with sets[cols]: frequent tokens by a matrix product, rare ones by lists."""
     sizes = np.array([len(s) for s in sets])
@@ -198,10 +202,11 @@ def overlaps(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.n
     heavy = np.flatnonzero(df >= 32)
     number = np.full(len(df), -1)
     number[heavy] = np.arange(len(heavy))
-    for a in range(0, len(heavy), 4096):
-        some = (number[token] >= a) & (number[token] < a + 4096)
-        d, t = doc[some], number[token[some]] - a
-        width = min(4096, len(heavy) - a)
+    held = number[token]
+    for a in range(0, len(heavy), COLUMNS):
+        some = np.flatnonzero((held >= a) & (held < a + COLUMNS))
+        d, t = doc[some], held[some] - a
+        width = min(COLUMNS, len(heavy) - a)
         left, right = np.zeros((len(rows), width), np.float32), np.zeros((len(cols), width), np.float32)
         m = row_at[d] >= 0
         left[row_at[d[m]], t[m]] = 1
