@@ -794,6 +794,32 @@ def test_lasso_keeps_few_rules():
     assert (np.abs(g[w == 0]) <= 0.02 + 1e-4).all() and np.allclose(g[w != 0], -0.02 * np.sign(w[w != 0]), atol=1e-3) and (w == 0).sum() > 10
 
 
+def test_rounds_are_those_of_a_queue_by_queue_simulation(spark):
+    """Each round adds a source's quantum to its deficit, which pays for units at the head of its queue; a small source saves for its unit."""
+    r = random.Random(8)
+    quanta = {"a": 1024, "b": 512, "c": 256, "d": 240, "e": 16}
+    rows = [(k, " ".join(r.choice(["stone", "river", "under"]) for _ in range(r.randrange(1, 400))), r.choice("aaaabbcde"), k) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, place long").repartition(4)
+    got = packing.pack(docs, tokenizer_path(), targets={s: q / 2048 for s, q in quanta.items()}, place="place").collect()
+    at = {}
+    for x in got:
+        for j in range(x.length):
+            at[x.sequence_id * 2048 + x.offset + j] = (x.doc_id, x.start + j, x.round)
+    queue = {s: [(k, j) for k, t, src, _ in rows if src == s for j in range(len(ids_of(t)) + 1)] for s in quanta}
+    deficit, sent, want, turn = dict.fromkeys(quanta, 0), dict.fromkeys(quanta, 0), [], 0
+    while any(sent[s] < len(queue[s]) for s in quanta):
+        turn += 1
+        for s, q in sorted(quanta.items()):
+            deficit[s] += q
+            unit = max(64, q)
+            while deficit[s] >= unit and sent[s] < len(queue[s]):
+                want += [(*x, turn) for x in queue[s][sent[s] : sent[s] + unit]]
+                sent[s] += unit
+                deficit[s] -= unit
+    assert [at[k][:2] for k in range(len(at))] == [w[:2] for w in want] and len({w[2] for w in want}) > 10
+    assert all(at[k][2] <= want[k][2] for k in range(len(want)))
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     """Five stages on a small table against what they must give."""
     import corpus_pipeline
