@@ -309,7 +309,10 @@ def prefix_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
 def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) of all pairs at `least` or over, exact on the candidates of `prefix_pairs`."""
-    pairs = prefix_pairs(left, right, least)
+    same = left is right
+    left = written(left, "vectors")  # read several times, so computed once
+    right = left if same else written(right, "vectors")
+    pairs = written(prefix_pairs(left, right, least), "pairs")
     x = pairs.join(left.select(F.col("id").alias("a"), "bucket", F.col("weight").alias("wa")), "a")
     j = x.join(right.select(F.col("id").alias("b"), "bucket", F.col("weight").alias("wb")), ["b", "bucket"])
     return j.groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("similarity")).filter(F.col("similarity") >= least)
