@@ -90,36 +90,39 @@ def lowered(chunks: DataFrame, col: str) -> DataFrame:
     return chunks.select("chunk_id", F.lower(F.coalesce(F.col(col), F.lit(""))).alias("_text"))
 
 
-def exact_topk(terms: DataFrame, chunks: DataFrame, k: int = 10, col: str = "content", metadata: list[str] = (), most_terms: int = 20) -> DataFrame:
+def exact_topk(terms: DataFrame, chunks: DataFrame, k: int = 10, col: str = "content", metadata: list[str] = (), most_terms: int = 20, held: DataFrame | None = None) -> DataFrame:
     """(query_id, route, rank, chunk_id, score): share of a query's terms that the text holds, letter case aside.
 
     terms: query_id, term and, where a query has more than one, pos, their order: the first 20 distinct ones count.
     metadata: array columns of chunks (entities, keywords, codes); a chunk that holds a term only there scores 0.
+    held: what `contained` has found for these terms, maybe among others.
     """
     pos = F.col("pos") if "pos" in terms.columns else F.lit(0)
     trimmed = terms.select("query_id", F.lower(F.trim("term")).alias("term"), pos.alias("pos")).filter("term <> ''").groupBy("query_id", "term").agg(F.min("pos").alias("pos"))
     ranked = trimmed.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("pos", "term"))).filter(F.col("_n") <= most_terms).drop("_n", "pos")
     total = ranked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     phrases = ranked.select(F.col("term").alias("phrase"))
-    hits = contained(lowered(chunks, col), phrases).withColumn("hit", F.lit(1))
+    hits = (contained(lowered(chunks, col), phrases) if held is None else held).withColumn("hit", F.lit(1))
     if metadata:
-        held = chunks.select("chunk_id", F.lower(F.concat_ws("\n", *[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in metadata])).alias("_text"))
-        hits = hits.unionByName(contained(held, phrases).withColumn("hit", F.lit(0)))
+        beside = chunks.select("chunk_id", F.lower(F.concat_ws("\n", *[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in metadata])).alias("_text"))
+        hits = hits.unionByName(contained(beside, phrases).withColumn("hit", F.lit(0)))
     scored = hits.withColumnRenamed("phrase", "term").join(ranked, "term").groupBy("query_id", "chunk_id").agg(F.sum("hit").alias("hits")).join(total, "query_id")
     return rank_routes(scored.select("query_id", F.lit("exact").alias("route"), "chunk_id", (F.col("hits") / F.col("n_terms")).alias("score")), k)
 
 
-def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, col: str = "content", index: str | None = None) -> DataFrame:
+def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, col: str = "content", index: str | None = None, held: DataFrame | None = None) -> DataFrame:
     """Texts that match a query's words (see `sparse`), or hold the query itself: cover density, plus 0.5 for the query itself.
 
     index: the folder of a stored index of the chunks; else the places of the asked words are taken from the texts.
+    held: what `contained` has found for the queries, maybe among other phrases.
     """
     items = sparse.parse_queries(queries)
     terms = sparse.asked_terms(items)
     found = sparse.read_postings(queries.sparkSession, index, terms) if index else sparse.postings(chunks, col, terms)
     dense = sparse.cover_density(items, found)
     said = queries.select("query_id", F.lower(F.trim("query")).alias("phrase"))
-    inside = contained(lowered(chunks, col), said).join(said, "phrase").select("query_id", "chunk_id", F.lit(0.5).alias("bonus"))
+    held = contained(lowered(chunks, col), said) if held is None else held
+    inside = held.join(said, "phrase").select("query_id", "chunk_id", F.lit(0.5).alias("bonus"))
     scored = dense.join(inside, ["query_id", "chunk_id"], "full").select("query_id", F.lit("sparse").alias("route"), "chunk_id", F.round(F.coalesce("density", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0)), 12).alias("score"))
     return rank_routes(scored, k)
 
@@ -372,7 +375,9 @@ def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, terms: DataFrame, sco
     asked = dynamic_k(asked) if k is None else asked.withColumn("k", F.lit(k))
     wanted = terms.join(asked.select("query_id"), "query_id", "left_semi")
     ranked = dense_topk(asked.filter("embedding is not null"), inside, route_k).select("query_id", "route", "chunk_id", "score", "rank")
-    ranked = ranked.unionByName(sparse_topk(asked, inside, route_k)).unionByName(exact_topk(wanted, inside, exact_k))
+    phrases = asked.select(F.lower(F.trim("query")).alias("phrase")).unionByName(wanted.select(F.lower(F.trim("term")).alias("phrase")))
+    held = written(contained(lowered(inside, "content"), phrases), "held")  # both routes' phrases in one reading of the texts
+    ranked = ranked.unionByName(sparse_topk(asked, inside, route_k, held=held)).unionByName(exact_topk(wanted, inside, exact_k, held=held))
 
     fused = written(rrf(ranked), "fused")
     seen = fused.join(inside, "chunk_id").join(asked.select("query_id", "k", "constraints"), "query_id")
