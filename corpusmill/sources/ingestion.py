@@ -58,4 +58,6 @@ def ingest_changes(docs: DataFrame, top: str, embed_fn: Callable, model: str, si
     notes = {k: counts.get(k, 0) for k in ("added", "changed", "kept", "removed")} | {"embedded": embedded, "reused": texts - embedded, "without_vector": chunks.filter("chunk_type = 'child' and embedding is null").count()}
     gone = diff.filter("kind <> 'kept'").select("doc_id")
     rows = fresh.select("doc_id", "text_sha256", F.lit(old.number + 1).alias("version"))
-    return snapshots.commit(spark, top, {DOCUMENTS: Change(rows, "doc_id", gone, buckets), CHUNKS: Change(chunks, "doc_id", gone, buckets), VECTORS: Change(good, "cache_key", None, buckets)}, notes, old)
+    new = snapshots.commit(spark, top, {DOCUMENTS: Change(rows, "doc_id", gone, buckets), CHUNKS: Change(chunks, "doc_id", gone, buckets), VECTORS: Change(good, "cache_key", None, buckets)}, notes, old)
+    snapshots.remove(spark, work)
+    return new

@@ -50,6 +50,11 @@ def _hadoop(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, place = _hadoop(spark, path)
+    fs.delete(place, True)
+
+
 def versions(spark: SparkSession, top: str) -> list[int]:
     """The published versions' numbers, rising."""
     fs, place = _hadoop(spark, f"{top}/{VERSIONS}")
@@ -145,8 +150,7 @@ def vacuum(spark: SparkSession, top: str, keep: int = 1) -> int:
     used = {p for n in numbers[-keep:] for t in version(spark, top, n).tables.values() for p in t["buckets"].values()}
     gone = 0
     for n in numbers[:-keep]:
-        fs, place = _hadoop(spark, f"{top}/{VERSIONS}/{n}.json")
-        fs.delete(place, False)
+        remove(spark, f"{top}/{VERSIONS}/{n}.json")
     fs, place = _hadoop(spark, f"{top}/{DATA}")
     for table in fs.listStatus(place) if fs.exists(place) else []:
         for write in fs.listStatus(table.getPath()):

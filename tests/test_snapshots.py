@@ -99,3 +99,4 @@ def test_ingestion_embeds_only_changed_texts(spark, tmp_path):
     assert v.notes["without_vector"] == 1 and v.notes["kept"] == 0 and v.notes["removed"] == 0
     assert snapshots.read(spark, top, "chunks").filter("chunk_type = 'child' and doc_id = 4").first().embedding is None
     assert snapshots.read(spark, top, "documents").count() == 100
+    assert not list((tmp_path / "t" / "_work").iterdir())  # what a run wrote for itself is gone
