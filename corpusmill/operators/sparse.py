@@ -83,6 +83,21 @@ def minimal_covers(places: str, need: str) -> Column:
     return F.expr(f"aggregate({ends}, {start}, {step}, st -> {counted})")
 
 
+def matching(chunks: DataFrame, items: DataFrame, col: str = "content") -> DataFrame:
+    """The chunks that hold all wanted words of an alternative, wherever they stand: only their places have to be known.
+
+    A word counts once a text; each alternative begins with its rarest word, so common ones are only looked up in those texts.
+    """
+    asked = items.filter("not negated").select("query_id", "alternative", F.explode("words").alias("term")).distinct()
+    held = chunks.select("chunk_id", F.explode(F.array_distinct(words_of(F.col(col)))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    held = written(held, "words")
+    texts = held.groupBy("term").agg(F.count("*").alias("_texts"))
+    first = asked.join(texts, "term", "left").groupBy("query_id", "alternative").agg(F.count("*").alias("need"), F.min(F.struct(F.coalesce("_texts", F.lit(0)), "term"))["term"].alias("term"))
+    some = first.join(held, "term").drop("term").join(asked, ["query_id", "alternative"])
+    full = some.join(held, ["term", "chunk_id"]).groupBy("query_id", "alternative", "need", "chunk_id").agg(F.count("*").alias("_n")).filter("_n = need")
+    return chunks.join(full.select(F.col("chunk_id").alias("_full")).distinct(), F.col("chunk_id") == F.col("_full"), "left_semi")
+
+
 def cover_density(items: DataFrame, found: DataFrame) -> DataFrame:
     """(query_id, chunk_id, density): texts that an alternative matches, with the best alternative's density.
 

@@ -49,7 +49,7 @@ def test_density_is_brute_force_over_intervals(spark, tmp_path, stored):
         sparse.build_term_index(chunks, f"file://{tmp_path}/index")
         found = sparse.read_postings(spark, f"file://{tmp_path}/index", sparse.asked_terms(items))
     else:
-        found = sparse.postings(chunks, "content", sparse.asked_terms(items))
+        found = sparse.postings(sparse.matching(chunks, items), "content", sparse.asked_terms(items))
     got = {(x.query_id, x.chunk_id): round(x.density, 9) for x in sparse.cover_density(items, found).collect()}
     want = {(q, d): round(v, 9) for q, qt in enumerate(asked) for d, t in enumerate(docs) if (v := plain_density(qt, t)) is not None}
     assert got == want and len(want) > 500
