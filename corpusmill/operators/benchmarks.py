@@ -171,19 +171,24 @@ def heading_paths(blocks: DataFrame, most_blocks: int | None = None) -> DataFram
 def resolve_pronouns(queries: DataFrame, sessions: DataFrame) -> DataFrame:
     """Pronouns at a query's start replaced by the session's first entity or topic. sessions: session_id, entities, topic."""
     j = queries.join(sessions, "session_id", "left").withColumn("_e", F.coalesce(F.get("entities", F.lit(0)), "topic"))
-    said = F.regexp_replace("query", r"(?i)\b(it|this|that|they)\b|它|这个|那个", "\u0001")
+    said = F.regexp_replace("query", rf"(?i){EDGE}(it|this|that|they){EDGE}|它|这个|那个", "\u0001")
     return j.withColumn("resolved", F.when(F.col("_e").isNotNull(), F.replace(said, F.lit("\u0001"), F.col("_e"))).otherwise(F.col("query"))).drop("_e")
 
 
+#: Borders of ASCII words (Java's own takes places beside accented letters for borders), and the blanks that a trim takes off.
+EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+SPACES = "\u0020\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def plan_features(queries: DataFrame, col: str = "query") -> DataFrame:
-    """Numbers with units (ranges first), negations, and up to five sub-questions of each query."""
-    q = F.coalesce(F.col(col), F.lit(""))
-    unit = r"\s*(?:mg|g|ml|kg|%|mmHg|mmol/L|years?|days?|岁|天|周|月)"
-    ranges = F.regexp_extract_all(q, F.lit(rf"(?i)\d+(?:\.\d+)?\s*(?:-|~|to|至|到)\s*\d+(?:\.\d+)?{unit}"), F.lit(0))
-    rest = F.regexp_replace(q, rf"(?i)\d+(?:\.\d+)?\s*(?:-|~|to|至|到)\s*\d+(?:\.\d+)?{unit}", " ")
-    single = F.regexp_extract_all(rest, F.lit(rf"(?i)\d+(?:\.\d+)?{unit}"), F.lit(0))
-    negations = F.regexp_extract_all(F.lower(q), F.lit(r"\b(?:not|no|without|never)\b|不|无|非|禁"), F.lit(0))
-    parts = F.slice(F.filter(F.transform(F.split(q, r"[?？;；]|\band\b"), lambda x: F.trim(x)), lambda x: x != ""), 1, 5)
+    """Numbers with units (ranges first), negations, and up to five sub-questions of each query; a null query has none of them, but nulls."""
+    q = F.col(col)
+    unit = r"[\t\n\f\r ]*(?:mg|g|ml|kg|%|mmHg|mmol/L|years?|days?|岁|天|周|月)"
+    span = rf"(?iu)\d+(?:\.\d+)?[\t\n\f\r ]*(?:-|~|to|至|到)[\t\n\f\r ]*\d+(?:\.\d+)?{unit}"
+    ranges = F.regexp_extract_all(q, F.lit(span), F.lit(0))
+    single = F.regexp_extract_all(F.regexp_replace(q, span, " "), F.lit(rf"(?iu)\d+(?:\.\d+)?{unit}"), F.lit(0))
+    negations = F.regexp_extract_all(F.lower(q), F.lit(rf"{EDGE}(?:not|no|without|never){EDGE}|不|无|非|禁"), F.lit(0))
+    parts = F.slice(F.filter(F.transform(F.split(q, rf"[?？;；]|{EDGE}and{EDGE}"), lambda x: F.btrim(x, F.lit(SPACES))), lambda x: x != ""), 1, 5)
     return queries.select("*", F.concat(ranges, single).alias("numbers"), F.array_distinct(negations).alias("negations"), parts.alias("sub_questions"))
 
 
