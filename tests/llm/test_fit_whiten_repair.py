@@ -314,3 +314,16 @@ def test_repair_conversations(spark, bits, monkeypatch):
     for g in got:
         assert tuple(g)[1:] == expected(g.conv_id, rows), g.conv_id
     assert repair.repair_conversations(df.limit(0)).collect() == []
+
+
+def test_every_window_is_read(monkeypatch):
+    """A text without a digit, an at sign or a worded dot is read as whole as any other."""
+    from corpusmill.llm import pii
+
+    r, seen = random.Random(2), []
+    tagger = pii.Tagger()
+    was = tagger.emissions
+    monkeypatch.setattr(tagger, "emissions", lambda x: seen.append(len(x)) or was(x))
+    text = "".join(r.choice("abcdefghijklmnop .") for _ in range(4000))
+    pii.added_spans([text, text[:40], ""], tagger)
+    assert sum(seen) == 4000 // pii.STEP - 1 + 1
