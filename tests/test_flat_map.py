@@ -42,3 +42,13 @@ def test_cleaned_blocks_are_computed_once(spark):
         assert "EvalPython" not in df._jdf.queryExecution().toString()
     assert sorted(map(tuple, left.collect())) == [(1, 1, 1, "text", "a- b c"), (1, 2, 1, "text", "x yfi")]
     assert sorted((r.page, r.block_order, r.action) for r in done.collect()) == [(1, 0, "remove_header"), (1, 1, "merge_visual_lines"), (1, 2, "remove_duplicate"), (2, 0, "remove_header")]
+
+
+def test_parts_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    from corpusmill.plans import more_queries
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 50)
+    spark.range(1000).selectExpr("id div 5 as l_orderkey", "id as l_partkey", "cast(id % 5 as int) as l_linenumber", "'A' as l_returnflag", "1.0D as l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for query in (more_queries.dc7_merge_tables, more_queries.wn11_reading_order, more_queries.wn8_table_islands):
+        df = query(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() == 20
