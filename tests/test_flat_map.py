@@ -52,3 +52,14 @@ def test_parts_grow_with_the_rows(spark, tmp_path, monkeypatch):
     for query in (more_queries.dc7_merge_tables, more_queries.wn11_reading_order, more_queries.wn8_table_islands):
         df = query(spark, str(tmp_path))
         assert df.rdd.getNumPartitions() == 20
+
+
+def test_numbers_of_one_large_group_come_from_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 40)
+    df = spark.range(300).selectExpr("if(id < 250, 1, if(id < 299, null, 3)) as k", "sha1(cast(id as string)) as line")
+    got = tables.numbered(df, ["k"], "line", "n").collect()
+    want = {}
+    for r in df.collect():
+        want.setdefault(r.k, []).append(r.line)
+    assert sorted(((r.k, r.n, r.line) for r in got), key=str) == sorted(((k, n, x) for k, v in want.items() for n, x in enumerate(sorted(v), 1)), key=str)
+    assert sorted(r.n for r in tables.numbered(df.select("line"), [], "line", "n").collect()) == list(range(1, 301))
