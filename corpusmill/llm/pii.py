@@ -4,11 +4,12 @@ The model is trained in numpy on labelled spans: matches of the patterns in a bo
 ones put into passages of them in looser writing: addresses with "at" and "dot" in words or brackets, ips with bracketed
 or spaced dots, cards grouped by dots or slashes, phones without a plus, and secrets (a fifth kind) assigned to a name.
 It reads overlapping windows of `WINDOW` characters. Where two windows overlap, each character takes the emissions of the
-window in which it lies further from the edge; runs of neighbouring windows are then decoded by one Viterbi pass, so
-spans are reconciled over the whole text and may cross windows. Long runs pass through in parts, with the pass's state
-carried on, so the result is the same and memory stays bounded.
+window in which it lies further from the edge, and the network reads only up to these; runs of neighbouring windows then have
+one best path, so spans are reconciled over the whole text and may cross windows. Long runs pass through in parts, with the
+pass's state carried on, so the result is the same and memory stays bounded.
 
-Every window of every text is read, so the one Viterbi pass goes over the whole text. (`every=False` leaves out windows
+Every window of every text is read. The Viterbi pass leaves out characters whose emissions prove that the best path over the
+whole text is outside all spans there, which changes no path. (`every=False` leaves out windows
 without a digit, an at sign or a worded dot near them, which each accepted span holds; the pass then begins and ends beside them, and spans may differ.)
 
 Spans that overlap a base span or an earlier added one are dropped, so base spans always stay. Defined cases: a null text
@@ -21,7 +22,7 @@ import hashlib
 import random
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -36,8 +37,16 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = 4
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 WINDOW, STEP = 64, 32
+#: A character takes the window in which it is further from an edge: borders lie in the middle of the overlap.
+CUT = (WINDOW - STEP) // 2
+#: Units of a direction of the network.
+HIDDEN = 12
 #: Windows whose emissions are held at once, and bytes of text that are read at once.
 HELD, SLICE = 16_384, 4 << 20
+#: Windows that the network reads at once; its tables then stay in a core's cache.
+READ = 1024
+#: Scores nearer than this are left to the Viterbi pass.
+ROUNDING = 1e-3
 #: Documents that the model is fitted on, at most, and the longest of them; the bounds are part of the method.
 SAMPLE_ROWS = 1_500
 SAMPLE_CHARS = 50_000
@@ -51,6 +60,8 @@ _SECRET = re.compile(r"""(?i)[a-z_]{2,20}["']?[ ]?[:=][ ]?["']?([A-Za-z0-9+/_-]{
 _DOT = r"(?: dot |[(\[{ ]dot[)\]} ])"
 _CUE = re.compile(rf"[0-9@]|{_DOT}")
 _AT = re.compile(r"@| at |[(\[{]at[)\]}]")
+#: Every plausible span holds one of these.
+_HELD = re.compile(rf"[0-9]|{_AT.pattern}")
 _POINT = re.compile(rf"\.|{_DOT}")
 
 
@@ -109,14 +120,18 @@ def classes(codes: np.ndarray) -> np.ndarray:
     return np.where(codes < 0x250, _CLASS[np.minimum(codes, 0x24F)], 12)
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def soft(x: np.ndarray) -> np.ndarray:
+    """Softsign, in place of tanh: numpy takes several times as long for a tanh."""
+    return x / (1 + np.abs(x))
 
 
 class Tagger:
-    """A bidirectional LSTM over character classes, a linear layer to tags, and CRF transitions."""
+    """A bidirectional LSTM over character classes, a linear layer to tags, and CRF transitions.
 
-    def __init__(self, hidden: int = 16, seed: int = 7) -> None:
+    Its squashing function is the softsign, and (1 + softsign) / 2 for the gates.
+    """
+
+    def __init__(self, hidden: int = HIDDEN, seed: int = 7) -> None:
         r = np.random.default_rng(seed)
         h = self.hidden = hidden
         f = lambda *shape: r.normal(0, 0.2, shape).astype(np.float32)
@@ -124,49 +139,97 @@ class Tagger:
         for k in ("xf", "xb"):
             self.p[k][:, h : 2 * h] += 0.5  # forget gates start open
 
-    def run(self, x: np.ndarray, way: str, keep: bool = False) -> tuple[np.ndarray, list]:
-        """Hidden states (time, row, hidden) of one direction over (row, time) classes."""
+    def run(self, x: np.ndarray, way: str) -> tuple[np.ndarray, list]:
+        """Hidden states (time, row, hidden) of one direction over (row, time) classes, and what `back` needs of each step."""
         h = self.hidden
         w, u = self.p["x" + way], self.p["h" + way]
         n, t = x.shape
-        if not keep:
-            return self.read(x, w, u, range(t) if way == "f" else range(t - 1, -1, -1)), []
         out, state, cell, seen = np.zeros((t, n, h), np.float32), np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), []
         for k in range(t) if way == "f" else range(t - 1, -1, -1):
-            z = w[x[:, k]] + state @ u
-            g = sigmoid(z[:, : 3 * h])
-            c = np.tanh(z[:, 3 * h :])
+            z = soft(w[x[:, k]] + state @ u)
+            g, c = 0.5 * z[:, : 3 * h] + 0.5, z[:, 3 * h :]
             new = g[:, h : 2 * h] * cell + g[:, :h] * c
-            th = np.tanh(new)
-            if keep:
-                seen.append((k, state, cell, g, c, th))
+            th = soft(new)
+            seen.append((k, state, cell, g, c, th))
             state, cell = g[:, 2 * h :] * th, new
             out[k] = state
         return out, seen
 
-    def read(self, x: np.ndarray, w: np.ndarray, u: np.ndarray, order: range) -> np.ndarray:
-        """The states of `run`, in place: halved weights of the gates make their sigmoids and the input one tanh."""
-        h, x = self.hidden, np.ascontiguousarray(x.T)
-        half = np.where(np.arange(4 * h) < 3 * h, 0.5, 1).astype(np.float32)
-        w, u = w * half, u * half
-        out = np.empty((*x.shape, h), np.float32)
-        state, cell = np.zeros(out.shape[1:], np.float32), np.zeros(out.shape[1:], np.float32)
-        z, add = np.empty((x.shape[1], 4 * h), np.float32), np.empty((x.shape[1], 4 * h), np.float32)
-        for k in order:
-            np.take(w, x[k], axis=0, out=z, mode="clip")
-            z += np.matmul(state, u, out=add)
-            np.tanh(z, out=z)
-            g = z[:, : 3 * h]
-            g *= 0.5
-            g += 0.5
-            cell *= g[:, h : 2 * h]
-            cell += g[:, :h] * z[:, 3 * h :]
-            state = np.multiply(g[:, 2 * h :], np.tanh(cell), out=out[k])
+    def read(self, x: np.ndarray, way: str, first: int, last: int) -> np.ndarray:
+        """The states of `run` at the characters from first to last - 1, twice as large.
+
+        Each gate has its own table, so every step goes over whole arrays, in place. Doubled cells and states, with halved
+        weights, save the gates' halving.
+        """
+        h, n = self.hidden, len(x)
+        w = [np.ascontiguousarray(v) for v in np.split(self.p["x" + way], 4, 1)]
+        u = [np.ascontiguousarray(v) for v in np.split(self.p["h" + way] * np.float32(0.5), 4, 1)]
+        x = np.ascontiguousarray(x.T, np.intp)
+        out = np.empty((last - first, n, h), np.float32)
+        z, add = np.empty((4, n, h), np.float32), np.empty((4, n, h), np.float32)
+        cell, state, more = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), np.empty((n, h), np.float32)
+        for k in range(last) if way == "f" else range(len(x) - 1, first - 1, -1):
+            for j in range(4):
+                np.take(w[j], x[k], axis=0, out=z[j], mode="clip")
+                np.matmul(state, u[j], out=add[j])
+            z += add
+            np.abs(z, out=add)
+            add += 1
+            z /= add
+            z[:3] += 1
+            cell *= z[1]
+            cell *= 0.5
+            cell += np.multiply(z[0], z[3], out=more)
+            np.abs(cell, out=more)
+            more += 2
+            np.divide(cell, more, out=more)
+            np.multiply(z[2], more, out=state)
+            if first <= k < last:
+                out[k - first] = state
         return out
 
+    def between(self, x: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Emissions (tag, time, window) of the characters from first to last - 1 of each window, which each direction reads up to them."""
+        h, half = self.hidden, self.p["o"].T * np.float32(0.5)
+        f, b = (self.read(x, way, first, last).reshape(-1, h).T for way in "fb")
+        e = np.ascontiguousarray(half[:, :h]) @ f + np.ascontiguousarray(half[:, h:]) @ b
+        e += self.p["ob"][:, None]
+        return e.reshape(N_TAGS, last - first, len(x))
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self.run(x, "f")[0], self.run(x, "b")[0]], 2)
-        return (both @ self.p["o"] + self.p["ob"]).transpose(1, 0, 2)
+        """Emissions of each window's middle, which no other window gives."""
+        return self.between(x, CUT, CUT + STEP)
+
+    def outside(self, e: np.ndarray) -> np.ndarray:
+        """Where emissions (tag, character) alone put the best path outside all spans (tag 0).
+
+        Another tag there can be changed to 0 at the price of two transitions; where 0 leads by more than these can
+        give, whatever the neighbours' tags are, no best path has another.
+        """
+        t = self.p["t"].astype(np.float64)
+        gain = np.maximum((t - t[:, :1]).max(0), 0) + np.maximum((t - t[0]).max(1), 0)
+        return (e[1:] + gain[1:, None]).max(0) + ROUNDING < e[0]
+
+    def undecided(self, lead: np.ndarray, begins: bool, stops: bool) -> np.ndarray:
+        """Where the best path may be inside a span, by the lead of each character's best other tag over tag 0.
+
+        A stretch of other tags gains at most its leads, an entry, an exit and a transition between each two characters.
+        If no stretch through a character gains more than 0, changing it to tag 0 makes the path better, so no best path
+        has one. The best gains of all stretches up to and from each character are running sums and maxima. `begins` and
+        `stops`: whether the text does here, so that a stretch needs no entry or exit; else a tag 0 stands beside.
+        """
+        t = self.p["t"].astype(np.float64) - float(self.p["t"][0, 0])
+        enter, leave, stay = t[0, 1:].max(), t[1:, 0].max(), t[1:, 1:].max()
+        gains = lead + stay
+        sums = np.cumsum(gains, dtype=np.float64)
+        first, last = enter - (sums - gains), leave + sums
+        if begins:
+            first[0] = max(enter, 0)
+        if stops:
+            last[-1] = sums[-1] + max(leave, 0)
+        # the best beginning before it and the best end behind it, with all between them
+        best = np.maximum.accumulate(first) + np.maximum.accumulate(last[::-1])[::-1] - stay
+        return best > -ROUNDING
 
     def back(self, x: np.ndarray, way: str, seen: list, grad: np.ndarray, g: dict) -> None:
         h, u = self.hidden, self.p["h" + way]
@@ -174,8 +237,9 @@ class Tagger:
         for k, state, cell, gates, c, th in reversed(seen):
             d = grad[k] + ds
             i, f, o = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :]
-            dn = dc + d * o * (1 - th * th)
-            dz = np.concatenate([dn * c * i * (1 - i), dn * cell * f * (1 - f), d * th * o * (1 - o), dn * i * (1 - c * c)], 1)
+            dn = dc + d * o * (1 - np.abs(th)) ** 2
+            slope = 0.5 * (1 - np.abs(2 * gates - 1)) ** 2
+            dz = np.concatenate([np.concatenate([dn * c, dn * cell, d * th], 1) * slope, dn * i * (1 - np.abs(c)) ** 2], 1)
             g["x" + way] += (x[:, k] == np.arange(N_CLASSES)[:, None]).astype(np.float32) @ dz
             g["h" + way] += state.T @ dz
             ds, dc = dz @ u.T, dn * f
@@ -183,8 +247,8 @@ class Tagger:
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log-likelihood of the tag paths y, and its gradients."""
         n, t = x.shape
-        f, sf = self.run(x, "f", True)
-        b, sb = self.run(x, "b", True)
+        f, sf = self.run(x, "f")
+        b, sb = self.run(x, "b")
         both = np.concatenate([f, b], 2)
         e = both @ self.p["o"] + self.p["ob"]
         trans = self.p["t"]
@@ -286,11 +350,11 @@ class Viterbi:
             self.step(x[: self.going(self.t)])
 
     def paths(self) -> list[np.ndarray]:
-        """The best path of each run, followed back."""
+        """The best path of each run as far as it was fed, followed back."""
         last, tag = self.score.argmax(1), np.zeros(len(self.long), np.int64)
-        path = np.zeros(self.back.shape[:2], np.int8)
-        for t in range(len(path) - 1, -1, -1):
-            on, m = self.going(t + 1), self.going(t)
+        path = np.zeros((self.t, len(self.long)), np.int8)
+        for t in range(self.t - 1, -1, -1):
+            on, m = self.going(t + 1) if t + 1 < self.t else 0, self.going(t)
             tag[:on] = self.back[t + 1, np.arange(on), tag[:on]] if on else tag[:on]
             tag[on:m] = last[on:m]
             path[t, :m] = tag[:m]
@@ -421,71 +485,107 @@ def fit_tagger(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: i
 
 
 def added_spans(texts: list[str], tagger: Tagger, every: bool = True) -> list[list[tuple[int, int, int]]]:
-    """The model's spans of each text, by overlapping windows of all texts together. Without `every`, windows without cues are left out."""
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    runs, windows = [], []  # (text, first window, windows, start, length)
-    # A character takes the window in which it is further from an edge: borders lie in the middle of the overlap.
-    cut = (WINDOW - STEP) // 2
-
-    def emitted(some: list[np.ndarray]) -> list[np.ndarray]:
-        distinct, back = np.unique(np.array(some), axis=0, return_inverse=True)
-        e = np.concatenate([tagger.emissions(distinct[a : a + 512]) for a in range(0, len(distinct), 512)])
-        return e[back.ravel()]
+    """The model's spans of each text, by overlapping windows of all texts together. Without `every`, windows without cues are left out.
 
-    def parts(e: np.ndarray, i: int, n: int) -> np.ndarray:
-        """What windows i, i + 1, ... of a run of n give."""
-        return np.concatenate([w[0 if i + j == 0 else cut : WINDOW if i + j == n - 1 else cut + STEP] for j, w in enumerate(e)])
+    Characters that are surely outside all spans part the text: the Viterbi pass goes over each stretch of `undecided` ones by
+    itself, and together these are the best path over the whole text.
+    """
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    runs: list[tuple[int, int, int, int, bool, bool]] = []  # text, windows, start, end, whether the run begins and ends here
+    windows: list[np.ndarray] = []
+    zero = np.where(np.arange(N_TAGS) > 0, -1e6, 0).astype(np.float32)[None]  # a character that is outside
+    walks: dict[int, tuple[Viterbi, int]] = {}  # a stretch that goes on in the next part, and its start
 
     def accept(k: int, path: np.ndarray, start: int) -> None:
-        for kind, a, b in tagged_spans(path, start):
+        for kind, a, b in tagged_spans(path, start) if path.any() else ():
             span = texts[k][a:b]  # without blanks and stops at its ends
             b -= len(span) - len(span.rstrip(" .,;:\n"))
             a += len(span) - len(span.lstrip(" .,;:\n"))
             if plausible(kind, texts[k][a:b]):
                 out[k].append((kind, a, b))
 
+    def read(x: np.ndarray, how: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The emissions of distinct windows (tag, character), the place of each window's characters in them, and their leads."""
+        distinct, back = np.unique(x.view(np.dtype((np.void, x.shape[1]))).ravel(), return_inverse=True)
+        distinct = distinct.view(np.uint8).reshape(-1, x.shape[1])
+        e = np.concatenate([how(distinct[a : a + READ]) for a in range(0, len(distinct), READ)], 2)
+        time, n = e.shape[1:]
+        lead = np.ascontiguousarray((e[1:].max(0) - e[0]).T)
+        return e.reshape(N_TAGS, -1), back.astype(np.int32)[:, None] + np.arange(time, dtype=np.int32) * n, lead[back]
+
     def decode() -> None:
         """Decodes the runs gathered so far; some thousand windows at a time bound the memory."""
         if not windows:
             return
-        e = emitted(windows)
-        joined = [parts(e[first : first + n], 0, n)[:length] for _, first, n, _, length in runs]
-        for (k, _, _, start, _), path in zip(runs, tagger.decode(joined), strict=True):
+        x = np.concatenate(windows)
+        ends = np.cumsum([r[1] for r in runs])
+        firsts = ends - [r[1] for r in runs]
+        (e, at, lead), head, tail = read(x, tagger.emissions), read(x[firsts], lambda w: tagger.between(w, 0, CUT)), read(x[ends - 1], lambda w: tagger.between(w, CUT + STEP, WINDOW))
+        e = np.concatenate([e, head[0], tail[0]], 1)
+        head[1][:] += e.shape[1] - head[0].shape[1] - tail[0].shape[1]
+        tail[1][:] += e.shape[1] - tail[0].shape[1]
+        jobs, stretches = [], []
+        for j, (k, _, start, end, begins, stops) in enumerate(runs):
+            place, ahead = (np.concatenate([head[i][j]] * begins + [(at, lead)[i - 1][firsts[j] : ends[j]].ravel()] + [tail[i][j]] * stops)[: end - start] for i in (1, 2))
+            lo, hi = 0, len(place)
+            sure = None if begins and stops else np.flatnonzero(tagger.outside(e[:, place]))
+            if k in walks:  # goes on up to a character that is surely outside
+                walk, first = walks[k]
+                lo = int(sure[0]) if len(sure) else hi
+                walk.feed(e[:, place[:lo]].T[:, None])
+                if lo == hi and not stops:
+                    continue
+                if lo < hi:
+                    walk.feed(zero[:, None])
+                accept(k, walk.paths()[0], first)
+                del walks[k]
+                if lo == hi:
+                    continue
+            if not stops:  # what follows the last such character goes on in the next part
+                hi = int(sure[-1]) + 1 if len(sure) else 0
+                edge = [] if begins and not hi else [zero]
+                walks[k] = Viterbi(tagger.p["t"], np.array([len(texts[k]) + WINDOW])), start + hi - len(edge)
+                walks[k][0].feed(np.concatenate([*edge, e[:, place[hi:]].T])[:, None])
+                if not hi:
+                    continue
+            whole = begins and lo == 0
+            places = lo + np.flatnonzero(tagger.undecided(ahead[lo:hi], whole, stops))
+            for some in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1) if len(places) else ():
+                a, b = int(some[0]), int(some[-1]) + 1
+                if not _HELD.search(texts[k], start + a, start + b):
+                    continue  # whatever its spans are, none is accepted
+                before, behind = [zero] * (a > lo or not whole), [zero] * (b < hi or not stops)
+                jobs.append((k, start + a - len(before)))
+                stretches.append(np.concatenate([*before, e[:, place[a:b]].T, *behind]))
+        for (k, start), path in zip(jobs, tagger.decode(stretches), strict=True):
             accept(k, path, start)
         runs.clear()
         windows.clear()
 
+    held = 0
     for k, t in enumerate(texts):
-        cues = range(len(t) // STEP + 1) if every else {m.start() // STEP for m in _CUE.finditer(t)}
-        if not cues or not t:
+        steps = np.arange(max(1, -(-len(t) // STEP) - 1) if t else 0)
+        if not every:
+            cues = np.array([m.start() // STEP for m in _CUE.finditer(t)], int)
+            steps = np.intersect1d(steps, cues[:, None] + np.arange(-2, 2))
+        if not len(steps):
             continue
         codes = classes(np.frombuffer(t.encode("utf-32-le", "replace"), "<u4"))
-        steps = sorted({j for c in cues for j in (c - 2, c - 1, c, c + 1) if 0 <= j * STEP < max(1, len(t) - STEP) or j == 0})
-
-        def window(j: int) -> np.ndarray:
-            w = codes[j * STEP : j * STEP + WINDOW]  # noqa: B023
-            return w if len(w) == WINDOW else np.concatenate([w, np.full(WINDOW - len(w), 14, w.dtype)])
-
-        a = 0
-        while a < len(steps):
-            b = a
-            while b + 1 < len(steps) and steps[b + 1] == steps[b] + 1:
-                b += 1
-            start, end, n = steps[a] * STEP, min(len(t), steps[b] * STEP + WINDOW), b - a + 1
-            if n > HELD:  # in parts, the state of the pass carried on
-                walk = Viterbi(tagger.p["t"], np.array([end - start]))
-                for i in range(0, n, HELD):
-                    e = parts(emitted([window(j) for j in steps[a + i : min(a + i + HELD, b + 1)]]), i, n)
-                    walk.feed(e[: end - start - walk.t, None])
-                accept(k, walk.paths()[0], start)
-            else:
-                if len(windows) + n > HELD:
+        padded = np.concatenate([codes, np.full(WINDOW, 14)]).astype(np.uint8)
+        view = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STEP]
+        for run in np.split(steps, np.flatnonzero(np.diff(steps) > 1) + 1):
+            for a in range(0, len(run), HELD):  # a long run passes in parts
+                part = run[a : a + HELD]
+                begins, stops = a == 0, a + HELD >= len(run)
+                if held + len(part) > HELD:
                     decode()
-                runs.append((k, len(windows), n, start, end - start))
-                windows += [window(j) for j in steps[a : b + 1]]
-            a = b + 1
+                    held = 0
+                start, end = int(part[0]) * STEP + CUT * (not begins), min(len(t), int(part[-1]) * STEP + (WINDOW if stops else CUT + STEP))
+                runs.append((k, len(part), start, end, begins, stops))
+                windows.append(view[part])
+                held += len(part)
     decode()
-    return out
+    return [sorted(spans, key=lambda s: s[1]) for spans in out]
 
 
 def without_overlaps(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

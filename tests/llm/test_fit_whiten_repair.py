@@ -327,3 +327,43 @@ def test_every_window_is_read(monkeypatch):
     text = "".join(r.choice("abcdefghijklmnop .") for _ in range(4000))
     pii.added_spans([text, text[:40], ""], tagger)
     assert sum(seen) == 4000 // pii.STEP - 1 + 1
+
+
+def test_parted_texts_have_the_path_of_the_whole(monkeypatch):
+    """The Viterbi pass over what is undecided gives the spans of the pass over every character, in parts as well."""
+    from corpusmill.llm import pii
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnoprstuvwzABéи日") for _ in range(r.randrange(1, 10)))
+    plain = [" ".join(word() for _ in range(r.randrange(1, 120))) + " at. " for _ in range(500)]
+    tagger = pii.Tagger().fit(*pii.examples(plain))
+    texts = ["".join(pii.planted(t, r.randrange(-1, 5), r)[0] + t for _ in range(r.randrange(3))) + t for t in plain[:60]]
+    marked, was = [], tagger.undecided
+    monkeypatch.setattr(tagger, "undecided", lambda *a: marked.append(was(*a)) or marked[-1])
+    parted = pii.added_spans(texts, tagger)
+    assert 0 < sum(m.sum() for m in marked) < 0.5 * sum(map(len, texts))
+    for held in (pii.HELD, 3):
+        monkeypatch.setattr(pii, "HELD", held)
+        assert pii.added_spans(texts, tagger) == parted
+    monkeypatch.setattr(tagger, "undecided", lambda lead, begins, stops: np.ones(len(lead), bool))
+    whole = pii.added_spans(texts, tagger)
+    assert whole == parted and sum(map(len, whole)) > 30
+
+
+def test_undecided_against_every_path():
+    """Random emissions and transitions: where a best path is inside a span is always undecided, and what is surely outside is."""
+    from corpusmill.llm import pii
+
+    r, closed = np.random.default_rng(6), 0
+    for n in range(60):
+        tagger = pii.Tagger(hidden=2)
+        tagger.p["t"] = r.normal(0, 0.5, (pii.N_TAGS, pii.N_TAGS)).astype(np.float32)
+        e = r.normal(0, 1, (5, pii.N_TAGS)).astype(np.float32)
+        e[:, 0] += r.choice([0, 2, 4, 6], 5)
+        begins, stops = bool(n & 1), bool(n & 2)
+        rows = np.concatenate([e[:0] if begins else np.eye(1, pii.N_TAGS, dtype=np.float32) * 1e6, e, e[:0] if stops else np.eye(1, pii.N_TAGS, dtype=np.float32) * 1e6])
+        path = tagger.decode([rows])[0][0 if begins else 1 :][:5]
+        flags = tagger.undecided(e[:, 1:].max(1) - e[:, 0], begins, stops)
+        assert not (path[~flags] > 0).any() and not (path[tagger.outside(e.T)] > 0).any()
+        closed += int((~flags).sum())
+    assert closed > 20
