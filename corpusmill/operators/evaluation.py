@@ -22,9 +22,15 @@ def _gains(rankings: DataFrame, relevance: DataFrame, dedup: bool) -> DataFrame:
     return rows.join(relevance.select("query_id", "item", F.col("grade").cast("double").alias("grade")), ["query_id", "item"], "left").withColumn("grade", F.coalesce("grade", F.lit(0.0)))
 
 
-def _ideal(relevance: DataFrame) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.col("grade").desc())
-    return relevance.filter("grade > 0").select("query_id", F.col("grade").cast("double").alias("grade")).withColumn("rank", F.row_number().over(w))
+def _ideal(relevance: DataFrame, value: Column, div: Callable[[Column], Column], k: int) -> DataFrame:
+    """(query_id, n_relevant, ideal): the gain of the best k items. Items of one grade are counted, not sorted: the places that a grade takes follow
+    from the counts of higher ones."""
+    by = relevance.filter("grade > 0").groupBy("query_id", F.col("grade").cast("double").alias("grade")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("query_id").orderBy(F.col("grade").desc()))
+    by = by.withColumn("_last", upto).withColumn("_first", F.col("_last") - F.col("_n") + 1)
+    places = F.sequence("_first", F.least("_last", F.lit(k).cast("long")))
+    shares = F.when(F.col("_first") <= k, F.aggregate(places, F.lit(0.0), lambda s, r: s + 1 / div(r)))
+    return by.groupBy("query_id").agg(F.sum("_n").alias("n_relevant"), F.sum(value * shares).alias("ideal"))
 
 
 def ranking_metrics(rankings: DataFrame, relevance: DataFrame, k: int, discount: str = "standard", gain: str = "linear", dedup: bool = True, precision_by: str = "k") -> DataFrame:
@@ -33,7 +39,9 @@ def ranking_metrics(rankings: DataFrame, relevance: DataFrame, k: int, discount:
     discount: "standard" is log2(rank + 1); "late" is log2(rank), with rank 1 undiscounted as well. gain: "linear",
     "exponential" (2^g - 1) or "binary". precision_by: "k" or "returned".
     """
-    div = F.log2(F.col("rank") + 1) if discount == "standard" else F.when(F.col("rank") == 1, 1.0).otherwise(F.log2("rank"))
+    late = lambda r: F.when(r == 1, 1.0).otherwise(F.log2(r))
+    by_place = (lambda r: F.log2(r + 1)) if discount == "standard" else late
+    div = by_place(F.col("rank"))
     value = {"linear": F.col("grade"), "exponential": F.pow(F.lit(2.0), "grade") - 1, "binary": (F.col("grade") > 0).cast("double")}[gain]
     rows = _gains(rankings, relevance, dedup)
     hit = F.col("grade") > 0
@@ -44,7 +52,7 @@ def ranking_metrics(rankings: DataFrame, relevance: DataFrame, k: int, discount:
         F.count_if(top & hit).alias("hits"), F.count_if(top).alias("returned"), F.sum(F.when(top, value / div)).alias("dcg"), F.min(F.when(hit, F.col("rank"))).alias("first"),
         F.sum(F.when(top & hit, F.col("upto") / F.col("rank"))).alias("precisions"),
     )
-    ideal = _ideal(relevance).groupBy("query_id").agg(F.count("*").alias("n_relevant"), F.sum(F.when(top, value / div)).alias("ideal"))
+    ideal = _ideal(relevance, value, by_place, k)
     j = ideal.join(per, "query_id", "left")
     hits = F.coalesce("hits", F.lit(0))
     p = hits / k if precision_by == "k" else F.coalesce(F.try_divide(hits, F.col("returned")), F.lit(0.0))

@@ -40,3 +40,25 @@ def test_no_window_holds_a_group(spark):
     assert abs(q.first().p - 0.95) < 0.01
     lo, hi = df.agg(F.percentile_approx("v", F.array(F.lit(0.9498), F.lit(0.9502)), 10_000).alias("q")).first().q
     assert df.filter(F.col("v").between(lo, hi)).count() < 400
+
+
+def test_ideal_gain_by_counts_of_grades(spark):
+    """Grades that begin, end and lie across place k, against sorted grades; items of one grade leave the tasks as a count."""
+    import math
+
+    from corpusmill.operators import evaluation as ev
+
+    grades = {1: [3] * 2 + [2] * 4 + [1] * 9 + [0] * 3, 2: [1], 3: [2] * 12, 4: [0]}
+    rel = spark.createDataFrame([(q, i, g) for q, gs in grades.items() for i, g in enumerate(gs)], "query_id long, item long, grade int").repartition(3)
+    ranked = spark.createDataFrame([(q, 1, 0) for q in grades], "query_id long, rank int, item long")
+    for k, gain, discount in ((5, "linear", "standard"), (3, "exponential", "late"), (20, "binary", "late")):
+        div = (lambda r: math.log2(r + 1)) if discount == "standard" else (lambda r: math.log2(r) if r > 1 else 1.0)
+        value = {"linear": float, "exponential": lambda g: 2.0**g - 1, "binary": lambda g: float(g > 0)}[gain]
+        got = {r.query_id: r for r in ev.ranking_metrics(ranked, rel, k, discount=discount, gain=gain).collect()}
+        assert got.keys() == {1, 2, 3}
+        for q in got:
+            best = sorted((g for g in grades[q] if g), reverse=True)[:k]
+            want = value(grades[q][0]) / div(1) / sum(value(g) / div(r) for r, g in enumerate(best, 1))
+            assert abs(got[q].ndcg - want) < 1e-12 and abs(got[q].recall - 1 / sum(g > 0 for g in grades[q])) < 1e-12
+    plan = ev.ranking_metrics(ranked, rel, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "grade" in plan and plan.count("row_number") == 1  # the ranked items' own; relevance is not numbered
