@@ -45,6 +45,10 @@ HIDDEN = 12
 HELD, SLICE = 16_384, 4 << 20
 #: Windows that the network reads at once; its tables then stay in a core's cache.
 READ = 1024
+#: After how many characters states of windows that begin (backward: end) alike are shared; that many classes fit a 64-bit code.
+SHARED = (6, 9, 12)
+#: Characters of stretches that wait for one Viterbi pass, about.
+WAITING = 200_000
 #: Scores nearer than this are left to the Viterbi pass.
 ROUNDING = 1e-3
 #: Documents that the model is fitted on, at most, and the longest of them; the bounds are part of the method.
@@ -155,24 +159,25 @@ class Tagger:
             out[k] = state
         return out, seen
 
-    def read(self, x: np.ndarray, way: str, first: int, last: int) -> np.ndarray:
-        """The states of `run` at the characters from first to last - 1, twice as large.
+    def read(self, x: np.ndarray, way: str, skip: int, cell: np.ndarray, state: np.ndarray, out: np.ndarray) -> None:
+        """Goes on from cells and states, in place, over classes (row, step) in reading order: `run` with both twice as large.
+        The states of the steps from `skip` on are put into out.
 
-        Each gate has its own table, so every step goes over whole arrays, in place. Doubled cells and states, with halved
-        weights, save the gates' halving.
+        The gates' sums are made together and then dealt to an array of each gate, a row's gate as one item, so every step goes over
+        whole arrays, in place. Doubled cells and states, with halved weights, save the gates' halving.
         """
         h, n = self.hidden, len(x)
-        w = [np.ascontiguousarray(v) for v in np.split(self.p["x" + way], 4, 1)]
-        u = [np.ascontiguousarray(v) for v in np.split(self.p["h" + way] * np.float32(0.5), 4, 1)]
+        w, u = self.p["x" + way], self.p["h" + way] * np.float32(0.5)
         x = np.ascontiguousarray(x.T, np.intp)
-        out = np.empty((last - first, n, h), np.float32)
-        z, add = np.empty((4, n, h), np.float32), np.empty((4, n, h), np.float32)
-        cell, state, more = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), np.empty((n, h), np.float32)
-        for k in range(last) if way == "f" else range(len(x) - 1, first - 1, -1):
-            for j in range(4):
-                np.take(w[j], x[k], axis=0, out=z[j], mode="clip")
-                np.matmul(state, u[j], out=add[j])
-            z += add
+        given, sums = np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32)
+        z, add, more = np.empty((4, n, h), np.float32), np.empty((4, n, h), np.float32), np.empty((n, h), np.float32)
+        item = np.dtype((np.void, 4 * h))
+        parts, gates = sums.view(item).T, z.view(item)[:, :, 0]
+        for k in range(len(x)):
+            w.take(x[k], 0, given, "clip")
+            np.matmul(state, u, out=sums)
+            sums += given
+            gates[:] = parts
             np.abs(z, out=add)
             add += 1
             z /= add
@@ -184,17 +189,45 @@ class Tagger:
             more += 2
             np.divide(cell, more, out=more)
             np.multiply(z[2], more, out=state)
-            if first <= k < last:
-                out[k - first] = state
-        return out
+            if k >= skip:
+                out[k - skip] = state
+
+    def begun(self, x: np.ndarray, way: str, levels: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Cells and states of rows (row, step) behind as many steps as the last level says. A state depends on the steps before it alone,
+        so rows that begin alike are read once."""
+        if not levels:
+            return np.zeros((len(x), self.hidden), np.float32), np.zeros((len(x), self.hidden), np.float32)
+        done, n = (0, *levels)[-2:]
+        codes = x[:, :n].astype(np.uint64) @ np.array([N_CLASSES**k for k in range(n)], np.uint64)
+        _, one, back = np.unique(codes, return_index=True, return_inverse=True)
+        some = x[one]
+        cell, state = self.begun(some, way, levels[:-1])
+        for a in range(0, len(some), READ):
+            b = slice(a, a + READ)
+            self.read(some[b, done:n], way, n, cell[b], state[b], cell)
+        return cell[back], state[back]
 
     def between(self, x: np.ndarray, first: int, last: int) -> np.ndarray:
         """Emissions (tag, time, window) of the characters from first to last - 1 of each window, which each direction reads up to them."""
-        h, half = self.hidden, self.p["o"].T * np.float32(0.5)
-        f, b = (self.read(x, way, first, last).reshape(-1, h).T for way in "fb")
-        e = np.ascontiguousarray(half[:, :h]) @ f + np.ascontiguousarray(half[:, h:]) @ b
-        e += self.p["ob"][:, None]
-        return e.reshape(N_TAGS, last - first, len(x))
+        h, half, size = self.hidden, self.p["o"].T * np.float32(0.5), x.shape[1]
+        ways = []
+        for way, steps, skip in (("f", x[:, :last], first), ("b", x[:, ::-1][:, : size - first], size - last)):
+            levels = tuple(n for n in SHARED if n <= skip)
+            done = (0, *levels)[-1]
+            ways.append((way, steps[:, done:], skip - done, *self.begun(steps, way, levels)))
+        e = np.empty((N_TAGS, last - first, len(x)), np.float32)
+        for a in range(0, len(x), READ):
+            b = slice(a, a + READ)
+            both = []
+            for way, steps, skip, cell, state in ways:
+                out = np.empty((last - first, len(cell[b]), h), np.float32)
+                self.read(steps[b], way, skip, cell[b], state[b], out if way == "f" else out[::-1])
+                both.append(out.reshape(-1, h).T)
+            some = np.ascontiguousarray(half[:, :h]) @ both[0]
+            some += np.ascontiguousarray(half[:, h:]) @ both[1]
+            some += self.p["ob"][:, None]
+            e[:, :, b] = some.reshape(N_TAGS, last - first, -1)
+        return e
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Emissions of each window's middle, which no other window gives."""
@@ -327,12 +360,13 @@ class Viterbi:
 
     def __init__(self, trans: np.ndarray, long: np.ndarray) -> None:
         self.trans, self.long, self.t = trans, long, 0
+        self.order = -long
         self.score = np.zeros((len(long), N_TAGS), np.float32)
         self.back = np.zeros((int(long[0]), len(long), N_TAGS), np.int8)
 
     def going(self, t: int) -> int:
         """Runs that have a character t."""
-        return int(np.searchsorted(-self.long, -t, "left"))
+        return int(self.order.searchsorted(-t, "left"))
 
     def step(self, e: np.ndarray) -> None:
         """The next character of all runs that still have one."""
@@ -346,8 +380,8 @@ class Viterbi:
 
     def feed(self, e: np.ndarray) -> None:
         """The next characters (time, run, tags)."""
-        for x in e:
-            self.step(x[: self.going(self.t)])
+        for x, m in zip(e, self.order.searchsorted(-np.arange(self.t, self.t + len(e)), "left").tolist(), strict=True):
+            self.step(x[:m])
 
     def paths(self) -> list[np.ndarray]:
         """The best path of each run as far as it was fed, followed back."""
@@ -508,11 +542,21 @@ def added_spans(texts: list[str], tagger: Tagger, every: bool = True) -> list[li
         """The emissions of distinct windows (tag, character), the place of each window's characters in them, and their leads."""
         distinct, back = np.unique(x.view(np.dtype((np.void, x.shape[1]))).ravel(), return_inverse=True)
         distinct = distinct.view(np.uint8).reshape(-1, x.shape[1])
-        e = np.concatenate([how(distinct[a : a + READ]) for a in range(0, len(distinct), READ)], 2)
+        e = how(distinct)
         time, n = e.shape[1:]
         lead = np.ascontiguousarray((e[1:].max(0) - e[0]).T)
         return e.reshape(N_TAGS, -1), back.astype(np.int32)[:, None] + np.arange(time, dtype=np.int32) * n, lead[back]
 
+    jobs: list[tuple[int, int]] = []  # text and start of each stretch that waits for the Viterbi pass
+    stretches: list[np.ndarray] = []
+
+    def walk_all() -> None:
+        """The pass over the stretches that wait: many at once, as each of its steps costs about the same for few as for many."""
+        for (k, start), path in zip(jobs, tagger.decode(stretches), strict=True):
+            accept(k, path, start)
+        jobs.clear()
+        stretches.clear()
+
     def decode() -> None:
         """Decodes the runs gathered so far; some thousand windows at a time bound the memory."""
         if not windows:
@@ -524,7 +568,6 @@ def added_spans(texts: list[str], tagger: Tagger, every: bool = True) -> list[li
         e = np.concatenate([e, head[0], tail[0]], 1)
         head[1][:] += e.shape[1] - head[0].shape[1] - tail[0].shape[1]
         tail[1][:] += e.shape[1] - tail[0].shape[1]
-        jobs, stretches = [], []
         for j, (k, _, start, end, begins, stops) in enumerate(runs):
             place, ahead = (np.concatenate([head[i][j]] * begins + [(at, lead)[i - 1][firsts[j] : ends[j]].ravel()] + [tail[i][j]] * stops)[: end - start] for i in (1, 2))
             lo, hi = 0, len(place)
@@ -557,8 +600,8 @@ def added_spans(texts: list[str], tagger: Tagger, every: bool = True) -> list[li
                 before, behind = [zero] * (a > lo or not whole), [zero] * (b < hi or not stops)
                 jobs.append((k, start + a - len(before)))
                 stretches.append(np.concatenate([*before, e[:, place[a:b]].T, *behind]))
-        for (k, start), path in zip(jobs, tagger.decode(stretches), strict=True):
-            accept(k, path, start)
+        if sum(map(len, stretches)) >= WAITING:
+            walk_all()
         runs.clear()
         windows.clear()
 
@@ -585,6 +628,7 @@ def added_spans(texts: list[str], tagger: Tagger, every: bool = True) -> list[li
                 windows.append(view[part])
                 held += len(part)
     decode()
+    walk_all()
     return [sorted(spans, key=lambda s: s[1]) for spans in out]
 
 

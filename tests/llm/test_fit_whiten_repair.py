@@ -350,6 +350,29 @@ def test_parted_texts_have_the_path_of_the_whole(monkeypatch):
     assert whole == parted and sum(map(len, whole)) > 30
 
 
+def test_windows_that_begin_alike_share_their_first_steps(monkeypatch):
+    """Emissions are those of the plain network, with fewer steps than every window's own; stretches wait for one Viterbi pass."""
+    from corpusmill.llm import pii
+
+    r, steps, passes = random.Random(8), [], []
+    tagger = pii.Tagger()
+    text = " ".join(r.choice(["lorem", "ipsum", "dolor", "sit", "a1", "é"]) for _ in range(30_000))
+    x = np.lib.stride_tricks.sliding_window_view(pii.classes(np.array([ord(c) for c in text])).astype(np.uint8), pii.WINDOW)[:: pii.STEP]
+    read, decode = tagger.read, tagger.decode
+    monkeypatch.setattr(tagger, "read", lambda x, *a: steps.append(x.size) or read(x, *a))
+    monkeypatch.setattr(tagger, "decode", lambda runs: passes.append(len(runs)) or decode(runs))
+    got = tagger.emissions(x)
+    both = np.concatenate([tagger.run(x, way)[0][pii.CUT : pii.CUT + pii.STEP] for way in "fb"], 2)
+    assert np.allclose(got, (both @ tagger.p["o"] + tagger.p["ob"]).transpose(2, 0, 1), atol=1e-4)
+    assert sum(steps) < 0.9 * len(x) * 2 * (pii.CUT + pii.STEP)
+    for size in (0, pii.CUT), (pii.CUT + pii.STEP, pii.WINDOW):
+        part = np.concatenate([tagger.run(x[:50], way)[0][slice(*size)] for way in "fb"], 2) @ tagger.p["o"] + tagger.p["ob"]
+        assert np.allclose(tagger.between(x[:50], *size), part.transpose(2, 0, 1), atol=1e-4)
+    monkeypatch.setattr(pii, "HELD", 64)
+    pii.added_spans([text[a : a + 900] for a in range(0, 90_000, 900)], tagger)
+    assert len(passes) == 1
+
+
 def test_undecided_against_every_path():
     """Random emissions and transitions: where a best path is inside a span is always undecided, and what is surely outside is."""
     from corpusmill.llm import pii
