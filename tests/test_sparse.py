@@ -70,3 +70,25 @@ def test_empty_tables(spark):
     chunks, none = spark.createDataFrame([(1, "a")], "chunk_id long, content string"), spark.createDataFrame([], "query_id long, query string")
     items = sparse.parse_queries(none)
     assert sparse.cover_density(items, sparse.postings(chunks, "content", sparse.asked_terms(items))).collect() == []
+
+
+def test_places_leave_their_task_in_order(spark, monkeypatch):
+    """A word's places in a text need no shuffle, in slices as well; rows with one id are put together."""
+    monkeypatch.setattr(sparse, "READ", 3)
+    texts = [(k, t) for k, t in enumerate(DOCS)]
+    want = {(w, k): [i for i, x in enumerate(re.findall(r"\w+", (t or "").lower())) if x == w] for k, t in texts for w in re.findall(r"\w+", (t or "").lower())}
+    chunks = spark.createDataFrame(texts, "chunk_id long, content string")
+    got = sparse.postings(chunks)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(x.term, x.chunk_id): x.positions for x in got.collect()} == want
+    twice = sparse.postings(spark.createDataFrame([(1, "a b"), (1, "b b"), (2, "a")], "chunk_id int, content string"))
+    assert sorted((x.term, x.chunk_id, x.positions) for x in twice.collect()) == [("a", 1, [0]), ("a", 2, [0]), ("b", 1, [0, 1, 1])]
+
+
+def test_covers_in_slices_are_the_same(spark, monkeypatch):
+    chunks = spark.createDataFrame(list(enumerate(DOCS)), "chunk_id long, content string")
+    items = sparse.parse_queries(spark.createDataFrame(list(enumerate(ASKED)), "query_id long, query string")).cache()
+    monkeypatch.setattr(sparse, "READ", 3)
+    got = {(x.query_id, x.chunk_id): round(x.density, 9) for x in sparse.cover_density(items, sparse.postings(chunks)).collect()}
+    want = {(q, k): round(plain_density(t, d), 9) for q, t in enumerate(ASKED) for k, d in enumerate(DOCS) if plain_density(t, d) is not None}
+    assert got == want
