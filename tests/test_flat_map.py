@@ -63,3 +63,15 @@ def test_numbers_of_one_large_group_come_from_several_tasks(spark, monkeypatch):
         want.setdefault(r.k, []).append(r.line)
     assert sorted(((r.k, r.n, r.line) for r in got), key=str) == sorted(((k, n, x) for k, v in want.items() for n, x in enumerate(sorted(v), 1)), key=str)
     assert sorted(r.n for r in tables.numbered(df.select("line"), [], "line", "n").collect()) == list(range(1, 301))
+
+
+def test_phrases_leave_as_they_are_found(spark):
+    """The search of phrases holds some texts of a batch at once, none as a pandas table."""
+    from corpusmill.operators import retrieval
+
+    texts = spark.createDataFrame([(1, "abcab"), (2, ""), (3, None), (4, "xbc")], "chunk_id long, _text string")
+    found = retrieval.contained(texts, spark.createDataFrame([("ab",), ("bc",), ("",), ("zz",), ("ab",)], "phrase string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    assert sorted(map(tuple, found.collect())) == [(1, "ab"), (1, "bc"), (4, "bc")]
+    assert retrieval.contained(texts, spark.createDataFrame([], "phrase string")).collect() == []
