@@ -121,3 +121,15 @@ def test_chunk_ids_tell_chunks_apart(spark):
 
     again = chunking.chunk_ids(chunking.chunk_documents(table(spark, "documents").orderBy(F.desc("doc_id")).repartition(7)))
     assert {r.chunk_id for r in again.select("chunk_id").collect()} == {r.chunk_id for r in rows}
+
+
+def test_letters_are_counted_without_a_walk_over_all_characters_for_each(spark):
+    """Letters of either case; other characters count for none; a letter is taken out of the bytes, not looked up character by character."""
+    from pyspark.sql import functions as F
+
+    from corpusmill.plans import retrieval_queries as q
+
+    texts = ["aAbz", "", "Éß日 a-z ZZ", None]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", q.letter_counts(F.col("t")).alias("v"))
+    assert "translate" not in got._jdf.queryExecution().executedPlan().toString().lower()
+    assert [r.v for r in got.orderBy("k").collect()] == [[None if t is None else float(t.lower().count(x)) for x in q.LETTERS] for t in texts]
