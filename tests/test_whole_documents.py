@@ -1,5 +1,6 @@
 """Documents cut in one task: the same chunks as by the block operators, no shuffle, and the tables' rows dealt once."""
 
+import hashlib
 import random
 import re
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as tx
 from corpusmill.operators import chunking, docprep, whole_documents
 from corpusmill.operators.tables import CLEANUP, shuffles_dropped
+from corpusmill.plans import catalog
 from corpusmill.sources import ingestion, snapshots
 from corpusmill.sources.snapshots import Change
 
@@ -112,3 +114,36 @@ def test_deal_by_bucket_is_even(spark):
     rows = snapshots.by_bucket(spark.range(20_000).withColumnRenamed("id", "doc_id"), "doc_id", 8, 20)
     parts = rows.withColumn("_at", F.spark_partition_id()).groupBy("_part").agg(F.count("*").alias("n"), F.count_distinct(snapshots.BUCKET).alias("b"), F.count_distinct("_at").alias("p")).collect()
     assert len(parts) == 20 and all(800 < r.n < 1200 and r.b <= 2 and r.p == 1 for r in parts)
+
+
+def test_changes_are_taken_in_over_the_whole_table(spark, tmp_path):
+    """dc32: both runs have every document, none is left out by its id, and each one's chunks are checked; with a missing id and text."""
+    rows = [(k, None if k == 5 else f"text {k} number {k} is here.", "en", "s", 1) for k in range(230)] + [(None, "of no id", "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    runs, ingest = [], ingestion.ingest_changes
+    ingestion.ingest_changes = lambda docs, *a: runs.append({r.doc_id: r.text for r in docs.collect()}) or ingest(docs, *a)
+    try:
+        got = {r.doc_id: r for r in catalog.QUERIES["dc32_ingest_changes"](spark, str(tmp_path)).collect()}
+    finally:
+        ingestion.ingest_changes = ingest
+    assert [len(r) for r in runs] == [231, 231] and set(got) == {r[0] for r in rows} == set(runs[1])
+    assert all((r.version, r.stale, r.unlike, r.n_changed, r.n_added, r.n_removed, r.embedded_only_new) == (2 if k is not None and k % 100 in (7, 13) else 1, 0, 0, 3, 3, 3, True) for k, r in got.items())
+    assert "% 100 <> " not in catalog.ORACLE_SQL["dc32_ingest_changes"] and got[29].text_sha256 == hashlib.sha256(rows[29][1].encode()).hexdigest()
+
+
+def test_wrong_chunks_of_a_kept_document_are_found(spark, monkeypatch):
+    """dc32: the second run's tables with a kept document's chunk gone, and one without its vector."""
+    ingest, seen = ingestion.ingest_changes, []
+
+    def spoilt(docs, top, *a):
+        v = ingest(docs, top, *a)
+        seen.append(v.number)
+        if len(seen) < 2:
+            return v
+        bad = snapshots.read(spark, top, ingestion.CHUNKS, of=v).filter("doc_id in (1, 2)")
+        rows = bad.filter("doc_id = 2 or chunk_index > 0").withColumn("embedding", F.when(F.col("doc_id") == 1, F.col("embedding")))
+        return snapshots.commit(spark, top, {ingestion.CHUNKS: Change(rows, keys=bad.select("doc_id"))}, v.notes, v)
+
+    monkeypatch.setattr(ingestion, "ingest_changes", spoilt)
+    got = catalog.QUERIES["dc32_ingest_changes"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id for r in got if r.stale} >= {1} and {r.doc_id for r in got if r.unlike} == {2}
