@@ -147,3 +147,9 @@ def test_wrong_chunks_of_a_kept_document_are_found(spark, monkeypatch):
     monkeypatch.setattr(ingestion, "ingest_changes", spoilt)
     got = catalog.QUERIES["dc32_ingest_changes"](spark, "/root/testdata/sf0.001").collect()
     assert {r.doc_id for r in got if r.stale} >= {1} and {r.doc_id for r in got if r.unlike} == {2}
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.text(st.sampled_from("ab1-'/. \t\n\x1c\x00\x7f,!"), max_size=30))
+def test_tokens_are_counted_without_making_them(text):
+    assert chunking.n_tokens(text) == len(docprep.TOKEN.findall(text)) and chunking.n_tokens(text + "高é") == len(docprep.TOKEN.findall(text + "高é"))
